@@ -57,30 +57,30 @@ def linear_nodes(conversations: DataFrame) -> DataFrame:
 def tree_paths(nodes: DataFrame) -> DataFrame:
     """Root-to-leaf paths: rows (tree, leaf, node, up), ``up`` the distance to the leaf.
 
-    Round k knows the last 2^k nodes of every path and each node's 2^k-th ancestor; one
-    self-join doubles both, so a path of d nodes takes log2(d) joins.
+    Round k knows the last 2^k nodes of every path and the 2^k-th ancestor of each node that
+    has one; one self-join doubles both, so a path of d nodes takes log2(d) rounds, and
+    nodes with fewer ancestors leave the rounds early.
     """
     kin = nodes.select("tree", "node", "parent")
     known = kin.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p"))
-    jump = durable(kin.join(known, same, "left").select("tree", "node", F.col("p").alias("to")))
-    parents = jump.filter("to is not null").select(F.col("tree").alias("t"), F.col("to").alias("p")).distinct()
-    leaves = jump.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    jump = durable(kin.join(known, same).select("tree", "node", F.col("p").alias("to")))
+    parents = jump.select(F.col("tree").alias("t"), F.col("to").alias("p")).distinct()
+    leaves = kin.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     step = 1
-    while True:
-        links = jump.filter("to is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
+    while not jump.isEmpty():
+        links = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
         hit = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
         more = paths.join(links, hit).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
         paths = durable(paths.unionByName(more))
         onward = links.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("to").alias("to2"))
         far = F.col("tree").eqNullSafe(F.col("t2")) & (F.col("to") == F.col("n2"))
-        jump = durable(jump.join(onward, far, "left").select("tree", "node", F.col("to2").alias("to")))
+        jump = durable(jump.join(onward, far).select("tree", "node", F.col("to2").alias("to")))
         step *= 2
-        if jump.filter("to is not null").isEmpty():
-            return paths
         if step > 1 << 40:
             raise ValueError("the parents form a cycle")
+    return paths
 
 
 def render(chosen: DataFrame, keys: list[str]) -> DataFrame:
