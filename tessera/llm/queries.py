@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, mixing, secrets, sharding, simhash, toxicity
+from tessera.llm import chat, decontaminate, mixing, neighbours, secrets, sharding, simhash, toxicity
 from tessera.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_markov")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_decontamination": op5_decontamination,
         "op6_secrets": op6_secrets,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
     }
