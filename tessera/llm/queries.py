@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, mixing, neighbours, secrets, sharding, simhash, toxicity
+from tessera.llm import chat, decontaminate, line_dedup, mixing, neighbours, secrets, sharding, simhash, toxicity
 from tessera.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_secrets": op6_secrets,
         "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
     }
