@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, line_dedup, mixing, neighbours, secrets, sharding, simhash, toxicity
+from tessera.llm import chat, decontaminate, line_dedup, mixing, neighbours, secrets, sharding, simhash, suffix_dedup, toxicity
 from tessera.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_toxicity": op2_toxicity,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_decontamination": op5_decontamination,
         "op6_secrets": op6_secrets,
