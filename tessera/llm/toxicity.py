@@ -91,8 +91,9 @@ def fit(texts: list[str], classes: list[int], rounds: int = 200, rate: float = 0
 
     def bag_of(sentence: str) -> set[str]:
         words = set(WORDS.findall(sentence))
-        for w in words - cut.keys():
-            cut[w] = features(w)
+        for w in words:
+            if w not in cut:
+                cut[w] = features(w)
         return {f for w in words for f in cut[w]}
 
     bags = [[bag_of(s) for s in SENTENCE.findall(t.lower()) or [""]] for t in texts]
@@ -105,13 +106,17 @@ def fit(texts: list[str], classes: list[int], rounds: int = 200, rate: float = 0
         a, b = (seen[1][f] + 0.5) / (n1 + 1), (seen[0][f] + 0.5) / (n0 + 1)
         return (a - b) * float(np.log(a / b))
 
-    common = [f for f in seen[1] | seen[0] if seen[1][f] + seen[0][f] >= LEAST_DOCS]
-    chosen = sorted(common, key=lambda f: (-gain(f), f))[:FEATURES]
+    # Features that speak for toxicity; without any, a sentence has the score of the bias.
+    telling = [f for f in seen[1] if seen[1][f] + seen[0][f] >= LEAST_DOCS and (seen[1][f] + 0.5) / (n1 + 1) > 2 * (seen[0][f] + 0.5) / (n0 + 1)]
+    chosen = sorted(telling, key=lambda f: (-gain(f), f))[:FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
-    owner, rows, cols = [], [], []
+    owner, rows, cols, plain = [], [], [], np.zeros(len(y))
     for d, bag in enumerate(bags):
         for s in bag:
             hit = [index[f] for f in s if f in index]
+            if not hit:
+                plain[d] += 1
+                continue
             rows += [len(owner)] * len(hit)
             cols += hit
             owner.append(d)
@@ -121,9 +126,12 @@ def fit(texts: list[str], classes: list[int], rounds: int = 200, rate: float = 0
     w[k] = -4.0
     for t in range(1, rounds + 1):
         z = w[k] + np.bincount(rows, w[cols], minlength=n)
-        p = np.clip(-np.expm1(-np.bincount(owner, np.logaddexp(0, z), minlength=len(y))), 1e-9, 1.0)
-        pull = np.where(y > 0, -(1 - p) / p, 1.0)[owner] / (1 + np.exp(-z))
-        g = np.append(np.bincount(cols, pull[rows], minlength=k) + decay * len(y) / 100 * w[:k], pull.sum()) / len(y)
+        seed = np.logaddexp(0, w[k])
+        p = np.clip(-np.expm1(-np.bincount(owner, np.logaddexp(0, z), minlength=len(y)) - plain * seed), 1e-9, 1.0)
+        weight = np.where(y > 0, -(1 - p) / p, 1.0)
+        pull = weight[owner] / (1 + np.exp(-z))
+        lean = pull.sum() + (weight * plain).sum() / (1 + np.exp(-w[k]))
+        g = np.append(np.bincount(cols, pull[rows], minlength=k) + decay * len(y) / 100 * w[:k], lean) / len(y)
         step[0][:] = 0.9 * step[0] + 0.1 * g
         step[1][:] = 0.999 * step[1] + 0.001 * g * g
         w -= rate * (step[0] / (1 - 0.9**t)) / (np.sqrt(step[1] / (1 - 0.999**t)) + 1e-9)
