@@ -112,3 +112,13 @@ def assign_shards(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = ()) ->
     out = durable(whole.select(columns).unionByName(cut.select(columns)).unionByName(alone.select(columns)))
     out = rank_within(out, ["shard"], "bucket", order, "slot", few_keys=True)
     return out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot", "group_rows", *keep)
+
+
+def sharded(docs: DataFrame, n_shards: int) -> DataFrame:
+    """All rows and columns of ``docs`` with shard and slot."""
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    places = durable(assign_shards(keyed, n_shards, keep=("_row",)).select("doc_id", "_row", "shard", "slot"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._row") == F.col("b._row"))
+    if not places.groupBy("doc_id", "_row").count().filter("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "_row"])  # equal rows are interchangeable: one meets all their places
+    return keyed.alias("a").join(places.alias("b"), same).select(*[F.col(f"a.{c}") for c in docs.columns], "b.shard", "b.slot")

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.llm.common import components, durable
 
@@ -108,3 +109,102 @@ def groups(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     named = durable(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+
+
+# Near copies by exact similarity: fingerprints propose and reject, shingle sets decide.
+CUT = 12  # words of a chunk on average
+LEAST_WORDS = 6
+FAR = 20  # bits: of pairs at similarity 0.8, about one in 10,000 is farther apart
+
+
+def chunk_keys(text: str | None) -> list[int]:
+    """Hashes of the text's chunks, cut where the hash of two words says so, and of the whole."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    names = np.fromiter((digest(w, 7) for w in words), np.uint64, len(words))
+    pairs = (names[:-1] * np.uint64(0x9E3779B97F4A7C15) + names[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    last = np.append(np.flatnonzero((pairs >> np.uint64(33)) % np.uint64(CUT) == 0), len(words) - 1)
+    first = np.append(0, last[:-1] + 1)
+    out = {digest(joined, 8)}
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        if b - a + 1 >= LEAST_WORDS:
+            out.add(digest(joined[ends[a - 1] + 1 if a else 0 : ends[b]], 8))
+    return [k - (1 << 64) if k >> 63 else k for k in out]
+
+
+def _features(docs: DataFrame, shingle: int) -> DataFrame:
+    """Rows (doc_id, h, fp, n, chunks): text hash, fingerprint, number of different shingles, chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("text")]
+            hashes = [shingle_hashes(t, shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("h"), pa.array([fold(x) for x in hashes], pa.int64()), pa.array([len(np.unique(x)) for x in hashes], pa.int64()), pa.array([chunk_keys(t) for t in texts], pa.list_(pa.int64()))],
+                ["doc_id", "h", "fp", "n", "chunks"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, chunks array<bigint>")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
+
+    return texts.select("h", "text").mapInArrow(run, "h bigint, shingles array<bigint>")
+
+
+def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3) -> DataFrame:
+    """Pairs (a, b) of text hashes whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Fingerprints within ``radius`` meet by multi-index hashing.  At 0.8 most pairs are farther
+    apart than any selective radius, so texts also meet where they share a chunk: within a
+    chunk, each text meets the chunk's first text and its neighbours in the orders of length
+    and of fingerprint, a number of pairs linear in the chunk's texts.  Pairs more than FAR
+    bits apart are rejected, the others are compared by their shingle sets.
+    """
+    nodes = features.select("h", "fp", "n").distinct()
+    each = features.select("h", "fp", "n", F.explode("chunks").alias("chunk")).distinct()
+    in_length, in_print = W.partitionBy("chunk").orderBy("n", "h"), W.partitionBy("chunk").orderBy("fp", "h")
+    other = F.struct("h", "fp", "n")
+    met = each.withColumn("o1", F.lag(other).over(in_length)).withColumn("o2", F.first(other).over(in_length)).withColumn("o3", F.lag(other).over(in_print))
+    met = met.select("h", "fp", "n", F.explode(F.array("o1", "o2", "o3")).alias("o")).filter("o is not null and o.h <> h")
+    met = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= FAR) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")))
+    met = met.select(F.least("h", "o.h").alias("a"), F.greatest("h", "o.h").alias("b"))
+    near = links(nodes.select("fp").distinct(), radius, segments)
+    alike = nodes.groupBy("fp").agg(F.min("h").alias("h"))
+    near = near.join(alike.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(alike.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
+    same = nodes.join(alike.select("fp", F.col("h").alias("least")), "fp").filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    near = near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).unionByName(same)
+    pairs = durable(met.unionByName(near).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = docs.select(text_key().alias("h"), "text").join(wanted, "h", "left_semi")
+    sets = durable(_shingle_sets(texts, shingle).groupBy("h").agg(F.any_value("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).filter(F.size("sa") > 0).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked texts the smallest doc_id stays."""
+    features = durable(_features(docs, shingle))
+    roots = components(similar_links(docs, features, shingle, similarity))
+    rows = features.select("doc_id", "h")
+    owner = rows.groupBy("h").agg(F.min("doc_id").alias("least"))
+    owner = owner.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+    kept = durable(owner.groupBy("root").agg(F.min(F.struct(F.col("least"), F.col("h"))).alias("k")).select(F.col("k.least").alias("kept_id"), F.col("k.h").alias("kept_h")))
+    out = docs.withColumn("_h", text_key())
+    out = out.join(kept, (F.col("_h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_h"])
+    return out.drop("_h")
