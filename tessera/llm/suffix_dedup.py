@@ -149,111 +149,186 @@ def _firsts(columns: list[np.ndarray], keys: int) -> tuple[list[np.ndarray], np.
     return columns, again
 
 
-ANCHOR = "bucket bigint, context bigint, doc bigint, tie bigint, pos bigint, first bigint, last bigint, known boolean"
-WINDOW = "bucket bigint, context bigint, doc bigint, tie bigint, start bigint, stop bigint, known boolean"
+#: An anchor's place in one long: position, position minus first window, last minus first window.
+NARROW = 8
+ANCHOR = "bucket bigint, context bigint, doc bigint, tie bigint, place bigint"
+OPEN = "bucket bigint, doc bigint, tie bigint, place bigint, named array<bigint>"
+#: A repeated run in one long: start and size.
+RUN_BITS = 24
 
 
-def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
-    names = [f.split()[0] for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(_signed(c)) for c in columns], names)
+def _pack(pos: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (pos << 2 * NARROW) | ((pos - first) << NARROW) | (last - first)
 
 
-def _combined(parts: list[tuple], schema: str) -> pa.RecordBatch:
-    """Rows of a chunk; of equal (bucket, context) all but the first are known to repeat.
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pos, mask = place >> 2 * NARROW, (1 << NARROW) - 1
+    first = pos - ((place >> NARROW) & mask)
+    return pos, first, first + (place & mask)
+
+
+def _runs(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Overlapping or touching intervals, sorted by start, as packed runs."""
+    if not len(start):
+        return np.empty(0, np.int64)
+    reach = np.maximum.accumulate(stop)
+    begin = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    lo, hi = start[begin], np.append(reach[begin[1:] - 1], reach[-1])
+    most, out = (1 << RUN_BITS) - 1, []
+    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+        out += [(z << RUN_BITS) | min(most, y - z) for z in range(x, y, most)]
+    return np.array(out, np.int64)
 
-    What is known needs no meeting, so its bucket is replaced by one that spreads evenly.
-    """
-    columns, again = _firsts([np.concatenate(c) for c in zip(*parts, strict=True)], 2)
-    columns[0][again] = _mix(columns[0][again] + columns[2][again].astype(np.uint64) + columns[4][again].astype(np.uint64))
-    columns[1][again] = 0
-    return _batch([*columns, again], schema)
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(_signed(c)) if isinstance(c, np.ndarray) else c for c in columns], names)
 
 
 def list_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Step 1, over rows (doc, tie, text)."""
+    """Step 1, over rows (doc, tie, text); of equal contexts in a chunk all but the first have context 0.
+
+    What is known to repeat needs no meeting: its bucket is replaced by one that spreads evenly.
+    """
+
+    def combined(parts: list[tuple]) -> pa.RecordBatch:
+        columns, again = _firsts([np.concatenate(c) for c in zip(*parts, strict=True)], 2)
+        columns[0][again] = _mix(columns[0][again] + columns[2][again].astype(np.uint64) + columns[4][again].astype(np.uint64))
+        columns[1][again] = 0
+        return _batch(columns, ANCHOR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
             for doc, tie, text in zip(*(batch.column(c) for c in ("doc", "tie", "text")), strict=True):
                 data = _bytes(text.as_py())
-                for bucket, context, *where in text_anchors(data, length, gram):
+                for bucket, context, pos, first, last in text_anchors(data, length, gram):
                     n = len(bucket)
-                    parts.append((bucket, context, np.full(n, doc.as_py(), np.int64), np.full(n, tie.as_py(), np.int64), *where))
+                    parts.append((bucket, context, np.full(n, doc.as_py(), np.int64), np.full(n, tie.as_py(), np.int64), _pack(pos, first, last)))
                 size += len(data)
                 if size >= CHUNK_BYTES and parts:
-                    yield _combined(parts, ANCHOR)
+                    yield combined(parts)
                     parts, size = [], 0
         if parts:
-            yield _combined(parts, ANCHOR)
+            yield combined(parts)
 
     return docs.mapInArrow(run, ANCHOR)
 
 
-def meet(rows: DataFrame, length: int) -> DataFrame:
-    """Step 2: rows (doc, tie, open, bucket, pos, first, last), repeated or open."""
+def meet(rows: DataFrame) -> DataFrame:
+    """Step 2: rows (doc, tie, bucket, place), repeated (bucket null) or open."""
     rows = rows.repartition("bucket")
-    nth = F.row_number().over(W.partitionBy("bucket", "context").orderBy("doc", "tie", "pos"))
+    nth = F.row_number().over(W.partitionBy("bucket", "context").orderBy("doc", "tie", "place"))
     whole = W.partitionBy("bucket")
     seen = rows.select("*", nth.alias("nth"), F.min("context").over(whole).alias("c0"), F.max("context").over(whole).alias("c1"))
-    opened = ~F.col("known") & (F.col("nth") == 1)
-    return seen.filter(~opened | (F.col("c0") != F.col("c1"))).select("doc", "tie", opened.alias("open"), "bucket", "pos", "first", "last")
+    opened = (F.col("context") != 0) & (F.col("nth") == 1)
+    return seen.filter(~opened | (F.col("c0") != F.col("c1"))).select("doc", "tie", F.when(opened, F.col("bucket")).alias("bucket"), "place")
 
 
 def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataFrame:
-    """Step 3: rows of WINDOW for the open anchors' windows, and the known repeats as they are."""
-    listed = met.groupBy("doc", "tie").agg(F.collect_list(F.struct("open", "bucket", "pos", "first", "last")).alias("found"))
+    """Step 3: rows of OPEN, the refined buckets of the windows of an open anchor, in order.
+
+    A window that already repeats in the chunk is 0.  Rows without ``named`` hold in ``place``
+    a run that is known to repeat.
+    """
+    listed = met.groupBy("doc", "tie").agg(F.collect_list(F.struct("bucket", "place")).alias("found"))
     joined = docs.join(listed, ["doc", "tie"], "left").select("doc", "tie", "text", "found")
 
+    def known(doc: int, tie: int, runs: np.ndarray) -> pa.RecordBatch:
+        n = len(runs)
+        spread = _mix(runs.astype(np.uint64) + np.uint64(doc & (1 << 64) - 1))
+        return _batch([spread, np.full(n, doc, np.int64), np.full(n, tie, np.int64), runs, pa.nulls(n, pa.list_(pa.int64()))], OPEN)
+
+    def combined(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, bucket, offset, name, doc, tie, start = (np.concatenate(c) for c in zip(*[p[0] for p in parts], strict=True))
+        order = np.lexsort((start, tie, doc, name, offset, bucket))
+        again = np.zeros(len(order), bool)
+        cols = [c[order] for c in (bucket, offset, name)]
+        again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+        name = name.copy()
+        name[order[again]] = 0
+        base = 0
+        buckets, docs_, ties, places, lists = [], [], [], [], []
+        for (rows, *_), place, many, d, t, own in parts:
+            n = len(rows)
+            mine, begins = name[base : base + n], start[base : base + n]
+            hit = np.sort(begins[mine == 0])
+            if len(hit):
+                yield known(d, t, _runs(hit, hit + length))
+            buckets.append(own)
+            docs_.append(np.full(len(own), d, np.int64))
+            ties.append(np.full(len(own), t, np.int64))
+            places.append(place)
+            lists.append((many, mine))
+            base += n
+        many = np.concatenate([m for m, _ in lists])
+        flat = np.concatenate([x for _, x in lists]).view(np.int64)
+        named = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(flat))
+        yield _batch([np.concatenate(buckets), np.concatenate(docs_), np.concatenate(ties), np.concatenate(places), named], OPEN)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
             for doc, tie, text, found in zip(*(batch.column(c) for c in ("doc", "tie", "text", "found")), strict=True):
                 if not found.is_valid or not len(found.values):
                     continue
-                cols = {n: found.values.field(n).to_numpy(zero_copy_only=False) for n in ("open", "bucket", "pos", "first", "last")}
-                done = ~cols["open"]
-                n, d, t = int(done.sum()), doc.as_py(), tie.as_py()
-                if n:
-                    start, stop = cols["first"][done], cols["last"][done] + length
-                    spread = _mix(start.astype(np.uint64) + np.uint64(d & (1 << 64) - 1))
-                    yield _batch([spread, np.zeros(n, np.uint64), np.full(n, d, np.int64), np.full(n, t, np.int64), start, stop, np.ones(n, bool)], WINDOW)
-                if n < len(done):
-                    data = _bytes(text.as_py())
-                    first, last, pos = (cols[c][cols["open"]] for c in ("first", "last", "pos"))
-                    many = last - first + 1
-                    row = np.repeat(np.arange(len(first)), many)
-                    start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                    bucket = cols["bucket"][cols["open"]].view(np.uint64)[row] ^ _mix((pos[row] - start + 1).astype(np.uint64))
-                    k = len(start)
-                    parts.append((bucket, refined(data, length, gram)[start], np.full(k, d, np.int64), np.full(k, t, np.int64), start, start + length))
-                    size += 48 * k
+                d, t = doc.as_py(), tie.as_py()
+                buckets, place = found.values.field("bucket"), found.values.field("place").to_numpy()
+                done = buckets.is_null().to_numpy(zero_copy_only=False)
+                if done.any():
+                    _, first, last = _unpack(np.sort(place[done]))
+                    order = np.argsort(first, kind="stable")
+                    yield known(d, t, _runs(first[order], last[order] + length))
+                if done.all():
+                    continue
+                own = buckets.drop_null().to_numpy().view(np.uint64)
+                place = place[~done]
+                pos, first, last = _unpack(place)
+                many = last - first + 1
+                row = np.repeat(np.arange(len(own)), many)
+                start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                name = refined(_bytes(text.as_py()), length, gram)[start]
+                name[name == 0] = 1
+                n = len(start)
+                parts.append(((row, own[row], pos[row] - start, name, np.full(n, d, np.int64), np.full(n, t, np.int64), start), place, many, d, t, own))
+                size += 64 * n
                 if size >= CHUNK_BYTES:
-                    yield _combined(parts, WINDOW)
+                    yield from combined(parts)
                     parts, size = [], 0
         if parts:
-            yield _combined(parts, WINDOW)
+            yield from combined(parts)
+
+    return joined.mapInArrow(run, OPEN)
+
 
-    return joined.mapInArrow(run, WINDOW)
+def repeats(told: DataFrame, length: int) -> DataFrame:
+    """Step 4 of equal windows: rows (doc, tie, run)."""
+    each = told.repartition("bucket").select("bucket", "doc", "tie", "place", F.posexplode_outer("named").alias("i", "name"))
+    first = F.shiftright("place", 2 * NARROW) - F.shiftright("place", NARROW).bitwiseAND(F.lit((1 << NARROW) - 1))
+    # A window's offset from its anchor is the place's own offset less i.
+    each = each.filter(F.col("name").isNull() | (F.col("name") != 0)).select(
+        "bucket", "doc", "tie", "place", "name", (F.shiftright("place", NARROW).bitwiseAND(F.lit((1 << NARROW) - 1)) - F.col("i")).alias("offset"), (first + F.col("i")).alias("start"))
+    nth = F.row_number().over(W.partitionBy("bucket", "offset", "name").orderBy("doc", "tie", "start"))
+    each = each.withColumn("nth", nth).filter(F.col("name").isNull() | (F.col("nth") > 1))
+    window = F.shiftleft("start", RUN_BITS).bitwiseOR(F.lit(length))
+    return each.select("doc", "tie", F.when(F.col("name").isNull(), F.col("place")).otherwise(window).alias("run"))
 
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans); spans as start-end pairs."""
-    if length % gram or (length // gram) & (length // gram - 1):
-        raise ValueError("length must be gram times a power of two")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), "text")
-    twins = rows.groupBy("doc", "tie").count().filter("count > 1")
-    if twins.isEmpty():
-        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    if length % gram or (length // gram) & (length // gram - 1) or length - gram >= 1 << NARROW:
+        raise ValueError(f"length must be gram times a power of two, and less than gram + {1 << NARROW}")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+    if docs.groupBy(doc).count().filter("count > 1").isEmpty():
+        rows = docs.select(doc, F.lit(0).cast("long").alias("tie"), "text", F.lit(1).cast("long").alias("copies"))
     else:
-        once = rows.dropDuplicates(["doc", "tie"])
-        rows = once.join(twins, ["doc", "tie"], "left").select("doc", "tie", "text", F.coalesce("count", F.lit(1)).alias("copies"))
+        rows = docs.select(doc, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), "text")
+        twins = rows.groupBy("doc", "tie").count()
+        rows = rows.dropDuplicates(["doc", "tie"]).join(twins, ["doc", "tie"]).select("doc", "tie", "text", F.col("count").alias("copies"))
 
-    met = meet(list_anchors(rows.select("doc", "tie", "text"), length, gram), length)
-    told = tell_apart(rows, met, length, gram)
-    nth = F.row_number().over(W.partitionBy("bucket", "context").orderBy("doc", "tie", "start"))
-    cut = told.withColumn("nth", nth).filter(F.col("known") | (F.col("nth") > 1))
-    cut = cut.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
+    met = meet(list_anchors(rows.select("doc", "tie", "text"), length, gram))
+    cut = repeats(tell_apart(rows, met, length, gram), length)
+    cut = cut.groupBy("doc", "tie").agg(F.collect_list("run").alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,13 +338,14 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 n, d = len(data), None if doc.as_py() == NO_ID else doc.as_py()
                 spans: list[tuple[int, int]] = []
                 if cuts.is_valid:
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, cuts.values.field("start").to_numpy(), 1)
-                    np.add.at(edge, cuts.values.field("stop").to_numpy(), -1)
-                    mask = np.cumsum(edge[:n]) > 0
-                    side = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
-                    spans = list(zip(np.flatnonzero(side == 1).tolist(), np.flatnonzero(side == -1).tolist(), strict=True))
-                    data = data[~mask]
+                    runs = np.sort(cuts.values.to_numpy())
+                    start = runs >> RUN_BITS
+                    merged = start + (runs & (1 << RUN_BITS) - 1)
+                    reach = np.maximum.accumulate(merged)
+                    begin = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+                    spans = list(zip(start[begin].tolist(), np.append(reach[begin[1:] - 1], reach[-1]).tolist(), strict=True))
+                    edges = [0, *[x for s in spans for x in s], n]
+                    data = np.concatenate([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 out.append((d, n, n - len(data), len(spans), hashlib.sha256(data.tobytes()).hexdigest(), spans))
                 twin = (d, n, n, 1, hashlib.sha256(b"").hexdigest(), [(0, n)]) if n >= length else out[-1]
                 out += [twin] * (copies.as_py() - 1)
