@@ -11,6 +11,9 @@ verified by a banded bit-parallel edit distance: one bit
 for each diagonal of the band and one word for each number of edits.  The classes are the
 links' connected components.
 
+A line's id is the 64-bit hash of its text: among n different lines n^2 / 2^65 pairs can be
+expected to share one (0.03 in a thousand million), and would count as copies.
+
 Defined results: null texts have no lines, empty texts one empty line; shorter lines are
 linked to equal lines only; repeated rows of a doc_id have lines of their own; a null
 doc_id is carried, and owns a line only if no other does; an empty table gives no rows;
@@ -19,8 +22,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ from tessera.llm.common import components, durable
 
 TAU = 2
 LEAST_CHARS = 20
-COUNTED = "abcdeghilmnorstu"
+COUNTED = "aeinorst"
+BROADCAST_PAIRS = 1_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -36,31 +38,30 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of tau + 1 even segments; the last ones are longer."""
-    base, rest = F.floor(length / (tau + 1)), F.pmod(length, F.lit(tau + 1))
-    return i * base + F.greatest(F.lit(0), i - (tau + 1 - rest)), base + (F.lit(i) >= tau + 1 - rest).cast("int")
+def _segment(less: int, i: int, tau: int) -> tuple[str, str]:
+    """Start (from 1) and size of segment i of tau + 1 even segments of a line ``less`` characters shorter; the last ones are longer."""
+    k, length = tau + 1, f"(chars - {less})"
+    longer = f"({length} % {k})"
+    return f"cast({i} * ({length} div {k}) + greatest(0, {i - k} + {longer}) + 1 as int)", f"cast({length} div {k} as int) + if({i - k} + {longer} >= 0, 1, 0)"
 
 
-def _key(length: Column, i: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, (start + 1).cast("int"), size.cast("int")))
+def _key(less: int, i: int, shift: int, tau: int) -> Column:
+    start, size = _segment(less, i, tau)
+    return F.expr(f"xxhash64(chars - {less}, {i}, substring(line, {start} + {shift}, {size}))")
 
 
 def index_keys(tau: int) -> list[Column]:
-    line, length = F.col("line"), F.col("chars")
-    return [_key(length, i, line, *_segment(length, i, tau)) for i in range(tau + 1)]
+    return [_key(0, i, 0, tau) for i in range(tau + 1)]
 
 
 def probe_keys(tau: int) -> list[Column]:
     """Keys of the substrings that may be segment i of a line ``less`` characters shorter."""
-    line, out = F.col("line"), []
-    for less in range(tau + 1):
-        length = F.col("chars") - less
-        for i in range(tau + 1):
-            start, size = _segment(length, i, tau)
-            for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                out.append(_key(length, i, line, start + shift, size))
-    return out
+    return [
+        _key(less, i, shift, tau)
+        for less in range(tau + 1)
+        for i in range(tau + 1)
+        for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)
+    ]
 
 
 def edits_within(a: str, b: str, tau: int) -> Column:
@@ -93,12 +94,12 @@ def edits_within(a: str, b: str, tau: int) -> Column:
 
 
 def letter_counts() -> Column:
-    """Counts of sixteen frequent letters, modulo 16, packed into a long."""
+    """Counts of eight frequent letters, modulo 256, packed into a long."""
     size = F.octet_length("line")
     packed = F.lit(0).cast("long")
     for i, letter in enumerate(COUNTED):
         n = (size - F.octet_length(F.replace(F.col("line"), F.lit(letter), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * i))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
     return packed
 
 
@@ -106,66 +107,56 @@ def counts_apart(a: Column, b: Column) -> Column:
     """Sum of the differences of the packed counts; an edit changes it by two at most."""
     total = F.lit(0)
     for i in range(len(COUNTED)):
-        gap = F.pmod(F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15)), F.lit(16))
-        total = total + F.least(gap, 16 - gap)
+        gap = F.pmod(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)), F.lit(256))
+        total = total + F.least(gap, 256 - gap)
     return total
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Writes a wide table as Parquet in the shared checkpoint folder, and reads it."""
-    sc = df.sparkSession.sparkContext
-    durable(df.sparkSession.range(1))  # sets the folder up where the session names none
-    path = f"{sc.getCheckpointDir()}/lines-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Rows (node, line, chars, digest, copies, first_doc), one for each different line."""
-    once = lines_of(docs).groupBy("line").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
-    return _written(once.select(
-        F.monotonically_increasing_id().alias("node"), "line", F.length("line").alias("chars"),
-        F.unhex(F.md5("line")).alias("digest"), "copies", "first_doc"))
+def line_id() -> Column:
+    return F.xxhash64("line")
 
 
-def candidates(lines: DataFrame, tau: int = TAU, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a segment where it could be."""
-    long = lines.filter(F.col("chars") >= least).withColumn("counts", letter_counts())
-    stored = long.select(F.explode(F.array(*index_keys(tau))).alias("key"), F.col("node").alias("a"), F.col("counts").alias("na"))
-    probes = long.select(F.explode(F.array(*probe_keys(tau))).alias("pkey"), F.col("node").alias("b"), F.col("counts").alias("nb"))
+def candidates(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of different lines that share a segment where it could be."""
+    long = lines_of(docs).select("line").filter(F.length("line") >= least).distinct().withColumn("chars", F.length("line"))
+    node = line_id()
+    stored = long.select(F.explode(F.array(*index_keys(tau))).alias("key"), node.alias("a"), letter_counts().alias("na"))
+    probes = long.select(F.explode(F.array(*probe_keys(tau))).alias("pkey"), node.alias("b"), letter_counts().alias("nb"))
     near = (F.col("a") != F.col("b")) & (counts_apart(F.col("na"), F.col("nb")) <= 2 * tau)
     met = probes.join(stored, (F.col("pkey") == F.col("key")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(lines: DataFrame, tau: int = TAU, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (a, b) of different lines at most tau edits apart."""
-    pairs = candidates(lines, tau, least)
-    text = lines.select("node", "line")
+def links(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS) -> DataFrame:
+    """Pairs (a, b) of ids of different lines at most tau edits apart."""
+    pairs = durable(candidates(docs, tau, least))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
+    text = lines_of(docs).select(line_id().alias("node"), "line").join(wanted, "node", "left_semi").distinct()
+    text = durable(text)
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
     both = both.join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-    return both.filter(edits_within("la", "lb", tau)).select("a", "b")
+    return both.filter(edits_within("la", "lb", tau)).select("a", "b").distinct()
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS) -> DataFrame:
     """Rows (doc_id, line_no, class_id, class_doc, n_links, n_copies, keep), one for each line.
 
-    ``class_id`` is the smallest 64-bit hash of the class's lines, ``class_doc`` the smallest
+    ``class_id`` is the smallest 64-bit id of the class's lines, ``class_doc`` the smallest
     doc_id with one of them, ``n_links`` the different lines linked to this one, ``n_copies``
     the rows with this line; ``keep`` marks the class's first line in class_doc.
     """
-    lines = distinct_lines(docs)
-    edges = durable(links(lines, tau, least))
+    edges = durable(links(docs, tau, least))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = durable(components(edges).join(degree, "node"))
-    info = lines.select("node", F.xxhash64("line").alias("h"), "digest", "copies", "first_doc").join(linked, "node", "left")
-    info = durable(info.select("digest", "copies", "h", "first_doc", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    named = info.filter("n_links > 0").groupBy("root").agg(F.min("h").alias("class_id"), F.min("first_doc").alias("class_doc"))
-    named = info.join(named, "root", "left").select(
-        "digest", "copies", "n_links", F.coalesce("class_id", "h").alias("class_id"), F.coalesce("class_doc", "first_doc").alias("class_doc"), "root")
-    rows = lines_of(docs).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("digest"))
-    rows = durable(rows.join(named, "digest").drop("digest"))
-    first = rows.filter(F.col("doc_id").eqNullSafe(F.col("class_doc"))).groupBy("root").agg(F.min("line_no").alias("first_line"))
-    rows = rows.join(first, "root", "left")
+    rows = lines_of(docs).select("doc_id", "line_no", line_id().alias("node"))
+    info = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    info = durable(info.join(linked, "node", "left").select("node", "copies", "first_doc", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = info.filter("n_links > 0").groupBy("class_id").agg(F.min("first_doc").alias("class_doc"))
+    named = info.join(named, "class_id", "left").select("node", "copies", "n_links", "class_id", F.coalesce("class_doc", "first_doc").alias("class_doc"))
+    rows = durable(rows.join(named, "node").drop("node"))
+    first = rows.filter(F.col("doc_id").eqNullSafe(F.col("class_doc"))).groupBy("class_id").agg(F.min("line_no").alias("first_line"))
+    rows = rows.join(first, "class_id", "left")
     keep = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("first_line"))
     return rows.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "class_id", "class_doc", "n_links", F.col("copies").alias("n_copies"), keep.alias("keep"))
