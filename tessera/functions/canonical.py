@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEPTH = 256
 
@@ -77,7 +78,7 @@ def canonical_text(raw: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Exact path, an Arrow batch at a time."""
     for raw in batches:
