@@ -92,8 +92,7 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
             continue
         part: Column = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(i << 56))
         stored.append(part)
-        masks = F.array(*[F.lit(m).cast("long") for m in balls(bits, ball)])
-        probes.append(F.transform(masks, lambda m, part=part: part.bitwiseXOR(m)))
+        probes.append(F.array(*[part.bitwiseXOR(F.lit(m).cast("long")) for m in balls(bits, ball)]))
     left = fps.select(F.explode(F.array(*stored)).alias("key"), F.col("fp").alias("b"))
     right = fps.select(F.explode(F.concat(*probes)).alias("key"), F.col("fp").alias("a"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
