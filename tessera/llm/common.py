@@ -88,6 +88,8 @@ def rank_within(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, root), root the smallest node.
 
+    The roots themselves have no row.
+
     Alternating large-star and small-star rounds, which keep the number of edges and end
     after a logarithmic number of rounds, also on long chains.  Each round's edges are
     durable; only one count and one sum come to the driver.

@@ -149,7 +149,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS) -> D
     """
     edges = durable(links(docs, tau, least))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = durable(components(edges).join(degree, "node"))
+    linked = durable(degree.join(components(edges), "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root")))
     rows = lines_of(docs).select("doc_id", "line_no", line_id().alias("node"))
     info = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
     info = durable(info.join(linked, "node", "left").select("node", "copies", "first_doc", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

@@ -8,8 +8,8 @@ the smaller source index).  As the parts fill the frame exactly, every block mee
 window, so at each slot every source is less than one block away from its share.  All full
 frames of a phase are alike, so one frame is scheduled per phase, as one SQL aggregate,
 and a block's slot follows by arithmetic: no task walks the whole sequence.  When a source
-has less than a frame's parts left, one frame spreads what is left, then the others go on
-with the same parts: every document is placed once, none is repeated or dropped.
+runs dry, the others go on with the same parts in a new phase: every document is placed
+once, none is repeated or dropped.
 
 Bound: at most ``MAX_SOURCES`` sources (more is an error: group them first), so the plan has
 at most two phases a source.  The longest table that is broadcast has 2 x sources x parts rows.
@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_of, durable, rank_within
@@ -45,21 +45,6 @@ def tempered_parts(counts: Mapping[str, int], power: float = 0.5) -> dict[str, i
     return {s: max(1, round(parts * w / total)) for s, w in weights.items()}
 
 
-def phases(blocks: list[int], parts: list[int]) -> list[dict]:
-    """Phases (quota, frames, slot, first): quota and first block by source, frames, first slot."""
-    left, first, slot, out = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        active = [q if n else 0 for q, n in zip(parts, left, strict=True)]
-        frames = min(n // q for q, n in zip(active, left, strict=True) if q)
-        quota = active if frames else [min(q, n) for q, n in zip(active, left, strict=True)]
-        frames = max(frames, 1)
-        out.append({"quota": quota, "frames": frames, "slot": slot, "first": list(first)})
-        slot += frames * sum(quota)
-        first = [f + frames * q for f, q in zip(first, quota, strict=True)]
-        left = [n - frames * q for n, q in zip(left, quota, strict=True)]
-    return out
-
-
 #: One frame by earliest deadline first: array of the source index of each slot.
 EDF = """
 aggregate(
@@ -77,6 +62,42 @@ aggregate(
 """
 
 
+def frame_slots(spark: SparkSession, quota: list[int]) -> list[int]:
+    """The source index of each slot of one frame; as many values as the quotas sum to."""
+    row = spark.range(1).select(F.array(*[F.lit(int(q)).cast("long") for q in quota]).alias("quota"), F.lit(sum(quota)).cast("long").alias("t"))
+    return row.select(F.expr(EDF)).first()[0]
+
+
+def phases(spark: SparkSession, blocks: list[int], parts: list[int]) -> list[dict]:
+    """Phases (slots, frames, slot, first): the schedule of a frame, how often it runs, first slot, first block by source.
+
+    A phase of full frames lasts while every source has its parts; then the frame runs once
+    more up to the slot where a source has given its last block, and the others go on alone.
+    """
+    left, first, slot, out = list(blocks), [0] * len(blocks), 0, []
+    while any(left):
+        quota = [q if n else 0 for q, n in zip(parts, left, strict=True)]
+        slots = frame_slots(spark, quota)
+        frames = min(n // q for q, n in zip(quota, left, strict=True) if q)
+        runs = [(slots, frames)] if frames else []
+        rest = [n - frames * q for q, n in zip(quota, left, strict=True)]
+        if all(n for q, n in zip(quota, rest, strict=True) if q):
+            head, some = [], list(rest)
+            for i in slots:
+                head.append(i)
+                some[i] -= 1
+                if not some[i]:
+                    break
+            runs.append((head, 1))
+        for order, times in runs:
+            out.append({"slots": order, "frames": times, "slot": slot, "first": list(first)})
+            slot += times * len(order)
+            for i in order:
+                first[i] += times
+                left[i] -= times
+    return out
+
+
 def pfair_mix(docs: DataFrame, parts: Mapping[str, int] | None = None, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, source, block, phase, slot, pos, *keep): ``pos`` is the gapless place in the mix.
 
@@ -92,18 +113,16 @@ def pfair_mix(docs: DataFrame, parts: Mapping[str, int] | None = None, block_row
     names = list(counts)
     share = tempered_parts(counts) if parts is None else {s: max(1, int(parts.get(s, 1))) for s in names}
     blocks = [-(-counts[s] // block_rows) for s in names]
-    plan = phases(blocks, [share[s] for s in names])
+    plan = phases(spark, blocks, [share[s] for s in names])
 
-    schema = "array<struct<phase: int, quota: array<bigint>, t: bigint, frames: bigint, first_slot: bigint, first: array<bigint>>>"
-    lines = [{"phase": p, "quota": x["quota"], "t": sum(x["quota"]), "frames": x["frames"], "first_slot": x["slot"], "first": x["first"]} for p, x in enumerate(plan)]
-    framed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(lines)), schema))).withColumn("slots", F.expr(EDF))
-    each = framed.select("phase", "t", "first_slot", "frames", "quota", "first", F.posexplode("slots").alias("at", "i"))
-    each = each.groupBy("phase", "i", "t", "first_slot", "frames", "quota", "first").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    schema = "array<struct<phase: int, slots: array<int>, frames: bigint, first_slot: bigint, first: array<bigint>>>"
+    lines = [{"phase": p, "slots": x["slots"], "frames": x["frames"], "first_slot": x["slot"], "first": x["first"]} for p, x in enumerate(plan)]
+    framed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(lines)), schema)))
+    each = framed.select("phase", F.size("slots").cast("long").alias("t"), "first_slot", "frames", "first", F.posexplode("slots").alias("at", "i"))
+    each = each.groupBy("phase", "i", "t", "first_slot", "frames", "first").agg(F.array_sort(F.collect_list("at")).alias("ats"))
     each = each.select(
         (F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1) if names else F.lit("")).alias("part"),
-        F.struct(
-            F.element_at("first", F.col("i") + 1).alias("first"), F.element_at("quota", F.col("i") + 1).alias("q"),
-            "frames", "t", "first_slot", "phase", "ats").alias("run"))
+        F.struct(F.element_at("first", F.col("i") + 1).alias("first"), F.size("ats").cast("long").alias("q"), "frames", "t", "first_slot", "phase", "ats").alias("run"))
     each = F.broadcast(each.groupBy("part").agg(F.array_sort(F.collect_list("run")).alias("runs")))
 
     ranked = rank_within(rows, ["part"], "bucket", [F.col("doc_id"), *[F.col(k) for k in keep]], "nth", few_keys=True)
