@@ -20,7 +20,7 @@ A bucket with any number of copies costs each task one row, and no pair is ever
 
 Contract: bytes are UTF-8; a byte is removed if a ``LENGTH``-byte string that covers it also
 starts earlier (smaller doc_id, or same document, earlier start), judged on the input, and
-overlaps count.  Hashes are 64 bits twice, from independent tables.  Defined results: null
+overlaps count.  Hashes are 64 bits and 64 or 48 bits, from independent tables.  Defined results: null
 and empty texts have no bytes; rows with one doc_id are read as different documents in the
 order of their texts' hashes, and of rows equal in both the first keeps what the others repeat; a null doc_id
 comes before all others; an empty table gives no
@@ -152,7 +152,9 @@ def _firsts(columns: list[np.ndarray], keys: int) -> tuple[list[np.ndarray], np.
 #: An anchor's place in one long: position, position minus first window, last minus first window.
 NARROW = 8
 ANCHOR = "bucket bigint, context bigint, doc bigint, tie bigint, place bigint"
-OPEN = "bucket bigint, doc bigint, tie bigint, place bigint, named array<bigint>"
+OPEN = "bucket bigint, doc bigint, tie bigint, place bigint, named binary"
+#: Bytes of a window's name; with its anchor's 64-bit bucket and its offset they tell windows apart.
+NAME = 6
 #: A repeated run in one long: start and size.
 RUN_BITS = 24
 
@@ -228,7 +230,7 @@ def meet(rows: DataFrame) -> DataFrame:
 def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataFrame:
     """Step 3: rows of OPEN, the refined buckets of the windows of an open anchor, in order.
 
-    A window that already repeats in the chunk is 0.  Rows without ``named`` hold in ``place``
+    A window that already repeats in the chunk is all zeros.  Rows without ``named`` hold in ``place``
     a run that is known to repeat.
     """
     listed = met.groupBy("doc", "tie").agg(F.collect_list(F.struct("bucket", "place")).alias("found"))
@@ -237,7 +239,7 @@ def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataF
     def known(doc: int, tie: int, runs: np.ndarray) -> pa.RecordBatch:
         n = len(runs)
         spread = _mix(runs.astype(np.uint64) + np.uint64(doc & (1 << 64) - 1))
-        return _batch([spread, np.full(n, doc, np.int64), np.full(n, tie, np.int64), runs, pa.nulls(n, pa.list_(pa.int64()))], OPEN)
+        return _batch([spread, np.full(n, doc, np.int64), np.full(n, tie, np.int64), runs, pa.nulls(n, pa.binary())], OPEN)
 
     def combined(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         anchor, bucket, offset, name, doc, tie, start = (np.concatenate(c) for c in zip(*[p[0] for p in parts], strict=True))
@@ -262,8 +264,9 @@ def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataF
             lists.append((many, mine))
             base += n
         many = np.concatenate([m for m, _ in lists])
-        flat = np.concatenate([x for _, x in lists]).view(np.int64)
-        named = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(flat))
+        flat = np.ascontiguousarray(np.concatenate([x for _, x in lists]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME])
+        ends = np.concatenate(([0], np.cumsum(many) * NAME)).astype(np.int32)
+        named = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
         yield _batch([np.concatenate(buckets), np.concatenate(docs_), np.concatenate(ties), np.concatenate(places), named], OPEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +291,7 @@ def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataF
                 row = np.repeat(np.arange(len(own)), many)
                 start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 name = refined(_bytes(text.as_py()), length, gram)[start]
+                name &= np.uint64((1 << 8 * NAME) - 1)
                 name[name == 0] = 1
                 n = len(start)
                 parts.append(((row, own[row], pos[row] - start, name, np.full(n, d, np.int64), np.full(n, t, np.int64), start), place, many, d, t, own))
@@ -303,10 +307,11 @@ def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataF
 
 def repeats(told: DataFrame, length: int) -> DataFrame:
     """Step 4 of equal windows: rows (doc, tie, run)."""
-    each = told.repartition("bucket").select("bucket", "doc", "tie", "place", F.posexplode_outer("named").alias("i", "name"))
+    names = F.expr(f"if(named is null, null, transform(sequence(0, cast(octet_length(named) div {NAME} as int) - 1), i -> substring(named, i * {NAME} + 1, {NAME})))")
+    each = told.repartition("bucket").select("bucket", "doc", "tie", "place", F.posexplode_outer(names).alias("i", "name"))
     first = F.shiftright("place", 2 * NARROW) - F.shiftright("place", NARROW).bitwiseAND(F.lit((1 << NARROW) - 1))
     # A window's offset from its anchor is the place's own offset less i.
-    each = each.filter(F.col("name").isNull() | (F.col("name") != 0)).select(
+    each = each.filter(F.col("name").isNull() | (F.col("name") != F.lit(bytes(NAME)))).select(
         "bucket", "doc", "tie", "place", "name", (F.shiftright("place", NARROW).bitwiseAND(F.lit((1 << NARROW) - 1)) - F.col("i")).alias("offset"), (first + F.col("i")).alias("start"))
     nth = F.row_number().over(W.partitionBy("bucket", "offset", "name").orderBy("doc", "tie", "start"))
     each = each.withColumn("nth", nth).filter(F.col("name").isNull() | (F.col("nth") > 1))
