@@ -29,7 +29,7 @@ from tessera.llm.common import components, durable
 
 TAU = 2
 LEAST_CHARS = 20
-COUNTED = "aeinorst"
+COUNTED = "adehilnorstu"
 BROADCAST_PAIRS = 1_000_000
 
 
@@ -38,32 +38,36 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _segment(less: int, i: int, tau: int) -> tuple[str, str]:
-    """Start (from 1) and size of segment i of tau + 1 even segments of a line ``less`` characters shorter; the last ones are longer."""
-    k, length = tau + 1, f"(chars - {less})"
-    longer = f"({length} % {k})"
-    return f"cast({i} * ({length} div {k}) + greatest(0, {i - k} + {longer}) + 1 as int)", f"cast({length} div {k} as int) + if({i - k} + {longer} >= 0, 1, 0)"
+#: Key of a segment in terms of p (less, i, shift): segment i of tau + 1 even segments of a line
+#: ``less`` characters shorter, ``shift`` characters from its place; the last segments are longer.
+KEY = """xxhash64(chars - p.less, p.i, substring(line,
+  cast(p.i * ((chars - p.less) div {k}) + greatest(0, p.i - {k} + (chars - p.less) % {k}) + 1 + p.shift as int),
+  cast((chars - p.less) div {k} as int) + if(p.i - {k} + (chars - p.less) % {k} >= 0, 1, 0)))"""
 
 
-def _key(less: int, i: int, shift: int, tau: int) -> Column:
-    start, size = _segment(less, i, tau)
-    return F.expr(f"xxhash64(chars - {less}, {i}, substring(line, {start} + {shift}, {size}))")
+def index_places(tau: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(tau + 1)]
 
 
-def index_keys(tau: int) -> list[Column]:
-    return [_key(0, i, 0, tau) for i in range(tau + 1)]
-
-
-def probe_keys(tau: int) -> list[Column]:
-    """Keys of the substrings that may be segment i of a line ``less`` characters shorter."""
+def probe_places(tau: int) -> list[tuple[int, int, int]]:
+    """(less, i, shift) of the substrings that may be segment i of a line ``less`` characters shorter."""
     return [
-        _key(less, i, shift, tau)
+        (less, i, shift)
         for less in range(tau + 1)
         for i in range(tau + 1)
         for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)
     ]
 
 
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], tau: int) -> DataFrame:
+    """Rows (key, node, counts): one short expression after the explode, which the JVM compiles, rather than a column for each place."""
+    listed = ", ".join(f"named_struct('less', {a}, 'i', {b}, 'shift', {c})" for a, b, c in places)
+    # What holds for the whole line comes first: beside the explode it would be computed for each of its rows.
+    whole = lines.select("line", "chars", line_id().alias("node"), letter_counts().alias("counts"))
+    each = whole.select("*", F.explode(F.expr(f"array({listed})")).alias("p"))
+    return each.select(F.expr(KEY.format(k=tau + 1)).alias("key"), "node", "counts")
+
+
 def edits_within(a: str, b: str, tau: int) -> Column:
     """Whether the string columns ``a`` and ``b`` are at most tau edits apart.
 
@@ -94,12 +98,12 @@ def edits_within(a: str, b: str, tau: int) -> Column:
 
 
 def letter_counts() -> Column:
-    """Counts of eight frequent letters, modulo 256, packed into a long."""
+    """Counts of twelve frequent letters, modulo 32, packed into a long."""
     size = F.octet_length("line")
     packed = F.lit(0).cast("long")
     for i, letter in enumerate(COUNTED):
         n = (size - F.octet_length(F.replace(F.col("line"), F.lit(letter), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31)), 5 * i))
     return packed
 
 
@@ -107,8 +111,8 @@ def counts_apart(a: Column, b: Column) -> Column:
     """Sum of the differences of the packed counts; an edit changes it by two at most."""
     total = F.lit(0)
     for i in range(len(COUNTED)):
-        gap = F.pmod(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)), F.lit(256))
-        total = total + F.least(gap, 256 - gap)
+        gap = F.pmod(F.shiftrightunsigned(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftrightunsigned(b, 5 * i).bitwiseAND(F.lit(31)), F.lit(32))
+        total = total + F.least(gap, 32 - gap)
     return total
 
 
@@ -119,9 +123,8 @@ def line_id() -> Column:
 def candidates(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS) -> DataFrame:
     """Pairs (a, b), a < b, of ids of different lines that share a segment where it could be."""
     long = lines_of(docs).select("line").filter(F.length("line") >= least).distinct().withColumn("chars", F.length("line"))
-    node = line_id()
-    stored = long.select(F.explode(F.array(*index_keys(tau))).alias("key"), node.alias("a"), letter_counts().alias("na"))
-    probes = long.select(F.explode(F.array(*probe_keys(tau))).alias("pkey"), node.alias("b"), letter_counts().alias("nb"))
+    stored = _keyed(long, index_places(tau), tau).select("key", F.col("node").alias("a"), F.col("counts").alias("na"))
+    probes = _keyed(long, probe_places(tau), tau).select(F.col("key").alias("pkey"), F.col("node").alias("b"), F.col("counts").alias("nb"))
     near = (F.col("a") != F.col("b")) & (counts_apart(F.col("na"), F.col("nb")) <= 2 * tau)
     met = probes.join(stored, (F.col("pkey") == F.col("key")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
