@@ -4,7 +4,7 @@ A position's bucket at length q is named by a hash of its next q bytes, so bucke
 need no global sort: the bucket at length 2q is a mix of the buckets of a position and of the
 position q bytes on (25 to 50 to 100), each refinement reusing the last.  Only what can
 repeat is refined.  Of the positions, every window of 100 bytes picks one anchor, the least
-25-byte bucket in it (rightmost on ties), a choice by content alone: equal windows pick equal
+18-byte bucket in it (rightmost on ties), a choice by content alone: equal windows pick equal
 anchors at equal offsets.  An anchor stands for the run of windows that pick it, and its
 context is all their bytes.
 
@@ -40,6 +40,7 @@ from pyspark.sql import Window as W
 
 LENGTH = 100
 GRAM = 25
+ANCHOR_GRAM = 18  # bytes that pick an anchor; fewer make rarer anchors, but more of them alike
 CHUNK_BYTES = 32 << 20  # texts whose rows a task combines at once
 PIECE = 4 << 20  # window starts of one text that are worked on at once
 NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -182,22 +183,37 @@ def _runs(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _anchor_runs(place: np.ndarray, length: int) -> np.ndarray:
+    """All windows of the anchors as runs."""
+    _, first, last = _unpack(place)
+    order = np.argsort(first, kind="stable")
+    return _runs(first[order], last[order] + length)
+
+
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
     names = [f.split()[0] for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(_signed(c)) if isinstance(c, np.ndarray) else c for c in columns], names)
 
 
 def list_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Step 1, over rows (doc, tie, text); of equal contexts in a chunk all but the first have context 0.
+    """Step 1, over rows (doc, tie, text); of equal contexts in a chunk only the first goes on.
 
-    What is known to repeat needs no meeting: its bucket is replaced by one that spreads evenly.
+    The others are known to repeat: they are merged into runs, with context 0 and the run as
+    place.  Runs need no meeting, so their bucket is one that spreads evenly.
     """
 
-    def combined(parts: list[tuple]) -> pa.RecordBatch:
+    def combined(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns, again = _firsts([np.concatenate(c) for c in zip(*parts, strict=True)], 2)
-        columns[0][again] = _mix(columns[0][again] + columns[2][again].astype(np.uint64) + columns[4][again].astype(np.uint64))
-        columns[1][again] = 0
-        return _batch(columns, ANCHOR)
+        yield _batch([c[~again] for c in columns], ANCHOR)
+        doc, tie, place = (c[again] for c in columns[2:])
+        order = np.lexsort((place, tie, doc))
+        doc, tie, place = doc[order], tie[order], place[order]
+        edges = np.flatnonzero((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(doc)], strict=True):
+            if a < b:
+                runs = _anchor_runs(place[a:b], length)
+                n = len(runs)
+                yield _batch([_mix(runs.astype(np.uint64) + np.uint64(int(doc[a]) & (1 << 64) - 1)), np.zeros(n, np.uint64), np.full(n, doc[a]), np.full(n, tie[a]), runs], ANCHOR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -209,22 +225,25 @@ def list_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     parts.append((bucket, context, np.full(n, doc.as_py(), np.int64), np.full(n, tie.as_py(), np.int64), _pack(pos, first, last)))
                 size += len(data)
                 if size >= CHUNK_BYTES and parts:
-                    yield combined(parts)
+                    yield from combined(parts)
                     parts, size = [], 0
         if parts:
-            yield combined(parts)
+            yield from combined(parts)
 
     return docs.mapInArrow(run, ANCHOR)
 
 
-def meet(rows: DataFrame) -> DataFrame:
-    """Step 2: rows (doc, tie, bucket, place), repeated (bucket null) or open."""
+def meet(rows: DataFrame, length: int) -> DataFrame:
+    """Step 2: rows (doc, tie, bucket, place), open, or repeated: bucket null and a run as place."""
     rows = rows.repartition("bucket")
     nth = F.row_number().over(W.partitionBy("bucket", "context").orderBy("doc", "tie", "place"))
     whole = W.partitionBy("bucket")
     seen = rows.select("*", nth.alias("nth"), F.min("context").over(whole).alias("c0"), F.max("context").over(whole).alias("c1"))
     opened = (F.col("context") != 0) & (F.col("nth") == 1)
-    return seen.filter(~opened | (F.col("c0") != F.col("c1"))).select("doc", "tie", F.when(opened, F.col("bucket")).alias("bucket"), "place")
+    narrow = (1 << NARROW) - 1
+    run = F.expr(f"shiftleft(shiftright(place, {2 * NARROW}) - (shiftright(place, {NARROW}) & {narrow}), {RUN_BITS}) | ((place & {narrow}) + {length})")
+    kept = F.when(opened | (F.col("context") == 0), F.col("place")).otherwise(run)
+    return seen.filter(~opened | (F.col("c0") != F.col("c1"))).select("doc", "tie", F.when(opened, F.col("bucket")).alias("bucket"), kept.alias("place"))
 
 
 def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataFrame:
@@ -279,9 +298,8 @@ def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataF
                 buckets, place = found.values.field("bucket"), found.values.field("place").to_numpy()
                 done = buckets.is_null().to_numpy(zero_copy_only=False)
                 if done.any():
-                    _, first, last = _unpack(np.sort(place[done]))
-                    order = np.argsort(first, kind="stable")
-                    yield known(d, t, _runs(first[order], last[order] + length))
+                    start = np.sort(place[done])
+                    yield known(d, t, _runs(start >> RUN_BITS, (start >> RUN_BITS) + (start & (1 << RUN_BITS) - 1)))
                 if done.all():
                     continue
                 own = buckets.drop_null().to_numpy().view(np.uint64)
@@ -321,8 +339,8 @@ def repeats(told: DataFrame, length: int) -> DataFrame:
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans); spans as start-end pairs."""
-    if length % gram or (length // gram) & (length // gram - 1) or length - gram >= 1 << NARROW:
-        raise ValueError(f"length must be gram times a power of two, and less than gram + {1 << NARROW}")
+    if length % gram or (length // gram) & (length // gram - 1) or length >= 1 << NARROW:
+        raise ValueError(f"length must be gram times a power of two, and less than {1 << NARROW}")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
     if docs.groupBy(doc).count().filter("count > 1").isEmpty():
         rows = docs.select(doc, F.lit(0).cast("long").alias("tie"), "text", F.lit(1).cast("long").alias("copies"))
@@ -331,7 +349,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         twins = rows.groupBy("doc", "tie").count()
         rows = rows.dropDuplicates(["doc", "tie"]).join(twins, ["doc", "tie"]).select("doc", "tie", "text", F.col("count").alias("copies"))
 
-    met = meet(list_anchors(rows.select("doc", "tie", "text"), length, gram))
+    met = meet(list_anchors(rows.select("doc", "tie", "text"), length, ANCHOR_GRAM if length == LENGTH else gram), length)
     cut = repeats(tell_apart(rows, met, length, gram), length)
     cut = cut.groupBy("doc", "tie").agg(F.collect_list("run").alias("cut"))
 
