@@ -44,6 +44,18 @@ def pick(cases: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in cases]), index.cast("int") + 1)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` rows, those of the smallest key hashes; ``total`` is about the number of rows.
+
+    A cut at the expected share of hashes comes first: a top-k alone would send ``rows`` rows
+    of every task to the driver.
+    """
+    share = 1.25 * rows / max(1, total)
+    h = F.xxhash64(key)
+    some = df if share >= 1 else df.filter(F.shiftrightunsigned(h, 11) < F.lit(int(share * 2**53)))
+    return some.orderBy(h, key).limit(rows)
+
+
 def bucket_offsets(df: DataFrame, bucket: str, buckets: int = RANK_BUCKETS) -> list[int]:
     """Rows before each bucket; collects at most ``buckets`` rows."""
     counts = {r[0]: r[1] for r in df.groupBy(bucket).count().collect()}

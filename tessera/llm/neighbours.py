@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, hash_sample
 
 DIMS = 8
 SAMPLE_ROWS = 8192  # vectors whose medians place the splits between cells
@@ -159,7 +159,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, confidence: float =
     size, total = sizes["n"], sizes["count"]
     rows = rows.filter(F.size("embedding") == size)
     directions = np.random.default_rng(SEED).standard_normal((size, DIMS))
-    drawn = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+    drawn = hash_sample(rows.select("vec_id", "embedding"), "vec_id", SAMPLE_ROWS, total).collect()
     drawn = np.array([r["embedding"] for r in drawn], np.float64) @ directions
     cells = min(MOST_CELLS, max(1, -(-total // CELL_ROWS)))
     tree = split_tree(drawn, 1, cells)

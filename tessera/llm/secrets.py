@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hash_sample
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -105,8 +107,8 @@ def train(texts: list[str], seed: int = 7) -> Models:
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[str]:
     """At most ``rows`` texts of at most SAMPLE_BYTES, in hash order."""
-    short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("text", F.xxhash64("doc_id").alias("h"))
-    return [r["text"] for r in short.orderBy("h", "text").limit(rows).collect()]
+    short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "text")
+    return sorted(r["text"] for r in hash_sample(short, "doc_id", rows, docs.count()).collect())
 
 
 def all_spans(text: str, models: Models, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

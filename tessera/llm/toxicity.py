@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hash_sample
+
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 32768
 FEATURES = 4096
@@ -142,7 +144,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
     """Labelled texts outside the held-out fold, at most ``rows``."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).filter("y in (0, 1)")
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = hash_sample(known, "doc_id", rows, known.count())
     short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "text")
     drawn = short.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()  # at most ``rows`` ids
     return [r["text"] for r in drawn], [r["y"] for r in drawn]
