@@ -29,7 +29,7 @@ from tessera.llm.common import components, durable
 
 TAU = 2
 LEAST_CHARS = 20
-COUNTED = "adehilnorstu"
+COUNTED = "abcdefghilmnoprstuvwy"
 BROADCAST_PAIRS = 1_000_000
 
 
@@ -98,12 +98,12 @@ def edits_within(a: str, b: str, tau: int) -> Column:
 
 
 def letter_counts() -> Column:
-    """Counts of twelve frequent letters, modulo 32, packed into a long."""
+    """Counts of twenty-one letters, modulo 8, packed into a long."""
     size = F.octet_length("line")
     packed = F.lit(0).cast("long")
     for i, letter in enumerate(COUNTED):
         n = (size - F.octet_length(F.replace(F.col("line"), F.lit(letter), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31)), 5 * i))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * i))
     return packed
 
 
@@ -111,8 +111,8 @@ def counts_apart(a: Column, b: Column) -> Column:
     """Sum of the differences of the packed counts; an edit changes it by two at most."""
     total = F.lit(0)
     for i in range(len(COUNTED)):
-        gap = F.pmod(F.shiftrightunsigned(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftrightunsigned(b, 5 * i).bitwiseAND(F.lit(31)), F.lit(32))
-        total = total + F.least(gap, 32 - gap)
+        gap = F.pmod(F.shiftrightunsigned(a, 3 * i).bitwiseAND(F.lit(7)) - F.shiftrightunsigned(b, 3 * i).bitwiseAND(F.lit(7)), F.lit(8))
+        total = total + F.least(gap, 8 - gap)
     return total
 
 
