@@ -1,29 +1,32 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Texts and items are lower-cased runs of word characters.  Every item's n-grams of
-``width`` words are counted over all documents, and the rarest ``seed_share`` of them are its
-seeds: rarity is relative to the item, so an item that leaked into a third of the corpus
-still has seeds.  A seed met in a text fixes a diagonal; the window of the text around it,
-if it holds enough of the item's words at all, is aligned with the item by Smith-Waterman
-(match +1, mismatch -1, gap -1, in words).  The score is the best local alignment over the
-item's length; passages that reach ``threshold`` are leaks, so copies with some words edited,
-dropped or added are found too.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
+
+Texts and items are lower-cased runs of word characters.  An alignment (match +1, mismatch
+-1, gap -1, in words) scores its matches less its edits, and e edits leave at most e + 1 runs
+of matches; so a passage that reaches ``threshold`` of an item of m words holds at least
+``threshold`` * m - 1 of the item's pairs of neighbouring words, within ``reach`` words of the
+text.  Every item's pairs are counted over all documents; all but the commonest are its
+seeds: so few are left out that a leak holds a seed whatever the edits are.  Where a text
+holds a seed and enough of the item's pairs close together, the item is aligned with the
+words around them by Smith-Waterman.  The score is the best local alignment over the item's
+length; passages that reach ``threshold`` are leaks, so copies with some words edited, dropped
+or added are found too, each that a plain alignment with the whole text would find.
 
 Items are worked off in blocks of ``BLOCK_ITEMS``, whose size is the bound of what is sent
 to the executors; each block scans the whole corpus.
 
 Defined results: null and empty texts and items without words match nothing; an item of
-fewer than ``width`` words is one seed as a whole; items of one text are each reported;
+fewer than ``width`` words is sought as a whole only; items of one text are each reported;
 repeated rows of a document are each reported; a null doc_id is carried; empty tables give
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from tessera.llm.common import durable
 
 WORDS = re.compile(r"\w+")
 WIDTH = 3
-SEED_SHARE = 0.6
+GRAM = 2  # words of a seed: of longer runs, a leak may hold none
 THRESHOLD = 0.5
 BLOCK_ITEMS = 20_000
 GAP = 1
@@ -42,26 +45,26 @@ GAP = 1
 
 @dataclass
 class Index:
-    """Benchmark items as word numbers, and where each of their n-grams starts."""
+    """Benchmark items as word numbers, and their n-grams."""
 
-    width: int
     words: dict[str, int]
     items: dict[int, np.ndarray]  # by place in the block
     ids: list  # item_id by place
     grams: np.ndarray  # sorted keys
-    places: list[list[tuple[int, int]]]  # by gram: (item, position)
-    short: list[int]  # items of fewer words than an n-gram, sought as whole word runs
+    own: dict[int, np.ndarray]  # by item: the gram at each position
+    seeds: list[list[int]]  # by gram: the items it is a seed of
+    short: list[int]  # items of fewer words than ``width``, sought as whole word runs
 
     def keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of n-grams of known words, and their keys."""
         base = len(self.words) + 1
-        if len(codes) < self.width:
+        if len(codes) < GRAM:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        n = len(codes) - self.width + 1
-        known = np.logical_and.reduce([codes[i : i + n] >= 0 for i in range(self.width)])
+        n = len(codes) - GRAM + 1
+        known = np.logical_and.reduce([codes[i : i + n] >= 0 for i in range(GRAM)])
         at = np.flatnonzero(known)
         key = np.zeros(len(at), np.uint64)
-        for i in range(self.width):
+        for i in range(GRAM):
             key = key * np.uint64(base) + codes[at + i].astype(np.uint64)
         return at, key
 
@@ -86,17 +89,27 @@ def build(rows: list[tuple[object, str | None]], width: int = WIDTH) -> Index:
     for _, ws in said:
         for w in ws:
             words.setdefault(w, len(words))
-    index = Index(width, words, {k: np.array([words[w] for w in ws], np.int64) for k, (_, ws) in enumerate(said)}, [i for i, _ in said], np.empty(0, np.uint64), [], [k for k, (_, ws) in enumerate(said) if len(ws) < width])
-    starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, codes in index.items.items():
-        at, key = index.keys(codes)
-        for a, g in zip(at.tolist(), key.tolist(), strict=True):
-            starts[g].append((k, a))
-    index.grams = np.array(sorted(starts), np.uint64)
-    index.places = [starts[g] for g in index.grams.tolist()]
+    items = {k: np.array([words[w] for w in ws], np.int64) for k, (_, ws) in enumerate(said)}
+    short = [k for k, codes in items.items() if len(codes) < width]
+    index = Index(words, items, [i for i, _ in said], np.empty(0, np.uint64), {}, [], short)
+    keys = {k: index.keys(codes)[1] for k, codes in items.items() if len(codes) >= width}
+    if keys:
+        index.grams = np.unique(np.concatenate(list(keys.values())))
+    index.own = {k: np.searchsorted(index.grams, key) for k, key in keys.items()}
+    index.seeds = [[] for _ in index.grams]
     return index
 
 
+def needed(words: int, threshold: float) -> int:
+    """Grams that a passage reaching ``threshold`` shares with an item of so many words, at least."""
+    return math.ceil(threshold * words - 1e-9) - 1
+
+
+def reach(words: int, threshold: float) -> int:
+    """Words of the text that an alignment reaching ``threshold`` spans, at most."""
+    return words + max(0, math.floor((1 - threshold) * words + 1e-9))
+
+
 def gram_counts(docs: DataFrame, index: Index) -> np.ndarray:
     """Documents that hold each of the index's n-grams, over all ``docs``."""
 
@@ -114,19 +127,17 @@ def gram_counts(docs: DataFrame, index: Index) -> np.ndarray:
     return out
 
 
-def choose_seeds(index: Index, counts: np.ndarray, share: float = SEED_SHARE) -> Index:
-    """Keeps each item's rarest grams, ``share`` of its distinct ones (rounded up)."""
-    own: dict[int, set[int]] = defaultdict(set)
-    for g, places in enumerate(index.places):
-        for k, _ in places:
-            own[k].add(g)
-    kept: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, grams in own.items():
-        rare = sorted(grams, key=lambda g: (counts[g], g))[: -(-int(len(grams) * share * 1000) // 1000) or 1]
-        for g in rare:
-            kept[g] += [(i, a) for i, a in index.places[g] if i == k]
-    order = sorted(kept)
-    return Index(index.width, index.words, index.items, index.ids, index.grams[order], [kept[g] for g in order], index.short)
+def choose_seeds(index: Index, counts: np.ndarray, threshold: float = THRESHOLD) -> Index:
+    """Makes all of an item's grams its seeds but the commonest, as many as no leak can do with alone."""
+    seeds: list[list[int]] = [[] for _ in index.grams]
+    for k, own in index.own.items():
+        spare = needed(len(index.items[k]), threshold) - 1
+        grams, times = np.unique(own, return_counts=True)
+        for at in np.lexsort((grams, -counts[grams])):
+            spare -= int(times[at])
+            if spare < 0:
+                seeds[grams[at]].append(k)
+    return replace(index, seeds=seeds)
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
@@ -148,11 +159,16 @@ def leaks(index: Index, text: str | None, threshold: float) -> list[tuple[int, f
     codes = index.codes(text)
     at, grams = index.find(codes)
     spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, g in zip(at.tolist(), grams.tolist(), strict=True):
-        for k, a in index.places[g]:
-            m = len(index.items[k])
-            slack = m // 3 + 2
-            spans[k].append((max(0, p - a - slack), min(len(codes), p - a + m + slack)))
+    for k in {k for g in np.unique(grams).tolist() for k in index.seeds[g]}:
+        m = len(index.items[k])
+        least, most = needed(m, threshold), reach(m, threshold)
+        if least < 1:  # a single word may do
+            spans[k].append((0, len(codes)))
+            continue
+        p = at[np.isin(grams, index.own[k])]
+        first, last = p[: max(0, len(p) - least + 1)], p[least - 1 :]
+        close = last - first <= most - GRAM
+        spans[k] += zip(np.maximum(0, last[close] + GRAM - most).tolist(), np.minimum(len(codes), first[close] + most).tolist(), strict=True)
     for k in index.short:
         item = index.items[k]
         if len(codes) >= len(item):
@@ -161,6 +177,8 @@ def leaks(index: Index, text: str | None, threshold: float) -> list[tuple[int, f
                 spans[k] += [(p, p + len(item)) for p in np.flatnonzero(same).tolist()]
     out = []
     for k, windows in spans.items():
+        if not windows:
+            continue
         item, best = index.items[k], (0.0, 0, 0)
         windows.sort()
         merged = [windows[0]]
@@ -171,8 +189,6 @@ def leaks(index: Index, text: str | None, threshold: float) -> list[tuple[int, f
                 merged.append((a, b))
         for a, b in merged:
             window = codes[a:b]
-            if len(np.intersect1d(window, item)) < threshold * len(np.unique(item)) * 0.8:
-                continue
             score, end = smith_waterman(item, window)
             if score / len(item) > best[0]:
                 best = (score / len(item), max(a, a + end - len(item)), a + end)
@@ -194,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for block in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.filter(number == block).orderBy("item_id", "text").collect()]
         index = build(rows, width)
-        index = choose_seeds(index, gram_counts(docs, index))
+        index = choose_seeds(index, gram_counts(docs, index), threshold)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -224,7 +240,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     for block in range(blocks):
         index = build([(r["item_id"], r["text"]) for r in items.filter(number == block).orderBy("item_id", "text").collect()])
-        index = choose_seeds(index, gram_counts(docs, index))
+        index = choose_seeds(index, gram_counts(docs, index), threshold)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

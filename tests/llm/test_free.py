@@ -165,6 +165,32 @@ def test_smith_waterman_against_table():
         assert decontaminate.smith_waterman(np.array(a), np.array(b))[0] == max(map(max, h))
 
 
+def test_decontamination_finds_what_plain_alignment_finds(spark):
+    rng = random.Random(17)
+    items = [(i, " ".join(rng.choice([f"v{j}" for j in range(400)] + ["of", "the"] * 40) for _ in range(rng.randrange(12, 55)))) for i in range(12)]
+    items += [(20, " ".join(f"q{j}" for j in range(50))), (21, " ".join(["hum"] * 30 + [f"r{j}" for j in range(20)])), (22, "one two three")]
+    rows = [(500, " ".join("x" if j % 5 == 2 else f"q{j}" for j in range(50))),  # every fifth word replaced
+            (501, " ".join(f"q{j}" + " x" * (j % 2) for j in range(50))),  # a word added after every second
+            (502, "hum " * 30), (503, "see one two here")]
+    for i in range(150):
+        leak, body = items[i % 12][1].split(), rng.choices([f"v{j}" for j in range(400)], k=60)
+        for _ in range(rng.randrange(len(leak) * 2 // 3)):
+            at, way = rng.randrange(len(leak)), rng.randrange(3)
+            leak[at : at + (way < 2)] = ["odd"] if way else []
+        body[30:30] = leak
+        rows.append((i, " ".join(body)))
+    codes = {w: j for j, w in enumerate({w for _, t in items + rows for w in t.split()})}
+    coded = lambda t: np.array([codes[w] for w in t.split()])
+    score = {(i, k): decontaminate.smith_waterman(coded(t), coded(d))[0] / len(t.split()) for i, d in rows for k, t in items}
+    want = {pair: s for pair, s in score.items() if s >= 0.5}
+    assert {(500, 20), (501, 20), (502, 21), (503, 22)} <= set(want)
+    assert sum(0.5 <= s < 0.56 for s in want.values()) > 5 and any(0.4 < s < 0.5 for s in score.values())
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, rows), bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 # --- secrets
 
 
