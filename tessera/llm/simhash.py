@@ -19,6 +19,7 @@ null; an empty table gives no rows; other columns are carried only by ``keep``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -110,44 +111,62 @@ def groups(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
 
 
-# Near copies by exact similarity: fingerprints propose and reject, shingle sets decide.
-CUT = 12  # words of a chunk on average
-LEAST_WORDS = 6
-FAR = 20  # bits: of pairs at similarity 0.8, about one in 10,000 is farther apart
+# Near copies by exact similarity: shared shingles and fingerprints propose, shingle sets decide.
+SAMPLE = 5_000  # texts whose shingles are counted to put the common ones last
+MOST_COMMON = 100_000
+CELLS = 256
+CROWD, SALTS = 1_000, 16  # texts of one shingle from which their pairs are dealt over tasks
 
 
-def chunk_keys(text: str | None) -> list[int]:
-    """Hashes of the text's chunks, cut where the hash of two words says so, and of the whole."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    names = np.fromiter((digest(w, 7) for w in words), np.uint64, len(words))
-    pairs = (names[:-1] * np.uint64(0x9E3779B97F4A7C15) + names[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    last = np.append(np.flatnonzero((pairs >> np.uint64(33)) % np.uint64(CUT) == 0), len(words) - 1)
-    first = np.append(0, last[:-1] + 1)
-    out = {digest(joined, 8)}
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        if b - a + 1 >= LEAST_WORDS:
-            out.add(digest(joined[ends[a - 1] + 1 if a else 0 : ends[b]], 8))
-    return [k - (1 << 64) if k >> 63 else k for k in out]
+def prefix_length(n: int, similarity: float) -> int:
+    """Shingles, first in one order for all texts, of which similar texts share at least one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def sketch(shingles: np.ndarray) -> list[int]:
+    """Parities of the numbers of shingles in each of 256 cells, as four longs."""
+    odd = np.bincount((shingles & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample share, sorted, and how many; collects at most MOST_COMMON rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["key"])
+
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").filter(F.pmod(text_key(), F.lit(share)) == 0)
+    counts = some.mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    known = np.array([r["key"] for r in counts], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.array([r["n"] for r in counts], np.int64)[order]
+
 
+def _features(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, h, fp, n, sketch, prefix): text hash, fingerprint, different shingles, their sketch, the rarest."""
+    known, times = _common_shingles(docs, shingle)
 
-def _features(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (doc_id, h, fp, n, chunks): text hash, fingerprint, number of different shingles, chunks."""
+    def rarest(x: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(x), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            rank = np.where(known[at] == x, times[at], 0)
+        return x[np.lexsort((x, rank))[: prefix_length(len(x), similarity)]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            hashes = [shingle_hashes(t, shingle) for t in texts]
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
+            sets = [np.unique(x) for x in hashes]
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array([fold(x) for x in hashes], pa.int64()), pa.array([len(np.unique(x)) for x in hashes], pa.int64()), pa.array([chunk_keys(t) for t in texts], pa.list_(pa.int64()))],
-                ["doc_id", "h", "fp", "n", "chunks"])
+                [batch.column("doc_id"), batch.column("h"), pa.array([fold(x) for x in hashes], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], longs), pa.array([rarest(x) for x in sets], longs)],
+                ["doc_id", "h", "fp", "n", "sketch", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, chunks array<bigint>")
+    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, sketch array<bigint>, prefix array<bigint>")
 
 
 def text_key() -> Column:
@@ -163,40 +182,68 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("h", "text").mapInArrow(run, "h bigint, shingles array<bigint>")
 
 
-def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3) -> DataFrame:
-    """Pairs (a, b) of text hashes whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only for texts that cannot be similar.
 
-    Fingerprints within ``radius`` meet by multi-index hashing.  At 0.8 most pairs are farther
-    apart than any selective radius, so texts also meet where they share a chunk: within a
-    chunk, each text meets the chunk's first text and its neighbours in the orders of length
-    and of fingerprint, a number of pairs linear in the chunk's texts.  Pairs more than FAR
-    bits apart are rejected, the others are compared by their shingle sets.
+    Sets of m and n shingles at Jaccard similarity s differ in at most (m + n)(1 - s)/(1 + s),
+    each of which turns one parity of the sketch over; and the smaller has s times the larger.
     """
-    nodes = features.select("h", "fp", "n").distinct()
-    each = features.select("h", "fp", "n", F.explode("chunks").alias("chunk")).distinct()
-    in_length, in_print = W.partitionBy("chunk").orderBy("n", "h"), W.partitionBy("chunk").orderBy("fp", "h")
-    other = F.struct("h", "fp", "n")
-    met = each.withColumn("o1", F.lag(other).over(in_length)).withColumn("o2", F.first(other).over(in_length)).withColumn("o3", F.lag(other).over(in_print))
-    met = met.select("h", "fp", "n", F.explode(F.array("o1", "o2", "o3")).alias("o")).filter("o is not null and o.h <> h")
-    met = met.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= FAR) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")))
-    met = met.select(F.least("h", "o.h").alias("a"), F.greatest("h", "o.h").alias("b"))
-    near = links(nodes.select("fp").distinct(), radius, segments)
-    alike = nodes.groupBy("fp").agg(F.min("h").alias("h"))
-    near = near.join(alike.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(alike.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
-    same = nodes.join(alike.select("fp", F.col("h").alias("least")), "fp").filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
-    near = near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).unionByName(same)
-    pairs = durable(met.unionByName(near).distinct())
+    turned = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(CELLS // 64)), F.lit(0))
+    m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (turned <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
+def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose shingle sets are similar."""
+    pairs = durable(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = docs.select(text_key().alias("h"), "text").join(wanted, "h", "left_semi")
     sets = durable(_shingle_sets(texts, shingle).groupBy("h").agg(F.any_value("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).filter(F.size("sa") > 0).select("a", "b")
+    return durable(both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).filter(F.size("sa") > 0).select("a", "b"))
+
+
+def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3) -> DataFrame:
+    """Pairs (a, b) of similar text hashes that connect all whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Similar texts share one of their rarest shingles (``prefix_length``).  First, texts whose
+    fingerprints are within ``radius`` bits meet by multi-index hashing, and each text meets
+    its neighbour in length and the first text of each of its rarest shingles: few pairs,
+    which connect most of what is similar.  Then all pairs of texts that share one of their
+    rarest shingles and are not connected yet meet, so that none is missed.
+    """
+    nodes = durable(features.groupBy("h").agg(*[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "prefix")]))
+    each = nodes.select("h", F.explode("prefix").alias("key")).withColumn("crowd", F.count("*").over(W.partitionBy("key"))).filter("crowd > 1")
+    told = nodes.select("h", F.struct("h", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(CELLS // 64)]).alias("t"))
+    each = durable(each.join(told, "h").select("key", "crowd", "t"))
+    in_length = W.partitionBy("key").orderBy("t.n", "t.h")
+    met = each.withColumn("o1", F.lag("t").over(in_length)).withColumn("o2", F.first("t").over(in_length))
+    met = met.select("t", F.explode(F.array("o1", "o2")).alias("o")).filter("o is not null and o.h <> t.h")
+    met = met.filter(_may_be_similar("t", "o", similarity)).select(F.least("t.h", "o.h").alias("a"), F.greatest("t.h", "o.h").alias("b"))
+    near = links(nodes.select("fp").distinct(), radius, segments)
+    alike = nodes.groupBy("fp").agg(F.min("h").alias("h"))
+    near = near.join(alike.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(alike.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
+    near = near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    first = _decided(docs, met.unionByName(near).distinct(), shingle, similarity)
+
+    roots = components(first)
+    named = each.join(roots, F.col("t.h") == F.col("node"), "left").select("key", "crowd", "t", F.coalesce("root", "t.h").alias("group"))
+    by = W.partitionBy("key")
+    named = durable(named.withColumn("low", F.min("group").over(by)).withColumn("high", F.max("group").over(by)).filter("low < high").drop("low", "high"))
+    crowded = F.col("crowd") > CROWD
+    left = named.select("key", F.when(crowded, F.pmod("t.h", F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), F.col("t").alias("l"), F.col("group").alias("lg"))
+    right = named.select("key", F.explode(F.sequence(F.lit(0), F.when(crowded, SALTS - 1).otherwise(0))).alias("salt"), F.col("t").alias("r"), F.col("group").alias("rg"))
+    left, right = left.alias("x"), right.alias("y")
+    apart = (F.col("lg") != F.col("rg")) & (F.col("l.h") < F.col("r.h")) & _may_be_similar("l", "r", similarity)
+    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & apart)
+    rest = rest.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
+    return first.unionByName(_decided(docs, rest, shingle, similarity))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of linked texts the smallest doc_id stays."""
-    features = durable(_features(docs, shingle))
+    features = durable(_features(docs, shingle, similarity))
     roots = components(similar_links(docs, features, shingle, similarity))
     rows = features.select("doc_id", "h")
     owner = rows.groupBy("h").agg(F.min("doc_id").alias("least"))

@@ -347,3 +347,41 @@ def test_one_of_each(spark):
     assert Counter(groups[i] for i in ids if i in groups) == Counter(set(groups.values()))
     assert ids.count(n + 3) == 1 and n + 2 in ids
     assert all(i == min(j for j in groups if groups[j] == groups[i]) for i in ids if i in groups)
+
+
+def brute_kept(rows):
+    sets = {}
+    for i, t in rows:
+        words = t.lower().split()
+        sets[i] = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+    least = {i: i for i in sets}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                least[max(find(a), find(b))] = min(find(a), find(b))
+    return {i for i in sets if find(i) == i}
+
+
+def test_one_of_each_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 50)
+    rng = random.Random(14)
+    base, line = [f"b{i}" for i in range(100)], " ".join(f"hot{i}" for i in range(30))
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(10, 90, 10), 2):
+            copy[at] = f"c{i}at{at}"
+        rows.append((i, " ".join(copy)))
+    rows[170] = (170, " ".join(base))  # similar to all, which are not to one another
+    for i in range(400, 700, 3):
+        body = " ".join(f"d{i}w{j}" for j in range(rng.randrange(5, 60)))
+        rows += [(i, f"{body} {line}"), (i + 1, f"{line} {body}"), (i + 2, f"{body} {line} end")]
+    want = brute_kept(rows)
+    assert len([i for i in want if i < 400]) == 1
+    assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()} == want
