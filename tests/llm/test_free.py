@@ -385,3 +385,17 @@ def test_one_of_each_in_a_crowd(spark, monkeypatch):
     want = brute_kept(rows)
     assert len([i for i in want if i < 400]) == 1
     assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()} == want
+
+
+def test_one_of_each_of_short_texts(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(0, 400, 2):
+        body = [f"s{i}w{j}" for j in range(8 + i // 10)]
+        copy = [*body, "more"] if i % 4 else ["x" if j == len(body) // 2 else w for j, w in enumerate(body)]
+        rows += [(i, " ".join(body)), (i + 1, " ".join(copy))]
+    rows += [(400, "One  two"), (401, "one two"), (402, "one two three")]
+    rng.shuffle(rows)
+    want = brute_kept(rows)
+    assert len(want) < 320
+    assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()} == want
