@@ -151,8 +151,8 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in docs.columns])
 
 
-def mixed(docs: DataFrame, parts: Mapping[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All rows and columns of ``docs``, range-partitioned and sorted in the order of the mix."""
+def mixed(docs: DataFrame, parts: Mapping[str, int] | None = None, block_rows: int = BLOCK_ROWS, place: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, range-partitioned and sorted in the order of the mix; column ``place`` holds it."""
     keyed = docs.withColumn("_row", row_key(docs))
     places = durable(pfair_mix(keyed, parts, block_rows, keep=("_row",)).select("doc_id", "_row", "pos"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._row") == F.col("b._row"))
@@ -160,4 +160,4 @@ def mixed(docs: DataFrame, parts: Mapping[str, int] | None = None, block_rows: i
         # Equal rows are interchangeable: one of them meets all their places.
         keyed = keyed.dropDuplicates(["doc_id", "_row"])
     joined = keyed.alias("a").join(places.alias("b"), same).select("a.*", "b.pos")
-    return joined.repartitionByRange("pos").sortWithinPartitions("pos").select(*docs.columns)
+    return joined.repartitionByRange("pos").sortWithinPartitions("pos").select(*docs.columns, *([F.col("pos").alias(place)] if place else []))

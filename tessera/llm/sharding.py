@@ -77,19 +77,27 @@ def propagate(cells: DataFrame, caps: list[int], most_rounds: int = 12) -> DataF
     return cells
 
 
-def assign_shards(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, size, text_crc32, shard, slot, group_rows, *keep), one for each row of ``docs``."""
+def assign_shards(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = (), place: str | None = None) -> DataFrame:
+    """Rows (doc_id, size, text_crc32, shard, slot, group_rows, *keep), one for each row of ``docs``.
+
+    ``place``, one of ``keep``, is a column of places 0, 1, ... that takes the part of the hash
+    order: slots follow it, and so do the shards of unlinked documents, one stretch each.
+    """
     text = F.coalesce("text", F.lit(""))
+    bucket = bucket_of("doc_id")
+    if place:
+        places = (docs.agg(F.max(place)).first()[0] or 0) + 1
+        bucket = F.floor(F.col(place) * RANK_BUCKETS / places).cast("int")
     base = durable(docs.select(
         "doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-        F.unhex(F.md5("text")).alias("gid"), bucket_of("doc_id").alias("bucket"), *keep))
+        F.unhex(F.md5("text")).alias("gid"), bucket.alias("bucket"), *keep))
     groups = base.filter("gid is not null").groupBy("gid").agg(F.count("*").alias("group_rows")).filter("group_rows > 1")
     base = durable(base.join(groups, "gid", "left"))
     linked = base.filter("group_rows is not null")
     total = base.count()
     caps = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
 
-    order = [F.col("doc_id"), F.col("gid")]
+    order = [F.col(place)] if place else [F.col("doc_id"), F.col("gid")]
     linked = durable(rank_all(linked, "bucket", order, "at").withColumn("label", F.pmod("at", F.lit(n_shards)).cast("int")).drop("at"))
     cells = propagate(linked.groupBy("gid", "label").agg(F.count("*").alias("cnt")), caps)
     used = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("cnt").alias("n")).collect()}
@@ -114,10 +122,10 @@ def assign_shards(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = ()) ->
     return out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot", "group_rows", *keep)
 
 
-def sharded(docs: DataFrame, n_shards: int) -> DataFrame:
+def sharded(docs: DataFrame, n_shards: int, place: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with shard and slot."""
     keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    places = durable(assign_shards(keyed, n_shards, keep=("_row",)).select("doc_id", "_row", "shard", "slot"))
+    places = durable(assign_shards(keyed, n_shards, ("_row", place) if place else ("_row",), place).select("doc_id", "_row", "shard", "slot"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._row") == F.col("b._row"))
     if not places.groupBy("doc_id", "_row").count().filter("count > 1").isEmpty():
         keyed = keyed.dropDuplicates(["doc_id", "_row"])  # equal rows are interchangeable: one meets all their places

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import corpus_pipeline
+from tessera.llm import mixing
 
 
 def test_pipeline_runs_whole(spark, small):
@@ -20,3 +24,23 @@ def test_stages_take_an_empty_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, small).count() == 0
+
+
+def test_slots_follow_the_mix(spark, small, tmp_path):
+    docs, rng = spark.read.parquet(f"{small}/documents.parquet"), random.Random(18)
+    rows = [{"doc_id": i, "text": " ".join(f"w{rng.randrange(9999)}" for _ in range(20)), "lang": "en", "source": "abc"[min(2, i % 6 // 2 * (i % 5 > 0))], "n_chars": 1} for i in range(2000)]
+    spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows], docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [r["source"] for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("shard", "slot").collect()]
+    counts, block = Counter(got), mixing.BLOCK_ROWS
+    parts = mixing.tempered_parts({f"={s}" if s is not None else "null": n for s, n in counts.items()})
+    share = {s: parts[f"={s}" if s is not None else "null"] / sum(parts.values()) for s in counts}
+    assert len(counts) > 1
+    seen = Counter()
+    for n in range(block, len(got), block):
+        seen.update(got[n - block : n])
+        if any(counts[s] - seen[s] < block for s in counts):  # a source runs dry
+            break
+        assert all(abs(seen[s] - n * share[s]) < block for s in counts)
+    assert n > len(got) // 2
