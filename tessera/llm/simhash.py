@@ -115,6 +115,7 @@ def groups(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
 SAMPLE = 5_000  # texts whose shingles are counted to put the common ones last
 MOST_COMMON = 100_000
 CELLS = 256
+BROADCAST_PAIRS = 1_000_000
 CROWD, SALTS = 1_000, 16  # texts of one shingle from which their pairs are dealt over tasks
 
 
@@ -123,12 +124,17 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def sketch(shingles: np.ndarray) -> list[int]:
-    """Parities of the numbers of shingles in each of 256 cells, as four longs."""
-    odd = np.bincount((shingles & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+def sketch(shingles: np.ndarray, cells: int = CELLS) -> list[int]:
+    """Parities of the numbers of shingles in each of ``cells`` cells, packed into longs."""
+    odd = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+def _most_apart(m: np.ndarray | Column, n: np.ndarray | Column, similarity: float) -> np.ndarray | Column:
+    """Shingles, at most, that similar sets of m and n do not share; each turns one parity over."""
+    return (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9
+
+
 def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample share, sorted, and how many; collects at most MOST_COMMON rows."""
 
@@ -146,7 +152,7 @@ def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
 
 
 def _features(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Rows (doc_id, h, fp, n, sketch, prefix): text hash, fingerprint, different shingles, their sketch, the rarest."""
+    """Rows (doc_id, h, fp, n, sketch, fine, prefix): text hash, fingerprint, different shingles, their sketches, the rarest."""
     known, times = _common_shingles(docs, shingle)
 
     def rarest(x: np.ndarray) -> np.ndarray:
@@ -162,11 +168,12 @@ def _features(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             sets = [np.unique(x) for x in hashes]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array([fold(x) for x in hashes], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], longs), pa.array([rarest(x) for x in sets], longs)],
-                ["doc_id", "h", "fp", "n", "sketch", "prefix"])
+                [batch.column("doc_id"), batch.column("h"), pa.array([fold(x) for x in hashes], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], longs),
+                 pa.array([sketch(x, max(CELLS, 1 << len(x).bit_length())) for x in sets], longs), pa.array([rarest(x) for x in sets], longs)],
+                ["doc_id", "h", "fp", "n", "sketch", "fine", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, sketch array<bigint>, prefix array<bigint>")
+    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, sketch array<bigint>, fine array<bigint>, prefix array<bigint>")
 
 
 def text_key() -> Column:
@@ -182,21 +189,30 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("h", "text").mapInArrow(run, "h bigint, shingles array<bigint>")
 
 
-def _may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """False only for texts that cannot be similar.
+def _finely_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) without those that the fine sketches show not to be similar."""
 
-    Sets of m and n shingles at Jaccard similarity s differ in at most (m + n)(1 - s)/(1 + s),
-    each of which turns one parity of the sketch over; and the smaller has s times the larger.
-    """
-    turned = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(CELLS // 64)), F.lit(0))
-    m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (turned <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*[batch.column(c).to_pylist() for c in ("m", "n", "fa", "fb")], strict=True):
+                u, v = np.array(x, np.int64), np.array(y, np.int64)
+                size = min(len(u), len(v))
+                turned = np.bitwise_xor.reduce(u.reshape(-1, size)) ^ np.bitwise_xor.reduce(v.reshape(-1, size))
+                keep.append(int(np.bitwise_count(turned.view(np.uint64)).sum()) <= _most_apart(m, n, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    both = pairs.join(nodes.select(F.col("h").alias("a"), F.col("n").alias("m"), F.col("fine").alias("fa")), "a")
+    both = both.join(nodes.select(F.col("h").alias("b"), "n", F.col("fine").alias("fb")), "b")
+    return both.filter(F.least("m", "n") + 1e-9 >= similarity * F.greatest("m", "n")).mapInArrow(run, "a bigint, b bigint")
 
 
 def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of text hashes whose shingle sets are similar."""
     pairs = durable(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
     texts = docs.select(text_key().alias("h"), "text").join(wanted, "h", "left_semi")
     sets = durable(_shingle_sets(texts, shingle).groupBy("h").agg(F.any_value("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -209,36 +225,36 @@ def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, simila
 
     Similar texts share one of their rarest shingles (``prefix_length``).  First, texts whose
     fingerprints are within ``radius`` bits meet by multi-index hashing, and each text meets
-    its neighbour in length and the first text of each of its rarest shingles: few pairs,
+    its neighbour in length among the texts of each of its rarest shingles: few pairs,
     which connect most of what is similar.  Then all pairs of texts that share one of their
     rarest shingles and are not connected yet meet, so that none is missed.
     """
-    nodes = durable(features.groupBy("h").agg(*[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "prefix")]))
-    each = nodes.select("h", F.explode("prefix").alias("key")).withColumn("crowd", F.count("*").over(W.partitionBy("key"))).filter("crowd > 1")
-    told = nodes.select("h", F.struct("h", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(CELLS // 64)]).alias("t"))
-    each = durable(each.join(told, "h").select("key", "crowd", "t"))
-    in_length = W.partitionBy("key").orderBy("t.n", "t.h")
-    met = each.withColumn("o1", F.lag("t").over(in_length)).withColumn("o2", F.first("t").over(in_length))
-    met = met.select("t", F.explode(F.array("o1", "o2")).alias("o")).filter("o is not null and o.h <> t.h")
-    met = met.filter(_may_be_similar("t", "o", similarity)).select(F.least("t.h", "o.h").alias("a"), F.greatest("t.h", "o.h").alias("b"))
+    nodes = durable(features.groupBy("h").agg(*[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "fine", "prefix")]))
+    each = nodes.select("h", "n", F.explode("prefix").alias("key")).withColumn("crowd", F.count("*").over(W.partitionBy("key"))).filter("crowd > 1")
+    each = durable(each.withColumn("o", F.lag("h").over(W.partitionBy("key").orderBy("n", "h"))).select("key", "h", "o"))
+    met = each.filter("o is not null").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"))
     near = links(nodes.select("fp").distinct(), radius, segments)
     alike = nodes.groupBy("fp").agg(F.min("h").alias("h"))
     near = near.join(alike.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(alike.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
     near = near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-    first = _decided(docs, met.unionByName(near).distinct(), shingle, similarity)
+    first = _decided(docs, _finely_alike(met.unionByName(near).distinct(), nodes, similarity), shingle, similarity)
 
     roots = components(first)
-    named = each.join(roots, F.col("t.h") == F.col("node"), "left").select("key", "crowd", "t", F.coalesce("root", "t.h").alias("group"))
+    named = each.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("group"))
     by = W.partitionBy("key")
-    named = durable(named.withColumn("low", F.min("group").over(by)).withColumn("high", F.max("group").over(by)).filter("low < high").drop("low", "high"))
+    named = named.withColumn("low", F.min("group").over(by)).withColumn("high", F.max("group").over(by)).withColumn("crowd", F.count("*").over(by)).filter("low < high")
+    told = nodes.select("h", F.struct("h", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(CELLS // 64)]).alias("t"))
+    named = named.select("key", "h", "group", "crowd").join(told, "h")
     crowded = F.col("crowd") > CROWD
-    left = named.select("key", F.when(crowded, F.pmod("t.h", F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), F.col("t").alias("l"), F.col("group").alias("lg"))
+    left = named.select("key", F.when(crowded, F.pmod("h", F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), F.col("t").alias("l"), F.col("group").alias("lg"))
     right = named.select("key", F.explode(F.sequence(F.lit(0), F.when(crowded, SALTS - 1).otherwise(0))).alias("salt"), F.col("t").alias("r"), F.col("group").alias("rg"))
     left, right = left.alias("x"), right.alias("y")
-    apart = (F.col("lg") != F.col("rg")) & (F.col("l.h") < F.col("r.h")) & _may_be_similar("l", "r", similarity)
+    m, n = F.col("l.n"), F.col("r.n")
+    turned = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(CELLS // 64)), F.lit(0))
+    apart = (F.col("lg") != F.col("rg")) & (F.col("l.h") < F.col("r.h")) & (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (turned <= _most_apart(m, n, similarity))
     rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & apart)
     rest = rest.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
-    return first.unionByName(_decided(docs, rest, shingle, similarity))
+    return first.unionByName(_decided(docs, _finely_alike(rest, nodes, similarity), shingle, similarity))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
