@@ -369,7 +369,7 @@ def brute_kept(rows):
 
 
 def test_one_of_each_in_a_crowd(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", 50)
+    monkeypatch.setattr(simhash, "CROWD", 50, raising=False)
     rng = random.Random(14)
     base, line = [f"b{i}" for i in range(100)], " ".join(f"hot{i}" for i in range(30))
     rows = []
