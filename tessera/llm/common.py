@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Buckets into which an exact rank is split, so that no task holds all rows of one key.
+#: Buckets, at least, into which an exact rank is split, so that no task holds all rows of one key.
 RANK_BUCKETS = 256
+#: Rows of a bucket from which there are more buckets, and buckets at most; their counts come to the driver.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 1 << 15
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +38,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rank_buckets(rows: int) -> int:
+    """Buckets for an exact rank over so many rows."""
+    return min(MOST_BUCKETS, max(RANK_BUCKETS, rows // BUCKET_ROWS))
+
+
 def bucket_of(*cols: Column, buckets: int = RANK_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column (in any case) has it."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def row_key(docs: DataFrame) -> Column:
+    """Hash of a whole row; what Spark does not hash (maps, variants) goes in as JSON."""
+    plain = [F.col(f"`{f.name}`") if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema]
+    return F.xxhash64(*plain)
+
+
 def pick(cases: list, index: Column) -> Column:
     """The literal ``cases[index]``; for short driver-side lists only."""
     return F.element_at(F.array(*[F.lit(c) for c in cases]), index.cast("int") + 1)
@@ -56,9 +78,10 @@ def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     return some.orderBy(h, key).limit(rows)
 
 
-def bucket_offsets(df: DataFrame, bucket: str, buckets: int = RANK_BUCKETS) -> list[int]:
-    """Rows before each bucket; collects at most ``buckets`` rows."""
+def bucket_offsets(df: DataFrame, bucket: str) -> list[int]:
+    """Rows before each bucket; collects at most ``MOST_BUCKETS`` rows."""
     counts = {r[0]: r[1] for r in df.groupBy(bucket).count().collect()}
+    buckets = max(counts, default=0) + 1
     out, seen = [], 0
     for b in range(buckets):
         out.append(seen)
@@ -77,9 +100,9 @@ def rank_within(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     """Exact 0-based rank within ``keys``, in (bucket, order), without one task per key.
 
     A hot key is numbered in its buckets side by side; bucket offsets come from a
-    pre-aggregated count.  ``few_keys`` states that the keys are bounded (shards, mixture
-    parts), so that keys x buckets offsets may be broadcast; otherwise they are joined by
-    a shuffle.  ``df`` is read twice: pass a durable one.
+    pre-aggregated count.  ``few_keys`` states that keys x buckets is at most
+    ``BROADCAST_ROWS``, so that the offsets may be broadcast; otherwise they are joined by a
+    shuffle.  ``df`` is read twice: pass a durable one.
     """
     by = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = df.groupBy(*keys, bucket).count().select(
