@@ -11,8 +11,10 @@ and a block's slot follows by arithmetic: no task walks the whole sequence.  Whe
 runs dry, the others go on with the same parts in a new phase: every document is placed
 once, none is repeated or dropped.
 
-Bound: at most ``MAX_SOURCES`` sources (more is an error: group them first), so the plan has
-at most two phases a source.  The longest table that is broadcast has 2 x sources x parts rows.
+Bound: the plan has at most ``MAX_SOURCES`` parts, and so at most two phases a part.  Of more
+sources, the smallest share one part, with the sum of their parts, in hash order.  Parts are
+divided by their greatest common divisor; a frame of over ``MAX_FRAME`` slots is an error.  The
+table that is broadcast has two rows a phase and part, with at most a frame of slots each.
 
 Defined results: null sources are one source of their own; ties and repeated rows of a
 doc_id are rows of their own; texts are not read; an empty table gives no rows; other
@@ -22,14 +24,18 @@ columns are carried only by ``keep``.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_of, durable, rank_within
+from tessera.llm.common import BROADCAST_ROWS, bucket_of, durable, fresh, rank_buckets, rank_within, row_key
 
 MAX_SOURCES = 256
+MAX_FRAME = 1 << 16
+REST = "rest"  # the part of the smallest of too many sources; no key of a source
+CHUNK = 256  # slots that are appended at once
 BLOCK_ROWS = 8
 LEAST_PARTS = 100
 
@@ -45,20 +51,25 @@ def tempered_parts(counts: Mapping[str, int], power: float = 0.5) -> dict[str, i
     return {s: max(1, round(parts * w / total)) for s, w in weights.items()}
 
 
-#: One frame by earliest deadline first: array of the source index of each slot.
-EDF = """
+#: One frame by earliest deadline first: array of the source index of each slot.  Slots are
+#: gathered in chunks, since each step copies what it appends to.
+EDF = f"""
 aggregate(
-  sequence(0, cast(t as int) - 1),
-  named_struct('done', transform(quota, q -> 0L), 'slots', cast(array() as array<int>)),
-  (a, slot) -> element_at(transform(array(
-    array_min(transform(
-      filter(transform(quota, (q, i) -> named_struct('i', i, 'q', q, 'j', element_at(a.done, i + 1))),
-             x -> x.j < x.q and (x.j * t) div x.q <= slot),
-      x -> named_struct('due', ((x.j + 1) * t + x.q - 1) div x.q, 'i', x.i)))),
-    best -> named_struct(
-      'done', transform(a.done, (n, i) -> if(i = best.i, n + 1L, n)),
-      'slots', concat(a.slots, array(best.i)))), 1),
-  a -> a.slots)
+  sequence(0, cast(t as int) - 1, {CHUNK}),
+  named_struct('done', transform(quota, q -> 0L), 'slots', cast(array() as array<array<int>>)),
+  (whole, start) -> element_at(transform(array(aggregate(
+    sequence(start, cast(least(start + {CHUNK}, t) as int) - 1),
+    named_struct('done', whole.done, 'slots', cast(array() as array<int>)),
+    (a, slot) -> element_at(transform(array(
+      array_min(transform(
+        filter(transform(quota, (q, i) -> named_struct('i', i, 'q', q, 'j', element_at(a.done, i + 1))),
+               x -> x.j < x.q and (x.j * t) div x.q <= slot),
+        x -> named_struct('due', ((x.j + 1) * t + x.q - 1) div x.q, 'i', x.i)))),
+      best -> named_struct(
+        'done', transform(a.done, (n, i) -> if(i = best.i, n + 1L, n)),
+        'slots', concat(a.slots, array(best.i)))), 1))),
+    part -> named_struct('done', part.done, 'slots', concat(whole.slots, array(part.slots)))), 1),
+  whole -> flatten(whole.slots))
 """
 
 
@@ -104,14 +115,30 @@ def pfair_mix(docs: DataFrame, parts: Mapping[str, int] | None = None, block_row
     ``parts`` has the integer parts by source name (the key of ``source_key``); sources
     without an entry get one part.  None: parts from ``tempered_parts``.
     """
+    if clash := set(keep) & {"doc_id", "source", "part", "bucket", "nth", "block", "inside", "runs", "run", "j", "phase", "slot", "pos"}:
+        raise ValueError(f"rename these columns first: {sorted(clash)}")
     spark = docs.sparkSession
-    rows = durable(docs.select("doc_id", "source", source_key().alias("part"), bucket_of("doc_id").alias("bucket"), *keep))
-    found = rows.groupBy("part").count().limit(MAX_SOURCES + 1).collect()
+    buckets = rank_buckets(docs.count())
+    rows = durable(docs.select("doc_id", "source", source_key().alias("part"), bucket_of("doc_id", buckets=buckets).alias("bucket"), *keep))
+    sizes = durable(rows.groupBy("part").count())
+    found = sizes.orderBy(F.desc("count"), "part").limit(MAX_SOURCES + 1).collect()
+    wanted = None if parts is None else {s: max(1, int(q)) for s, q in parts.items()}
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them into mixture parts first")
-    counts = {r["part"]: r["count"] for r in sorted(found)}
+        own = [r["part"] for r in found[: MAX_SOURCES - 1]]
+        rest = sizes.filter(~F.col("part").isin(own))
+        if wanted is not None:
+            asked = F.from_json(F.lit(json.dumps(wanted)), "map<string, bigint>")
+            wanted[REST] = rest.agg(F.sum(F.coalesce(F.element_at(asked, F.col("part")), F.lit(1)))).first()[0]
+        pooled = rest.agg(F.sum("count")).first()[0]
+        found = [*[(r["part"], r["count"]) for r in found[: MAX_SOURCES - 1]], (REST, pooled)]
+        rows = rows.withColumn("part", F.when(F.col("part").isin(own), F.col("part")).otherwise(REST))
+    counts = {name: n for name, n in sorted(map(tuple, found))}
     names = list(counts)
-    share = tempered_parts(counts) if parts is None else {s: max(1, int(parts.get(s, 1))) for s in names}
+    share = tempered_parts(counts) if wanted is None else {s: wanted.get(s, 1) for s in names}
+    common = math.gcd(*share.values()) or 1
+    share = {s: q // common for s, q in share.items()}
+    if sum(share.values()) > MAX_FRAME:
+        raise ValueError(f"the parts sum to more than {MAX_FRAME}: take coarser ones")
     blocks = [-(-counts[s] // block_rows) for s in names]
     plan = phases(spark, blocks, [share[s] for s in names])
 
@@ -125,7 +152,7 @@ def pfair_mix(docs: DataFrame, parts: Mapping[str, int] | None = None, block_row
         F.struct(F.element_at("first", F.col("i") + 1).alias("first"), F.size("ats").cast("long").alias("q"), "frames", "t", "first_slot", "phase", "ats").alias("run"))
     each = F.broadcast(each.groupBy("part").agg(F.array_sort(F.collect_list("run")).alias("runs")))
 
-    ranked = rank_within(rows, ["part"], "bucket", [F.col("doc_id"), *[F.col(k) for k in keep]], "nth", few_keys=True)
+    ranked = rank_within(rows, ["part"], "bucket", [F.col("doc_id"), *[F.col(k) for k in keep]], "nth", few_keys=len(names) * buckets <= BROADCAST_ROWS)
     ranked = ranked.withColumn("block", F.floor(F.col("nth") / block_rows)).withColumn("inside", F.pmod("nth", F.lit(block_rows)))
     run = F.expr("filter(runs, r -> r.first <= block and block < r.first + r.frames * r.q)[0]")
     placed = ranked.join(each, "part").withColumn("run", run).withColumn("j", F.col("block") - F.expr("run.first"))
@@ -145,19 +172,18 @@ def pfair_mix(docs: DataFrame, parts: Mapping[str, int] | None = None, block_row
     return placed.select("doc_id", "source", F.col("block").cast("long").alias("block"), "phase", "slot", pos.cast("long").alias("pos"), *keep)
 
 
-
-
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c in docs.columns])
-
-
 def mixed(docs: DataFrame, parts: Mapping[str, int] | None = None, block_rows: int = BLOCK_ROWS, place: str | None = None) -> DataFrame:
-    """All rows and columns of ``docs``, range-partitioned and sorted in the order of the mix; column ``place`` holds it."""
-    keyed = docs.withColumn("_row", row_key(docs))
-    places = durable(pfair_mix(keyed, parts, block_rows, keep=("_row",)).select("doc_id", "_row", "pos"))
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._row") == F.col("b._row"))
-    if not places.groupBy("doc_id", "_row").count().filter("count > 1").isEmpty():
+    """All rows and columns of ``docs``, range-partitioned and sorted in the order of the mix; column ``place`` holds it and replaces one of this name."""
+    docs = docs.drop(place) if place else docs
+    row = fresh("row", docs.columns)
+    keyed = docs.withColumn(row, row_key(docs))
+    told = keyed.select("doc_id", "source", F.col(row).alias("row_hash"))
+    places = durable(pfair_mix(told, parts, block_rows, keep=("row_hash",)).select("doc_id", "row_hash", "pos"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{row}") == F.col("b.row_hash"))
+    if not places.groupBy("doc_id", "row_hash").count().filter("count > 1").isEmpty():
         # Equal rows are interchangeable: one of them meets all their places.
-        keyed = keyed.dropDuplicates(["doc_id", "_row"])
-    joined = keyed.alias("a").join(places.alias("b"), same).select("a.*", "b.pos")
-    return joined.repartitionByRange("pos").sortWithinPartitions("pos").select(*docs.columns, *([F.col("pos").alias(place)] if place else []))
+        keyed = keyed.dropDuplicates(["doc_id", row])
+    at = place or fresh("pos", docs.columns)
+    joined = keyed.alias("a").join(places.alias("b"), same).select(*[F.col(f"a.`{c}`") for c in docs.columns], F.col("b.pos").alias(at))
+    ordered = joined.repartitionByRange(at).sortWithinPartitions(at)
+    return ordered if place else ordered.drop(at)
