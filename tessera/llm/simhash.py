@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import components, durable
+from tessera.llm.common import components, durable, fresh
 
 SEED = 42
 CHUNK = 1 << 15  # shingles whose bits are counted at once
+CROWDED = 16
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -85,8 +86,18 @@ def _segments(segments: int, radius: int) -> list[tuple[int, int, int]]:
     return [(sum(widths[:i]), w, q if i <= r else q - 1) for i, w in enumerate(widths)]
 
 
-def links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def segments_for(fingerprints: int) -> int:
+    """Three segments of at least 21 bits, or two once a value of these has over CROWDED fingerprints.
+
+    The links are the same for either; longer segments have larger balls, shorter ones more
+    fingerprints to a value.
+    """
+    return 3 if fingerprints <= CROWDED << 21 else 2
+
+
+def links(fps: DataFrame, radius: int = 4, segments: int | None = None) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at most ``radius`` bits apart; ``fps`` has distinct ``fp``."""
+    segments = segments or segments_for(fps.count())
     stored, probes = [], []
     for i, (shift, bits, ball) in enumerate(_segments(segments, radius)):
         if ball < 0:
@@ -100,7 +111,7 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return right.join(left, ["key"]).filter(near).select("a", "b").distinct()
 
 
-def groups(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def groups(prints: DataFrame, radius: int = 4, segments: int | None = None) -> DataFrame:
     """Adds component_id, the smallest doc_id reachable over links, to rows (doc_id, fp, ...)."""
     prints = durable(prints)
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -220,7 +231,7 @@ def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return durable(both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).filter(F.size("sa") > 0).select("a", "b"))
 
 
-def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, segments: int = 3) -> DataFrame:
+def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Pairs (a, b) of similar text hashes that connect all whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Similar texts share one of their rarest shingles (``prefix_length``).  First, texts whose
@@ -233,7 +244,7 @@ def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, simila
     each = nodes.select("h", "n", F.explode("prefix").alias("key")).withColumn("crowd", F.count("*").over(W.partitionBy("key"))).filter("crowd > 1")
     each = durable(each.withColumn("o", F.lag("h").over(W.partitionBy("key").orderBy("n", "h"))).select("key", "h", "o"))
     met = each.filter("o is not null").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"))
-    near = links(nodes.select("fp").distinct(), radius, segments)
+    near = links(nodes.select("fp").distinct(), radius)
     alike = nodes.groupBy("fp").agg(F.min("h").alias("h"))
     near = near.join(alike.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(alike.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
     near = near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
@@ -265,8 +276,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     owner = rows.groupBy("h").agg(F.min("doc_id").alias("least"))
     owner = owner.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     kept = durable(owner.groupBy("root").agg(F.min(F.struct(F.col("least"), F.col("h"))).alias("k")).select(F.col("k.least").alias("kept_id"), F.col("k.h").alias("kept_h")))
-    out = docs.withColumn("_h", text_key())
-    out = out.join(kept, (F.col("_h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    h = fresh("h", docs.columns)
+    out = docs.withColumn(h, text_key())
+    same = (F.col(f"d.{h}") == F.col("k.kept_h")) & F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))
+    out = out.alias("d").join(kept.alias("k"), same, "left_semi")
     if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_h"])
-    return out.drop("_h")
+        out = out.dropDuplicates(["doc_id", h])
+    return out.drop(h)
