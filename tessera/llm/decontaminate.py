@@ -11,8 +11,9 @@ words around them by Smith-Waterman.  The score is the best local alignment over
 length; passages that reach ``threshold`` are leaks, so copies with some words edited, dropped
 or added are found too, each that a plain alignment with the whole text would find.
 
-Items are worked off in blocks of ``BLOCK_ITEMS``, whose size is the bound of what is sent
-to the executors; each block scans the whole corpus.
+Items are worked off in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text, the bound
+of what is sent to the executors; each block scans the whole corpus.  Counts are always those of
+the whole input, so the result does not depend on how items fall into blocks.
 
 Defined results: null and empty texts and items without words match nothing; an item of
 fewer than ``width`` words is sought as a whole only; items of one text are each reported;
@@ -39,7 +40,7 @@ WORDS = re.compile(r"\w+")
 WIDTH = 3
 GRAM = 2  # words of a seed: of longer runs, a leak may hold none
 THRESHOLD = 0.5
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 GAP = 1
 
 
@@ -197,20 +198,31 @@ def leaks(index: Index, text: str | None, threshold: float) -> list[tuple[int, f
     return out
 
 
+def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
+    """Rows (item_id, text) of each block, dealt by hash."""
+    items = benchmark.select("item_id", "text")
+    told = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(-(-told["n"] // BLOCK_ITEMS), -(-(told["bytes"] or 0) // BLOCK_BYTES))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
+    return [items.filter(number == block) for block in range(blocks)]
+
+
+def indexed(block: DataFrame, docs: DataFrame, threshold: float, width: int = WIDTH) -> Index:
+    """The index of a block, its seeds chosen by their counts in ``docs``; collects the block."""
+    index = build([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()], width)
+    return choose_seeds(index, gram_counts(docs, index), threshold)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """Rows (doc_id, item_id, score, start, end): leaks with their code points in the text."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text")
     kinds = {f.name: f.dataType for f in [*docs.schema, *items.schema]}
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, start bigint, end bigint"
-    blocks = -(-items.count() // BLOCK_ITEMS)
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     item_kind = pa.int64() if kinds["item_id"].simpleString() in ("bigint", "int") else pa.string()
     out = None
-    for block in range(blocks):
-        rows = [(r["item_id"], r["text"]) for r in items.filter(number == block).orderBy("item_id", "text").collect()]
-        index = build(rows, width)
-        index = choose_seeds(index, gram_counts(docs, index), threshold)
+    for block in blocks_of(benchmark):
+        index = indexed(block, docs, threshold, width)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -235,18 +247,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without a leak, all columns kept."""
-    items = benchmark.select("item_id", "text")
-    blocks = -(-items.count() // BLOCK_ITEMS)
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
-    for block in range(blocks):
-        index = build([(r["item_id"], r["text"]) for r in items.filter(number == block).orderBy("item_id", "text").collect()])
-        index = choose_seeds(index, gram_counts(docs, index), threshold)
+    left = docs
+    for number, block in enumerate(blocks_of(benchmark)):
+        index = indexed(block, docs, threshold)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not leaks(index, t.as_py(), threshold) for t in batch.column("text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-        if block % 4 == 3:
-            docs = durable(docs)
-    return docs
+        left = left.mapInArrow(run, docs.schema)
+        if number % 4 == 3:
+            left = durable(left)
+    return left
