@@ -2,11 +2,14 @@
 
 The base patterns find assignments, access keys and long hexadecimal runs.  The models find
 what no pattern names: two first-order character chains, one of random strings and one of
-ordinary identifiers, are trained from labelled samples, and a run of 16 or more token
-characters that overlaps no base span is a secret if its log-likelihood ratio passes the
-threshold.  Random samples are the values of base spans in a bounded sample of documents
-and generated strings; ordinary samples are the other words and runs of those documents,
-pairs of them joined as identifiers are, and runs of one character.
+ordinary identifiers, are trained from labelled samples.  A run of 16 or more token characters,
+or what base spans leave of one, is a secret if its log-likelihood ratio passes ``THRESHOLD``
+and ``PER_CHAR`` for each of its characters, so that length alone does not make a secret.
+
+Samples of a bounded number of documents, whole and of any size, train the chains: the values
+of base spans are labelled random, other words and runs, and identifiers of three words as
+they follow each other, ordinary.  Generated random strings and numbers, and runs of one character,
+are added.  Tasks count pairs of characters; only these counts go to the driver.
 
 Defined results: null and empty texts have no spans (the digest of the empty string);
 offsets are code points, ends exclusive; repeated rows stay rows; a null doc_id is carried;
@@ -27,8 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_sample
-
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -38,9 +39,11 @@ WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
-SAMPLE_DOCS = 1000  # documents that the labelled samples are drawn from
-SAMPLE_BYTES = 32768  # longer texts are not drawn
-THRESHOLD = 10.0  # nats
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+$")
+PLAIN = re.compile(r"[A-Za-z]{2,}")
+SAMPLE_DOCS = 1000  # documents, about, that the labelled samples are drawn from
+LEAST_RUN = 16
+THRESHOLD, PER_CHAR = 8.0, 0.35  # nats
 
 
 @dataclass(frozen=True)
@@ -61,59 +64,94 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def free_runs(text: str, spans: list[tuple[int, int, int]], pattern: re.Pattern = RUN) -> Iterator[re.Match]:
-    """Runs that overlap none of the spans."""
+def free_runs(text: str, spans: list[tuple[int, int, int]], pattern: re.Pattern = RUN, least: int = LEAST_RUN) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of at least ``least`` characters, without what the spans cover."""
     ordered = sorted((a, b) for a, _, b in spans)
     at = 0
     for m in pattern.finditer(text):
-        while at < len(ordered) and ordered[at][1] <= m.start():
+        begin = m.start()
+        while at < len(ordered) and ordered[at][1] <= begin:
             at += 1
         near = at
-        while near < len(ordered) and ordered[near][0] < m.end() and ordered[near][1] <= m.start():
+        while near < len(ordered) and ordered[near][0] < m.end():
+            if ordered[near][0] - begin >= least:
+                yield begin, ordered[near][0]
+            begin = max(begin, ordered[near][1])
             near += 1
-        if near == len(ordered) or ordered[near][0] >= m.end():
-            yield m
-
-
-def _chain(samples: list[str], smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+        if m.end() - begin >= least:
+            yield begin, m.end()
+
+
+def labelled(text: str) -> tuple[list[str], list[str]]:
+    """Random and ordinary strings of a text, each once, so that a repetitive text does not decide the models."""
+    spans = base_spans(text)
+    drawn = [m[0] for a, _, b in spans if (m := TOKEN.search(text[a:b]))]
+    ordinary = [text[a:b] for a, b in free_runs(text, spans, WORD, 4)]
+    words = [w for o in ordinary for w in PLAIN.findall(o)]
+    for i in range(0, len(words) - 2, 3):
+        three = words[i : i + 3]
+        shape = i // 3 % 6
+        if shape < 3:
+            ordinary.append("_-/"[shape].join(three).lower())
+        elif shape == 3:
+            ordinary.append("".join(w.capitalize() for w in three))
+        elif shape == 4:
+            ordinary.append(three[0].lower() + "".join(w.capitalize() for w in three[1:]))
+        else:
+            ordinary.append(f"{'_'.join(three).upper()}_{i % 1000}")
+    return list(dict.fromkeys(drawn)), list(dict.fromkeys(ordinary))
+
+
+def pair_counts(samples: list[str]) -> np.ndarray:
+    """How often each character follows each other; a line feed stands for the ends."""
     n = len(ALPHABET) + 1
-    codes = CODE[np.frombuffer(("\n" + "\n".join(samples)).encode("ascii"), np.uint8)]  # a line feed ends a sample
-    pairs = np.bincount(codes[:-1] * n + codes[1:], minlength=n * n).reshape(n, n)
-    first, step = pairs[n - 1] + smooth, pairs + smooth
-    return np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True))
+    codes = CODE[np.frombuffer(("\n" + "\n".join(samples) + "\n").encode("ascii"), np.uint8)]
+    return np.bincount(codes[:-1] * n + codes[1:], minlength=n * n).reshape(n, n)
 
 
-def train(texts: list[str], seed: int = 7) -> Models:
+def generated(seed: int = 7) -> tuple[list[str], list[str]]:
     rng = random.Random(seed)
-    drawn, ordinary = [], []
-    for text in texts:
-        spans = base_spans(text)
-        drawn += [re.search(r"[A-Za-z0-9+/_=-]+$", text[a:b])[0] for a, _, b in spans if re.search(r"[A-Za-z0-9+/_=-]+$", text[a:b])]
-        ordinary += [m[0] for m in free_runs(text, spans, WORD)]
-    for alphabet in ("0123456789abcdef", ALPHABET[:62], ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62]):
-        drawn += ["".join(rng.choices(alphabet, k=rng.randint(16, 48))) for _ in range(1000)]
-    # Words met, in the shapes of identifiers; each class of sample has a like weight.
-    pool = sorted(set(ordinary))[:20000] or ["name", "value", "index", "total"]
-    for glue in ("_", "-", "/", ""):
-        for _ in range(2000):
-            parts = [rng.choice(pool) for _ in range(3)]
-            ordinary.append(glue.join(parts) if glue else "".join(p.capitalize() for p in parts))
-            ordinary.append(f"{glue.join(parts)}{glue}{rng.randint(1, 999)}".upper() if rng.random() < 0.3 else glue.join(parts).lower())
-    ordinary += [c * 20 for c in ALPHABET for _ in range(200)]
-    ordinary += ["".join(rng.choices("0123456789", k=rng.randint(12, 24))) for _ in range(4000)]  # numbers are no secrets
-    (f1, s1), (f0, s0) = _chain(drawn), _chain(ordinary)
+    alphabets = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + "0123456789")
+    drawn = ["".join(rng.choices(alphabet, k=rng.randint(16, 48))) for alphabet in alphabets for _ in range(1000)]
+    return drawn, ["".join(rng.choices("0123456789", k=rng.randint(12, 24))) for _ in range(1000)]
+
+
+def models(random_pairs: np.ndarray, ordinary_pairs: np.ndarray, smooth: float = 0.5, repeats: float = 0.1) -> Models:
+    """Models of the counts; in ordinary strings, a share ``repeats`` of characters is taken to repeat the one before."""
+    ordinary_pairs = ordinary_pairs + np.diag(repeats * ordinary_pairs.sum(axis=1) + 1)
+
+    def chain(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, step = pairs[-1] + smooth, pairs + smooth
+        return np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True))
+
+    (f1, s1), (f0, s0) = chain(random_pairs), chain(ordinary_pairs)
     return Models(f1 - f0, s1 - s0)
 
 
-def sample_texts(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[str]:
-    """At most ``rows`` texts of at most SAMPLE_BYTES, in hash order."""
-    short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "text")
-    return sorted(r["text"] for r in hash_sample(short, "doc_id", rows, docs.count()).collect())
+def train(docs: DataFrame, rows: int = SAMPLE_DOCS) -> Models:
+    """Models of about ``rows`` documents, those of the smallest hashes, and of the generated strings."""
+    share = rows / max(1, docs.count())
+    some = docs.filter(F.octet_length("text") > 0).select("doc_id", "text")
+    if share < 1:
+        some = some.filter(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) < F.lit(int(share * 2**53)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                for label, samples in enumerate(labelled(text.as_py())):
+                    counts = pair_counts(samples)
+                    a, b = np.nonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), label, np.int32)), pa.array(a), pa.array(b), pa.array(counts[a, b])], ["label", "a", "b", "n"])
+
+    told = [pair_counts(x) for x in generated()]
+    for r in some.select("text").mapInArrow(run, "label int, a bigint, b bigint, n bigint").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
+        told[r["label"]][r["a"], r["b"]] += r["n"]
+    return models(*told)
 
 
-def all_spans(text: str, models: Models, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def all_spans(text: str, models: Models, threshold: float = THRESHOLD, per_char: float = PER_CHAR) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
-    more = [(m.start(), 3, m.end()) for m in free_runs(text, base) if models.ratio(m[0]) > threshold]
+    more = [(a, 3, b) for a, b in free_runs(text, base) if models.ratio(text[a:b]) > max(threshold, per_char * (b - a))]
     return base, sorted(base + more)
 
 
@@ -123,13 +161,13 @@ def write_spans(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, models: Models | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, base, spans, n_assign, n_access, n_hex, n_markov); spans as kind:start:end."""
-    models = models or train(sample_texts(docs))
+    trained = models or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t in batch.column("text"):
-                base, spans = all_spans(t.as_py() or "", models, threshold)
+                base, spans = all_spans(t.as_py() or "", trained, threshold)
                 kinds = [k for _, k, _ in spans]
                 out.append((write_spans(base), write_spans(spans), *[kinds.count(k) for k in range(4)]))
             columns = list(zip(*out, strict=True)) or [()] * 6
