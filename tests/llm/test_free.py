@@ -25,13 +25,21 @@ def docs(spark, texts):
 # --- toxicity
 
 
-def test_toxicity_held_out_accuracy(spark, small):
-    got = queries.op2_toxicity(spark, small).collect()
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+def test_toxicity_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    got = queries.op2_toxicity(spark, folder).collect()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
-    known = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["doc_id"] in labels and not r["held_out"]]
-    assert sum(p == y for p, y in known) >= 0.9 * len(known)
+    known = [(labels[r["doc_id"]], r["predicted"]) for r in got if r["doc_id"] in labels and r["held_out"]]
+    toxic, clean = [p for y, p in known if y], [p for y, p in known if not y]
+    assert len(toxic) > 100 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def labelled(spark, texts, classes):
+    """Documents outside the held-out fold, and their labels."""
+    ids = [i for i in range(2 * len(texts) + 9) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    return docs(spark, list(zip(ids, texts, strict=True))), spark.createDataFrame([(i, 0, c) for i, c in zip(ids, classes, strict=True)], "doc_id long, quality int, toxic int")
 
 
 def test_toxicity_learns_from_documents_alone(spark):
@@ -46,7 +54,8 @@ def test_toxicity_learns_from_documents_alone(spark):
             s[rng.randrange(len(s))] += " grublix"
         texts.append(". ".join(s))
         classes.append(int(bad))
-    m = toxicity.fit(texts[:300], classes[:300])
+    texts[0] = ". ".join([texts[0]] + [said() for _ in range(9000)])  # long texts train too
+    m = toxicity.learn(*labelled(spark, texts[:300], classes[:300]))
     assert all((m.score(t) >= 0.3) == bool(c) for t, c in zip(texts[300:], classes[300:], strict=True))
     text = "all fine here. you GRUBLIX now. fine again"
     spans = m.offending(text)
@@ -56,15 +65,30 @@ def test_toxicity_learns_from_documents_alone(spark):
     assert got == {(1, 0), (2, 0), (3, 0), (None, 1), (5, 0)}
     assert toxicity.score(d, m).count() == 6 and toxicity.reject(d, m).count() == 5
     assert toxicity.score(docs(spark, []), m).count() == 0
-    assert toxicity.fit([], []).score("x") < 0.01
+    assert toxicity.learn(*labelled(spark, [], [])).score("x") < 0.01
+    # Length alone says nothing: neither repeated nor different clean sentences add up.
+    assert m.score("This is fine. " * 10_000) == pytest.approx(m.score("This is fine."))
+    assert m.score(". ".join(f"fine {i}" for i in range(20_000))) < 0.1
+
+
+def test_toxicity_scores_are_noisy_or(spark):
+    m = toxicity.Model(-3.0, -2.0, {"bad": 1.5, "worse": 2.5, "terr*": 0.75})
+    odds = lambda z: 1 / (1 + np.exp(-z))
+    text = "Bad BAD day. fine! worse and bad\nterror, terrier. bad bad day"
+    want = 1 - (1 - odds(-3.0)) * (1 - odds(-0.5)) ** 2 * (1 - odds(2.0)) * (1 - odds(-0.5))
+    assert m.score(text) == pytest.approx(want)
+    got = toxicity.score(docs(spark, [(1, text)]), m).first()
+    assert got["score"] == pytest.approx(want)
+    assert [text[r["start"] : r["end"]] for r in got["offending"]] == ["Bad BAD day", " worse and bad", "terror, terrier", " bad bad day"]
 
 
 def test_toxicity_never_learns_the_held_out_fold(spark):
-    d = docs(spark, [(i, f"t{i}") for i in range(100)])
+    d = docs(spark, [(i, f"t{i}") for i in range(100)] + [(0, "zz")])
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(100)] + [(None, 0, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
-    texts, classes = toxicity.sample(d, labels)
-    assert {int(t[1:]) for t in texts} == {i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2}
-    assert all(c == int(t[1:]) % 2 for t, c in zip(texts, classes, strict=True))
+    got = [(r["text"], r["y"]) for r in toxicity.sample(d, labels).collect()]
+    assert {int(t[1:]) for t, _ in got} == {i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert all(c == int(t[1:]) % 2 for t, c in got)
+    assert toxicity.sample(d, labels, 7).count() <= 7
 
 
 # --- suffix dedup
@@ -150,8 +174,17 @@ def test_decontamination_in_blocks(monkeypatch, spark):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
     items = [(i, " ".join(f"x{i}y{j}" for j in range(12))) for i in range(5)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contaminated(docs(spark, [(i, f"some {t} more") for i, t in items]), bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(5)}
+    d = docs(spark, [(i, f"some {t} more") for i, t in items] + [(9, "clean text"), (10, items[0][1] + " and " + items[1][1])])
+    got = decontaminate.contaminated(d, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(5)} | {(10, 0), (10, 1)}
+    assert {r["doc_id"] for r in decontaminate.clean(d, bench).collect()} == {9}
+
+
+def test_decontamination_of_repeated_words_and_ties(spark):
+    bench = spark.createDataFrame([(1, "the the the the the one two three four five"), (2, "the the the the the one two three four five")], "item_id long, text string")
+    d = docs(spark, [(1, "the the the the the uno dos tres quattro cinque"), (2, "the the the the uno dos tres quattro cinque seis")])
+    got = decontaminate.contaminated(d, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in got) == [(1, 1, 0.5), (1, 2, 0.5)]
 
 
 def test_smith_waterman_against_table():
@@ -210,11 +243,25 @@ def test_secret_base_spans():
         assert secrets.base_spans(text) == brute_base(text), text
 
 
+def test_secret_models_on_held_out_strings(spark):
+    """Strings of the three-word shapes and of random alphabets, none of them trained."""
+    folder = "/root/testdata/sf0.01"
+    found = spark.read.parquet(f"{folder}/documents.parquet")
+    m = secrets.train(found.filter("doc_id % 2 = 0"))
+    ordinary = sorted({o for r in found.filter("doc_id % 2 = 1").collect() for o in secrets.labelled(r["text"] or "")[1] if len(o) >= secrets.LEAST_RUN})
+    rng = random.Random(99)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    drawn = ["".join(rng.choices(alphabet, k=rng.randrange(16, 41))) for alphabet in (digits + "abcdef", letters + letters.upper() + digits, letters.upper() + "234567", letters + digits + "-_") for _ in range(200)]
+    hit = lambda s: bool([x for x in secrets.all_spans(f"see {s} here", m)[1] if x[1] in (2, 3)])
+    caught, wrong = sum(map(hit, drawn)), sum(map(hit, ordinary))
+    assert len(ordinary) > 1000 and caught >= 0.97 * len(drawn) and wrong <= 0.01 * len(ordinary)
+
+
 def test_secret_models(spark):
     rng = random.Random(8)
     drawn = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)) for _ in range(40)]
-    plain = ["configuration_manager_name", "getConnectionTimeoutValue", "this-is-a-normal-identifier", "=" * 40, "12345678901234567890", "internationalization"]
-    m = secrets.train(["the configuration of the connection manager has a normal value and a name for the timeout of this identifier"] * 5)
+    plain = ["configuration_manager_name", "getConnectionTimeoutValue", "this-is-a-normal-identifier", "=" * 40, "12345678901234567890", "internationalization", "a" * 40]
+    m = secrets.train(docs(spark, [(i, "the configuration of the connection manager has a normal value and a name for the timeout of this international identifier organization " + "get this value " * 20_000 * (i == 1)) for i in range(5)]))
     hit = lambda s: any(k == 3 for _, k, _ in secrets.all_spans(f"see {s} here", m)[1])
     assert sum(map(hit, drawn)) >= 38 and not any(map(hit, plain))
     rows = [(1, f"x {drawn[0]} y token={drawn[1]}"), (2, None), (3, ""), (None, "AKIA" + "A" * 16), (5, "z" * 300_000), (6, "a"), (6, "a")]
@@ -226,6 +273,14 @@ def test_secret_models(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secret_runs_beside_base_spans():
+    token = "Qz7xK2mV9bR4tY8wL3nP"
+    text = f"{token}-AKIA{'A' * 16}/{token} tail"
+    base = secrets.base_spans(text)
+    assert [text[a:b] for a, b in secrets.free_runs(text, base)] == [f"{token}-", f"/{token}"]
+    assert list(secrets.free_runs("short_run", [])) == []
+
+
 # --- neighbours
 
 
@@ -320,7 +375,7 @@ def test_links_find_every_close_pair(spark):
                 q ^= (1 << b) if b < 63 else -(1 << 63)
             prints.add(q)
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    for radius, segments in ((4, 3), (4, 4), (3, 2), (2, 5)):
+    for radius, segments in ((4, 3), (4, 2), (4, 4), (3, 2), (2, 5)):
         got = {(r["a"], r["b"]) for r in simhash.links(df, radius, segments).collect()}
         assert got == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
 
