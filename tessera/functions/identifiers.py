@@ -5,24 +5,62 @@ An expression gives NULL where the input is not acceptable.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from tessera.functions.addresses import ipv6_text
 
 # Hosts, labels and limits that results must agree with.
 DOI_BYTES = 512
+SCALAR_BYTES = 4096
 ACCESS_LEVELS = ("metadata-only", "abstract-only", "partial-text", "full-text")
-FRONT_LABELS = ("title", "abstract", "front")
+TITLE_LABELS = ("title", "article-title")
+FRONT_LABELS = ("title", "article-title", "abstract", "summary", "keyword", "keywords", "key-words")
+BODY_LABELS = (
+    "introduction", "background", "methods", "materials-and-methods", "patients-and-methods", "results", "discussion",
+    "conclusion", "conclusions", "case-report", "case-presentation", "body", "main", "main-text")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-DEPTH_PROFILES = ("quick", "standard", "deep")
+#: Minutes by default and at least, sources, waves.
+DEPTH_PROFILES = {"quick": (15, 5, 12, 1), "standard": (45, 10, 30, 2), "deep": (120, 20, 80, 4)}
+PROVIDER_HOSTS = {
+    "crossref": ("api.crossref.org",), "openalex": ("api.openalex.org",),
+    "ncbi": ("eutils.ncbi.nlm.nih.gov", "www.ncbi.nlm.nih.gov")}
+CONTROL_OR_BIDI = r"[\x{0}-\x{1f}\x{7f}-\x{9f}\x{61c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]"
+MALFORMED_PERCENT = r"%(?![0-9a-fA-F]{2})"
+SPACE = r"[\s\x{b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def canonical_bytes(text: Column) -> Column:
+    """Bytes of the JSON string of a text without control characters."""
+    return F.octet_length(text) + 2 + F.regexp_count(text, F.lit(r'["\\]'))
+
+
+def decode_component(text: Column) -> Column:
+    """Percent-decoding; bytes that are no UTF-8 become U+FFFD, NULL if an escape is malformed."""
+    return F.when(~text.rlike(MALFORMED_PERCENT), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
 
 
 def normalize_doi(raw: Column) -> Column:
-    """Lower-case DOI without resolver or scheme; ``%`` is written ``%25``."""
-    bare = F.regexp_replace(F.trim(raw), r"(?i)^(?:doi:\s*|https?://(?:dx\.)?doi\.org/)", "")
-    url = F.trim(raw).rlike(r"(?i)^https?://")
-    plain = F.when(url, F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).otherwise(bare)
+    """Lower-case DOI without resolver or scheme; ``%`` is written ``%25``.
+
+    A resolver URL is decoded once for the URL and once more for the DOI in it.
+    """
+    text = F.trim(raw)
+    resolver = r"^https://(?:doi\.org|dx\.doi\.org)/([^?#]*)$"
+    path = F.regexp_extract(text, resolver, 1)
+    dotted = F.exists(F.split(path, "/"), lambda p: p.rlike(r"(?i)^(?:\.|%2e){1,2}$"))
+    prefix = F.substring_index(path, "/", 1)
+    in_url = F.when(text.rlike(resolver) & ~dotted & F.contains(path, F.lit("/")) & ~prefix.rlike("(?i)%2f"), decode_component(path))
+    bare = F.when(text.rlike(r"(?i)^https?://"), in_url).otherwise(F.regexp_replace(text, r"(?i)^doi:", ""))
+    plain = decode_component(F.when(~bare.rlike(r"[?#]"), bare))
     out = F.replace(F.lower(plain), F.lit("%"), F.lit("%25"))
-    return F.when(plain.rlike(r"^10\.[0-9]{4,9}/[\x21-\x7E]+$") & (F.octet_length(out) <= DOI_BYTES), out)
+    sound = ~raw.rlike(CONTROL_OR_BIDI) & ~F.contains(raw, F.lit("\\")) & plain.rlike(r"^10\.[0-9]{4,9}/[\x21-\x5B\x5D-\x7E]+$")
+    return F.when(sound & (canonical_bytes(raw) <= SCALAR_BYTES) & (canonical_bytes(out) <= DOI_BYTES), out)
 
 
 def encode_component(text: Column) -> Column:
@@ -40,13 +78,13 @@ def canonical_doi_url(doi: Column) -> Column:
 
 
 def normalize_pmid(raw: Column) -> Column:
-    digits = F.regexp_extract(F.trim(raw), r"(?i)^(?:pmid:\s*)?([0-9]{1,12})$", 1)
-    return F.nullif(F.ltrim(digits, F.lit("0")), F.lit(""))
+    digits = F.ltrim(F.regexp_extract(F.trim(raw), r"(?i)^(?:pmid:)?([0-9]{1,12})$", 1), F.lit("0"))
+    return F.when(~raw.rlike(CONTROL_OR_BIDI) & (digits != ""), digits)
 
 
 def normalize_pmcid(raw: Column) -> Column:
-    digits = F.nullif(F.ltrim(F.regexp_extract(F.trim(raw), r"(?i)^(?:pmcid:\s*)?PMC([0-9]{1,12})$", 1), F.lit("0")), F.lit(""))
-    return F.concat(F.lit("PMC"), digits)
+    digits = F.ltrim(F.regexp_extract(F.trim(raw), r"(?i)^(?:pmcid:)?pmc([0-9]{1,12})$", 1), F.lit("0"))
+    return F.when(~raw.rlike(CONTROL_OR_BIDI) & (digits != ""), F.concat(F.lit("PMC"), digits))
 
 
 def pmid_url(pmid: Column) -> Column:
@@ -57,29 +95,71 @@ def pmcid_url(pmcid: Column) -> Column:
     return F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/"), pmcid, F.lit("/"))
 
 
-def normalize_url(raw: Column) -> Column:
-    """http(s) URL with lower-case scheme and host, default port dropped, a path at least.
+def remove_dot_segments(path: Column) -> Column:
+    """Resolves ``.`` and ``..`` segments, also percent-encoded ones, of a path that starts with a slash."""
+    dot, twice = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
 
-    Rejects credentials, fragments, control and bidirectional marks, spaces, bad percent
-    escapes and hosts that are not ASCII.
+    def step(acc: Column, part: Column) -> Column:
+        up = F.slice(acc["kept"], F.lit(1), F.greatest(F.size(acc["kept"]) - 1, F.lit(0)))
+        kept = F.when(part.rlike(twice), up).when(part.rlike(dot), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(part)))
+        return F.struct(kept.alias("kept"), (part.rlike(dot) | part.rlike(twice)).alias("open"))
+
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("kept"), F.lit(False).alias("open"))
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    return F.aggregate(parts, start, step, lambda a: F.concat(F.lit("/"), F.array_join(a["kept"], "/"), F.when(a["open"] & (F.size(a["kept"]) > 0), "/").otherwise("")))
+
+
+def percent_encode(text: Column, also: str) -> Column:
+    """Percent-encodes the characters of the class ``also`` and all that are not ASCII; escapes stay as they are."""
+    unsafe = rf"[{also}]|[^\x{{0}}-\x{{7f}}]"
+    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(unsafe), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(text.rlike(unsafe), F.array_join(each, "")).otherwise(text)
+
+
+def normalize_url(raw: Column, allow_http: bool = False) -> Column:
+    """https URL (http if allowed) as browsers write it: lower-case host, no default port, no dot segments.
+
+    Rejects credentials, fragments, control and bidirectional marks, inner spaces, backslashes,
+    malformed escapes and hosts that are not plain names, dotted IPv4 or bracketed IPv6 addresses.
     """
-    shape = r"^(?i:(https?))://([A-Za-z0-9.-]+)(?::([0-9]{1,5}))?([/?][^#]*)?$"
-    scheme, host = F.lower(F.regexp_extract(raw, shape, 1)), F.lower(F.regexp_extract(raw, shape, 2))
-    port, rest = F.regexp_extract(raw, shape, 3), F.regexp_extract(raw, shape, 4)
-    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    path = F.when(rest == "", "/").when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
-    bad = raw.rlike(r"[\x00-\x20\x7F‎‏‪-‮⁦-⁩]") | raw.rlike(r"%(?![0-9A-Fa-f]{2})")
-    return F.when(raw.rlike(shape) & ~bad & (F.length(host) > 0), F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path))
+    text = F.trim(raw)
+    shape = r"^(?i:(https?))://(\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9!$&'()*+,;=_.~-]+)(?::([0-9]{1,7}))?(/[^?#]*)?(\?[^#]*)?$"
+    scheme, host = F.lower(F.regexp_extract(text, shape, 1)), F.lower(F.regexp_extract(text, shape, 2))
+    port, path, query = F.regexp_extract(text, shape, 3), F.regexp_extract(text, shape, 4), F.regexp_extract(text, shape, 5)
+    number = port.try_cast("int")
+    usual = (port == "") | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
+    inner = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+    ipv6 = host.startswith("[")
+    name = F.when(ipv6, F.concat(F.lit("["), ipv6_text(inner), F.lit("]"))).otherwise(host)
+    # A host whose last label is a number is an IPv4 address, and must be a plain one.
+    numeric = host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    byte = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    right_host = F.when(ipv6, ipv6_text(inner).isNotNull()).otherwise(~numeric | host.rlike(rf"^{byte}(\.{byte}){{3}}$"))
+    whole = percent_encode(remove_dot_segments(F.when(path == "", "/").otherwise(path)), r"\x22<>`{}^")
+    sound = (
+        text.rlike(shape) & ~raw.rlike(CONTROL_OR_BIDI) & ~text.rlike(SPACE) & ~F.contains(raw, F.lit("\\")) & ~raw.rlike(MALFORMED_PERCENT)
+        & ((scheme == "https") | F.lit(allow_http)) & right_host & ((port == "") | (number <= 65535)) & (canonical_bytes(raw) <= SCALAR_BYTES))
+    shown = F.when(usual, "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+    return F.when(sound, F.concat(scheme, F.lit("://"), name, shown, whole, percent_encode(query, r"\x22<>'")))
 
 
 def redact_url(url: Column) -> Column:
-    """Origin and path only; a query becomes ``?redacted``."""
-    base = F.regexp_extract(url, r"^([^?#]*)", 1)
-    return F.concat(base, F.when(F.contains(url, F.lit("?")), "?redacted").otherwise(""))
+    """Origin and path with upper-case escapes; a query becomes ``?redacted``."""
+    base, query = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
+    escaped = F.transform(F.split(base, "%"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 2)), F.substring(p, F.lit(3), F.length(p)))))
+    return F.concat(F.array_join(escaped, "%"), F.when(F.length(query) > 1, "?redacted").otherwise(""))
+
+
+def url_trace(url: Column) -> Column:
+    """What a trace keeps of a URL: (canonical_url, canonical_url_sha256), the digest of the whole URL."""
+    whole = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), url.alias("url")))
+    return F.when(url.isNotNull(), F.struct(redact_url(url).alias("canonical_url"), F.sha2(F.replace(whole, F.lit("\\/"), F.lit("/")), 256).alias("canonical_url_sha256")))
 
 
-def allowed_origin(url: Column, origins: tuple[str, ...]) -> Column:
-    return F.regexp_extract(url, r"^(https://[^/?#]+)", 1).isin(*origins)
+def allowed_origin(url: Column, target: str) -> Column:
+    """Whether a URL is of one of the target's fixed origins: https, default port, no credentials or fragment."""
+    hosts = "|".join(h.replace(".", r"\.") for h in PROVIDER_HOSTS[target])
+    return F.coalesce(url.rlike(rf"^https://(?:{hosts})(?::443)?(?:[/?]|$)") & ~url.rlike(r"[\x{0}-\x{20}\x{7f}#\\]"), F.lit(False))
 
 
 def identity_keys(doi: Column, pmid: Column, pmcid: Column, url: Column) -> Column:
@@ -95,13 +175,13 @@ def is_timestamp(raw: Column) -> Column:
 
 
 def orcid(raw: Column) -> Column:
-    """ORCID with a right ISO 7064 check character."""
-    bare = F.upper(F.replace(F.regexp_replace(F.trim(raw), r"(?i)^https?://orcid\.org/", ""), F.lit("-"), F.lit("")))
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, i: ((a + F.substring(bare, i, F.lit(1)).try_cast("int")) * 2).cast("int"))
+    """ORCID URL with a right ISO 7064 check character, from the URL or the bare dashed number."""
+    bare = F.regexp_replace(raw, r"^https://orcid\.org/", "")
+    digits = F.replace(bare, F.lit("-"), F.lit(""))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, i: ((a + F.substring(digits, i, F.lit(1)).try_cast("int")) * 2).cast("int"))
     check = F.pmod(12 - F.pmod(total, F.lit(11)), F.lit(11))
-    right = F.substring(bare, 16, 1) == F.when(check == 10, "X").otherwise(check.cast("string"))
-    dashed = F.concat_ws("-", *[F.substring(bare, i, 4) for i in (1, 5, 9, 13)])
-    return F.when(bare.rlike(r"^[0-9]{15}[0-9X]$") & right, dashed)
+    right = F.substring(digits, 16, 1) == F.when(check == 10, "X").otherwise(check.cast("string"))
+    return F.when(bare.rlike(r"^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$") & right, F.concat(F.lit("https://orcid.org/"), bare))
 
 
 def date_parts(year: Column, month: Column, day: Column) -> Column:
@@ -133,64 +213,81 @@ def abstract_text(inverted: Column) -> Column:
     return F.when(dense & (F.size(spread) > 0), F.array_join(F.transform(spread, lambda s: s["word"]), " "))
 
 
-def ipv4_number(text: Column) -> Column:
-    parts = F.split(text, r"\.")
-    number = sum((F.get(parts, F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(1, 4)), F.get(parts, F.lit(0)).try_cast("long") * 256**3)
-    sound = text.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$") & F.forall(parts, lambda p: p.try_cast("int") <= 255)
-    return F.when(sound, number)
-
-
-#: IPv4 ranges that are not public (first address, prefix length).
-RESERVED_IPV4 = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
-    ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
-    ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
-)
-
-
-def public_ipv4(text: Column) -> Column:
-    number = ipv4_number(text)
-    reserved = F.lit(False)
-    for first, bits in RESERVED_IPV4:
-        low = sum(int(p) << (8 * (3 - i)) for i, p in enumerate(first.split(".")))
-        reserved = reserved | number.between(low, low + (1 << (32 - bits)) - 1)
-    return number.isNotNull() & ~reserved
+def section_label(label: Column) -> Column:
+    """Lower-case label with single dashes for runs of space, dash and underscore; NULL if not ASCII."""
+    plain = F.regexp_replace(F.lower(F.trim(label)), r"[ _-]+", "-")
+    return F.when(~label.rlike(r"[^\x{0}-\x{7f}]"), F.regexp_replace(plain, "-$", ""))
 
 
 def section_class(label: Column) -> Column:
-    plain = F.regexp_replace(F.lower(F.trim(label)), r"[\s_-]+", " ")
-    return F.when(label.isNull() | (plain == ""), "unknown").when(plain.isin(*FRONT_LABELS), "front").otherwise("body")
+    name = section_label(label)
+    return F.when(name.isin(*BODY_LABELS), "body").when(name.isin(*FRONT_LABELS), "front").otherwise("unknown")
 
 
-def backoff_ms(attempt: Column, base_ms: Column, cap_ms: Column, draw: Column, retry_after_ms: Column, left_ms: Column) -> Column:
-    """Full jitter: floor(draw x min(cap, base x 2^attempt)), at least retry-after; NULL beyond what is left."""
-    ceiling = F.least(base_ms * F.pow(F.lit(2.0), attempt), cap_ms)
-    wait = F.greatest(F.floor(draw * ceiling), F.coalesce(retry_after_ms, F.lit(0))).cast("long")
-    return F.when(wait <= left_ms, wait)
+def backoff_ms(next_ordinal: Column, base_ms: Column, most_ms: Column, draw: Column, retry_after_ms: Column, left_ms: Column) -> Column:
+    """Full jitter: floor(draw x min(most, base x 2^(next ordinal - 2))), at least retry-after, at most ``most`` and what is left."""
+    ceiling = F.least(base_ms * F.pow(F.lit(2.0), F.greatest(F.lit(0), next_ordinal - 2)), most_ms)
+    wait = F.greatest(F.floor(draw * ceiling), F.coalesce(retry_after_ms, F.lit(0)))
+    return F.greatest(F.lit(0), F.floor(F.least(wait, most_ms, left_ms))).cast("long")
 
 
 def finalization_reserve_ms(limit_ms: Column) -> Column:
     return F.least(F.lit(600_000), F.greatest(F.lit(60_000), F.floor(limit_ms * 0.2)), F.floor(limit_ms * 0.5)).cast("long")
 
 
-def topic_slug(text: Column, most: int = 48) -> Column:
-    slug = F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
-    return F.rtrim(F.substring(slug, 1, most), F.lit("-"))
+def _without_marks(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks, which Spark has no expression for."""
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f"))
+
+
+def topic_slug(text: Column, most: int = 64) -> Column:
+    slug = F.trim(F.regexp_replace(F.lower(F.pandas_udf(_without_marks, StringType())(text)), r"[^a-z0-9]+", "-"), F.lit("-"))
+    short = F.rtrim(F.substring(slug, 1, most), F.lit("-"))
+    return F.when(short == "", "research").otherwise(short)
 
 
 def portable_path(path: Column) -> Column:
-    """Relative path of plain segments: no empty, ``.`` or ``..`` segment, backslash, colon or control character."""
+    """Relative path of plain segments: no empty, ``.`` or ``..`` segment, backslash or drive letter."""
     parts = F.forall(F.split(path, "/"), lambda p: ~p.isin("", ".", ".."))
-    return F.coalesce(parts & ~path.rlike(r"[\\:\x00-\x1F\x7F]"), F.lit(False))
+    return F.coalesce(parts & ~F.contains(path, F.lit("\\")) & ~path.rlike("(?i)^[a-z]:"), F.lit(False))
+
+
+def depth_profile(depth: Column) -> Column:
+    """(active_minutes, least_active_minutes, max_sources, max_waves) of a depth; NULL for others."""
+    names = ("active_minutes", "least_active_minutes", "max_sources", "max_waves")
+    rows = {d: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)]) for d, values in DEPTH_PROFILES.items()}
+    return reduce(lambda out, d: F.when(depth == d, rows[d]).otherwise(out), rows, F.lit(None))
+
+
+#: Prefixes of new identifiers.
+ID_PREFIXES = {
+    "run": "run", "task": "task", "attempt": "attempt", "source": "src", "claim": "claim", "evidence": "ev", "verification": "verify",
+    "request": "request", "calculation": "calc", "retry": "retry", "transaction": "tx"}
+
+
+def new_id(kind: str, random_hex: Column) -> Column:
+    """The kind's prefix and 32 hexadecimal digits; the draw is a column, so that a stored one can be replayed."""
+    return F.when(random_hex.rlike("^[0-9a-f]{32}$"), F.concat(F.lit(f"{ID_PREFIXES[kind]}-"), random_hex))
+
+
+def new_revision_id(at: Column, random_hex: Column) -> Column:
+    """``rev-``, the UTC instant without separators, and 12 hexadecimal digits."""
+    return F.when(random_hex.rlike("^[0-9a-f]{12}$"), F.concat(F.lit("rev-"), F.date_format(at, "yyyyMMdd'T'HHmmssSSS'Z'"), F.lit("-"), random_hex))
 
 
 def access_rank(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in ACCESS_LEVELS]), level).cast("int")
 
 
-def prefixed_key(prefix: str, *parts: Column) -> Column:
-    """``prefix`` and the SHA-256 of the parts' canonical array."""
-    return F.concat(F.lit(prefix), F.sha2(F.to_json(F.array(*parts)), 256))
+#: The prefixes of keys; each is followed by the SHA-256 of its canonical preimage.
+KEY_PREFIXES = {"partition": "partition-v1-", "candidate": "candidate-v1-", "trace": "trace-v1-", "document": "document-v1-", "group": "candidate-group-v1-"}
+
+
+def prefixed_key(kind: str, **fields: Column) -> Column:
+    """Key of ``kind`` over its fields and ``schemaVersion`` 1, in the order of their names, nulls kept."""
+    parts = {"schemaVersion": F.lit(1), **fields}
+    text = F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(KEY_PREFIXES[kind]), F.sha2(text, 256))
 
 
 def code_unit_order(text: Column) -> Column:

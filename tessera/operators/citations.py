@@ -16,20 +16,33 @@ def number(bindings: DataFrame, within: list[str], source: list[str], position:
 
 
 def violations(bindings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Bindings (position, claim_id, source_id, source_rev, evidence_id) that are not valid, with their code."""
-    twice = F.count("*").over(W.partitionBy("claim_id", "source_id", "evidence_id")) > 1
-    several = F.min("source_rev").over(W.partitionBy("source_id")) != F.max("source_rev").over(W.partitionBy("source_id"))
+    """Bindings (position, claim_id, source_id, source_rev, evidence_id) that are not valid, with their first code.
+
+    One evidence belongs to one source; it must be of that source, and its claim must be bound
+    to that source too, in whichever binding.  A source is cited in one revision only.
+    """
+    by_evidence, by_source = W.partitionBy("evidence_id"), W.partitionBy("source_id")
+    several = F.min("source_rev").over(by_source) != F.max("source_rev").over(by_source)
+    owners = F.col("evidence_id").isNotNull() & (F.min("source_id").over(by_evidence) != F.max("source_id").over(by_evidence))
     e = evidence.select(F.col("evidence_id").alias("e"), F.col("claim_id").alias("ec"), F.col("source_id").alias("es"))
-    seen = bindings.withColumn("twice", twice).withColumn("several", several).join(e, F.col("evidence_id") == F.col("e"), "left")
+    bound = bindings.filter("claim_id is not null").select(F.col("source_id").alias("bs"), F.col("claim_id").alias("bc"), F.lit(True).alias("is_bound")).distinct()
+    seen = bindings.withColumn("several", several).withColumn("owners", owners).join(e, F.col("evidence_id") == F.col("e"), "left")
+    seen = seen.join(bound, (F.col("source_id") == F.col("bs")) & (F.col("ec") == F.col("bc")), "left")
     code = (
-        F.when(F.col("evidence_id").isNotNull() & F.col("e").isNull(), "citation.unresolved-ref")
-        .when(F.col("twice"), "citation.duplicate-link")
+        F.when(F.col("several"), "citation.ambiguous-source-revision")
+        .when(F.col("evidence_id").isNotNull() & F.col("e").isNull(), "citation.unresolved-ref")
+        .when(F.col("owners"), "citation.duplicate-link")
         .when(F.col("es") != F.col("source_id"), "citation.cross-source-evidence")
-        .when(F.col("ec") != F.col("claim_id"), "citation.claim-mismatch")
-        .when(F.col("several"), "citation.ambiguous-revision"))
+        .when(F.col("e").isNotNull() & F.col("is_bound").isNull(), "citation.claim-mismatch"))
     return seen.withColumn("code", code).filter("code is not null").select("position", "claim_id", "source_id", "evidence_id", "code")
 
 
+def citation_map(numbers: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Rows (source_id, number, claims, evidence): what each citation number stands for, its refs in order."""
+    refs = bindings.groupBy("source_id").agg(F.array_sort(F.collect_set("claim_id")).alias("claims"), F.array_sort(F.collect_set("evidence_id")).alias("evidence"))
+    return numbers.select("source_id", "number").join(refs, "source_id")
+
+
 def bibliography(numbers: DataFrame, sources: DataFrame, source: list[str]) -> DataFrame:
     fields = [c for c in BIBLIOGRAPHY if c in sources.columns and c not in source]
     return numbers.join(sources.select(*source, *fields), source)

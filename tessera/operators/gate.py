@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators.graph import components
 from tessera.operators.records import blank
 
 # Fixed values.
@@ -19,45 +18,82 @@ PRIMARY = ("primary-peer-reviewed", "primary-unreviewed")
 INDEPENDENT = ("independent-source", "mixed")
 
 
+def _numbers_explained() -> Column:
+    return F.forall("extracted_values", lambda v: v["numeric_value"].isNull() | (~blank(v["context"]) & ~blank(v["unit"])))
+
+
+def _located() -> Column:
+    return F.exists("locators", lambda p: (p["type"] != "unknown") & ~blank(p["value"]))
+
+
 def qualifies_retrieved() -> Column:
     """Source known; a quote or a value; numbers with context and unit; located quotes unless only metadata was read."""
-    quotes, values, places = F.coalesce(F.size("quotes"), F.lit(0)), F.coalesce(F.size("extracted_values"), F.lit(0)), F.col("locators")
-    numbers = F.forall("extracted_values", lambda v: v["numeric_value"].isNull() | (~blank(v["context"]) & ~blank(v["unit"])))
-    located = F.exists(places, lambda p: p["type"] != "unknown") | (F.col("access_level") == "metadata-only")
-    return F.coalesce(F.col("source_known") & ((quotes > 0) | (values > 0)) & numbers & ((quotes == 0) | located), F.lit(False))
+    quotes, values = F.coalesce(F.size("quotes"), F.lit(0)), F.coalesce(F.size("extracted_values"), F.lit(0))
+    placed = (quotes == 0) | (F.col("access_level") == "metadata-only") | _located()
+    return F.coalesce(F.col("source_known") & ((quotes > 0) | (values > 0)) & _numbers_explained() & placed, F.lit(False))
 
 
 def qualifies_derived() -> Column:
-    """A result with context, and a method or a valid calculation behind it."""
-    context = F.exists("extracted_values", lambda v: ~blank(v["context"]))
-    return F.coalesce(context & (~blank(F.col("method")) | F.col("calculation_valid")), F.lit(False))
+    """A result with context, numbers explained, and a method or a valid calculation behind it."""
+    context = F.exists("extracted_values", lambda v: ~blank(v["value"]) & ~blank(v["context"]))
+    quoted = F.exists("quotes", lambda q: ~blank(q)) & _located()
+    method = ~blank(F.col("method")) & (F.col("source_id").isNotNull() | F.exists("extracted_values", lambda v: ~blank(v["context"])))
+    return F.coalesce((context | quoted) & _numbers_explained() & (method | F.col("calculation_valid")), F.lit(False))
 
 
 def valid_calculation(evidence_attempt: Column) -> Column:
-    """Same attempt, success with exit code 0, something read and written, unique paths, 64-digit hashes."""
+    """Same attempt, success with exit code 0, something read and written, unique paths, sizes, 64-digit hashes."""
     files = F.concat("inputs", "source_files", "outputs")
     unique = F.size(F.array_distinct(F.transform(files, lambda f: f["relative_path"]))) == F.size(files)
-    hashed = F.forall(files, lambda f: f["sha256"].rlike("^[0-9a-f]{64}$"))
+    sound = F.forall(files, lambda f: f["sha256"].rlike("^[0-9a-f]{64}$") & f["decoded_bytes"].between(0, 2**53 - 1))
     return F.coalesce(
         (F.col("attempt_id") == evidence_attempt) & (F.col("status") == "success") & (F.col("exit_code") == 0)
-        & (F.size("inputs") + F.size("source_files") > 0) & (F.size("outputs") > 0) & unique & hashed, F.lit(False))
+        & (F.size("inputs") + F.size("source_files") > 0) & (F.size("outputs") > 0) & unique & sound, F.lit(False))
 
 
-def local_components(selected: DataFrame, relations: DataFrame) -> DataFrame:
-    """Rows (claim_id, source_id, component): components within each claim's selected sources.
+def qualify(evidence: DataFrame, sources: DataFrame, calculations: DataFrame) -> DataFrame:
+    """Adds qualified, relation, tokens, unknown_lineage, access_level and derived_key to evidence records.
 
-    ``selected`` has (claim_id, source_id, relation_root, tokens): two sources of a claim belong
-    together if they share the relation component of the whole snapshot or a metadata token of
-    the selected revisions; tokens of sources that are not selected do not count.
+    ``evidence``: evidence_id, revision, claim_id, claim_revision, evidence_type, source_id,
+    source_revision, calculation_id, stance, verification_status, quality, quotes, locators,
+    extracted_values, method, recorded_by.  ``sources``: source_id, revision, access_level, study,
+    cohorts, datasets, relation (its component's smallest source).  ``calculations``: as
+    ``valid_calculation`` reads them.
     """
-    del relations
-    keyed = selected.select("claim_id", "source_id", F.explode(F.array_union(F.transform(F.filter("tokens", lambda t: t != ""), lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("r:"), F.col("relation_root").cast("string"))))).alias("key"))
-    node = F.concat_ws("\x1f", F.col("claim_id").cast("string"), F.lit("s"), F.col("source_id").cast("string"))
-    hub = F.concat_ws("\x1f", F.col("claim_id").cast("string"), F.lit("k"), F.col("key"))
-    edges = keyed.select(node.alias("src"), hub.alias("dst"))
-    found = components(edges)
-    named = keyed.select("claim_id", "source_id", node.alias("node")).distinct()
-    return named.join(found, "node").select("claim_id", "source_id", "component")
+    some = lambda kind, c: F.transform(F.filter(c, lambda x: x != ""), lambda x: F.concat(F.lit(f"{kind}:"), x))
+    s = sources.select(
+        F.col("source_id").alias("sid"), F.col("revision").alias("srev"), "access_level", "study", F.col("relation").cast("string").alias("relation"),
+        F.concat(F.array(F.concat(F.lit("study:"), "study")), some("cohort", "cohorts"), some("dataset", "datasets")).alias("tokens"))
+    c = calculations.select(F.col("calculation_id").alias("cid"), "attempt_id", "status", "exit_code", "inputs", "source_files", "outputs")
+    out = evidence.join(s, (F.col("source_id") == F.col("sid")) & (F.col("source_revision") == F.col("srev")), "left")
+    out = out.join(c, F.col("calculation_id") == F.col("cid"), "left").withColumn("calculation_valid", valid_calculation(F.col("recorded_by"))).withColumn("source_known", F.col("sid").isNotNull())
+    retrieved = F.col("evidence_type") == "retrieved"
+    key = F.when(F.col("calculation_valid"), F.concat(F.lit("derived-calculation:"), "calculation_id")).otherwise(F.concat(F.lit("derived-method:"), "evidence_id"))
+    return out.select(
+        *evidence.columns, F.when(retrieved, qualifies_retrieved()).otherwise(qualifies_derived()).alias("qualified"), "relation", "tokens",
+        (retrieved & blank(F.col("study"))).alias("unknown_lineage"), "access_level", F.when(~retrieved, key).alias("derived_key"))
+
+
+def local_components(items: Column) -> Column:
+    """Components (tokens, key) of a claim's selected sources, an array of (relation, tokens).
+
+    Two sources belong together if they share the relation component of the whole snapshot or
+    a metadata token of the selected revisions; tokens of sources that are not selected do not
+    count.  ``key`` is the smallest relation.  A claim's sources are bounded, so the components
+    are merged inside its row.
+    """
+    start = F.expr("cast(array() as array<struct<tokens: array<string>, key: string>>)")
+    own = lambda i: F.concat(i["tokens"], F.array(F.concat(F.lit("relation:"), i["relation"])))
+
+    def merge(found: Column, item: Column) -> Column:
+        tokens = own(item)
+        met = F.filter(found, lambda g: F.arrays_overlap(g["tokens"], tokens))
+        rest = F.filter(found, lambda g: ~F.arrays_overlap(g["tokens"], tokens))
+        keys = F.concat(F.transform(met, lambda g: g["key"]), F.array(item["relation"]))
+        whole = F.array_union(F.flatten(F.transform(met, lambda g: g["tokens"])), tokens)
+        return F.concat(rest, F.array(F.struct(whole.alias("tokens"), F.array_min(keys).alias("key"))))
+
+    return F.aggregate(items, start, merge)
 
 
 def applicable_verifications(verifications: DataFrame) -> DataFrame:
@@ -141,3 +177,70 @@ def conflict_resolved(checks: DataFrame, used: DataFrame) -> DataFrame:
     have = checks.join(used.select("claim_id", "evidence_id").distinct(), ["claim_id", "evidence_id"]).groupBy("claim_id", "verification_id").agg(F.count_distinct("evidence_id").alias("have"))
     best = have.groupBy("claim_id").agg(F.max("have").alias("have"))
     return need.join(best, "claim_id", "left").select("claim_id", F.coalesce((F.col("have") == F.col("need")) & F.col("all_rejected"), F.lit(False)).alias("resolved"))
+
+
+def evaluate(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, contradictions: DataFrame, conflict_claims: DataFrame | None = None) -> DataFrame:
+    """The gate's decision of each claim revision, from records.
+
+    ``claims``: claim_id, revision, status, kind, minimum, independent_allowed, primary_required,
+    full_text_required, created_by, evidence_refs (id, revision).  ``evidence``: rows of
+    ``qualify``.  ``verifications``: verification_id, revision, checked_claims (id, revision),
+    checked_evidence (id, revision), result, method, attempt_id, independent_evidence_ids,
+    corrections (claim_id, description).  ``contradictions``: claim_id, evidence_id, revision,
+    rejected, of the claim's conflict closure; ``conflict_claims``: claim_id of claims with
+    conflicting claims.  Only references of a claim to evidence of the same claim revision count.
+    """
+    refs = claims.select("claim_id", F.col("revision").alias("claim_revision"), F.explode(F.array_distinct("evidence_refs")).alias("ref"))
+    refs = refs.select("claim_id", "claim_revision", F.col("ref.id").alias("evidence_id"), F.col("ref.revision").alias("revision"))
+    live = (F.col("stance") == "supporting") & F.col("verification_status").isin(*LIVE) & F.col("qualified")
+    good = evidence.filter(live).join(refs, ["claim_id", "claim_revision", "evidence_id", "revision"], "left_semi")
+    retrieved = F.col("evidence_type") == "retrieved"
+    facts = good.groupBy("claim_id", F.col("claim_revision").alias("revision")).agg(
+        F.count("*").alias("qualifying"), F.collect_list(F.when(retrieved & ~F.col("unknown_lineage"), F.struct("relation", "tokens"))).alias("items"),
+        F.collect_set("derived_key").alias("derived_keys"), F.coalesce(F.bool_or(retrieved & F.col("quality").isin(*PRIMARY)), F.lit(False)).alias("has_primary"),
+        F.coalesce(F.bool_or(retrieved & (F.col("access_level") != "full-text")), F.lit(False)).alias("lacks_full_text"),
+        F.bool_or("unknown_lineage").alias("unknown_lineage"), F.collect_set("recorded_by").alias("recorders"),
+        F.collect_list(F.struct(F.col("evidence_id").alias("id"), F.col("revision"))).alias("used"))
+    against = contradictions.groupBy("claim_id").agg(
+        F.collect_set(F.struct(F.col("evidence_id").alias("id"), F.col("revision"))).alias("against"), F.bool_and("rejected").alias("all_rejected"))
+    none = lambda c, of: F.coalesce(c, F.expr(f"cast(array() as array<{of}>)"))
+    ref_type = evidence.select(F.struct(F.col("evidence_id").alias("id"), "revision").alias("r")).schema["r"].dataType.simpleString()
+    out = claims.join(facts, ["claim_id", "revision"], "left").join(against, "claim_id", "left")
+    out = out.na.fill(0, ["qualifying"]).na.fill(False, ["has_primary", "lacks_full_text", "unknown_lineage"]).withColumns({
+        "components": local_components(none(F.col("items"), "struct<relation: string, tokens: array<string>>")), "derived_keys": none(F.col("derived_keys"), "string"),
+        "recorders": none(F.col("recorders"), claims.schema["created_by"].dataType.simpleString()), "used": none(F.col("used"), ref_type), "against": none(F.col("against"), ref_type)})
+    out = out.withColumns({
+        "retrieved": F.size("components"), "derived": F.size("derived_keys"), "contradicting": F.size("against"),
+        "seen": F.flatten(F.transform("components", lambda g: g["tokens"])),
+        "base_attempts": F.array_union("recorders", F.array("created_by"))})
+
+    checked = applicable_verifications(verifications).filter("result = 'accepted'").drop("revision")
+    checked = checked.select("verification_id", "checked_evidence", "method", "attempt_id", "independent_evidence_ids", "corrections", F.col("claim.id").alias("claim_id"), F.col("claim.revision").alias("revision"))
+    base = out.select("claim_id", "revision", "status", "base_attempts", "used", "against", "all_rejected", "seen", "components", "derived_keys")
+    checked = checked.join(base, ["claim_id", "revision"]).filter(~F.array_contains("base_attempts", F.col("attempt_id")))
+
+    corrected = F.exists("corrections", lambda c: (c["claim_id"] == F.col("claim_id")) & ~blank(c["description"]))
+    whole = F.size(F.array_except(F.array_union("used", "against"), "checked_evidence")) == 0
+    settled = checked.groupBy("claim_id", "revision").agg(F.bool_or((F.col("status") == "supported") & corrected & whole & F.coalesce("all_rejected", F.lit(True))).alias("conflict_resolved"))
+
+    offered = checked.filter(F.col("method").isin(*INDEPENDENT)).withColumn("id", F.explode("independent_evidence_ids"))
+    offered = offered.withColumn("same", F.filter("checked_evidence", lambda r: r["id"] == F.col("id"))).filter("size(same) = 1")
+    offered = offered.select(
+        "claim_id", F.col("revision").alias("claim_revision"), F.col("id").alias("evidence_id"), F.col("same")[0]["revision"].alias("revision"), F.col("attempt_id").alias("recorded_by"), "seen",
+        F.transform("components", lambda g: g["key"]).alias("keys"), F.col("derived_keys").alias("known_keys"))
+    met = evidence.filter(live).join(offered, ["claim_id", "claim_revision", "evidence_id", "revision", "recorded_by"])
+    fresh = (
+        F.when(F.col("evidence_type") == "retrieved", ~F.col("unknown_lineage") & ~F.arrays_overlap(F.concat("tokens", F.array(F.concat(F.lit("relation:"), "relation"))), F.col("seen")) & ~F.array_contains("keys", F.col("relation")))
+        .otherwise(~F.array_contains("known_keys", F.col("derived_key"))))
+    credits = met.filter(fresh).select("claim_id", F.col("claim_revision").alias("revision")).distinct().withColumn("credit", F.lit(1))
+
+    out = out.join(settled, ["claim_id", "revision"], "left").join(credits, ["claim_id", "revision"], "left")
+    rival = conflict_claims.select("claim_id").distinct().withColumn("rival", F.lit(True)) if conflict_claims is not None else None
+    out = out.join(rival, "claim_id", "left") if rival is not None else out.withColumn("rival", F.lit(False))
+    least = F.when(F.col("kind") == "externally-verifiable-fact", 1).otherwise(0)
+    out = out.withColumns({
+        "credit": F.when(F.col("independent_allowed"), F.coalesce("credit", F.lit(0))).otherwise(0), "resolved": F.col("retrieved") + F.col("derived"),
+        "effective_minimum": F.greatest(least, F.col("minimum")), "in_conflict": (F.col("contradicting") > 0) | F.coalesce("rival", F.lit(False)),
+        "conflict_resolved": F.coalesce("conflict_resolved", F.lit(False))})
+    out = out.withColumn("blockers", blockers())
+    return out.select("claim_id", "revision", "qualifying", "retrieved", "derived", "resolved", "credit", "effective_minimum", "contradicting", "conflict_resolved", "blockers", (F.size("blockers") == 0).alias("passes"))

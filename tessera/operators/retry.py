@@ -10,6 +10,7 @@ from tessera.functions.identifiers import backoff_ms
 
 #: Task states, and the transitions of runs and tasks.
 TASK_STATES = ("open", "ready", "running", "blocked", "resolved", "cancelled")
+CHECKPOINTS = ("planning", "researching", "verifying", "synthesizing")
 RUN_MOVES = {
     "created": ("planning", "cancelled", "failed"),
     "planning": ("researching", "paused", "cancelled", "failed"),
@@ -41,12 +42,36 @@ def allowed(moves: dict[str, tuple[str, ...]], source: Column, target: Column) -
 
 
 def move_violations(events: DataFrame, key: str, moves: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Rows (key, seq, state, next) of transitions that are not allowed."""
+    """Rows (key, seq, state, next) of transitions that are not allowed; states without moves take no further revision."""
     by = W.partitionBy(key).orderBy("seq")
     seen = events.withColumn("before", F.lag("state").over(by)).filter("before is not null")
     return seen.filter(~allowed(moves, F.col("before"), F.col("state"))).select(key, "seq", F.col("before").alias("state"), F.col("state").alias("next"))
 
 
+def run_move_violations(events: DataFrame, key: str) -> DataFrame:
+    """Rows (key, seq, state, next) of changes (seq, from, to, blocker, depth, checkpoint) of a run that are not allowed.
+
+    ``blocker`` is the new one; the one in force is that of the change before.  ``checkpoint`` is
+    the last stage (planning to synthesizing) that the run had reached before.  A blocker goes
+    with failed, which needs one, or with paused; synthesizing follows researching at once only
+    in depth quick; recovering goes back to the checkpoint; only a retryable failure recovers.
+    """
+    by = W.partitionBy(key).orderBy("seq")
+    prior = F.lag("blocker").over(by)
+    stage = F.when(F.col("to").isin(*CHECKPOINTS), F.col("to"))
+    last = F.last(stage, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    seen = events.withColumns({"prior": prior, "last": F.coalesce(last, "checkpoint")})
+    source, target = F.col("from"), F.col("to")
+    plain = allowed(RUN_MOVES, source, target)
+    special = (
+        F.when((source == "researching") & (target == "synthesizing"), F.col("depth") == "quick")
+        .when((source == "recovering") & target.isin(*CHECKPOINTS), target == F.col("last"))
+        .when((source == "failed") & (target == "recovering"), F.coalesce(F.col("prior").startswith("retryable-"), F.lit(False)))
+        .otherwise(F.lit(True)))
+    named = F.when(target == "failed", F.col("blocker").isNotNull()).otherwise(F.col("blocker").isNull() | (target == "paused"))
+    return seen.filter(~(plain & F.coalesce(special, F.lit(False)) & named)).select(key, "seq", source.alias("state"), target.alias("next"))
+
+
 def epochs(events: DataFrame, key: str) -> DataFrame:
     """Adds the epoch in force at each event: the last resumed one, 0 before any."""
     by = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
@@ -60,17 +85,57 @@ def quarantined(results: DataFrame, cancels: DataFrame, key: str) -> DataFrame:
 
 
 def schedules(failures: DataFrame) -> DataFrame:
-    """Adds wait_ms and not_before_ms to failures (attempt, base_ms, cap_ms, draw, retry_after_ms, left_ms, at_ms)."""
-    wait = backoff_ms(F.col("attempt"), F.col("base_ms"), F.col("cap_ms"), F.col("draw"), F.col("retry_after_ms"), F.col("left_ms"))
-    return failures.withColumn("wait_ms", wait).withColumn("not_before_ms", F.col("at_ms") + F.col("wait_ms"))
+    """Adds kind, code, delay_ms and not_before_ms to failures.
+
+    Columns: next_ordinal, base_ms, most_ms, draw, retry_after_ms, budget_left_ms,
+    deadline_left_ms, at_ms, scheduled (whether this retry has a schedule already).  Nothing is
+    scheduled once the deadline or the active budget is used up; a schedule is made once.
+    """
+    c = F.col
+    code = F.when(c("deadline_left_ms") <= 0, "retry-deadline-exhausted").when(c("budget_left_ms") <= 0, "retry-budget-exhausted")
+    kind = F.when(code.isNotNull(), "blocked").when(c("scheduled"), "already-scheduled").otherwise("scheduled")
+    delay = backoff_ms(c("next_ordinal"), c("base_ms"), c("most_ms"), c("draw"), c("retry_after_ms"), F.least("budget_left_ms", "deadline_left_ms"))
+    out = failures.withColumn("kind", kind).withColumn("code", code).withColumn("delay_ms", F.when(F.col("kind") == "scheduled", delay))
+    return out.withColumn("not_before_ms", c("at_ms") + c("delay_ms"))
+
+
+def start_issues(starts: DataFrame, planned: DataFrame) -> DataFrame:
+    """Starts (schedule_id, seq, at_ms, epoch, cancel_seq) that may not start: unknown, too early, of another or a cancelled epoch, or started before."""
+    p = planned.select("schedule_id", F.col("not_before_ms"), F.col("epoch").alias("planned_epoch"))
+    nth = F.row_number().over(W.partitionBy("schedule_id").orderBy("seq"))
+    seen = starts.withColumn("nth", nth).join(p, "schedule_id", "left")
+    code = (
+        F.when(F.col("planned_epoch").isNull(), "schedule-not-found").when(F.col("nth") > 1, "duplicate-retry-start")
+        .when((F.col("epoch") != F.col("planned_epoch")) | (F.col("seq") > F.col("cancel_seq")), "retry-after-cancel").when(F.col("at_ms") < F.col("not_before_ms"), "retry-not-due"))
+    return seen.withColumn("code", code).filter("code is not null").select("schedule_id", "seq", "code")
+
+
+def valid_budget(limit: Column, used: Column, reserve: Column) -> Column:
+    right = F.least(F.lit(600_000.0), F.greatest(F.lit(60_000.0), limit * 0.2), limit * 0.5)
+    return F.coalesce((used >= 0) & (limit >= 0) & (reserve == right) & (used <= limit), F.lit(False))
 
 
 def budget(events: DataFrame, key: str) -> DataFrame:
-    """Running limit and use: checkpoints add to use, amendments to the limit."""
-    by = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    used = F.sum(F.when(F.col("type") == "budget_checkpoint", F.col("amount")).otherwise(0)).over(by)
-    limit = F.sum(F.when(F.col("type") == "budget_amended", F.col("amount")).otherwise(0)).over(by)
-    return events.withColumn("used", used).withColumn("limit", limit)
+    """Adds limit_ms, used_ms, reserve_ms in force after each event, and ``code`` where the event breaks the chain.
+
+    Events: type run_created (limit, used, reserve), active_time_checkpoint (total, added), or
+    budget_amended (old_limit, old_used, old_reserve and limit, used, reserve).  A checkpoint adds
+    to the time used, and its total must be what was used plus what it adds; an amendment replaces
+    the budget, must name the one in force and keep the time used.
+    """
+    by = W.partitionBy(key).orderBy("seq")
+    past, now = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(W.unboundedPreceding, 0)
+    sets, ticks = F.col("type").isin("run_created", "budget_amended"), F.col("type") == "active_time_checkpoint"
+    states = {"limit_ms": F.when(sets, F.col("limit")), "used_ms": F.when(sets, F.col("used")).when(ticks, F.col("total")), "reserve_ms": F.when(sets, F.col("reserve"))}
+    out = events.withColumns({f"_was_{k}": F.last(v, ignorenulls=True).over(past) for k, v in states.items()} | {k: F.last(v, ignorenulls=True).over(now) for k, v in states.items()})
+    known = F.col("_was_limit_ms").isNotNull()
+    same = F.col("old_limit").eqNullSafe(F.col("_was_limit_ms")) & F.col("old_used").eqNullSafe(F.col("_was_used_ms")) & F.col("old_reserve").eqNullSafe(F.col("_was_reserve_ms"))
+    sound = (
+        F.when(F.col("type") == "run_created", ~known & valid_budget(F.col("limit"), F.col("used"), F.col("reserve")))
+        .when(ticks, known & (F.col("total") - F.col("_was_used_ms") == F.col("added")) & (F.col("added") >= 0))
+        .when(F.col("type") == "budget_amended", known & same & (F.col("used") == F.col("_was_used_ms")) & valid_budget(F.col("limit"), F.col("used"), F.col("reserve")))
+        .otherwise(F.lit(True)))
+    return out.withColumn("code", F.when(~F.coalesce(sound, F.lit(False)), "retry.corruption")).drop(*[f"_was_{k}" for k in states])
 
 
 def latest_failure(failures: DataFrame) -> DataFrame:

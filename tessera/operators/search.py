@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.identifiers import access_rank, prefixed_key
 
-#: Outcomes by transport code class.
-FAILURES = {
-    "retryable": ("connect-timeout", "read-timeout", "deadline", "rate-limited", "connection-reset", "dns-temporary"),
-    "blocked": ("forbidden-address", "forbidden-origin", "redirect-limit", "credential-in-url", "bad-port"),
-    "terminal": ("bad-status", "bad-content-type", "too-large", "decode-failed", "bad-json", "not-found"),
-}
+# What a transport code means in a trace and for a provider; other codes are security policy.
+TRACE_CODES = {
+    "network.dns-empty": "availability", "network.dns-temporary": "availability", "transport.connect-failed": "availability", "transport.connect-timeout": "availability",
+    "network.dns-nxdomain": "terminal-provider", "transport.cancelled": "cancelled", "transport.deadline-exceeded": "deadline-exceeded",
+    "transport.http-retryable": "http-retryable", "transport.http-terminal": "http-terminal", "transport.json-root-invalid": "invalid-response"}
+PROVIDER_CODES = {
+    "availability": "provider.availability", "http-retryable": "provider.availability", "terminal-provider": "provider.terminal", "http-terminal": "provider.terminal",
+    "cancelled": "provider.cancelled", "deadline-exceeded": "provider.deadline-exceeded", "invalid-response": "provider.invalid-response", "security-policy": "provider.security-policy"}
+MOST_PROVIDERS = 64
 
 
 def plan(queries: DataFrame, providers: DataFrame) -> DataFrame:
     """Partitions of providers x queries with the effective limit; equal partitions run once, with all their queries.
 
-    Both tables are small by contract (a call has at most 16 queries and a fixed set of providers).
+    Providers are a fixed set: more than ``MOST_PROVIDERS`` are an error.  They become one array, from which
+    each query takes its partitions.
     """
-    each = queries.join(F.broadcast(providers.limit(64)), F.lit(True))
-    each = each.withColumn("limit", F.least("caller_limit", "configured_limit", "endpoint_cap"))
-    key = prefixed_key("partition-v1-", F.col("provider"), F.col("text"), F.col("limit").cast("string"))
+    if providers.count() > MOST_PROVIDERS:
+        raise ValueError("search.too-many-providers")
+    listed = providers.agg(F.collect_list(F.struct("provider", "configured_limit", "endpoint_cap")).alias("all")).withColumn("one", F.lit(1))
+    each = queries.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").select("query_id", "text", "caller_limit", F.explode("all").alias("p"))
+    each = each.select("query_id", "text", "p.provider", F.least("caller_limit", "p.configured_limit", "p.endpoint_cap").alias("limit"))
+    key = prefixed_key("partition", provider=F.col("provider"), text=F.col("text"), limit=F.col("limit"))
     return each.withColumn("partition_key", key).groupBy("partition_key", "provider", "text", "limit").agg(F.array_sort(F.collect_set("query_id")).alias("queries"))
 
 
@@ -51,23 +55,19 @@ def quota(drafts: DataFrame, most: int) -> DataFrame:
 def shared_quota(drafts: DataFrame, most: int) -> DataFrame:
     """Quota where a draft may serve several queries: it goes if any of them is full.
 
-    The rule is sequential within a search, so a search's drafts are folded in order; drafts
-    (search_id, ordinal, draft_ordinal, queries) of one search are bounded by its caps.
+    The rule is sequential within a search, so the drafts (search_id, ordinal, draft_ordinal,
+    queries) of one search, which its caps bound, are folded in order inside a row.
     """
+    row = F.struct("ordinal", "draft_ordinal", "queries", F.struct(*drafts.columns).alias("row"))
+    each = drafts.groupBy("search_id").agg(F.array_sort(F.collect_list(row)).alias("drafts"))
+    kind = drafts.select(F.struct(*drafts.columns).alias("row")).schema["row"].dataType.simpleString()
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("used"), F.expr(f"cast(array() as array<{kind}>)").alias("kept"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        keep = []
-        part = part.sort_values(["ordinal", "draft_ordinal"])
-        for qs in part["queries"]:
-            ok = all(used.get(q, 0) < most for q in qs)
-            keep.append(ok)
-            if ok:
-                for q in qs:
-                    used[q] = used.get(q, 0) + 1
-        return part[keep]
+    def step(acc: Column, d: Column) -> Column:
+        room = F.forall(d["queries"], lambda q: F.size(F.filter(acc["used"], lambda u: u == q)) < most)
+        return F.when(room, F.struct(F.concat(acc["used"], d["queries"]).alias("used"), F.concat(acc["kept"], F.array(d["row"])).alias("kept"))).otherwise(acc)
 
-    return drafts.groupBy("search_id").applyInPandas(fold, drafts.schema)
+    return each.select(F.explode(F.aggregate("drafts", start, step, lambda a: a["kept"])).alias("row")).select("row.*")
 
 
 def counters(partitions: DataFrame) -> DataFrame:
@@ -90,10 +90,19 @@ def within_budget(rows: DataFrame, key: str, order: list[str], size: Column, mos
     return rows.withColumn("running", F.sum(size).over(by)).filter(F.col("running") <= most)
 
 
-def failure_class(code: Column) -> Column:
-    out = F.lit("unknown")
-    for name, codes in FAILURES.items():
-        out = F.when(code.isin(*codes), name).otherwise(out)
+def trace_code(code: Column) -> Column:
+    """What a trace says of a settlement: success without a failure code, else the code's class."""
+    out = F.lit("security-policy")
+    for raw, name in TRACE_CODES.items():
+        out = F.when(code == raw, name).otherwise(out)
+    return F.when(code.isNull(), "success").otherwise(out)
+
+
+def provider_code(code: Column) -> Column:
+    """Provider outcome of a failure code."""
+    trace, out = trace_code(code), F.lit(None).cast("string")
+    for name, outcome in PROVIDER_CODES.items():
+        out = F.when(trace == name, outcome).otherwise(out)
     return out
 
 
@@ -107,7 +116,3 @@ def follow_ups(settled: DataFrame) -> DataFrame:
 def numeric_order(values: Column) -> Column:
     """Distinct decimal ids in numeric order: by length, then text."""
     return F.transform(F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))), lambda s: s["v"])
-
-
-def results_in_order(frames: Iterator[DataFrame], key: str) -> list[DataFrame]:
-    return [f.orderBy(key) for f in frames]

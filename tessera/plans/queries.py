@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import addresses
 from tessera.functions import identifiers as I
 from tessera.operators import citations, evidence_query, gate, graph, lineage, records, retry, search
 from tessera.plans import adapters as A
@@ -86,10 +87,12 @@ def lineage_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf).filter(evidence_query.condition(q)).groupBy(F.col("lineage")[0].alias("study")).agg(F.count("*").alias("n"))
 
 
-@register("direct_refs", with_sql(EVIDENCE_SQL, LATEST_SQL) + " SELECT evidence_id AS id, revision FROM latest WHERE claim_id % 50 = 0")
+@register("direct_refs", with_sql(EVIDENCE_SQL, CLAIMS_SQL, LATEST_SQL) + " SELECT evidence_id AS id, revision FROM latest JOIN claims USING (claim_id) WHERE status = 'supported'")
 def direct_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """The references of all supported claims to their latest evidence, each given twice."""
     all_ = _records(spark, sf)
-    refs = all_.filter("claim_id % 50 = 0").select("kind", "id", "revision")
+    cited = A.claims(spark, sf).filter("status = 'supported'").select("claim_id")
+    refs = all_.join(cited, "claim_id", "left_semi").select("kind", "id", "revision")
     return evidence_query.by_refs(all_, refs.unionByName(refs)).select("id", "revision")
 
 
@@ -139,7 +142,7 @@ def _things(spark: SparkSession, sf: str) -> DataFrame:
     one = F.lit(1).cast("long").alias("revision")
     return records.union_all([
         A.claims(spark, sf).select(F.lit("claims").alias("kind"), F.col("claim_id").alias("id"), one),
-        A.sources(spark, sf).filter("source_id % 11 <> 0").select(F.lit("sources").alias("kind"), F.col("source_id").alias("id"), one),
+        A.sources(spark, sf).filter("study <> 'study:3'").select(F.lit("sources").alias("kind"), F.col("source_id").alias("id"), one),
         A.evidence(spark, sf).select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"), "revision")])
 
 
@@ -149,9 +152,9 @@ def edge_counts_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).groupBy("dst_kind").agg(F.count("*").alias("edges"))
 
 
-@register("unresolved_refs", with_sql(EVIDENCE_SQL) + """
+@register("unresolved_refs", with_sql(EVIDENCE_SQL, SOURCES_SQL) + """
 , e AS (SELECT DISTINCT evidence_id FROM evidence)
-SELECT 'sources' AS dst_kind, source_id AS dst_id, count(*) AS n FROM evidence WHERE source_id % 11 = 0 GROUP BY source_id
+SELECT 'sources' AS dst_kind, source_id AS dst_id, count(*) AS n FROM evidence WHERE source_id NOT IN (SELECT source_id FROM sources WHERE study <> 'study:3') GROUP BY source_id
 UNION ALL SELECT 'evidence', claim_id * 8 + 8, count(*) FROM evidence v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.evidence_id = v.claim_id * 8 + 8) GROUP BY claim_id
 """)
 def unresolved_refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,22 +215,22 @@ def dag_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _closure_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Page: claims below 2000; references: claim to its evidence, evidence to source, source to study."""
+    """All claims as primaries; references: claim to its evidence, evidence to source, source to study."""
     e = records.latest(A.evidence(spark, sf), ["evidence_id"])
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = records.union_all([
         e.select(name("c", "claim_id").alias("src"), name("e", "evidence_id").alias("dst")),
         e.select(name("e", "evidence_id").alias("src"), name("s", "source_id").alias("dst")),
         A.sources(spark, sf).select(name("s", "source_id").alias("src"), F.col("study").alias("dst"))])
-    page = A.claims(spark, sf).filter("claim_id < 2000").select(name("c", "claim_id").alias("node"), F.col("claim_id").alias("rank"))
+    page = A.claims(spark, sf).select(name("c", "claim_id").alias("node"), F.col("claim_id").alias("rank"))
     return page, edges
 
 
 @register("reference_closure", with_sql(EVIDENCE_SQL, SOURCES_SQL, LATEST_SQL) + """
-, r AS (SELECT 'c' || o_orderkey AS node, o_orderkey AS rank FROM orders WHERE o_orderkey < 2000
-  UNION ALL SELECT 'e' || evidence_id, claim_id FROM latest WHERE claim_id < 2000 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = claim_id)
-  UNION ALL SELECT 's' || source_id, claim_id FROM latest WHERE claim_id < 2000 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = claim_id)
-  UNION ALL SELECT study, claim_id FROM latest JOIN sources USING (source_id) WHERE claim_id < 2000 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = claim_id))
+, own AS (SELECT * FROM latest WHERE claim_id IN (SELECT o_orderkey FROM orders)),
+r AS (SELECT 'c' || o_orderkey AS node, o_orderkey AS rank FROM orders
+  UNION ALL SELECT 'e' || evidence_id, claim_id FROM own UNION ALL SELECT 's' || source_id, claim_id FROM own
+  UNION ALL SELECT study, claim_id FROM own JOIN sources USING (source_id))
 SELECT node, min(rank) AS rank FROM r GROUP BY node""")
 def reference_closure(spark: SparkSession, sf: str) -> DataFrame:
     return graph.first_reach(*_closure_input(spark, sf))
@@ -302,14 +305,17 @@ def citation_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("citation_violations", with_sql(EVIDENCE_SQL, LATEST_SQL) + """
-, b AS (SELECT l_orderkey AS claim_id, l_suppkey AS source_id, l_orderkey * 8 + (l_linenumber * 3) % 7 + 1 AS evidence_id FROM lineitem),
-n AS (SELECT *, count(*) OVER (PARTITION BY claim_id, source_id, evidence_id) AS k FROM b)
-SELECT code, count(*) AS n FROM (
-  SELECT CASE WHEN l.evidence_id IS NULL THEN 'citation.unresolved-ref' WHEN k > 1 THEN 'citation.duplicate-link' WHEN l.source_id <> n.source_id THEN 'citation.cross-source-evidence' END AS code
-  FROM n LEFT JOIN latest l ON l.evidence_id = n.evidence_id) WHERE code IS NOT NULL GROUP BY code""")
+, b AS (SELECT l_orderkey + (l_linenumber = 5)::INT AS claim_id, l_suppkey AS source_id, CASE WHEN l_returnflag = 'N' AND l_tax = 0.05 THEN 2 ELSE 1 END AS rev, l_orderkey * 8 + (l_linenumber * 3) % 7 + 1 AS evidence_id FROM lineitem),
+n AS (SELECT *, min(rev) OVER (PARTITION BY source_id) <> max(rev) OVER (PARTITION BY source_id) AS several, min(source_id) OVER (PARTITION BY evidence_id) <> max(source_id) OVER (PARTITION BY evidence_id) AS owners FROM b),
+c AS (SELECT CASE WHEN several THEN 'citation.ambiguous-source-revision' WHEN l.evidence_id IS NULL THEN 'citation.unresolved-ref' WHEN owners THEN 'citation.duplicate-link'
+  WHEN l.source_id <> n.source_id THEN 'citation.cross-source-evidence' WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.source_id = n.source_id AND b.claim_id = l.claim_id) THEN 'citation.claim-mismatch' END AS code
+  FROM n LEFT JOIN latest l ON l.evidence_id = n.evidence_id)
+SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY code""")
 def citation_violations(spark: SparkSession, sf: str) -> DataFrame:
     li = A.table(spark, sf, "lineitem")
-    b = li.select(F.col("l_linenumber").alias("position"), F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("source_id"), F.lit(1).alias("source_rev"), (F.col("l_orderkey") * 8 + (F.col("l_linenumber") * 3) % 7 + 1).alias("evidence_id"))
+    b = li.select(
+        F.col("l_linenumber").alias("position"), (F.col("l_orderkey") + (F.col("l_linenumber") == 5).cast("int")).alias("claim_id"), F.col("l_suppkey").alias("source_id"),
+        F.when((F.col("l_returnflag") == "N") & (F.col("l_tax") == 0.05), 2).otherwise(1).alias("source_rev"), (F.col("l_orderkey") * 8 + (F.col("l_linenumber") * 3) % 7 + 1).alias("evidence_id"))
     return citations.violations(b, records.latest(A.evidence(spark, sf), ["evidence_id"])).groupBy("code").agg(F.count("*").alias("n"))
 
 
@@ -460,12 +466,24 @@ def as_of_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("budget_fold", with_sql(LEDGER_SQL) + """
-SELECT user_id, seq, sum(CASE WHEN type IN ('view', 'click') THEN 10 ELSE 0 END) OVER w::BIGINT AS used, sum(CASE WHEN type = 'purchase' THEN 25 ELSE 0 END) OVER w::BIGINT AS "limit"
-FROM ledger WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""".replace("OVER w::BIGINT", "OVER w"))
+, k AS (SELECT *, seq > 1 AND type IN ('view', 'click') AS tick, seq > 1 AND type = 'purchase' AS amend FROM ledger),
+r AS (SELECT *, 10 * count(*) FILTER (WHERE tick) OVER w AS used, 600000 + 100 * count(*) FILTER (WHERE amend) OVER w AS lim FROM k WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT user_id, seq, used::DOUBLE AS used_ms, lim::DOUBLE AS limit_ms, least(600000.0::DOUBLE, greatest(60000.0::DOUBLE, lim * 0.2::DOUBLE), lim * 0.5::DOUBLE) AS reserve_ms,
+  CASE WHEN (tick OR amend) AND value > 40 THEN 'retry.corruption' END AS code FROM r""")
 def budget_fold(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("type").isin("view", "click"), "budget_checkpoint").when(F.col("type") == "purchase", "budget_amended")
-    e = A.ledger(spark, sf).select("user_id", "seq", F.coalesce(kind, F.lit("other")).alias("type"), F.when(F.col("type") == "purchase", 25).otherwise(10).alias("amount"))
-    return retry.budget(e, "user_id").select("user_id", "seq", "used", "limit")
+    """Each log starts a budget; views and clicks checkpoint 10 ms, purchases raise the limit by 100 ms.  Events of a value over 40 misstate what was before."""
+    from pyspark.sql import Window as W
+
+    by = W.partitionBy("user_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    first, wrong = F.col("seq") == 1, F.coalesce(F.col("value") > 40, F.lit(False)).cast("double")
+    tick, amend = ~first & F.col("type").isin("view", "click"), ~first & (F.col("type") == "purchase")
+    e = A.ledger(spark, sf).withColumn("used", 10.0 * F.count_if(tick).over(by)).withColumn("limit", 600_000.0 + 100 * F.count_if(amend).over(by))
+    reserve = lambda limit: F.least(F.lit(600_000.0), F.greatest(F.lit(60_000.0), limit * 0.2), limit * 0.5)
+    old = F.col("limit") - 100
+    e = e.select(
+        "user_id", "seq", F.when(first, "run_created").when(tick, "active_time_checkpoint").when(amend, "budget_amended").otherwise("other").alias("type"), "limit", "used", reserve(F.col("limit")).alias("reserve"),
+        old.alias("old_limit"), (F.col("used") + wrong).alias("old_used"), reserve(old).alias("old_reserve"), F.col("used").alias("total"), (10.0 + wrong).alias("added"))
+    return retry.budget(e, "user_id").select("user_id", "seq", "used_ms", "limit_ms", "reserve_ms", "code")
 
 
 @register("latest_failure", with_sql(LEDGER_SQL) + " SELECT user_id AS attempt_id, max_by(props, seq) AS state, max(seq) AS seq FROM ledger WHERE type = 'error' GROUP BY user_id")
@@ -474,13 +492,15 @@ def latest_failure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("retry_backoff", with_sql(LEDGER_SQL) + """
-, w AS (SELECT event_id, greatest(floor((event_id % 100) / 100.0::DOUBLE * least(1000.0::DOUBLE * pow(2.0, seq % 8), 60000.0)), CASE WHEN event_id % 9 = 0 THEN 5000 ELSE 0 END)::BIGINT AS w FROM ledger WHERE type = 'error')
-SELECT event_id, CASE WHEN w <= 30000 THEN w END AS wait_ms FROM w""")
+, f AS (SELECT *, 2 + seq % 8 AS next_ordinal, (event_id % 100) / 100.0::DOUBLE AS draw, CASE WHEN type = 'error' THEN 5000 END AS after, 90000 - 1000 * seq AS deadline, 60000 - 500 * (event_id % 150) AS budget FROM ledger)
+SELECT event_id, CASE WHEN deadline <= 0 OR budget <= 0 THEN 'blocked' WHEN type = 'signup' THEN 'already-scheduled' ELSE 'scheduled' END AS kind,
+  CASE WHEN deadline <= 0 THEN 'retry-deadline-exhausted' WHEN budget <= 0 THEN 'retry-budget-exhausted' END AS code,
+  CASE WHEN deadline > 0 AND budget > 0 AND type <> 'signup' THEN floor(least(greatest(floor(draw * least(1000.0::DOUBLE * pow(2.0, next_ordinal - 2), 40000.0)), coalesce(after, 0)), 40000, deadline, budget))::BIGINT END AS delay_ms FROM f""")
 def retry_backoff(spark: SparkSession, sf: str) -> DataFrame:
-    e = A.ledger(spark, sf).filter("type = 'error'").select(
-        "event_id", "at_ms", (F.col("seq") % 8).alias("attempt"), F.lit(1000).alias("base_ms"), F.lit(60000).alias("cap_ms"), ((F.col("event_id") % 100) / 100.0).alias("draw"),
-        F.when(F.col("event_id") % 9 == 0, 5000).alias("retry_after_ms"), F.lit(30000).alias("left_ms"))
-    return retry.schedules(e).select("event_id", "wait_ms")
+    e = A.ledger(spark, sf).select(
+        "event_id", "at_ms", (2 + F.col("seq") % 8).alias("next_ordinal"), F.lit(1000).alias("base_ms"), F.lit(40000).alias("most_ms"), ((F.col("event_id") % 100) / 100.0).alias("draw"),
+        F.when(F.col("type") == "error", 5000).alias("retry_after_ms"), (60000 - 500 * (F.col("event_id") % 150)).alias("budget_left_ms"), (90000 - 1000 * F.col("seq")).alias("deadline_left_ms"), (F.col("type") == "signup").alias("scheduled"))
+    return retry.schedules(e).select("event_id", "kind", "code", "delay_ms")
 
 
 @register("recovery_decision", with_sql(LEDGER_SQL) + """
@@ -506,40 +526,49 @@ def orphan_transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("transaction_counts", """
-WITH r AS (SELECT o_orderkey AS t, o_orderstatus = 'F' AS c, o_orderkey % 4 <> 0 AS o FROM orders)
+WITH r AS (SELECT o_orderkey AS t, o_orderstatus = 'F' AS c, o_orderpriority NOT LIKE '5%' AS o FROM orders)
 SELECT count(*) FILTER (WHERE c) AS committed, count(*) FILTER (WHERE NOT c AND o) AS pending, count(*) FILTER (WHERE NOT o) AS unmaterialised FROM r""")
 def transaction_counts(spark: SparkSession, sf: str) -> DataFrame:
-    o = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("transaction_id"), "o_orderstatus")
-    return retry.transaction_counts(o, o.filter("o_orderstatus = 'F'"), o.filter("transaction_id % 4 <> 0"))
+    o = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("transaction_id"), "o_orderstatus", "o_orderpriority")
+    return retry.transaction_counts(o, o.filter("o_orderstatus = 'F'"), o.filter("o_orderpriority not like '5%'"))
 
 
 URL_SQL = r"""
-WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?)://([A-Za-z0-9.-]+)([/?].*)?$', ['s', 'h', 'r']) AS u FROM pages)
-SELECT page_id, CASE WHEN u.h = '' OR contains(url, '#') THEN NULL ELSE u.s || '://' || lower(u.h) || CASE WHEN u.r = '' THEN '/' WHEN u.r[1] = '?' THEN '/' || u.r ELSE u.r END END AS url,
-  regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN contains(url, '?') THEN '?redacted' ELSE '' END AS redacted FROM p"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https)://([A-Za-z0-9.-]+)([/?].*)?$', ['s', 'h', 'r']) AS u FROM pages),
+n AS (SELECT page_id, CASE WHEN u.h = '' OR contains(url, '#') THEN NULL ELSE u.s || '://' || lower(u.h) || CASE WHEN u.r = '' THEN '/' WHEN u.r[1] = '?' THEN '/' || u.r ELSE u.r END END AS url FROM p)
+SELECT page_id, url, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN contains(url, '?') THEN '?redacted' ELSE '' END AS redacted, sha256('{"schemaVersion":1,"url":"' || url || '"}') AS sha FROM n"""
 
 
 @register("url_policy", URL_SQL)
 def url_policy(spark: SparkSession, sf: str) -> DataFrame:
-    return A.table(spark, sf, "pages").select("page_id", I.normalize_url(F.col("url")).alias("url"), I.redact_url(F.col("url")).alias("redacted"))
+    p = A.table(spark, sf, "pages").select("page_id", I.normalize_url(F.col("url")).alias("url"))
+    return p.withColumn("t", I.url_trace(F.col("url"))).select("page_id", "url", F.col("t.canonical_url").alias("redacted"), F.col("t.canonical_url_sha256").alias("sha"))
 
 
 @register("doi_normalisation", """
-SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN lower('10.' || (1000 + p_partkey % 9000) || '/Part%25') || p_partkey END AS doi FROM part""")
+SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN d || '/part%25' || n WHEN 1 THEN d || '/part/' || n WHEN 5 THEN d || '/part' || n WHEN 6 THEN d || '/p/art+' || n END AS doi
+FROM (SELECT p_partkey, p_partkey::VARCHAR AS n, '10.' || (1000 + p_partkey % 9000) AS d FROM part)""")
 def doi_normalisation(spark: SparkSession, sf: str) -> DataFrame:
-    p = A.table(spark, sf, "part")
-    tail = F.concat(F.lit("10."), (1000 + F.col("p_partkey") % 9000).cast("string"), F.lit("/Part"))
+    """Resolver URL decoded twice, bare DOI decoded once; malformed escape, http resolver and query have none."""
     n = F.col("p_partkey").cast("string")
-    raw = (
-        F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("11.1/"), n)).when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("https://doi.org/"), tail, F.lit("%25"), n))
-        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" doi:"), tail, F.lit("%"), n)).otherwise(F.concat(tail, F.lit("%"), n)))
-    return p.select("p_partkey", I.normalize_doi(raw).alias("doi"))
-
-
-@register("pmid_normalisation", "SELECT p_partkey, nullif(p_partkey, 0)::VARCHAR AS pmid, 'PMC' || nullif(p_partkey, 0) AS pmcid FROM part")
+    d = F.concat(F.lit("10."), (1000 + F.col("p_partkey") % 9000).cast("string"))
+    shapes = [
+        (F.lit("https://doi.org/"), d, F.lit("/Part%2525"), n), (F.lit(" doi:"), d, F.lit("/Part%2F"), n), (d, F.lit("/Part%zz"), n), (F.lit("http://doi.org/"), d, F.lit("/Part"), n),
+        (d, F.lit("/Part?"), n), (F.lit("DOI:"), d, F.lit("/PART"), n, F.lit(" ")), (F.lit("https://dx.doi.org/"), d, F.lit("/p%2Fart+"), n)]
+    raw = F.lit(None).cast("string")
+    for k, parts in enumerate(shapes):
+        raw = F.when(F.col("p_partkey") % 7 == k, F.concat(*parts)).otherwise(raw)
+    return A.table(spark, sf, "part").select("p_partkey", I.normalize_doi(raw).alias("doi"))
+
+
+@register("pmid_normalisation", """
+SELECT p_partkey, CASE WHEN p_partkey % 3 <> 1 THEN nullif(p_partkey, 0)::VARCHAR END AS pmid, CASE WHEN p_partkey % 3 <> 1 THEN 'PMC' || nullif(p_partkey, 0) END AS pmcid FROM part""")
 def pmid_normalisation(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("p_partkey").cast("string")
-    return A.table(spark, sf, "part").select("p_partkey", I.normalize_pmid(F.concat(F.lit("PMID: 00"), n)).alias("pmid"), I.normalize_pmcid(F.concat(F.lit("pmc0"), n)).alias("pmcid"))
+    """A prefix is taken, blanks after it are not."""
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    pmid = F.when(k == 0, F.concat(F.lit("PMID:00"), n)).when(k == 1, F.concat(F.lit("PMID: 00"), n)).otherwise(F.concat(F.lit(" "), n, F.lit(" ")))
+    pmcid = F.when(k == 0, F.concat(F.lit("pmc0"), n)).when(k == 1, F.concat(F.lit("pmcid: pmc"), n)).otherwise(F.concat(F.lit("PMCID:Pmc"), n))
+    return A.table(spark, sf, "part").select("p_partkey", I.normalize_pmid(pmid).alias("pmid"), I.normalize_pmcid(pmcid).alias("pmcid"))
 
 
 @register("numeric_id_order", "SELECT l_orderkey, list_aggregate(list_sort(list(DISTINCT l_partkey)), 'string_agg', ',') AS ids FROM lineitem GROUP BY l_orderkey")
@@ -549,28 +578,37 @@ def numeric_id_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("ip_policy", """
-SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS public FROM customer""")
+SELECT c_custkey, c_custkey % 10 IN (3, 5, 7) AS public, CASE c_custkey % 10 WHEN 5 THEN '2600::' || h || ':0:0:1' WHEN 6 THEN '2001:db8::' || h WHEN 7 THEN '::ffff:808:' || h WHEN 8 THEN '::ffff:a01:' || h WHEN 9 THEN 'fe80::1:' || h END AS canonical
+FROM (SELECT c_custkey, format('{:x}', 1 + c_custkey % 250) AS h FROM customer)""")
 def ip_policy(spark: SparkSession, sf: str) -> DataFrame:
-    n = (F.col("c_custkey") % 250).cast("string")
-    ip = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("10.1.2."), n)).when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("172.31.0."), n)).when(F.col("c_custkey") % 5 == 2, F.concat(F.lit("1.2.3.0"), n)).when(F.col("c_custkey") % 5 == 3, F.concat(F.lit("8.8.4."), n)).otherwise(F.concat(F.lit("224.0.0."), n))
-    return A.table(spark, sf, "customer").select("c_custkey", I.public_ipv4(ip).alias("public"))
-
-
-@register("reserve_and_slug", """
-SELECT o_orderkey, least(600000, greatest(60000, floor(o_totalprice * 0.2)), floor(o_totalprice * 0.5))::BIGINT AS reserve, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM orders""")
+    n, k = (1 + F.col("c_custkey") % 250).cast("string"), F.col("c_custkey") % 10
+    h = F.hex(1 + F.col("c_custkey") % 250)
+    shapes = [
+        (F.lit("10.1.2."), n), (F.lit("172.31.0."), n), (F.lit("1.2.3.0"), n), (F.lit("8.8.4."), n), (F.lit("224.0.0."), n),
+        (F.lit("2600:0:0:0:00"), h, F.lit(":0:0:1")), (F.lit("2001:DB8::"), h), (F.lit("::ffff:8.8.0."), n), (F.lit("::FFFF:10.1.0."), n), (F.lit("fe80:0:0:0:0:0:1:"), h)]
+    ip = F.lit(None).cast("string")
+    for i, parts in enumerate(shapes):
+        ip = F.when(k == i, F.concat(*parts)).otherwise(ip)
+    return A.table(spark, sf, "customer").select("c_custkey", addresses.public_address(ip).alias("public"), addresses.ipv6_text(ip).alias("canonical"))
+
+
+@register("reserve_and_slug", r"""
+SELECT o_orderkey, least(600000, greatest(60000, floor(o_totalprice * 0.2)), floor(o_totalprice * 0.5))::BIGINT AS reserve,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'research' ELSE 'cafe-' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') || '-i' || o_orderkey END AS slug FROM orders""")
 def reserve_and_slug(spark: SparkSession, sf: str) -> DataFrame:
-    return A.table(spark, sf, "orders").select("o_orderkey", I.finalization_reserve_ms(F.col("o_totalprice")).alias("reserve"), I.topic_slug(F.col("o_orderpriority")).alias("slug"))
+    topic = F.when(F.col("o_orderkey") % 4 == 0, "…!").otherwise(F.concat(F.lit(" Café: "), F.col("o_orderpriority"), F.lit(" ï"), F.col("o_orderkey").cast("string")))
+    return A.table(spark, sf, "orders").select("o_orderkey", I.finalization_reserve_ms(F.col("o_totalprice")).alias("reserve"), I.topic_slug(topic).alias("slug"))
 
 
 @register("bundle_hash", with_sql(EVIDENCE_SQL, LATEST_SQL) + """
-SELECT stance, sha256('{"evidence":[' || string_agg('{"id":' || evidence_id || ',"revision":' || revision || '}', ',' ORDER BY evidence_id) || ']}') AS sha FROM latest WHERE claim_id < 500 GROUP BY stance""")
+SELECT claim_id, sha256('{"evidence":[' || string_agg('{"id":' || evidence_id || ',"revision":' || revision || '}', ',' ORDER BY evidence_id) || ']}') AS sha FROM latest GROUP BY claim_id""")
 def bundle_hash(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.functions.canonical import bundle_text
 
-    e = records.latest(A.evidence(spark, sf), ["evidence_id"]).filter("claim_id < 500")
+    e = records.latest(A.evidence(spark, sf), ["evidence_id"])
     each = F.struct("evidence_id", F.to_json(F.struct(F.col("evidence_id").alias("id"), "revision")).alias("j"))
-    g = e.groupBy("stance").agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["j"]).alias("rows"))
-    return g.select("stance", F.sha2(bundle_text([("evidence", F.col("rows"))]), 256).alias("sha"))
+    g = e.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["j"]).alias("rows"))
+    return g.select("claim_id", F.sha2(bundle_text([("evidence", F.col("rows"))]), 256).alias("sha"))
 
 
 @register("ledger_fold")
@@ -589,7 +627,8 @@ def bounded_closure_page(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     page, edges = _closure_input(spark, sf)
-    page = page.select("node", (F.row_number().over(W.orderBy("rank")) - 1).cast("long").alias("rank"))  # one page
+    page = page.orderBy("rank").limit(evidence_query.PAGE)  # one page, in the order of the primaries
+    page = page.select("node", (F.row_number().over(W.orderBy("rank")) - 1).cast("long").alias("rank"))
     nodes = records.union_all([edges.select(F.col("src").alias("node")), edges.select(F.col("dst").alias("node")), page.select("node")]).distinct()
     nodes = nodes.select("node", F.substring("node", 1, 1).alias("kind"), F.octet_length("node").alias("bytes"))
     selected, _ = evidence_query.greedy_closure(page, edges, nodes, {"records": 1500})

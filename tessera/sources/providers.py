@@ -96,7 +96,7 @@ def pmc(payloads: DataFrame) -> DataFrame:
     doc = payloads.select(F.from_json("payload", BIOC)["documents"][0].alias("d"))
     said = F.filter("d.passages", lambda p: F.trim(F.coalesce(p["text"], F.lit(""))) != "")
     classes = F.transform(said, lambda p: I.section_class(p["infons"]["section_type"]))
-    title = F.get(F.filter("d.passages", lambda p: F.lower(p["infons"]["section_type"]) == "title"), F.lit(0))["text"]
+    title = F.get(F.filter("d.passages", lambda p: I.section_label(p["infons"]["section_type"]).isin(*I.TITLE_LABELS)), F.lit(0))["text"]
     access = F.when(F.size(classes) == 0, "metadata-only").when(F.array_contains(classes, "body"), "full-text").when(F.forall(classes, lambda c: c == "front"), "abstract-only").otherwise("partial-text")
     infons = F.get("d.passages", F.lit(0))["infons"]
     pmcid = I.normalize_pmcid(F.concat(F.lit("PMC"), F.regexp_replace("d.id", "(?i)^PMC", "")))
