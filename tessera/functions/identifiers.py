@@ -270,6 +270,11 @@ def new_id(kind: str, random_hex: Column) -> Column:
     return F.when(random_hex.rlike("^[0-9a-f]{32}$"), F.concat(F.lit(f"{ID_PREFIXES[kind]}-"), random_hex))
 
 
+def id_pattern(kind: str) -> str:
+    """Pattern of an existing identifier; sources also keep names that were given to them."""
+    return r"^src-[a-z0-9][a-z0-9._-]{7,127}$" if kind == "source" else rf"^{ID_PREFIXES[kind]}-[a-z0-9]{{16,64}}$"
+
+
 def new_revision_id(at: Column, random_hex: Column) -> Column:
     """``rev-``, the UTC instant without separators, and 12 hexadecimal digits."""
     return F.when(random_hex.rlike("^[0-9a-f]{12}$"), F.concat(F.lit("rev-"), F.date_format(at, "yyyyMMdd'T'HHmmssSSS'Z'"), F.lit("-"), random_hex))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions.identifiers import access_rank
 from tessera.operators.graph import components
 
 # Relation reasons and identifier kinds in order.
@@ -94,12 +95,39 @@ def identity_audit(sources: DataFrame) -> DataFrame:
     return g.select("group", "members", F.when(F.col("status") == "ambiguous", "ambiguous").otherwise("duplicate").alias("finding"))
 
 
-def survivors(members: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
-    """Merge of each group: first non-null value of each field in order, and the fields in conflict."""
-    ranked = members.withColumn("_o", F.struct(*order))
-    aggs = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_o"))).alias(f) for f in fields]
-    clash = [F.when(F.count_distinct(f) > 1, F.lit(f)) for f in fields]
-    return ranked.groupBy("group").agg(*aggs, F.array_compact(F.array(*clash)).alias("conflicts"), F.count("*").alias("members"))
+def survivors(members: DataFrame, fields: list[str], order: list[str], provenance: str | None = None) -> DataFrame:
+    """Merge of each group: each field's value, the fields in conflict, and digests of the values that differ.
+
+    The first member in ``order`` is the base: its values stay.  A field that it lacks takes the
+    first value in order; with ``provenance``, an array of the fields that a member can vouch
+    for, of a member that vouches for it.  Different values of a field are a conflict.
+    """
+    ranked = members.withColumn("_o", F.struct(*order)).withColumn("_base", F.row_number().over(W.partitionBy("group").orderBy(*order)) == 1)
+
+    def vouched(f: str) -> Column:
+        return F.lit(True) if provenance is None else F.col("_base") | F.array_contains(provenance, f)
+
+    when = {f: F.when(F.col(f).isNotNull() & vouched(f), F.col("_o")) for f in fields}
+    merged = ranked.groupBy("group").agg(*[F.min_by(f, when[f]).alias(f) for f in fields], *[F.min(when[f]).alias(f"_o_{f}") for f in fields], F.count("*").alias("members"))
+    told = merged.select(F.col("group").alias("_g"), *[F.struct(F.col(f).alias("value"), F.col(f"_o_{f}").alias("o")).alias(f"_m_{f}") for f in fields])
+    both = ranked.join(told, F.col("group").eqNullSafe(F.col("_g")))
+    # A value that differs is a conflict once the merge has one.
+    differs = {f: (F.col("_o") > F.col(f"_m_{f}.o")) & (F.col(f) != F.col(f"_m_{f}.value")) for f in fields}
+    digest = lambda c: F.sha2(F.to_json(F.array(c)), 256)
+    hashes = {f: F.collect_set(F.when(differs[f], digest(F.col(f)))) for f in fields}
+    own = {f: F.first(digest(F.col(f"_m_{f}.value"))) for f in fields}
+    found = both.groupBy("group").agg(F.array_compact(F.array(*[
+        F.when(F.size(hashes[f]) > 0, F.struct(F.lit(f).alias("field"), F.array_sort(F.array_append(hashes[f], own[f])).alias("hashes"))) for f in fields])).alias("conflict_hashes"))
+    found = found.select(F.col("group").alias("_g"), "conflict_hashes", F.transform("conflict_hashes", lambda c: c["field"]).alias("conflicts"))
+    return merged.join(found, F.col("group").eqNullSafe(F.col("_g"))).select("group", *fields, "conflicts", "conflict_hashes", "members")
+
+
+def latest_facts(members: DataFrame) -> DataFrame:
+    """Facts of a group that take no order: the latest retrievedAt, the highest access level, a known peer review status."""
+    known = F.when(F.col("peer_review_status") != "unknown", F.col("peer_review_status"))
+    return members.groupBy("group").agg(
+        F.max("retrieved_at").alias("retrieved_at"), F.max_by("access_level", access_rank(F.col("access_level"))).alias("access_level"),
+        F.coalesce(F.min_by(known, F.when(known.isNotNull(), F.col("key"))), F.lit("unknown")).alias("peer_review_status"), (F.count_distinct(known) > 1).alias("review_conflict"))
 
 
 def merge_lists(members: DataFrame, field: str) -> DataFrame:
@@ -115,12 +143,35 @@ def provenance_witness(claims: DataFrame) -> DataFrame:
     """Best witness of a URL for each source: resolver 0, transport 1 (final, requested, redirect), metadata 2."""
     rank = F.when(F.col("kind") == "resolver", 0).when(F.col("kind") == "transport", 1).otherwise(2)
     stage = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in ("final", "requested", "redirect")]), F.col("stage")), F.lit(9))
-    by = W.partitionBy("source_id").orderBy(rank, stage, "request_id")
+    by = W.partitionBy("source_id").orderBy(rank, "request_id", stage)
     return claims.withColumn("n", F.row_number().over(by)).filter("n = 1").drop("n")
 
 
+def url_attribution(sources: DataFrame, tries: DataFrame) -> DataFrame:
+    """Rows (source_id, kind, request_id, stage, failure): the best witness, or why there is none.
+
+    ``tries``: source_id, kind, stage, request_id, request_ok (linked, successful, one policy), provider_ok
+    and steps (metadata steps of that request); kind metadata counts only with one step of the
+    request's own provider.  Of failures, a request that does not fit goes before metadata that do not.
+    """
+    fits = F.col("request_ok") & ((F.col("kind") != "metadata") | (F.col("provider_ok") & (F.col("steps") == 1)))
+    best = provenance_witness(tries.filter(fits)).select("source_id", "kind", "request_id", "stage")
+    why = tries.groupBy("source_id").agg(
+        F.bool_or(~F.col("request_ok")).alias("request_bad"),
+        F.bool_or(F.col("request_ok") & (F.col("kind") == "metadata") & ~(F.col("provider_ok") & (F.col("steps") == 1))).alias("metadata_bad"))
+    out = sources.select("source_id").join(best, "source_id", "left").join(why, "source_id", "left")
+    failure = F.when(F.col("request_bad"), "source.url-request-mismatch").when(F.col("metadata_bad"), "source.url-metadata-mismatch").otherwise("source.url-unattributed")
+    return out.select("source_id", "kind", "request_id", "stage", F.when(F.col("kind").isNull(), failure).alias("failure"))
+
+
+#: Fields that a metadata step may vouch for.
+VOUCHED = (
+    "identifiers.doi", "identifiers.pmid", "identifiers.pmcid", "canonicalUrl", "title", "authors", "containerTitle", "publisher", "volume",
+    "issue", "pages", "published", "published.date", "publicationType", "peerReviewStatus", "accessLevel", "lineage.studyId", "lineage.cohortIds", "lineage.datasetIds")
+
+
 def source_issues(sources: DataFrame) -> DataFrame:
-    """Semantic issues of sources: parallel relation arrays, repeated list members, steps outside the retrieval list."""
+    """Semantic issues of sources: parallel relation arrays, repeated list members, steps outside the retrieval list or for unknown fields."""
     from tessera.operators.records import issues
 
     repeated = lambda c: F.size(F.array_distinct(c)) < F.size(c)
@@ -131,4 +182,5 @@ def source_issues(sources: DataFrame) -> DataFrame:
         ("/lineage/cohortIds", "source.duplicate-member", repeated("cohorts")),
         ("/lineage/datasetIds", "source.duplicate-member", repeated("datasets")),
         ("/metadataProvenance", "source.unlisted-request", outside),
+        ("/metadataProvenance", "source.unknown-field", F.exists("provenance", lambda p: ~p["field"].isin(*VOUCHED))),
     ], ["source_id", "revision"])

@@ -144,7 +144,7 @@ def latest_failure(failures: DataFrame) -> DataFrame:
 
 def series_issues(attempts: DataFrame) -> DataFrame:
     """Retry series (operation, ordinal, attempt_id, predecessor, base_ms, cap_ms): first issue of each row."""
-    by = W.partitionBy("operation").orderBy("ordinal")
+    by = W.partitionBy("operation").orderBy("ordinal", "attempt_id")
     seen = attempts.withColumn("n", F.row_number().over(by)).withColumn("prev", F.lag("attempt_id").over(by)).withColumn("first_base", F.first("base_ms").over(by))
     code = (
         F.when(F.col("ordinal") != F.col("n"), "retry.ordinal")
@@ -152,7 +152,7 @@ def series_issues(attempts: DataFrame) -> DataFrame:
         .when(~F.col("predecessor").eqNullSafe(F.col("prev")), "retry.predecessor")
         .when(F.col("base_ms") != F.col("first_base"), "retry.policy")
         .when(F.col("cap_ms") < F.col("base_ms"), "retry.cap"))
-    return seen.withColumn("code", code).filter("code is not null").select("operation", "ordinal", "code")
+    return seen.withColumn("code", code).filter("code is not null").select("operation", "ordinal", "attempt_id", "code")
 
 
 def status(tasks: DataFrame, attempts: DataFrame, pending: DataFrame) -> DataFrame:
@@ -196,3 +196,8 @@ def as_of(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     b = facts.select(*[F.col(c) if c in (key, "seq") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], F.lit(0).alias("_row"), F.col("value").alias("_value"))
     by = W.partitionBy(key).orderBy("seq", "_row").rowsBetween(W.unboundedPreceding, 0)
     return a.unionByName(b).withColumn("value", F.last("_value", ignorenulls=True).over(by)).filter("_row = 1").drop("_row", "_value")
+
+
+def never_blockers(operations: DataFrame) -> DataFrame:
+    """One row: operations whose outcome is uncertain and that may never be replayed."""
+    return recovery(operations).agg(F.count_if(F.col("decision") == "block-never").alias("never_blockers"))

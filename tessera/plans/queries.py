@@ -356,7 +356,7 @@ SELECT md5(text) AS "group", min_by(lang, doc_id) AS lang, min_by(source, doc_id
 FROM documents GROUP BY text""")
 def survivorship(spark: SparkSession, sf: str) -> DataFrame:
     d = A.table(spark, sf, "documents").select(F.md5("text").alias("group"), "doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"))
-    return lineage.survivors(d, ["lang", "source"], ["doc_id"]).withColumn("conflicts", F.array_join("conflicts", ","))
+    return lineage.survivors(d, ["lang", "source"], ["doc_id"]).drop("conflict_hashes").withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 @register("access_level_max", with_sql(EVIDENCE_SQL, SOURCES_SQL) + """

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.identifiers import is_timestamp
+from tessera.functions.identifiers import id_pattern, is_timestamp
 from tessera.operators.records import blank
 
 MOST_INTEGER = 2**53 - 1
@@ -43,7 +43,7 @@ SCHEMAS = {
       responseSha256 string, responseFile {FILE}, encodedBytes bigint, decodedBytes bigint, resultSourceIds array<string>, errorClass string""",
 }
 #: Identifier prefixes and enums.
-IDS = {"sourceId": "src", "claimId": "claim", "evidenceId": "ev", "verificationId": "ver", "calculationId": "calc", "requestId": "req", "attemptId": "att"}
+IDS = {"sourceId": "source", "claimId": "claim", "evidenceId": "evidence", "verificationId": "verification", "calculationId": "calculation", "requestId": "request", "attemptId": "attempt", "recordedByAttemptId": "attempt", "createdByAttemptId": "attempt"}
 ENUMS = {
     "stance": ("supporting", "contradicting", "neutral"),
     "evidenceType": ("retrieved", "derived"),
@@ -65,10 +65,10 @@ def checks(kind: str) -> list[tuple[str, str, Column]]:
     c = lambda f: F.col(f"r.{f}")
     names = set(_names(kind))
     out = [("/schemaVersion", "schema.const", c("schemaVersion").isNull() | (c("schemaVersion") != 1))]
-    for field, prefix in IDS.items():
+    for field, named in IDS.items():
         if field in names:
             missing = F.lit(False) if (kind, field) == ("evidence", "calculationId") else c(field).isNull()
-            out.append((f"/{field}", "schema.pattern", missing | F.coalesce(~c(field).rlike(f"^{prefix}-[0-9A-Za-z][0-9A-Za-z._-]*$"), F.lit(False))))
+            out.append((f"/{field}", "schema.pattern", missing | F.coalesce(~c(field).rlike(id_pattern(named)), F.lit(False))))
     for field, values in ENUMS.items():
         if field in names:
             out.append((f"/{field}", "schema.enum", c(field).isNull() | ~c(field).isin(*values)))
@@ -85,6 +85,8 @@ def checks(kind: str) -> list[tuple[str, str, Column]]:
             ("/sourceRef", "evidence.source-required", (c("evidenceType") == "retrieved") & c("sourceRef").isNull()),
             ("/method", "evidence.method-required", derived & c("calculationId").isNull() & blank(c("method"))),
             ("/quotes", "evidence.blank-quote", F.exists(c("quotes"), lambda q: blank(q))),
+            ("/locators", "evidence.blank-locator", F.exists(c("locators"), lambda p: blank(p["value"]))),
+            ("/extractedValues", "evidence.numeric-context", F.exists(c("extractedValues"), lambda v: v["numericValue"].isNotNull() & blank(v["context"]))),
         ]
     if kind == "calculations":
         out.append(("/exitCode", "calculation.status", (c("status") == "success") != F.coalesce(c("exitCode") == 0, F.lit(False))))

@@ -6,9 +6,9 @@ from tessera import schemas
 from tessera.operators import catalog
 
 GOOD = {
-    "schemaVersion": 1, "evidenceId": "ev-1", "revision": 1, "claimRef": {"claimId": "claim-1", "revision": 1}, "evidenceType": "retrieved",
-    "sourceRef": {"sourceId": "src-1", "revision": 1}, "calculationId": None, "stance": "supporting", "quotes": ["q"], "locators": [{"type": "page", "value": "1"}],
-    "extractedValues": [], "method": "", "quality": "secondary", "confidence": 0.5, "recordedByAttemptId": "att-1", "verificationStatus": "verified", "conflictsWith": []}
+    "schemaVersion": 1, "evidenceId": "ev-" + "1" * 16, "revision": 1, "claimRef": {"claimId": "claim-" + "1" * 16, "revision": 1}, "evidenceType": "retrieved",
+    "sourceRef": {"sourceId": "src-" + "1" * 8, "revision": 1}, "calculationId": None, "stance": "supporting", "quotes": ["q"], "locators": [{"type": "page", "value": "1"}],
+    "extractedValues": [], "method": "", "quality": "secondary", "confidence": 0.5, "recordedByAttemptId": "attempt-" + "1" * 16, "verificationStatus": "verified", "conflictsWith": []}
 
 
 def test_evidence_issues(spark):
@@ -16,7 +16,9 @@ def test_evidence_issues(spark):
         (GOOD, set()), (GOOD | {"extra": 1}, {("/extra", "schema.additionalProperties")}), ({k: v for k, v in GOOD.items() if k != "stance"}, {("/stance", "schema.required")}),
         (GOOD | {"confidence": 1.5, "stance": "maybe"}, {("/confidence", "schema.range"), ("/stance", "schema.enum")}),
         (GOOD | {"sourceRef": None}, {("/sourceRef", "evidence.source-required")}), (GOOD | {"evidenceId": "x"}, {("/evidenceId", "schema.pattern")}),
-        (GOOD | {"quotes": [" "]}, {("/quotes", "evidence.blank-quote")})]
+        (GOOD | {"quotes": [" "]}, {("/quotes", "evidence.blank-quote")}), (GOOD | {"recordedByAttemptId": "att-1"}, {("/recordedByAttemptId", "schema.pattern")}),
+        (GOOD | {"locators": [{"type": "unknown", "value": "\t"}]}, {("/locators", "evidence.blank-locator")}),
+        (GOOD | {"extractedValues": [{"value": "1", "numericValue": 1.0, "unit": "kg", "context": ""}]}, {("/extractedValues", "evidence.numeric-context")})]
     rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(cases)] + [(99, '{"a":1,"a":2}'), (98, "[]")]
     got = {}
     for r in schemas.validate(spark.createDataFrame(rows, "line long, raw string"), "evidence").collect():
