@@ -179,11 +179,11 @@ def catalog_references(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("journal_order", with_sql(LEDGER_SQL) + """
-, j AS (SELECT user_id, seq, seq + (type = 'error')::INT AS local_seq, md5(type || value::INT) AS sha, row_number() OVER (PARTITION BY user_id, md5(type || value::INT) ORDER BY seq) > 1 AS twice FROM ledger WHERE value IS NOT NULL),
+, j AS (SELECT user_id, seq, seq + (type = 'error')::INT AS local_seq, md5(type || floor(value)::INT) AS sha, row_number() OVER (PARTITION BY user_id, md5(type || floor(value)::INT) ORDER BY seq) > 1 AS twice FROM ledger WHERE value IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM j)
 SELECT user_id AS attempt_id, seq, CASE WHEN twice THEN 'reducer.request-journal-hash' ELSE 'reducer.request-journal-sequence' END AS code FROM n WHERE twice OR local_seq <> n""")
 def journal_order(spark: SparkSession, sf: str) -> DataFrame:
-    sha = F.md5(F.concat("type", F.round("value").cast("int").cast("string")))
+    sha = F.md5(F.concat("type", F.floor("value").cast("int").cast("string")))
     j = A.ledger(spark, sf).filter("value is not null").select(F.col("user_id").alias("attempt_id"), "seq", (F.col("seq") + (F.col("type") == "error").cast("int")).alias("local_seq"), sha.alias("sha"))
     return catalog.journal_violations(j)
 

@@ -611,15 +611,24 @@ def bundle_hash(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("claim_id", F.sha2(bundle_text([("evidence", F.col("rows"))]), 256).alias("sha"))
 
 
-@register("ledger_fold")
+@register("ledger_fold", with_sql(LEDGER_SQL) + """
+, t AS (SELECT user_id, seq, event_id % 4 AS task, CASE type WHEN 'error' THEN 'blocked' WHEN 'click' THEN 'running' ELSE 'ready' END AS state FROM ledger WHERE seq > 1),
+m AS (SELECT *, lag(state) OVER (PARTITION BY user_id, task ORDER BY seq) AS before FROM t),
+bad AS (SELECT user_id, min(seq) AS seq FROM m WHERE before IS NOT NULL AND NOT (state = before OR (before = 'ready' AND state IN ('running', 'blocked')) OR (before = 'running' AND state IN ('ready', 'blocked')) OR (before = 'blocked' AND state = 'ready')) GROUP BY user_id),
+n AS (SELECT l.user_id, max(l.seq) AS seq, count(DISTINCT t.task) AS tasks FROM ledger l LEFT JOIN bad USING (user_id) LEFT JOIN t ON t.user_id = l.user_id AND t.seq = l.seq WHERE bad.seq IS NULL OR l.seq < bad.seq GROUP BY l.user_id)
+SELECT n.user_id::VARCHAR AS run_id, n.seq, tasks, CASE WHEN bad.seq IS NOT NULL THEN 'reducer.task-transition' END AS error, bad.seq AS error_seq FROM n LEFT JOIN bad USING (user_id)""")
 def ledger_fold(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
     from tessera.streaming.fold import fold
 
-    e = A.ledger(spark, sf)
+    e = A.ledger(spark, sf).withColumn("task", F.when(F.col("seq") > 1, F.col("event_id") % 4))
     kind = F.when(F.col("seq") == 1, "run_created").otherwise("task_upserted")
     state = F.when(F.col("type") == "error", "blocked").when(F.col("type") == "click", "running").otherwise("ready")
-    payload = F.to_json(F.struct(F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string")).alias("task"), state.alias("state")))
-    return fold(e.select(F.col("user_id").cast("string").alias("run_id"), "seq", kind.alias("type"), payload.alias("payload")))
+    revision = F.row_number().over(W.partitionBy("user_id", "task").orderBy("seq"))
+    payload = F.to_json(F.struct(F.concat(F.lit("t"), F.col("task").cast("string")).alias("task"), F.when(F.col("seq") > 1, state).alias("state"), revision.alias("revision")))
+    folded = fold(e.select(F.col("user_id").cast("string").alias("run_id"), "seq", kind.alias("type"), payload.alias("payload")))
+    return folded.select("run_id", "seq", "tasks", "error", "error_seq")
 
 
 @register("bounded_closure_page")

@@ -30,8 +30,40 @@ def test_components_against_union_find(spark):
 
 
 def test_cycle_is_an_error(spark):
-    with pytest.raises(graph.GraphError, match=r"lineage\.cycle"):
-        graph.dag_depth(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long"))
+    for edges in ([(1, 2), (2, 3), (3, 1)], [(1, 2), (2, 3), (3, 2)], [(1, 2), (2, 3), (3, 4), (4, 2), (2, 5), (5, 2)]):
+        with pytest.raises(graph.GraphError, match=r"lineage\.cycle"):
+            graph.dag_depth(spark.createDataFrame(edges, "src long, dst long"))
+
+
+def test_depth_against_walk(spark):
+    rng = random.Random(6)
+    edges = sorted({(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(70)) if a < b}) + [(100 + i, 101 + i) for i in range(9)] + [(3, 100), (109, 39)]
+    want = {n: 0 for e in edges for n in e}
+    for _ in want:
+        for a, b in edges:
+            want[b] = max(want[b], want[a] + 1)
+    assert {r["node"]: r["depth"] for r in graph.dag_depth(spark.createDataFrame(edges, "src long, dst long")).collect()} == want
+
+
+def test_depth_of_a_long_chain(spark):
+    got = graph.dag_depth(spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert got.filter("node = depth").count() == 10_001
+    with pytest.raises(graph.GraphError, match="too-deep"):
+        graph.dag_depth(spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), most_depth=19)
+
+
+def test_masks_of_a_long_chain(spark):
+    edges = spark.range(70).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.when(F.col("id") == 40, 2).otherwise(0).alias("bit"))
+    got = {r["node"]: r["mask"] for r in graph.mask_closure(spark.createDataFrame([(0, 1)], "node long, mask int"), edges).collect()}
+    assert got == {n: 1 if n <= 40 else 3 for n in range(71)}
+
+
+def test_too_many_providers_are_an_error(spark):
+    q = spark.createDataFrame([("q1", "heart", 50)], "query_id string, text string, caller_limit int")
+    p = spark.range(65).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("provider"), F.lit(9).alias("configured_limit"), F.lit(9).alias("endpoint_cap"))
+    with pytest.raises(ValueError, match="too-many-providers"):
+        search.plan(q, p)
+    assert search.plan(q, p.filter("provider <> 'p7'")).count() == 64
 
 
 def test_topological_order():
@@ -100,10 +132,13 @@ def test_cursor_is_bound():
 
 
 def test_local_components_ignore_other_sources(spark):
-    sel = spark.createDataFrame([(1, 10, 10, ["study:a"]), (1, 11, 11, ["study:a"]), (1, 12, 12, [""]), (2, 10, 10, [])], "claim_id long, source_id long, relation_root long, tokens array<string>")
-    got = {(r[0], r[1]): r[2] for r in gate.local_components(sel, None).collect()}
-    assert got[1, 10] == got[1, 11] != got[1, 12]
-    assert got[2, 10] != got[1, 10]
+    item = "array<struct<relation: string, tokens: array<string>>>"
+    cases = [
+        ([("s1", ["study:a"]), ("s2", ["study:a"]), ("s3", ["study:b"])], ["s1", "s3"]), ([], []),
+        ([("s2", ["study:a"]), ("s1", ["study:b"]), ("s3", ["study:a", "cohort:c"]), ("s4", ["study:d", "cohort:c"]), ("s1", ["study:e"])], ["s1", "s2"])]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], f"i int, items {item}")
+    got = df.orderBy("i").select(F.array_sort(F.transform(gate.local_components(F.col("items")), lambda g: g["key"])).alias("k")).collect()
+    assert [r["k"] for r in got] == [k for _, k in cases]
 
 
 def test_independence_reasons(spark):
@@ -180,28 +215,65 @@ def test_providers(spark):
 
 
 HISTORY = [
-    ("run_created", {}), ("identity_reserved", {"kind": "transaction", "id": "t1"}), ("identity_reserved", {"kind": "transaction", "id": "t2"}),
-    ("dispatch_intent", {"attempt": "a1", "operation": "o1", "ordinal": 1}), ("dispatch_started", {"attempt": "a1"}),
-    ("result_recorded", {"attempt": "a1", "transaction": "t1"}), ("records_committed", {"transaction": "t1", "result_seq": 6}),
-    ("attempt_committed", {"attempt": "a1", "transaction": "t1"}), ("dispatch_intent", {"attempt": "a2", "operation": "o2", "ordinal": 1}),
-    ("dispatch_started", {"attempt": "a2"}), ("cancel_requested", {"epoch": 0, "reason": "user-pause"}), ("result_recorded", {"attempt": "a2", "transaction": "t2"})]
+    ("run_created", {"depth": "quick"}),
+    *[("identity_reserved", {"kind": k, "id": i}) for k, i in (("attempt", "a1"), ("attempt", "a2"), ("attempt", "a3"), ("transaction", "t1"), ("transaction", "t2"), ("retry-schedule", "s1"), ("retry-schedule", "s2"),
+      ("request", "r1"), ("request", "r2"), ("revision", "v1"))],
+    ("lock_recovered", {}), ("state_changed", {"from": "created", "to": "planning"}), ("task_upserted", {"task": "k", "state": "open", "revision": 1}),
+    ("task_upserted", {"task": "k", "state": "ready", "revision": 2}), ("task_upserted", {"task": "k", "state": "running", "revision": 3, "attempts": ["a1", "a2", "a3"]}),
+    ("dispatch_intent", {"attempt": "a1", "task": "k", "operation": "o1", "ordinal": 1}), ("dispatch_started", {"attempt": "a1"}), ("attempt_usage_recorded", {"attempt": "a1"}),
+    ("request_intent_recorded", {"attempt": "a1", "request": "r1", "series": "x", "ordinal": 1, "journal_seq": 1, "journal_sha": "h1"}),
+    ("request_result_recorded", {"attempt": "a1", "request": "r1", "intent_seq": 20, "status": "retryable-error", "journal_seq": 2, "journal_sha": "h2"}),
+    ("request_retry_scheduled", {"attempt": "a1", "schedule": "s1", "failed": "r1", "series": "x", "ordinal": 2, "journal_seq": 3, "journal_sha": "h3"}),
+    ("request_retry_started", {"attempt": "a1", "schedule": "s1", "request": "r2", "series": "x", "ordinal": 2, "scheduled_seq": 22, "journal_seq": 4, "journal_sha": "h4"}),
+    ("request_intent_recorded", {"attempt": "a1", "request": "r2", "series": "x", "ordinal": 2, "retry_of": "r1", "journal_seq": 5, "journal_sha": "h5"}),
+    ("request_result_recorded", {"attempt": "a1", "request": "r2", "intent_seq": 24, "status": "success", "journal_seq": 6, "journal_sha": "h6"}),
+    ("attempt_failed", {"attempt": "a1", "state": "retryable-failed"}), ("retry_scheduled", {"schedule": "s2", "attempt": "a1", "operation": "o1", "ordinal": 2}),
+    ("retry_started", {"schedule": "s2", "attempt": "a2", "operation": "o1", "ordinal": 2, "scheduled_seq": 27}),
+    ("dispatch_intent", {"attempt": "a2", "task": "k", "operation": "o1", "ordinal": 2, "retry_of": "a1"}), ("dispatch_started", {"attempt": "a2"}),
+    ("result_recorded", {"attempt": "a2", "transaction": "t1"}), ("records_committed", {"transaction": "t1", "result_seq": 31}),
+    ("attempt_committed", {"attempt": "a2", "transaction": "t1"}), ("active_time_checkpoint", {}), ("budget_amended", {}),
+    ("state_changed", {"to": "researching"}), ("state_changed", {"to": "paused"}), ("cancel_requested", {"epoch": 0, "reason": "user-pause"}),
+    ("result_recorded", {"attempt": "a1", "transaction": "t2"}), ("resume_epoch_started", {"epoch": 1, "checkpoint": "researching"}), ("state_changed", {"to": "recovering"}), ("state_changed", {"to": "researching"}),
+    ("task_upserted", {"task": "k", "state": "resolved", "revision": 4, "attempts": ["a1", "a2", "a3"], "resolution": "done"}), ("state_changed", {"to": "synthesizing"}),
+    ("revision_prepared", {}), ("revision_failed", {}), ("revision_committed", {"revision": "v1", "manifest": "m", "commit": "c"}), ("run_completed", {"revision": "v1", "manifest": "m", "commit": "c"})]
+
+#: Event, its number in HISTORY, the payload that replaces its own, and the code.
+BROKEN = [
+    (1, "run_created", {"epoch": 1}, "initial-epoch"), (3, "identity_reserved", {"kind": "attempt", "id": "a1"}, "duplicate-reservation"), (13, "state_changed", {"to": "researching"}, "run-transition"),
+    (13, "state_changed", {"from": "planning", "to": "planning"}, "run-state-from"), (13, "state_changed", {"to": "completed"}, "completion-event-required"), (13, "state_changed", {"to": "failed"}, "run-transition"),
+    (15, "task_upserted", {"task": "k", "state": "ready", "revision": 3}, "task-revision"), (16, "task_upserted", {"task": "k", "state": "resolved", "revision": 3}, "task-transition"),
+    (16, "task_upserted", {"task": "k", "state": "running", "revision": 3, "attempts": ["zz"]}, "task-attempt-not-reserved"), (17, "dispatch_intent", {"attempt": "a1", "task": "q", "operation": "o1", "ordinal": 1}, "task-not-found"),
+    (17, "dispatch_intent", {"attempt": "a1", "task": "k", "operation": "o1", "ordinal": 2}, "attempt-ordinal"), (20, "request_intent_recorded", {"attempt": "a1", "request": "r1", "series": "x", "ordinal": 1, "journal_seq": 2, "journal_sha": "h1"}, "request-journal-sequence"),
+    (21, "request_result_recorded", {"attempt": "a1", "request": "r1", "intent_seq": 19, "status": "success", "journal_seq": 2, "journal_sha": "h2"}, "request-intent-link"),
+    (22, "request_retry_scheduled", {"attempt": "a1", "schedule": "s1", "failed": "r1", "series": "x", "ordinal": 3, "journal_seq": 3, "journal_sha": "h3"}, "request-schedule-link"),
+    (23, "request_retry_started", {"attempt": "a1", "schedule": "s1", "request": "r2", "series": "x", "ordinal": 2, "scheduled_seq": 21, "journal_seq": 4, "journal_sha": "h4"}, "request-retry-start-link"),
+    (24, "request_intent_recorded", {"attempt": "a1", "request": "r2", "series": "y", "ordinal": 2, "retry_of": "r1", "journal_seq": 5, "journal_sha": "h5"}, "request-start-link"),
+    (26, "attempt_failed", {"attempt": "a1", "state": "superseded"}, "superseded-without-replacement"), (27, "retry_scheduled", {"schedule": "s1", "attempt": "a1", "operation": "o1", "ordinal": 2}, "schedule-namespace"),
+    (28, "retry_started", {"schedule": "s2", "attempt": "a2", "operation": "o1", "ordinal": 2, "scheduled_seq": 26}, "retry-schedule-seq"), (29, "dispatch_intent", {"attempt": "a3", "task": "k", "operation": "o1", "ordinal": 2, "retry_of": "a1"}, "retry-start-missing"),
+    (32, "records_committed", {"transaction": "t1", "result_seq": 30}, "source-result-link"), (33, "attempt_committed", {"attempt": "a2", "transaction": "t1", "task": "z"}, "commit-task"),
+    (39, "records_committed", {"transaction": "t2", "result_seq": 39}, "transaction-not-found"), (40, "records_committed", {"transaction": "t2", "result_seq": 39}, "transaction-quarantined"),
+    (40, "resume_epoch_started", {"epoch": 1, "checkpoint": "planning"}, "resume-checkpoint"), (42, "state_changed", {"to": "planning"}, "run-transition"), (43, "task_upserted", {"task": "k", "state": "resolved", "revision": 4, "attempts": ["a1"]}, "task-attempt-history"),
+    (48, "run_completed", {"revision": "v1", "manifest": "n", "commit": "c"}, "run-completion-link"), (48, "no_such_event", {}, "unknown-type"), (48, "run_completed", {}, "payload")]
 
 
 def events(spark, history, run="r"):
     return spark.createDataFrame([(run, i + 1, k, json.dumps(p)) for i, (k, p) in enumerate(history)], "run_id string, seq long, type string, payload string")
 
 
-def test_fold(spark):
-    r = fold.fold(events(spark, HISTORY).repartition(3)).first()
-    assert (r["seq"], r["committed"], r["quarantined"], r["error"]) == (12, 1, 1, None)
-    bad = HISTORY + [("records_committed", {"transaction": "t2", "result_seq": 12}), ("run_created", {})]
-    r = fold.fold(events(spark, bad)).first()
-    assert (r["error"], r["error_seq"], r["seq"]) == ("reducer.transaction-quarantined", 13, 12)
+def test_fold_of_all_types(spark):
+    assert len({k for k, _ in HISTORY}) == 26
+    runs = [("whole", HISTORY)] + [(f"b{n}", [*HISTORY[: at - 1], (kind, payload), *HISTORY[at:]]) for n, (at, kind, payload, _) in enumerate(BROKEN)]
+    rows = [(run, i + 1, k, json.dumps(p)) for run, history in runs for i, (k, p) in enumerate(history)]
+    got = {r["run_id"]: r for r in fold.fold(spark.createDataFrame(rows, fold.EVENT).repartition(3)).collect()}
+    assert tuple(got["whole"])[1:] == (48, "completed", 1, 1, 2, 1, 1, 0, 2, 1, 1, None, None)
+    for n, (at, _, _, code) in enumerate(BROKEN):
+        r = got[f"b{n}"]
+        assert (r["error"], r["error_seq"], r["seq"]) == (f"reducer.{code}", at, at - 1), (n, code)
 
 
 def test_fold_stream_equals_batch(spark, tmp_path):
     e = events(spark, HISTORY)
-    for n, part in enumerate((e.filter("seq <= 6"), e.filter("seq > 6"))):
+    for n, part in enumerate((e.filter("seq <= 26"), e.filter("seq > 26"))):
         part.coalesce(1).write.json(str(tmp_path / f"in/{n}"))
     stream = spark.readStream.schema(fold.EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
     q = fold.fold_stream(stream).writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
