@@ -6,15 +6,29 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+#: Session setting by which Spark removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in ``spark.checkpoint.dir``; a local master without it gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+
+    The folder is the session's ``spark.checkpoint.dir``.  A local master without one gets a
+    temporary folder, as in tests; a cluster without one is an error, since a machine-local
+    folder would be lost with its executor.  What has been stored needs its shuffle files no
+    longer, so they go with the execution rather than when the driver collects its garbage.
+    """
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
