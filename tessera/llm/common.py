@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.plans.cut import cut
+
 #: Buckets, at least, into which an exact rank is split, so that no task holds all rows of one key.
 RANK_BUCKETS = 256
 #: Rows of a bucket from which there are more buckets, and buckets at most; their counts come to the driver.
@@ -20,22 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  A local master without one gets a
-    temporary folder, as in tests; a cluster without one is an error, since a machine-local
-    folder would be lost with its executor.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+#: A reliable checkpoint in the folder that all executors share.
+durable = cut
 
 
 def rank_buckets(rows: int) -> int:
