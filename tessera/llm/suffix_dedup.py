@@ -43,7 +43,7 @@ GRAM = 25
 ANCHOR_GRAM = 18  # bytes that pick an anchor; fewer make rarer anchors, but more of them alike
 CHUNK_BYTES = 32 << 20  # texts whose rows a task combines at once
 PIECE = 4 << 20  # window starts of one text that are worked on at once
-NO_ID = -(1 << 63)  # stands for a null doc_id
+NO_ID = -(1 << 63)  # stands for a null doc_id, with a negative tie; real ids have none
 
 _RNG = np.random.default_rng(20)
 _BYTES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -133,6 +133,16 @@ def refined(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     return level
 
 
+def names_at(data: np.ndarray, start: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Refined buckets of the windows that start at ``start``, by pieces of the text."""
+    out = np.empty(len(start), np.uint64)
+    for begin in range(0, max(0, len(data) - length + 1), PIECE):
+        here = np.flatnonzero((start >= begin) & (start < begin + PIECE))
+        if len(here):
+            out[here] = refined(data[begin : begin + PIECE + length - 1], length, gram)[start[here] - begin]
+    return out
+
+
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -308,7 +318,7 @@ def tell_apart(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataF
                 many = last - first + 1
                 row = np.repeat(np.arange(len(own)), many)
                 start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                name = refined(_bytes(text.as_py()), length, gram)[start]
+                name = names_at(_bytes(text.as_py()), start, length, gram)
                 name &= np.uint64((1 << 8 * NAME) - 1)
                 name[name == 0] = 1
                 n = len(start)
@@ -337,28 +347,31 @@ def repeats(told: DataFrame, length: int) -> DataFrame:
     return each.select("doc", "tie", F.when(F.col("name").isNull(), F.col("place")).otherwise(window).alias("run"))
 
 
-def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anchor: int = ANCHOR_GRAM) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans); spans as start-end pairs."""
-    if length % gram or (length // gram) & (length // gram - 1) or length >= 1 << NARROW:
-        raise ValueError(f"length must be gram times a power of two, and less than {1 << NARROW}")
+    if length % gram or (length // gram) & (length // gram - 1) or length >= 1 << NARROW or not 0 < anchor <= length:
+        raise ValueError(f"length must be gram times a power of two, at least anchor, and less than {1 << NARROW}")
+    most = F.lit((1 << 63) - 1)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
-    if docs.groupBy(doc).count().filter("count > 1").isEmpty():
-        rows = docs.select(doc, F.lit(0).cast("long").alias("tie"), "text", F.lit(1).cast("long").alias("copies"))
+    if docs.groupBy(F.col("doc_id").cast("long").alias("id")).count().filter("count > 1").isEmpty():
+        tie = F.lit(0).cast("long")
+        rows = docs.select(doc, F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(tie).cast("long").alias("tie"), "text", F.lit(1).cast("long").alias("copies"))
     else:
-        rows = docs.select(doc, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), "text")
+        tie = F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(most)
+        rows = docs.select(doc, F.when(F.col("doc_id").isNull(), tie - most - 1).otherwise(tie).alias("tie"), "text")
         twins = rows.groupBy("doc", "tie").count()
         rows = rows.dropDuplicates(["doc", "tie"]).join(twins, ["doc", "tie"]).select("doc", "tie", "text", F.col("count").alias("copies"))
 
-    met = meet(list_anchors(rows.select("doc", "tie", "text"), length, ANCHOR_GRAM if length == LENGTH else gram), length)
+    met = meet(list_anchors(rows.select("doc", "tie", "text"), length, anchor), length)
     cut = repeats(tell_apart(rows, met, length, gram), length)
     cut = cut.groupBy("doc", "tie").agg(F.collect_list("run").alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, copies, cuts in zip(*(batch.column(c) for c in ("doc", "text", "copies", "cut")), strict=True):
+            for doc, tie, text, copies, cuts in zip(*(batch.column(c) for c in ("doc", "tie", "text", "copies", "cut")), strict=True):
                 data = _bytes(text.as_py())
-                n, d = len(data), None if doc.as_py() == NO_ID else doc.as_py()
+                n, d = len(data), None if doc.as_py() == NO_ID and tie.as_py() < 0 else doc.as_py()
                 spans: list[tuple[int, int]] = []
                 if cuts.is_valid:
                     runs = np.sort(cuts.values.to_numpy())
@@ -377,5 +390,5 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             columns[5] = [[{"start": a, "stop": b} for a, b in s] for s in columns[5]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    joined = rows.join(cut, ["doc", "tie"], "left").select("doc", "text", "copies", "cut")
+    joined = rows.join(cut, ["doc", "tie"], "left").select("doc", "tie", "text", "copies", "cut")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, stop: bigint>>")
