@@ -10,8 +10,8 @@ Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n`` for each turn.  Inside roles
 ``<\\n|``), so that control strings in a text can neither open nor close a turn, and the
 original is restored exactly by the inverse replacements.
 
-Defined results: null texts and roles are empty strings; a null score counts 0; rows with
-the same turn follow in the order of role, then text; a null tree id is one tree of its
+Defined results: null texts and roles are empty strings; a null score counts 0; a null turn
+comes first; rows with the same turn follow in the order of role, then text; a null tree id is one tree of its
 own; a parent that does not exist makes its child a root; equal scores go to the branch
 with the smaller leaf; an empty table gives no rows; other columns are ignored.
 """
@@ -111,14 +111,16 @@ def render(chosen: DataFrame, keys: list[str]) -> DataFrame:
 def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """Rows (tree, leaf, branch_rank, branch_score, formatted, loss_spans), the best ``branches`` per tree."""
     nodes = durable(nodes)
-    paths = tree_paths(nodes)
-    same = F.col("p.tree").eqNullSafe(F.col("n.tree")) & (F.col("p.node") == F.col("n.node"))
-    full = paths.alias("p").join(nodes.alias("n"), same).select("p.tree", "p.leaf", "p.up", "n.role", "n.text", F.coalesce("n.score", F.lit(0.0)).alias("score"))
-    scores = full.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
+    paths = durable(tree_paths(nodes))
+    # Branches are ranked by scores alone; texts are fetched for the chosen ones.
+    scored = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    scores = paths.join(scored, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
     best = W.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
     scores = scores.withColumn("branch_rank", F.row_number().over(best)).filter(F.col("branch_rank") <= branches)
-    kept = full.alias("f").join(scores.alias("s"), F.col("f.tree").eqNullSafe(F.col("s.tree")) & (F.col("f.leaf") == F.col("s.leaf")))
-    kept = kept.select("f.tree", "f.leaf", "s.branch_rank", "s.branch_score", (-F.col("f.up")).alias("position"), "f.role", "f.text")
+    kept = paths.alias("p").join(scores.alias("s"), F.col("p.tree").eqNullSafe(F.col("s.tree")) & (F.col("p.leaf") == F.col("s.leaf")))
+    kept = kept.select("p.tree", "p.leaf", "p.node", "p.up", "s.branch_rank", "s.branch_score")
+    kept = kept.alias("k").join(nodes.alias("n"), F.col("k.tree").eqNullSafe(F.col("n.tree")) & (F.col("k.node") == F.col("n.node")))
+    kept = kept.select("k.tree", "k.leaf", "k.branch_rank", "k.branch_score", (-F.col("k.up")).alias("position"), "n.role", "n.text")
     return render(kept, ["tree", "leaf", "branch_rank", "branch_score"])
 
 
