@@ -13,9 +13,9 @@ would then have shown up already but for a probability of 1 - CONFIDENCE.  The s
 routes queries between cells: first their own cell gives d_k, then they visit the cells, and
 only those, whose boxes pass the test.
 
-Every row is indexed; the sample only places the splits.  Vectors that are null, zero, or
-hold null or non-finite components take no part, nor do those of another length than the
-most frequent one (ties: the shortest).  Distances are Euclidean in double precision on the
+Every row is indexed; the sample only places the splits, and only its projections go to the
+driver.  Vectors that are null, zero, or hold null or non-finite components take no part.
+Vectors of different lengths have no distance: each length is searched by itself.  Distances are Euclidean in double precision on the
 original vectors; ties go to the smaller id; rows with a null id take no part; equal rows
 of one id count once, and a query never meets rows of its own id; fewer
 candidates than k are all returned, an empty table gives no rows; other columns are ignored.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,13 @@ from pyspark.sql import Window as W
 from tessera.llm.common import durable, hash_sample
 
 DIMS = 8
-SAMPLE_ROWS = 8192  # vectors whose medians place the splits between cells
+SAMPLE_ROWS = 8192  # vectors, at least, whose medians place the splits between cells
+SAMPLE_A_CELL = 4
 CELL_ROWS = 4096
 LEAF = 256
 CONFIDENCE = 0.95
 SEED = 11
-MOST_CELLS = 4096  # more rows make fuller cells, which are dealt into sub-cells
+MOST_CELLS = 1 << 15  # more rows make fuller cells, which are dealt into sub-cells
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -152,16 +154,27 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, confidence: float =
     """Rows (query_id, rank, vec_id, score) over rows (vec_id, embedding)."""
     rows = rows.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("asks"))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if sizes is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    size, total = sizes["n"], sizes["count"]
-    rows = rows.filter(F.size("embedding") == size)
+    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy("n").collect()  # different lengths
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    found = [_nearest_of(rows.filter(F.size("embedding") == r["n"]), r["n"], r["count"], k, confidence) for r in sizes]
+    # A query id with vectors of several lengths has the nearest of all.
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = reduce(DataFrame.unionByName, found)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest_of(rows: DataFrame, size: int, total: int, k: int, confidence: float) -> DataFrame:
+    """Rows (query_id, vec_id, score), k for each query at least if there are so many; vectors are all of one length."""
     directions = np.random.default_rng(SEED).standard_normal((size, DIMS))
-    drawn = hash_sample(rows.select("vec_id", "embedding"), "vec_id", SAMPLE_ROWS, total).collect()
-    drawn = np.array([r["embedding"] for r in drawn], np.float64) @ directions
     cells = min(MOST_CELLS, max(1, -(-total // CELL_ROWS)))
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"point": list(as_matrix(b["embedding"]) @ directions) if len(b) else []})
+
+    sample = hash_sample(rows.select("vec_id", "embedding"), "vec_id", max(SAMPLE_ROWS, SAMPLE_A_CELL * cells), total)
+    drawn = np.array([r["point"] for r in sample.mapInPandas(project, "point array<double>").collect()], np.float64)
     tree = split_tree(drawn, 1, cells)
     stop = chi_square_quantile(confidence, DIMS)
     low, high = boxes(tree, DIMS)
@@ -216,6 +229,4 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, confidence: float =
 
     routed_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("asked", kind), T.StructField("bound", T.DoubleType()), T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType())])
     routed = asked.select("query_id", "asked", "bound", "cell", F.lit(0).alias("part")).mapInPandas(route, routed_schema)
-    found = round_of(routed).unionByName(first).distinct()
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return round_of(routed).unionByName(first).distinct()
