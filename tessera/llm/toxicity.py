@@ -10,8 +10,9 @@ of labelled rows; the sentence scores then locate the offending sentences.
 Training takes the texts, whole and of any size, of at most ``SAMPLE_ROWS`` labelled documents
 in hash order.  Tasks reduce them to how many documents hold each feature, and then to the
 features of each sentence; no text goes to the driver.  Features are telling if toxic documents
-hold them more often than chance allows (Chernoff bound, ``EVIDENCE`` nats); with weaker ones,
-the model learns the noise of the labels.  Scoring reads every whole text.  Only texts are
+hold them more often than chance allows: by a Chernoff bound, at most ``BY_CHANCE`` of all features
+of the sample would pass without telling anything; with more, the model learns the noise of
+the labels.  Scoring reads every whole text.  Only texts are
 inputs of a score.
 
 Defined results: a null or empty text has the score of the leak; labels with a null doc_id or
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import durable, hash_sample
 
 SAMPLE_ROWS = 4000
-EVIDENCE = 7.0
+BY_CHANCE = 200
 THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORDS = re.compile(r"\w+")
@@ -129,10 +130,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 found = sorted({f for w in set(WORDS.findall(text.as_py().lower())) for f in features(w)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["f", "y"])
 
-    seen = drawn.mapInArrow(holds, "f string, y int").groupBy("f").agg(F.sum("y").alias("n1"), F.count("*").alias("n"))
+    seen = durable(drawn.mapInArrow(holds, "f string, y int").groupBy("f").agg(F.sum("y").alias("n1"), F.count("*").alias("n")).filter("n > 1"))
+    evidence = float(np.log(max(1.0, seen.count() / BY_CHANCE)))
     base, share = sizes[1] / (sizes[0] + sizes[1]), F.col("n1") / F.col("n")
     apart = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    seen = seen.filter((share > base) & (F.col("n") * apart >= EVIDENCE))
+    seen = seen.filter((share > base) & (F.col("n") * apart >= evidence))
     telling = sorted(r["f"] for r in seen.collect())  # words of the sample at most
     place = {f: i for i, f in enumerate(telling)}
 
