@@ -118,7 +118,7 @@ def groups(prints: DataFrame, radius: int = 4, segments: int | None = None) -> D
     roots = components(links(nodes.select("fp"), radius, segments))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = durable(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = durable(named.groupBy("root").agg(F.min("least").alias("component_id")))  # stored, so that a large group's join can be split
     return prints.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
 
 
@@ -231,7 +231,7 @@ def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return durable(both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).filter(F.size("sa") > 0).select("a", "b"))
 
 
-def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Pairs (a, b) of similar text hashes that connect all whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Similar texts share one of their rarest shingles (``prefix_length``).  First, texts whose
@@ -240,7 +240,6 @@ def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, simila
     which connect most of what is similar.  Then all pairs of texts that share one of their
     rarest shingles and are not connected yet meet, so that none is missed.
     """
-    nodes = durable(features.groupBy("h").agg(*[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "fine", "prefix")]))
     each = nodes.select("h", "n", F.explode("prefix").alias("key")).withColumn("crowd", F.count("*").over(W.partitionBy("key"))).filter("crowd > 1")
     each = durable(each.withColumn("o", F.lag("h").over(W.partitionBy("key").orderBy("n", "h"))).select("key", "h", "o"))
     met = each.filter("o is not null").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"))
@@ -270,16 +269,15 @@ def similar_links(docs: DataFrame, features: DataFrame, shingle: int = 5, simila
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of linked texts the smallest doc_id stays."""
-    features = durable(_features(docs, shingle, similarity))
-    roots = components(similar_links(docs, features, shingle, similarity))
-    rows = features.select("doc_id", "h")
-    owner = rows.groupBy("h").agg(F.min("doc_id").alias("least"))
-    owner = owner.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+    features = _features(docs, shingle, similarity)
+    nodes = durable(features.groupBy("h").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "fine", "prefix")]))
+    roots = components(similar_links(docs, nodes, shingle, similarity))
+    owner = nodes.select("h", "least").join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     kept = durable(owner.groupBy("root").agg(F.min(F.struct(F.col("least"), F.col("h"))).alias("k")).select(F.col("k.least").alias("kept_id"), F.col("k.h").alias("kept_h")))
     h = fresh("h", docs.columns)
     out = docs.withColumn(h, text_key())
     same = (F.col(f"d.{h}") == F.col("k.kept_h")) & F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))
     out = out.alias("d").join(kept.alias("k"), same, "left_semi")
-    if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+    if not docs.groupBy("doc_id", text_key()).count().filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", h])
     return out.drop(h)
