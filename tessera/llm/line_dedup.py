@@ -196,7 +196,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     info = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min(place.cast("decimal(38,0)")).alias("place"), F.min("line_no").alias("low"))
     info = info.join(linked, "node", "left").filter("copies > 1 or n_links is not null")
     info = durable(info.select("node", "copies", "place", "low", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    first = info.groupBy("class_id").agg(F.min("place").alias("place"), F.min("low").alias("low"))
+    first = durable(info.groupBy("class_id").agg(F.min("place").alias("place"), F.min("low").alias("low")))
     info = info.select("node", "copies", "class_id", "n_links").join(first, "class_id")
     inside = F.pmod("place", wide)
     owner = info.select(

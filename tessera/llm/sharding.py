@@ -117,7 +117,8 @@ def assign_shards(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = (), pl
     base = durable(docs.select(
         "doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
         F.unhex(F.md5("text")).alias("gid"), bucket.alias("bucket"), *keep))
-    groups = base.filter("gid is not null").groupBy("gid").agg(F.count("*").alias("group_rows")).filter("group_rows > 1")
+    # Aggregates are stored before they are joined, so that a large group's join can be split.
+    groups = durable(base.filter("gid is not null").groupBy("gid").agg(F.count("*").alias("group_rows")).filter("group_rows > 1"))
     base = durable(base.join(groups, "gid", "left"))
     linked = base.filter("group_rows is not null")
     caps = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -127,7 +128,7 @@ def assign_shards(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = (), pl
     cells = propagate(linked.groupBy("gid", "label").agg(F.count("*").alias("cnt")), caps)
     used = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("cnt").alias("n")).collect()}
 
-    places = cells.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("label", "cnt"))).alias("places"))
+    places = durable(cells.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("label", "cnt"))).alias("places")))
     placed = durable(linked.drop("label").join(places, "gid"))
     whole = placed.filter("size(places) = 1").withColumn("shard", F.expr("places[0].label"))
     cut = rank_within(placed.filter("size(places) > 1"), ["gid"], "bucket", [F.col("doc_id")], "at", few_keys=False)

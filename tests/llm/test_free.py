@@ -110,14 +110,16 @@ def brute_removed(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "length", "gram", "anchor"), [(0, 40, 10, 10), (1, 40, 20, 18), (2, 100, 25, 18)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, seed, length, gram, anchor):
+    """The last case has the parameters of the query; texts are worked on in several pieces."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
     rng = random.Random(seed)
-    blocks = ["".join(rng.choice("abé ") for _ in range(rng.randrange(5, 60))) for _ in range(8)]
+    blocks = ["".join(rng.choice("abé ") for _ in range(rng.randrange(5, 3 * length // 2))) for _ in range(8)]
     rows = [(i, "".join(rng.choice(blocks) for _ in range(rng.randrange(1, 9)))) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "a" * 500), (103, "ab" * 300), (104, "a" * 39), (105, rows[0][1]), (None, rows[1][1])]
-    got = suffix_dedup.removed_bytes(docs(spark, rows), length=40, gram=10)
-    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute_removed(rows, 40)
+    rows += [(100, None), (101, ""), (102, "a" * 500), (103, "ab" * 300), (104, "a" * (length - 1)), (105, rows[0][1]), (None, rows[1][1]), (-(1 << 63), rows[2][1])]
+    got = suffix_dedup.removed_bytes(docs(spark, rows), length, gram, anchor)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute_removed(rows, length)
 
 
 def test_suffix_dedup_repeated_rows_and_empty(spark):
@@ -314,6 +316,10 @@ def test_neighbours(spark, monkeypatch):
     few = neighbours.nearest(df.filter("vec_id < 4 or vec_id = 100"), F.col("vec_id") % 100 == 0)
     assert Counter(r["query_id"] for r in few.collect()) == {0: 4, 100: 4}
     assert neighbours.nearest(df.filter("false"), F.lit(True)).count() == 0
+    short = spark.createDataFrame([(3000 + i, [float(i), 1.0], 1, "x") for i in range(7)], df.schema)
+    both = neighbours.nearest(df.unionByName(short), F.col("vec_id") % 100 == 0).filter("query_id in (0, 3000)").orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in both if r["query_id"] == 3000] == [3001, 3002, 3003, 3004, 3005, 3006]
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in both if r["query_id"] == 0] == got[0]
 
 
 def test_chi_square_quantile():

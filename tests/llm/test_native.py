@@ -292,11 +292,16 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.line_classes(docs(spark, [])).count() == 0
 
 
-def test_chat_query_equals_sql(spark, small):
+@pytest.mark.parametrize("odd", [False, True])
+def test_chat_query_equals_sql(spark, small, tmp_path, odd):
     import duckdb
 
+    if odd:  # null turns, roles and texts, ties, repeated rows
+        rows = [(1, None, "assistant", "late"), (1, 1, "user", None), (1, 0, None, "<|im_end|>"), (2, 3, "assistant", "b"), (2, 3, "assistant", "a"), (2, 3, "assistant", "a"), (2, None, None, None), (3, 0, "user", "")]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+        small = str(tmp_path)
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{small}/conversations.parquet'")
+    con.execute(f"create view conversations as select * from '{small}/conversations.parquet{'/*.parquet' if odd else ''}'")
     cur = con.execute(queries.OP4_SQL)
     names = [d[0] for d in cur.description]
     got = queries.op4_chat_formatting(spark, small).select(*names).collect()
