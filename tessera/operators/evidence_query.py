@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +81,17 @@ def kind_rank(kind: str = "kind") -> Column:
 
 
 def select_page(records: DataFrame, q: EvidenceQuery, after: tuple[int, object, int] | None = None) -> DataFrame:
-    """Matching records after the cursor in the order (kind rank, id, revision), at most ``q.limit``."""
+    """Matching records after the cursor in the order (kind rank, id, revision), at most ``q.limit``.
+
+    Tasks and roles can only be asked for if every record that the other filters leave has a task.
+    """
     q.normalised()
+    if q.task_ids or q.roles:
+        if not {"tasks", "roles"} <= set(records.columns):
+            raise GraphError("query.metadata-required")
+        others = condition(replace(q, task_ids=None, roles=None))
+        if not records.filter(others & (F.coalesce(F.size(F.array_compact("tasks")), F.lit(0)) == 0)).isEmpty():
+            raise GraphError("query.metadata-required")
     out = records.filter(condition(q)).withColumn("kind_rank", kind_rank())
     if after is not None:
         rank, key, revision = after

@@ -422,7 +422,7 @@ def task_move_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("chain_check", with_sql(LEDGER_SQL) + """
-SELECT user_id, seq, 'ledger.chain' AS code FROM ledger WHERE event_id % 97 = 0""")
+SELECT user_id, seq, 'ledger.previous-hash-mismatch' AS code FROM ledger WHERE event_id % 97 = 0""")
 def chain_check(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.functions.canonical import canonical, canonical_json
+from tessera.functions.identifiers import is_timestamp
 
 GENESIS = "0" * 64
 MOST_LINE = 4 << 20
@@ -28,27 +31,63 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def torn(spark: SparkSession, path: str) -> bool:
-    """Whether the file's last byte is not a line feed."""
-    tail = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, -1, 1)").alias("b"), "length")
-    return not tail.filter((F.col("length") > 0) & (F.col("b") != F.lit(b"\n"))).isEmpty()
+    """Whether a file's last byte is not a line feed: its lines, each with one, are longer than the file."""
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n"))
+    sums = lines.groupBy("f").agg(F.sum(F.col("n") + 1).alias("told"), F.max("size").alias("size"))
+    return not sums.filter("told > size").isEmpty()
 
 
 def line_issues(events: DataFrame) -> DataFrame:
-    """Rows (seq, code) of lines that are too long, not canonical, or whose hash is not their own."""
+    """Rows (seq, code) of lines that are empty, too long, no JSON, not canonical, or whose hash is not their own."""
     body = canonical_json(F.regexp_replace("raw", r'"entrySha256":"[0-9a-f]{64}",', ""))
     code = (
-        F.when(F.octet_length("raw") > MOST_LINE, "ledger.line-too-long").when(F.col("seq").isNull(), "ledger.malformed")
-        .when(canonical_json("raw") != F.col("raw"), "ledger.not-canonical")
-        .when(F.sha2(F.concat(body, F.lit("\n")), 256) != F.col("entrySha256"), "ledger.hash"))
+        F.when(F.octet_length("raw") > MOST_LINE, "ledger.line-too-long").when(F.try_parse_json("raw").isNull(), "ledger.invalid-json")
+        .when(F.col("seq").isNull() | F.col("type").isNull() | F.col("eventId").isNull() | ~F.coalesce(is_timestamp(F.col("occurredAt")), F.lit(False)), "ledger.schema-invalid")
+        .when(canonical_json("raw") != F.col("raw"), "ledger.noncanonical-line").when(F.sha2(F.concat(body, F.lit("\n")), 256) != F.col("entrySha256"), "ledger.hash-mismatch"))
     return events.withColumn("code", code).filter("code is not null").select("seq", "code")
 
 
 def chain_issues(events: DataFrame, within: list[str]) -> DataFrame:
-    """Rows (within, seq, code) where the sequence or the chain of hashes breaks; hashes are stored, so rows check side by side."""
-    by = W.partitionBy(*within).orderBy("seq") if within else W.orderBy("seq")
-    seen = events.withColumn("_prev", F.lag("entrySha256", 1, GENESIS).over(by)).withColumn("_n", F.row_number().over(by))
-    code = F.when(F.col("seq") != F.col("_n"), "ledger.sequence").when(F.col("prevSha256") != F.col("_prev"), "ledger.chain")
-    return seen.withColumn("code", code).filter("code is not null").select(*within, "seq", "code")
+    """Rows (within, seq, code) where the sequence or the chain of hashes breaks.
+
+    Hashes are stored, so each line is compared with the one before it by a join on the
+    sequence number; no task holds a whole log.
+    """
+    prev = events.select(*[F.col(k).alias(f"_{k}") for k in within], (F.col("seq") + 1).alias("_seq"), F.col("entrySha256").alias("_sha")).dropDuplicates([f"_{k}" for k in within] + ["_seq"])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in within], F.col("seq") == F.col("_seq"))
+    twice = events.groupBy(*within, "seq").count().filter("count > 1").select(*within, "seq", F.lit("ledger.sequence-mismatch").alias("code"))
+    seen = events.join(prev, same, "left")
+    code = (
+        F.when((F.col("seq") < 1) | ((F.col("seq") > 1) & F.col("_seq").isNull()), "ledger.sequence-mismatch")
+        .when(F.col("prevSha256") != F.coalesce("_sha", F.lit(GENESIS)), "ledger.previous-hash-mismatch"))
+    found = seen.withColumn("code", code).filter("code is not null").select(*within, "seq", "code")
+    return found.unionByName(twice).distinct()
+
+
+def identity_issues(events: DataFrame, within: list[str]) -> DataFrame:
+    """Rows (within, seq, code) of event ids that came before, and of identities reserved twice."""
+    by_id = W.partitionBy(*within, "eventId").orderBy("seq")
+    kind, name = F.get_json_object("payload", "$.kind"), F.get_json_object("payload", "$.id")
+    again = events.withColumn("_n", F.row_number().over(by_id)).filter("_n > 1").select(*within, "seq", F.lit("ledger.duplicate-event-id").alias("code"))
+    kept = events.filter("type = 'identity_reserved'").withColumns({"_k": kind, "_i": name})
+    twice = kept.withColumn("_n", F.row_number().over(W.partitionBy(*within, "_k", "_i").orderBy("seq"))).filter("_n > 1")
+    return again.unionByName(twice.select(*within, "seq", F.lit("ledger.duplicate-reservation").alias("code")))
+
+
+def verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The whole check of one log: rows (seq, code) of issues, and the state that its events fold to.
+
+    Read-only: a torn tail is an issue (seq null).  A log without issues folds without an error.
+    """
+    from tessera.streaming.fold import fold
+
+    events = scan(spark, path)
+    issues = line_issues(events).unionByName(chain_issues(events, [])).unionByName(identity_issues(events, []))
+    if torn(spark, path):
+        issues = issues.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("seq"), F.lit("ledger.torn-tail").alias("code")))
+    state = fold(events.filter("seq is not null and type is not null and payload is not null").select(F.lit("log").alias("run_id"), "seq", "type", "payload"))
+    bad = state.filter("error is not null").select(F.col("error_seq").alias("seq"), F.col("error").alias("code"))
+    return issues.unionByName(bad), state
 
 
 class LedgerWriter:
@@ -56,16 +95,34 @@ class LedgerWriter:
 
     def __init__(self, path: str) -> None:
         self.path = Path(path)
-        self.seq, self.prev = 0, GENESIS
+        self.seq, self.prev, self.reserved = 0, GENESIS, set()
         if self.path.exists():
-            data = self.path.read_bytes()
-            whole = data[: data.rfind(b"\n") + 1]  # an unterminated last line was never acknowledged
-            if len(whole) < len(data):
+            whole = 0
+            with self.path.open("rb") as f:
+                for line in f:
+                    whole += len(line) if line.endswith(b"\n") else 0
+            if whole < self.path.stat().st_size:  # an unterminated last line was never acknowledged
                 with self.path.open("r+b") as f:
-                    f.truncate(len(whole))
-            for line in whole.splitlines():
-                event = json.loads(line)
-                self.seq, self.prev = event["seq"], event["entrySha256"]
+                    f.truncate(whole)
+        for event in self.read_all():
+            self.seq, self.prev = event["seq"], event["entrySha256"]
+            if event["type"] == "identity_reserved":
+                self.reserved.add((event["payload"]["kind"], event["payload"]["id"]))
+
+    def reserve(self, kind: str, name: str, event_id: str, at: str) -> dict:
+        """Reserves an identity once; a second time is an error."""
+        if (kind, name) in self.reserved:
+            raise ValueError("ledger.duplicate-reservation")
+        event = self.append("identity_reserved", {"kind": kind, "id": name}, event_id, at)
+        self.reserved.add((kind, name))
+        return event
+
+    def read_all(self) -> Iterator[dict]:
+        """The acknowledged events, one at a time."""
+        if self.path.exists():
+            with self.path.open("rb") as f:
+                for line in f:
+                    yield json.loads(line)
 
     def append(self, kind: str, payload: dict, event_id: str, at: str) -> dict:
         event = {"seq": self.seq + 1, "eventId": event_id, "occurredAt": at, "type": kind, "payload": payload, "prevSha256": self.prev}

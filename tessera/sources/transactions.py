@@ -27,17 +27,39 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return got.select("transaction_id", "m.*")
 
 
+#: Caps of a line and of a transaction's file.
+MOST_LINE, MOST_FILE = 4 << 20, 64 << 20
+
+
 def issues(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (transaction_id, kind, code): counts or bytes that differ from the manifest, lines that are not canonical."""
-    found = None
+    """Rows (transaction_id, kind, code) where a folder differs from its manifest or from the layout.
+
+    A folder holds the six kinds' files and the manifest and no more; each file has the counts,
+    bytes and digest that the manifest states, and canonical lines.  Files are bounded by
+    contract, so a digest reads one file as one row.  Spark does not list empty files: one that
+    the manifest gives as empty may as well be missing.
+    """
+    name, folder = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("transaction_id")
+    wanted = F.array(*[F.lit(f) for f in sorted([*(f"{k}.jsonl" for k in KINDS), "manifest.json"])])
+    listed = spark.read.format("binaryFile").load(f"{root}/*/*").select(folder, name.alias("name"), "length")
+    layout = listed.groupBy("transaction_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.max("length").alias("most"))
+    layout_code = F.when((F.size(F.array_except("names", wanted)) > 0) | ~F.array_contains("names", "manifest.json"), "transaction.unexpected-files").when(F.col("most") > MOST_FILE, "transaction.too-large")
+    found = layout.withColumn("code", layout_code).filter("code is not null").select("transaction_id", F.lit(None).cast("string").alias("kind"), "code")
+    told_all = manifests(spark, root).select("transaction_id", F.explode("files").alias("f"))
     for kind in KINDS:
         rows = scan(spark, root, kind)
-        facts = rows.groupBy("transaction_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("b"), F.count_if(F.coalesce(canonical_json("raw") != F.col("raw"), F.lit(True))).alias("odd"))
-        told = manifests(spark, root).select("transaction_id", F.explode("files").alias("f")).filter(F.col("f.kind") == kind)
-        both = told.join(facts, "transaction_id", "left").na.fill(0, ["n", "b", "odd"])
-        code = F.when(F.col("n") != F.col("f.recordCount"), "transaction.record-count").when(F.col("b") != F.col("f.decodedBytes"), "transaction.bytes").when(F.col("odd") > 0, "transaction.not-canonical")
+        facts = rows.groupBy("transaction_id").agg(
+            F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("b"), F.max(F.octet_length("raw")).alias("longest"),
+            F.count_if(F.coalesce((canonical_json("raw") != F.col("raw")) | ~F.col("raw").startswith("{"), F.lit(True))).alias("odd"))
+        files = spark.read.format("binaryFile").load(f"{root}/*/{kind}.jsonl").filter(F.col("length") <= MOST_FILE)
+        digests = files.select(folder, F.sha2("content", 256).alias("digest"))
+        both = told_all.filter(F.col("f.kind") == kind).join(facts, "transaction_id", "left").join(digests, "transaction_id", "left").na.fill(0, ["n", "b", "odd", "longest"])
+        code = (
+            F.when(F.col("longest") > MOST_LINE, "transaction.line-too-long").when(F.col("n") != F.col("f.recordCount"), "transaction.record-count")
+            .when(F.col("b") != F.col("f.decodedBytes"), "transaction.bytes").when(F.col("odd") > 0, "transaction.not-canonical")
+            .when(F.coalesce("digest", F.sha2(F.lit(""), 256)) != F.col("f.sha256"), "transaction.digest"))
         part = both.withColumn("code", code).filter("code is not null").select("transaction_id", F.lit(kind).alias("kind"), "code")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(part)
     return found
 
 

@@ -141,6 +141,17 @@ def test_local_components_ignore_other_sources(spark):
     assert [r["k"] for r in got] == [k for _, k in cases]
 
 
+def test_tasks_need_metadata(spark):
+    schema = "kind string, id long, revision long, stance string, quality string, verification_status string, confidence double, access_level string, lineage array<string>, owners array<long>, tasks array<int>, roles array<string>"
+    rows = [("evidence", 1, 1, "supporting", "q", "v", 1.0, "a", [], [7], [3], ["r"]), ("evidence", 2, 1, "neutral", "q", "v", 1.0, "a", [], [], [None], [None])]
+    df = spark.createDataFrame(rows, schema)
+    ask = lambda df, **k: [r["id"] for r in Q.select_page(df, Q.EvidenceQuery(**k)).collect()]
+    assert ask(df, stances=("supporting",), task_ids=(3,)) == [1] and ask(df, roles=()) == []
+    for frame, k in ((df, {"task_ids": (3,)}), (df.drop("tasks"), {"stances": ("supporting",), "roles": ("r",)})):
+        with pytest.raises(graph.GraphError, match="metadata-required"):
+            ask(frame, **k)
+
+
 def test_independence_reasons(spark):
     side = "struct<id: long, study: string, cohorts: array<string>, datasets: array<string>, root: long>"
     rows = [
@@ -167,21 +178,29 @@ def test_plan_and_follow_ups(spark):
 
 
 def test_ledger_round_trip(spark, tmp_path):
-    path = tmp_path / "events.jsonl"
+    path, at = tmp_path / "events.jsonl", "2024-01-01T00:00:00.000Z"
     w = ledger.LedgerWriter(str(path))
-    for i in range(4):
-        w.append("run_created", {"b": i, "a": 1.0}, f"e{i}", "2024-01-01T00:00:00.000Z")
+    w.append("run_created", {"b": 0, "a": 1.0}, "e0", at)
+    for i in range(1, 4):
+        w.reserve("attempt", f"a{i}", f"e{i}", at)
+    with pytest.raises(ValueError, match="duplicate-reservation"):
+        w.reserve("attempt", "a1", "e9", at)
     e = ledger.scan(spark, str(path))
-    assert e.count() == 4 and ledger.line_issues(e).count() == 0 and ledger.chain_issues(e, []).count() == 0
-    assert not ledger.torn(spark, str(path))
+    assert e.count() == 4 and not ledger.torn(spark, str(path))
+    issues, state = ledger.verified(spark, str(path))
+    assert issues.count() == 0 and (state.first()["state"], state.first()["seq"]) == ("created", 4)
     text = path.read_text()
-    path.write_text(text.replace('"b":2', '"b":9') + '{"seq":5')
+    path.write_text(text.replace('"id":"a2"', '"id":"a1"') + '{"seq":5')
     assert ledger.torn(spark, str(path))
-    codes = {(r["seq"], r["code"]) for r in ledger.line_issues(ledger.scan(spark, str(path))).collect()}
-    assert (3, "ledger.hash") in codes
+    codes = {(r["seq"], r["code"]) for r in ledger.verified(spark, str(path))[0].collect()}
+    assert {(3, "ledger.hash-mismatch"), (3, "ledger.duplicate-reservation"), (None, "ledger.torn-tail"), (None, "ledger.invalid-json"), (3, "reducer.duplicate-reservation")} <= codes
     path.write_text(text + '{"seq":5')
     again = ledger.LedgerWriter(str(path))
-    assert again.seq == 4 and path.read_text() == text
+    assert again.seq == 4 and path.read_text() == text and len(list(again.read_all())) == 4
+    lines = text.splitlines(keepends=True)
+    path.write_text(lines[0] + lines[2] + lines[3] + lines[3])
+    assert {(r["seq"], r["code"]) for r in ledger.chain_issues(ledger.scan(spark, str(path)), []).collect()} == {(3, "ledger.sequence-mismatch"), (4, "ledger.sequence-mismatch")}
+    assert {r["code"] for r in ledger.identity_issues(ledger.scan(spark, str(path)), []).collect()} == {"ledger.duplicate-event-id", "ledger.duplicate-reservation"}
 
 
 def test_transactions(spark, tmp_path):
@@ -192,9 +211,14 @@ def test_transactions(spark, tmp_path):
     with pytest.raises(ValueError, match="id-conflict"):
         transactions.write(str(root), "tx-1", {}, "att-1", 7)
     assert [r["raw"] for r in transactions.scan(spark, str(root), "claims").collect()] == ['{"claimId":"c1"}', '{"claimId":"c2"}']
-    assert transactions.issues(spark, str(root)).count() == 0
-    (root / "tx-1" / "claims.jsonl").write_text('{"claimId":"c1"}\n')
-    assert [r["code"] for r in transactions.issues(spark, str(root)).collect()] == ["transaction.record-count"]
+    told = lambda: [(r["kind"], r["code"]) for r in transactions.issues(spark, str(root)).collect()]
+    assert told() == []
+    for text, code in (('{"claimId":"c1"}\n', "record-count"), ('{"claimId":"c1"}\n{"claimId":"c3"}\n', "digest"), ('{"claimId":"c1"}\n{"claimId":"c33"}\n', "bytes"), ('{"claimId":"c1"}\n{"claimId": "c"}\n', "not-canonical")):
+        (root / "tx-1" / "claims.jsonl").write_text(text)
+        assert told() == [("claims", f"transaction.{code}")]
+    transactions.write(str(root), "tx-2", recs, "att-1", 8)
+    (root / "tx-2" / "more.txt").write_text("x")
+    assert (None, "transaction.unexpected-files") in told()
 
 
 def one(spark, parse, payload):
