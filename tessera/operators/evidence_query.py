@@ -108,6 +108,20 @@ def by_refs(records: DataFrame, refs: DataFrame) -> DataFrame:
     return records.join(wanted, ["kind", "id", "revision"], "left_semi")
 
 
+def owners(sources: DataFrame, requests: DataFrame, others: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Rows (kind, id, revision, owners): a source's are the attempts of its retrieval requests, others name theirs.
+
+    ``sources``: id, revision, retrieval_request_ids; ``requests``: request_id, attempt_id; ``others``:
+    (kind, rows of id and revision, the column of the attempt).
+    """
+    each = sources.select("id", "revision", F.explode_outer("retrieval_request_ids").alias("request_id"))
+    found = each.join(requests.select("request_id", "attempt_id"), "request_id", "left").groupBy("id", "revision").agg(F.array_sort(F.collect_set("attempt_id")).alias("owners"))
+    out = found.select(F.lit("sources").alias("kind"), "id", "revision", "owners")
+    for kind, rows, attempt in others:
+        out = out.unionByName(rows.select(F.lit(kind).alias("kind"), "id", "revision", F.array_compact(F.array(attempt)).alias("owners")))
+    return out
+
+
 def encode_cursor(snapshot: str, q: EvidenceQuery, place: tuple) -> str:
     body = {"place": list(place), "query": q.hash(), "snapshot": snapshot}
     text = canonical(body | {"checksum": hashlib.sha256(canonical(body).encode()).hexdigest()})

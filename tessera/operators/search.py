@@ -90,6 +90,20 @@ def within_budget(rows: DataFrame, key: str, order: list[str], size: Column, mos
     return rows.withColumn("running", F.sum(size).over(by)).filter(F.col("running") <= most)
 
 
+def budgeted(rows: DataFrame, key: str, order: list[str], size: Column, most: int, members: str | None = None, shown: int = 16) -> DataFrame:
+    """One row a key: ``kept``, the first rows whose running size is within the budget, and how many are ``omitted``.
+
+    The array ``members`` of a kept row is cut to its first ``shown``.
+    """
+    fields = [F.slice(members, 1, shown).alias(members) if c == members else F.col(c) for c in rows.columns if c != key]
+    by = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    place = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    each = rows.select(key, F.struct(*fields).alias("row"), F.sum(size).over(by).alias("running"), place.alias("place"))
+    fits = F.col("running") <= most
+    kept = F.array_sort(F.collect_list(F.when(fits, F.struct("place", "row"))))
+    return each.groupBy(key).agg(F.transform(kept, lambda k: k["row"]).alias("kept"), F.count_if(~fits).alias("omitted"))
+
+
 def trace_code(code: Column) -> Column:
     """What a trace says of a settlement: success without a failure code, else the code's class."""
     out = F.lit("security-policy")

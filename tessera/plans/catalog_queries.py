@@ -63,6 +63,23 @@ def failure_codes(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "events").select("event_id", search.trace_code(code).alias("trace"), search.provider_code(code).alias("outcome"))
 
 
+@register("omitted_counts", """
+WITH r AS (SELECT user_id, event_id, sum(length(props)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events)
+SELECT user_id, count(*) FILTER (WHERE running <= 300) AS kept, count(*) FILTER (WHERE running > 300) AS omitted, coalesce(min(event_id) FILTER (WHERE running <= 300), -1) AS first FROM r GROUP BY user_id""")
+def omitted_counts(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "events").withColumn("keys", F.sequence(F.lit(1), F.lit(20)))
+    b = search.budgeted(e, "user_id", ["event_id"], F.octet_length("props"), 300, members="keys")
+    whole = F.forall("kept", lambda k: F.size(k["keys"]) == 16)
+    return b.filter(whole).select("user_id", F.size("kept").cast("long").alias("kept"), "omitted", F.coalesce(F.get("kept", F.lit(0))["event_id"], F.lit(-1)).alias("first"))
+
+
+@register("payload_depth", "SELECT event_id, 2 + event_id % 4 AS depth, props IS NOT NULL AND event_id % 4 < 3 AS fits FROM events")
+def payload_depth(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("event_id") % 4).cast("int")
+    raw = F.concat(F.lit('{"s":"[[{\\"}","a":'), F.repeat(F.lit("["), k + 1), F.lit("1"), F.repeat(F.lit("]"), k + 1), F.lit("}"))
+    return A.table(spark, sf, "events").select("event_id", providers.json_depth(raw).alias("depth"), (F.col("props").isNotNull() & providers.well_formed(raw, most_depth=4)).alias("fits"))
+
+
 # --- scalar rules
 
 

@@ -137,6 +137,21 @@ def attempt_filter(spark: SparkSession, sf: str) -> DataFrame:
     return Q.select_page(_records(spark, sf), Q.EvidenceQuery(attempt_ids=tuple(range(1, 41)), limit=10_000)).select("id", "revision")
 
 
+@register("record_owners", with_sql(EVIDENCE_SQL, CLAIMS_SQL) + """
+, s AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT p_size)) AS owners FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT 'sources' AS kind, id, 1 AS revision, array_to_string(owners, ',') AS owners FROM s UNION ALL SELECT 'claims', claim_id, 1, attempt_id::VARCHAR FROM claims
+UNION ALL SELECT 'evidence', evidence_id, revision, part_id::VARCHAR FROM evidence""")
+def record_owners(spark: SparkSession, sf: str) -> DataFrame:
+    """A supplier's requests are the parts that it delivers, made by attempts named after their size."""
+    li = A.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("l_partkey").alias("retrieval_request_ids"))
+    requested = A.table(spark, sf, "part").select(F.col("p_partkey").alias("request_id"), F.col("p_size").cast("long").alias("attempt_id"))
+    one = F.lit(1).cast("long").alias("revision")
+    claims = A.claims(spark, sf).select(F.col("claim_id").alias("id"), one, "attempt_id")
+    evidence = A.evidence(spark, sf).select(F.col("evidence_id").alias("id"), "revision", "part_id")
+    found = Q.owners(li.withColumn("revision", one), requested, [("claims", claims, "attempt_id"), ("evidence", evidence, "part_id")])
+    return found.select("kind", "id", "revision", F.array_join(F.transform("owners", lambda o: o.cast("string")), ",").alias("owners"))
+
+
 # --- retries, runs and requests
 
 

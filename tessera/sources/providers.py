@@ -27,9 +27,21 @@ BIOC = """documents array<struct<id: string, infons: map<string, string>,
   passages: array<struct<infons: map<string, string>, text: string>>>>"""
 
 
-def well_formed(payload: Column, most_bytes: int = 8 << 20) -> Column:
-    """Strict JSON without duplicate keys, within the size limit."""
-    return (F.octet_length(payload) <= most_bytes) & F.try_parse_json(payload).isNotNull()
+def json_depth(payload: Column) -> Column:
+    """Deepest nesting of objects and arrays; brackets inside strings do not count."""
+    bare = F.regexp_replace(F.regexp_replace(payload, r'"(?:\\.|[^"\\])*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), start, step, lambda a: a["most"])
+
+
+def well_formed(payload: Column, most_bytes: int = 8 << 20, most_depth: int = 64) -> Column:
+    """Strict JSON without duplicate keys, within the limits of size and depth."""
+    return F.coalesce((F.octet_length(payload) <= most_bytes) & F.try_parse_json(payload).isNotNull() & (json_depth(payload) <= most_depth), F.lit(False))
 
 
 def _literal(name: Column) -> Column:
