@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators.lineage import candidate_groups
+from tessera.plans.cut import cut
 
 
 def revision_order(records: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ def _membership(sources: DataFrame) -> DataFrame:
     node = F.concat(F.lit("c:"), F.col("key").cast("string"))
     found = components(sources.select(node.alias("src"), F.explode(keys).alias("dst"))).withColumnRenamed("component", "c")
     out = sources.withColumn("node", node).join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    return out.withColumn("group", F.min("key").over(W.partitionBy("c"))).drop("node", "c")
+    low = cut(out.groupBy(F.col("c").alias("k")).agg(F.min("key").alias("group")))
+    return out.join(low, F.col("c") == F.col("k")).drop("node", "c", "k")
 
 
 def accepted_plan(attempts: DataFrame, limits: DataFrame) -> DataFrame:

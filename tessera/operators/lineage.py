@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions.identifiers import access_rank
 from tessera.operators.graph import components
+from tessera.plans.cut import cut
 
 # Relation reasons and identifier kinds in order.
 RELATIONS = (("version-of", "version-relation"), ("correction-of", "correction-relation"), ("reanalysis-of", "reanalysis-relation"), ("reports", "report-relation"))
@@ -34,7 +35,9 @@ def token_components(sources: DataFrame, relations: DataFrame | None = None) ->
         edges = edges.unionByName(relations.select(*[F.concat(F.lit("s:"), F.col(c).cast("string")).alias(c) for c in ("src", "dst")]))
     found = components(edges)
     out = sources.select("source_id", name.alias("node")).join(found, "node", "left").select("source_id", F.coalesce("component", "node").alias("c"))
-    return out.withColumn("component", F.min("source_id").over(W.partitionBy("c"))).drop("c")
+    # Stored before it is joined, so that the join of a large component can be split.
+    low = cut(out.groupBy(F.col("c").alias("k")).agg(F.min("source_id").alias("component")))
+    return out.join(low, F.col("c") == F.col("k")).select("source_id", "component")
 
 
 def independence(pairs: DataFrame) -> DataFrame:
@@ -102,7 +105,10 @@ def survivors(members: DataFrame, fields: list[str], order: list[str], provenanc
     first value in order; with ``provenance``, an array of the fields that a member can vouch
     for, of a member that vouches for it.  Different values of a field are a conflict.
     """
-    ranked = members.withColumn("_o", F.struct(*order)).withColumn("_base", F.row_number().over(W.partitionBy("group").orderBy(*order)) == 1)
+    ranked = members.withColumn("_o", F.struct(*order))
+    if provenance is not None:
+        first = cut(ranked.groupBy(F.col("group").alias("_k")).agg(F.min("_o").alias("_first")))
+        ranked = ranked.join(first, F.col("group").eqNullSafe(F.col("_k"))).withColumn("_base", F.col("_o") == F.col("_first"))
 
     def vouched(f: str) -> Column:
         return F.lit(True) if provenance is None else F.col("_base") | F.array_contains(provenance, f)
