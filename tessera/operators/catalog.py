@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators.lineage import candidate_groups
+from tessera.operators.graph import components
+from tessera.operators.lineage import STRONG
 from tessera.plans.cut import cut
 
 
@@ -42,35 +45,37 @@ def merge_sources(existing: DataFrame, incoming: DataFrame, fields: list[str]) -
     """Existing and incoming sources (key, doi, pmid, pmcid, url, fields...) merged by identity.
 
     One row a group: the retained key (the existing one, else the smallest), the first non-null
-    value of each field with existing rows first, conflicts, the aliases, and ``action``:
-    ambiguous groups stay as they are, a group is revised only if a value changes.
+    value of each field with existing rows first, conflicts, the aliases, and ``action``.  Equal
+    strong identifiers unite; an equal URL does so only if no strong identifier differs among all
+    that have it, else its sources are ambiguous, as is a group of several existing ones.
+    Ambiguous groups stay as they are; a group is revised only if a value changes.
     """
     both = existing.withColumn("old", F.lit(True)).unionByName(incoming.withColumn("old", F.lit(False)))
-    groups = candidate_groups(both.select("key", "doi", "pmid", "pmcid", "url")).select("group", "status")
-    member = _membership(both).join(groups, "group")
+    member = _membership(both)
     order = F.struct((~F.col("old")).alias("late"), F.col("key").alias("key"))
     ids = ["doi", "pmid", "pmcid", "url", *fields]
     aggs = [F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in ids]
     before = [F.min_by(f, F.when(F.col("old"), order)).alias(f"_{f}") for f in ids]
-    out = member.groupBy("group", "status").agg(
-        *aggs, *before, F.min_by("key", order).alias("retained"), F.array_sort(F.collect_set("key")).alias("keys"), F.count_if("old").alias("olds"),
+    out = member.groupBy("group").agg(
+        *aggs, *before, F.min_by("key", order).alias("retained"), F.array_sort(F.collect_set("key")).alias("keys"), F.count_if("old").alias("olds"), F.bool_or("url_conflict").alias("url_conflict"),
         F.array_compact(F.array(*[F.when(F.count_distinct(f) > 1, F.lit(f)) for f in ids])).alias("conflicts"))
     changed = F.lit(False)
     for f in ids:
         changed = changed | ~F.col(f).eqNullSafe(F.col(f"_{f}"))
-    ambiguous = (F.col("status") == "ambiguous") | (F.col("olds") > 1)
-    action = F.when(ambiguous, "ambiguous").when(F.col("olds") == 0, "added").when(changed, "revised").otherwise("unchanged")
+    action = F.when(F.col("url_conflict") | (F.col("olds") > 1), "ambiguous").when(F.col("olds") == 0, "added").when(changed, "revised").otherwise("unchanged")
     return out.withColumn("action", action).withColumn("aliases", F.array_except("keys", F.array("retained"))).select("retained", *ids, "conflicts", "aliases", "action")
 
 
 def _membership(sources: DataFrame) -> DataFrame:
-    """Adds ``group``, the smallest key of those that share an identifier or URL."""
-    from tessera.operators.graph import components
-
-    keys = F.array_compact(F.array(*[F.concat(F.lit(k + ":"), F.col(k)) for k in ("doi", "pmid", "pmcid", "url")]))
+    """Adds ``group``, the smallest key of those that belong together, and ``url_conflict``."""
+    clash = reduce(lambda a, b: a | b, [F.count_distinct(k) > 1 for k in STRONG])
+    urls = cut(sources.filter("url is not null").groupBy(F.col("url").alias("u")).agg(clash.alias("clash")))
+    told = sources.join(urls, F.col("url") == F.col("u"), "left").withColumn("url_conflict", F.coalesce("clash", F.lit(False))).drop("u", "clash")
+    by_url = F.when(~F.col("url_conflict"), F.concat(F.lit("url:"), F.col("url")))
+    keys = F.array_compact(F.array(*[F.concat(F.lit(k + ":"), F.col(k)) for k in STRONG], by_url))
     node = F.concat(F.lit("c:"), F.col("key").cast("string"))
-    found = components(sources.select(node.alias("src"), F.explode(keys).alias("dst"))).withColumnRenamed("component", "c")
-    out = sources.withColumn("node", node).join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    found = components(told.select(node.alias("src"), F.explode(keys).alias("dst"))).withColumnRenamed("component", "c")
+    out = told.withColumn("node", node).join(found, "node", "left").withColumn("c", F.coalesce("c", "node"))
     low = cut(out.groupBy(F.col("c").alias("k")).agg(F.min("key").alias("group")))
     return out.join(low, F.col("c") == F.col("k")).drop("node", "c", "k")
 

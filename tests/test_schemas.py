@@ -54,6 +54,16 @@ def test_merge(spark):
     assert (got["s1"]["pmid"], got["s1"]["title"], got["s1"]["aliases"]) == ("7", "T1", ["n1"])
 
 
+def test_merge_by_url(spark):
+    """A URL unites sources unless strong identifiers differ among those that have it."""
+    schema = "key string, doi string, pmid string, pmcid string, url string, title string"
+    old = spark.createDataFrame([("s1", None, None, None, "u1", None), ("s2", "d2", None, None, "u2", "T2"), ("s4", "d4", "4", None, None, None), ("s5", None, "5", None, None, None)], schema)
+    new = spark.createDataFrame([("n1", "d1", None, None, "u1", "T1"), ("n2", "d3", None, None, "u2", "T3"), ("n4", "d4", "5", None, None, None), ("n6", "d6", "6", None, None, None), ("n7", "d7", "6", None, None, None)], schema)
+    got = {r["retained"]: (r["action"], r["aliases"], r["conflicts"]) for r in catalog.merge_sources(old, new, ["title"]).collect()}
+    assert got == {
+        "s1": ("revised", ["n1"], []), "s2": ("ambiguous", [], []), "n2": ("ambiguous", [], []), "s4": ("ambiguous", ["n4", "s5"], ["pmid"]), "n6": ("added", ["n7"], ["doi"])}
+
+
 def test_accepted_plan(spark):
     a = spark.createDataFrame([("r", "p", "committed", 5), ("q", "p", "committed", 5), ("q", "p2", "committed", 6)], "run_id string, attempt_id string, phase string, seq long")
     m = spark.createDataFrame([("r", 1, 10), ("r", 4, 20), ("r", 6, 30)], "run_id string, seq long, max_sources long")
