@@ -73,7 +73,7 @@ def omitted_counts(spark: SparkSession, sf: str) -> DataFrame:
     return b.filter(whole).select("user_id", F.size("kept").cast("long").alias("kept"), "omitted", F.coalesce(F.get("kept", F.lit(0))["event_id"], F.lit(-1)).alias("first"))
 
 
-@register("payload_depth", "SELECT event_id, 2 + event_id % 4 AS depth, props IS NOT NULL AND event_id % 4 < 3 AS fits FROM events")
+@register("payload_depth", "SELECT event_id, (2 + event_id % 4)::INT AS depth, props IS NOT NULL AND event_id % 4 < 3 AS fits FROM events")
 def payload_depth(spark: SparkSession, sf: str) -> DataFrame:
     k = (F.col("event_id") % 4).cast("int")
     raw = F.concat(F.lit('{"s":"[[{\\"}","a":'), F.repeat(F.lit("["), k + 1), F.lit("1"), F.repeat(F.lit("]"), k + 1), F.lit("}"))
