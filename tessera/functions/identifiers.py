@@ -72,8 +72,8 @@ def encode_component(text: Column) -> Column:
 
 
 def canonical_doi_url(doi: Column) -> Column:
-    decoded = F.replace(doi, F.lit("%25"), F.lit("%"))
-    head, rest = F.substring_index(decoded, "/", 1), F.substring(decoded, F.instr(decoded, "/") + 1, F.length(decoded))
+    """Resolver URL of a normalised DOI; its ``%25`` is encoded again, as resolver URLs are decoded twice."""
+    head, rest = F.substring_index(doi, "/", 1), F.substring(doi, F.instr(doi, "/") + 1, F.length(doi))
     return F.concat(F.lit("https://doi.org/"), encode_component(head), F.lit("/"), encode_component(rest))
 
 

@@ -83,6 +83,21 @@ def payload_depth(spark: SparkSession, sf: str) -> DataFrame:
 # --- scalar rules
 
 
+@register("identity_rules", """
+SELECT p_partkey, 'https://doi.org/10.1234/p(' || p_partkey || ')%2F' || p_size || '%2525' AS doi_url, CASE WHEN p_size % 2 = 0 THEN 'doi:10.1234/' || p_partkey || ',' ELSE '' END || 'url:https://h/' AS keys,
+  p_size % 3 = 0 AS allowed, p_size % 4 = 0 AS instant, CASE WHEN p_size % 5 < 3 THEN (p_size % 5 + 6)::INT END AS month, CASE WHEN p_size % 2 = 1 THEN p_name ELSE p_brand END AS first, p_size % 3 <> 1 AS portable FROM part""")
+def identity_rules(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = F.col("p_partkey").cast("string"), F.col("p_size")
+    pick = lambda by, *cases: F.element_at(F.array(*[F.lit(c) for c in cases]), (k % by + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    doi_url = I.canonical_doi_url(F.concat(F.lit("10.1234/p("), n, F.lit(")/"), k.cast("string"), F.lit("%25")))
+    keys = I.identity_keys(F.when(k % 2 == 0, F.concat(F.lit("10.1234/"), n)), none, none, F.lit("https://h/"))
+    return A.table(spark, sf, "part").select(
+        "p_partkey", doi_url.alias("doi_url"), F.array_join(keys, ",").alias("keys"), I.allowed_origin(pick(3, "https://api.openalex.org/works?q", "https://api.openalex.org:444/", "http://api.openalex.org/"), "openalex").alias("allowed"),
+        I.is_timestamp(pick(4, "2024-02-29T23:59:59.999Z", "2023-02-29T00:00:00.000Z", "2024-01-01T00:00:00Z", "2024-01-01 00:00:00.000Z")).alias("instant"), I.month_number(pick(5, "June", "jul", "AUGUST", "Spring", "13")).alias("month"),
+        I.first_text(F.when(k % 2 == 1, F.array(F.lit("  "), F.col("p_name"))).otherwise(F.array(F.lit(""), F.col("p_brand"), F.col("p_name")))).alias("first"), I.portable_path(pick(3, "a/b:c.txt", "../a", "d/e f")).alias("portable"))
+
+
 @register("section_access", """
 SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'front' WHEN 1 THEN 'body' WHEN 2 THEN 'unknown' WHEN 3 THEN 'body' WHEN 4 THEN 'front' ELSE 'unknown' END AS class FROM orders""")
 def section_access(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,7 +29,10 @@ def test_doi(spark):
 
 
 def test_doi_url(spark):
-    assert column(spark, I.canonical_doi_url, ["10.1234/a(b)*c%25"]) == ["https://doi.org/10.1234/a(b)*c%25"]
+    dois = ["10.1234/a(b)*c%25", "10.1234/a/b+c~d"]
+    urls = column(spark, I.canonical_doi_url, dois)
+    assert urls == ["https://doi.org/10.1234/a(b)*c%2525", "https://doi.org/10.1234/a%2Fb%2Bc~d"]
+    assert column(spark, I.normalize_doi, urls) == dois
 
 
 def test_ids(spark):
