@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, divergence, fill_middle, line_dedup, mixing, neighbours, secrets, sharding, simhash, suffix_dedup, toxicity
+from tessera.llm import chat, decontaminate, divergence, fill_middle, line_dedup, mixing, neighbours, ngram_join, secrets, sharding, simhash, suffix_dedup, toxicity
 from tessera.llm.common import table
 
 
@@ -86,6 +86,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pfair_mix(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -158,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
+        "op11_ngram_join": op11_ngram_join,
         "op12_divergence": op12_divergence,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
