@@ -14,8 +14,8 @@ together, level by level: what a path shares is compared once, and a subtree is
 the n-grams missed so far are more than the lengths below it allow.  Parities of hashed n-grams
 reject what arrives at a leaf and cannot be similar; the whole sets decide the rest.
 
-First each node is dealt to cells of two of its n-grams and takes the nearest other node of
-each: these links connect most of what is similar.  Then the cells of all n-grams whose nodes are
+First each node is dealt to cells of two of its n-grams, at random within a crowd, and each cell
+gives a spanning forest of its nearest pairs: these links connect most of what is similar.  Then the cells of all n-grams whose nodes are
 not connected yet are walked in full, two crowded parts at a time, so that no link between
 components is missed.
 
@@ -214,8 +214,25 @@ def _walk(cell: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, pa
     return p[near], r[near], turned[near]
 
 
-def _candidates(cells: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of one cell that can be similar, or only the nearest to each node.
+def _forest(p: np.ndarray, r: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of the pairs (p, r) in this order, those that join what none before has joined."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for i, x, y in zip(order.tolist(), p[order].tolist(), r[order].tolist(), strict=True):
+        if (u := top(x)) != (v := top(y)):
+            up[u] = v
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def _candidates(cells: DataFrame, percent: int, tree: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of one cell that can be similar, or only a cell's spanning forest of the nearest of them.
 
     ``cells`` has token, x, y (the cell), node, n, pos, root, path, sketch.
     """
@@ -230,24 +247,21 @@ def _candidates(cells: DataFrame, percent: int, nearest: bool) -> DataFrame:
         cut = np.flatnonzero(np.r_[True, (x["token"][1:] != x["token"][:-1]) | (x["x"][1:] != x["x"][:-1]) | (x["y"][1:] != x["y"][:-1])])
         sizes = np.diff(np.r_[cut, len(t)])
         cell = np.repeat(np.arange(len(cut)), sizes)
-        a, b = [], []
-        lo = 0
+        found, lo = [], 0
         work = np.cumsum(sizes.astype(np.int64) ** 2)
         while lo < len(cut):
             hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
             rows = slice(cut[lo], cut[hi] if hi < len(cut) else len(t))
             p, r, turned = _walk(cell[rows], x["n"][rows], x["pos"][rows], x["root"][rows], path[rows], bits[rows], percent)
             node = x["node"][rows]
-            if nearest and len(p):
-                order = np.lexsort((node[r], turned / (x["n"][rows][p] + x["n"][rows][r]), p))
-                p, r = p[order], r[order]
-                one = np.r_[True, p[1:] != p[:-1]]
-                p, r = p[one], r[one]
-            a.append(np.minimum(node[p], node[r]))
-            b.append(np.maximum(node[p], node[r]))
+            far = turned / (x["n"][rows][p] + x["n"][rows][r])
+            one = np.flatnonzero(node[p] < node[r])
+            if tree:
+                one = _forest(p, r, one[np.lexsort((node[r[one]], node[p[one]], far[one]))])
+            p, r = p[one], r[one]
+            found.append((node[p], node[r]))
             lo = hi
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -273,7 +287,7 @@ def _cells(members: DataFrame, nodes: DataFrame, x: Column, y: Column) -> DataFr
         "token", "x", "y", "node", "n", F.col("at").cast("long").alias("pos"), "root", path.alias("path"), "sketch")
 
 
-def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole sets are similar."""
     pairs = durable(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -290,7 +304,9 @@ def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
 
     w = F.broadcast(wanted.alias("w")) if small else wanted.alias("w")
     told = texts.alias("t").join(w, (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep"))).select("w.node", "w.digest", "t.text")
-    sets = durable(told.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    if repeated:
+        told = told.dropDuplicates(["node"])
+    sets = told.mapInArrow(run, "node bigint, shingles array<bigint>")  # made for each side anew: stored, they would be twice on disk
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return durable(both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
@@ -309,16 +325,19 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     nodes = told.select("digest", "least", "s.th", F.col("s.doc_id").alias("rep"), "s.n", "s.prefix", "s.sketch")
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("root", F.col("node")))
     trie = nodes.select("node", "n", "root", "prefix", "sketch")
+    repeated = not rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
 
     each = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
     crowds = each.groupBy("token").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     shared = durable(each.join(crowds, "token"))
 
-    # two n-grams of each node, the rarest and the commonest that it shares; crowds are dealt at random, differently for both
-    told = F.struct("at", "token", "crowd")
-    homes = shared.groupBy("node").agg(F.array(F.min(told), F.max(told)).alias("two")).select("node", F.posexplode("two").alias("which", "s")).select("node", "which", "s.*")
+    # two n-grams of each node, those that fewest and most others share; crowds are dealt at random, twice for the most
+    told = F.struct("crowd", "token", "at")
+    homes = shared.groupBy("node").agg(F.min(told).alias("few"), F.max(told).alias("most"))
+    homes = homes.select("node", F.posexplode(F.array("few", "most", "most")).alias("which", "s")).select("node", "which", "s.*").filter((F.col("which") < 2) | (F.col("crowd") > CELL))
     part = F.pmod(F.xxhash64("node", "which"), F.ceil(F.col("crowd") / CELL))
-    first = _decided(texts, nodes, _candidates(_cells(homes, trie, part, F.col("which").cast("long")), percent, True), width, percent)
+    near = _candidates(_cells(homes, trie, part, F.col("which").cast("long")), percent, True)
+    first = _decided(texts, nodes, near, width, percent, repeated)
 
     # what is not connected yet: all parts of a crowd meet, two at a time
     trie = durable(_rooted(trie, first))
@@ -326,7 +345,7 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     left = shared.join(open_crowds, "token", "left_semi").withColumn("parts", F.ceil(F.col("crowd") / CELL)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rest = _candidates(_cells(left, trie, F.least("part", "other"), F.greatest("part", "other")), percent, False)
-    links = first.unionByName(_decided(texts, nodes, rest, width, percent))
+    links = first.unionByName(_decided(texts, nodes, rest, width, percent, repeated))
 
     named = durable(_rooted(nodes.select("node", "digest", "least"), links))
     least = durable(named.groupBy("root").agg(F.min("least").alias("component_id")))  # stored, so that a large group's join can be split
