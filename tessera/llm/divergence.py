@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import durable
+from tessera.llm.common import BROADCAST_ROWS, durable
 
 SCALE = 1_000_000_000
 LIGHT_GROUPS = 32  # groups at most in which a light term occurs
@@ -87,7 +87,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
             yield flush()
 
     bare = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return bare.mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
+    dealt = bare.mapInArrow(run, COUNTS).repartition("lang", "term")  # all that follows goes by term, too
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
 
 
 def share(count: Column | str, total: Column | str, terms: Column | str) -> Column:
@@ -164,23 +165,24 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     Part ``pair``: item is each other source of the language, value f summed over all kept terms.
     Part ``term``: item is a term that the group uses more than its language, to ``top`` ranks.
     """
-    counts = durable(term_counts(docs))
-    terms = counts.filter("term is not null").groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("count").alias("total"), F.count("*").alias("in_groups")).filter(F.col("docs") >= least_docs).drop("docs")
-    terms = durable(terms)
-    kept = counts.filter("term is not null").select("lang", "source", "term", "count").join(terms, ["lang", "term"])
-    langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_total"))
+    by = W.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns({
+        "in_docs": F.sum("docs").over(by), "term_total": F.sum("count").over(by), "in_groups": F.count("*").over(by),
+        "leads": F.row_number().over(by.orderBy("source")) == 1})
+    counts = durable(counts.filter(F.col("term").isNull() | (F.col("in_docs") >= least_docs)).drop("docs", "in_docs"))
+    kept = counts.filter("term is not null")
     sums = kept.groupBy("lang", "source").agg(F.sum("count").alias("total"))
+    langs = kept.groupBy("lang").agg(F.count_if("leads").alias("terms"), F.sum("count").alias("lang_total"))
     groups = counts.filter("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "lang_total")])
     p0 = F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms")))
     by = W.partitionBy("lang")
     groups = durable(groups.withColumns({
         "p0": p0, "idx": (F.row_number().over(by.orderBy("source")) - 1).cast("long"), "n_groups": F.count("*").over(by)}))
-    postings = kept.select("lang", "source", "term", "count", "in_groups", F.col("total").alias("term_total")).join(groups, ["lang", "source"])
-    postings = durable(postings.select(
+    told = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    postings = kept.join(told, ["lang", "source"]).select(
         "lang", "source", "idx", "term", "p0", "in_groups", "n_groups",
-        share("count", "total", "terms").alias("p"), share("term_total", "lang_total", "terms").alias("q")))
+        share("count", "total", "terms").alias("p"), share("term_total", "lang_total", "terms").alias("q"))
 
     pair = _pair_sums(postings, groups).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     g = groups.select("lang", "idx", "source")
