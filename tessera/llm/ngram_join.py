@@ -47,6 +47,7 @@ KNOWN_WORDS = 1 << 20
 PATH = 16  # n-grams of a trie path
 CELL = 256  # nodes of a cell, about
 PAIRS_AT_ONCE = 1 << 18  # node pairs, at most, of the cells that are walked together
+PLACE_GRAMS = 1 << 21  # n-grams of the sets that are compared in one place, about
 BROADCAST_PAIRS = 1_000_000
 END = np.iinfo(np.int64).max
 
@@ -288,28 +289,52 @@ def _cells(members: DataFrame, nodes: DataFrame, x: Column, y: Column) -> DataFr
 
 
 def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose whole sets are similar."""
+    """Those of the pairs (a, b) of nodes whose whole sets are similar.
+
+    Pairs that hang together are decided in one place, so that each set goes there once; what is
+    too large for one place is dealt out by ``a``.
+    """
     pairs = durable(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = components(pairs)
+    sizes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "n"), "node").join(roots, "node", "left")
+    sizes = sizes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.ceil(F.sum("n") / PLACE_GRAMS).alias("parts"))
+    placed = pairs.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")).join(sizes, "root")
+    placed = durable(placed.select(F.xxhash64("root", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("place"), "a", "b"))
+    wanted = placed.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = durable(nodes.select("node", "th", "rep", "digest").join(wanted, "node"))
-    small = pairs.count() <= BROADCAST_PAIRS  # else the texts are shuffled
+    w = F.broadcast(wanted.alias("w")) if wanted.count() <= BROADCAST_PAIRS else wanted.alias("w")  # else the texts are shuffled
+    told = texts.alias("t").join(w, (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep"))).select("w.place", "w.node", "w.digest", "t.text")
+    if repeated:
+        told = told.dropDuplicates(["place", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
-            same = [xxhash.xxh3_128_digest(x.tobytes()) == d.as_py() for x, d in zip(sets, batch.column("digest"), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "shingles"])
+            found = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) == d.as_py() for x, d in zip(found, batch.column("digest"), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column("place"), batch.column("node"), _lists(found)], ["place", "a", "shingles"])
             yield out.filter(pa.array(same, pa.bool_()))
 
-    w = F.broadcast(wanted.alias("w")) if small else wanted.alias("w")
-    told = texts.alias("t").join(w, (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep"))).select("w.node", "w.digest", "t.text")
-    if repeated:
-        told = told.dropDuplicates(["node"])
-    sets = told.mapInArrow(run, "node bigint, shingles array<bigint>")  # made for each side anew: stored, they would be twice on disk
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return durable(both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            near = []
+            lists = batch.column("shingles")
+            for i, (place, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("place", "a", "b")], strict=True)):
+                if place != at:
+                    at, held = place, {}
+                if b is None:
+                    held[a] = lists[i].values.to_numpy()
+                else:
+                    x, y = held[a], held[b]
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        near.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in near], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    every = told.mapInArrow(sets, "place bigint, a bigint, shingles array<bigint>").unionByName(placed, allowMissingColumns=True)
+    dealt = every.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
+    return durable(dealt.mapInArrow(decide, "a bigint, b bigint"))
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
