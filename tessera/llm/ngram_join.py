@@ -30,7 +30,7 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +89,9 @@ def most_apart(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     return (m + n) * (100 - percent) // (100 + percent)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of n-grams in each of 256 cells, as four longs."""
-    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def sketch(hashes: np.ndarray, cells: int = 256) -> np.ndarray:
+    """Parities of the numbers of n-grams in each of ``cells`` cells, packed into longs."""
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -131,7 +131,7 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (doc_id, th, digest, n, prefix, sketch): digest of the set, its size, its first n-grams, its parities."""
+    """Rows (doc_id, th, digest, n, prefix, sketch, fine): digest of the set, its size, its first n-grams, its parities in few cells and in about as many as n-grams."""
     known, classes = _common(texts, width)
 
     def first(x: np.ndarray) -> np.ndarray:
@@ -148,11 +148,12 @@ def _features(texts: DataFrame, width: int, percent: int) -> DataFrame:
             sets = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), digests, pa.array([len(x) for x in sets], pa.int64()), _lists([first(x) for x in sets]), _lists([sketch(x) for x in sets])],
-                ["doc_id", "th", "digest", "n", "prefix", "sketch"])
+                [batch.column("doc_id"), batch.column("th"), digests, pa.array([len(x) for x in sets], pa.int64()), _lists([first(x) for x in sets]), _lists([sketch(x) for x in sets]),
+                 _lists([sketch(x, max(256, 1 << len(x).bit_length())) for x in sets])],
+                ["doc_id", "th", "digest", "n", "prefix", "sketch", "fine"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, th bigint, digest binary, n bigint, prefix array<bigint>, sketch array<bigint>")
+    return texts.mapInArrow(run, f"doc_id {kind}, th bigint, digest binary, n bigint, prefix array<bigint>, sketch array<bigint>, fine array<bigint>")
 
 
 # --- the trie of a cell
@@ -288,53 +289,69 @@ def _cells(members: DataFrame, nodes: DataFrame, x: Column, y: Column) -> DataFr
         "token", "x", "y", "node", "n", F.col("at").cast("long").alias("pos"), "root", path.alias("path"), "sketch")
 
 
-def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose whole sets are similar.
-
-    Pairs that hang together are decided in one place, so that each set goes there once; what is
-    too large for one place is dealt out by ``a``.
-    """
-    pairs = durable(pairs)
+def _placed(pairs: DataFrame, nodes: DataFrame, grams: int) -> DataFrame:
+    """The pairs as rows (place, a, b): those that hang together are in one place, dealt out by ``a`` where their sets have more than ``grams`` n-grams."""
     roots = components(pairs)
     sizes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "n"), "node").join(roots, "node", "left")
-    sizes = sizes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.ceil(F.sum("n") / PLACE_GRAMS).alias("parts"))
+    sizes = sizes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.ceil(F.sum("n") / grams).alias("parts"))
     placed = pairs.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")).join(sizes, "root")
-    placed = durable(placed.select(F.xxhash64("root", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("place"), "a", "b"))
-    wanted = placed.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = durable(nodes.select("node", "th", "rep", "digest").join(wanted, "node"))
-    w = F.broadcast(wanted.alias("w")) if wanted.count() <= BROADCAST_PAIRS else wanted.alias("w")  # else the texts are shuffled
-    told = texts.alias("t").join(w, (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep"))).select("w.place", "w.node", "w.digest", "t.text")
-    if repeated:
-        told = told.dropDuplicates(["place", "node"])
+    return durable(placed.select(F.xxhash64("root", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("place"), "a", "b"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
-        for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
-            same = [xxhash.xxh3_128_digest(x.tobytes()) == d.as_py() for x, d in zip(found, batch.column("digest"), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("place"), batch.column("node"), _lists(found)], ["place", "a", "shingles"])
-            yield out.filter(pa.array(same, pa.bool_()))
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(told: DataFrame, placed: DataFrame, alike: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """The placed pairs (a, b) whose nodes are alike; ``told`` has place, node and longs, once for each place and node at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
         for batch in batches:
             near = []
-            lists = batch.column("shingles")
+            lists = batch.column("longs")
             for i, (place, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("place", "a", "b")], strict=True)):
                 if place != at:
                     at, held = place, {}
                 if b is None:
                     held[a] = lists[i].values.to_numpy()
-                else:
-                    x, y = held[a], held[b]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        near.append((a, b))
+                elif alike(held[a], held[b]):
+                    near.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in near], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    every = told.mapInArrow(sets, "place bigint, a bigint, shingles array<bigint>").unionByName(placed, allowMissingColumns=True)
+    every = told.withColumnRenamed("node", "a").unionByName(placed, allowMissingColumns=True)
     dealt = every.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
-    return durable(dealt.mapInArrow(decide, "a bigint, b bigint"))
+    return durable(dealt.mapInArrow(run, "a bigint, b bigint"))
+
+
+def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets are similar: what fine parities leave, by the sets themselves."""
+
+    def finely(x: np.ndarray, y: np.ndarray) -> bool:
+        (m, u), (n, v) = (x[0], x[1:]), (y[0], y[1:])
+        size = min(len(u), len(v))
+        turned = np.bitwise_xor.reduce(u.reshape(-1, size)) ^ np.bitwise_xor.reduce(v.reshape(-1, size))
+        return int(np.bitwise_count(turned.view(np.uint64)).sum()) <= most_apart(m, n, percent)
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+    placed = _placed(durable(pairs), nodes, PLACE_GRAMS * 32)
+    wanted = placed.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
+    told = nodes.select("node", F.concat(F.array("n"), "fine").alias("longs")).join(wanted, "node")
+    placed = _placed(_compared(told, placed, finely), nodes, PLACE_GRAMS)
+    wanted = placed.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = durable(nodes.select("node", "th", "rep", "digest").join(wanted, "node"))
+    w = F.broadcast(wanted.alias("w")) if wanted.count() <= BROADCAST_PAIRS else wanted.alias("w")  # else the texts are shuffled
+    told = texts.alias("t").join(w, (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep"))).select("w.place", "w.node", "w.digest", "t.text")
+    if repeated:
+        told = told.dropDuplicates(["place", "node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
+        for batch in batches:
+            found = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) == d.as_py() for x, d in zip(found, batch.column("digest"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("node"), _lists(found)], ["place", "node", "longs"]).filter(pa.array(same, pa.bool_()))
+
+    return _compared(told.mapInArrow(sets, "place bigint, node bigint, longs array<bigint>"), placed, similar)
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -346,8 +363,8 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id)."""
     texts = _texts(docs)
     rows = durable(_features(texts, width, percent))
-    told = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id", "n", "prefix", "sketch")).alias("s"))
-    nodes = told.select("digest", "least", "s.th", F.col("s.doc_id").alias("rep"), "s.n", "s.prefix", "s.sketch")
+    told = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id", "n", "prefix", "sketch", "fine")).alias("s"))
+    nodes = told.select("digest", "least", "s.th", F.col("s.doc_id").alias("rep"), "s.n", "s.prefix", "s.sketch", "s.fine")
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("root", F.col("node")))
     trie = nodes.select("node", "n", "root", "prefix", "sketch")
     repeated = not rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
