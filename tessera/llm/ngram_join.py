@@ -30,6 +30,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ KNOWN_WORDS = 1 << 20
 PATH = 16  # n-grams of a trie path
 CELL = 256  # nodes of a cell, about
 PAIRS_AT_ONCE = 1 << 18  # node pairs, at most, of the cells that are walked together
-PLACE_GRAMS = 1 << 21  # n-grams of the sets that are compared in one place, about
+PLACE_GRAMS = 1 << 20  # n-grams of the sets that are compared in one place, about
 BROADCAST_PAIRS = 1_000_000
 END = np.iinfo(np.int64).max
 
@@ -290,33 +291,45 @@ def _cells(members: DataFrame, nodes: DataFrame, x: Column, y: Column) -> DataFr
 
 
 def _placed(pairs: DataFrame, nodes: DataFrame, grams: int) -> DataFrame:
-    """The pairs as rows (place, a, b): those that hang together are in one place, dealt out by ``a`` where their sets have more than ``grams`` n-grams."""
-    roots = components(pairs)
-    sizes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "n"), "node").join(roots, "node", "left")
-    sizes = sizes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.ceil(F.sum("n") / grams).alias("parts"))
-    placed = pairs.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")).join(sizes, "root")
-    return durable(placed.select(F.xxhash64("root", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("place"), "a", "b"))
+    """The pairs as rows (place, a, b): a grid by ``a`` and ``b``, so that also a node of many pairs is dealt out, with about ``grams`` n-grams to a place."""
+    pairs = durable(pairs)
+    total = pairs.select(F.explode(F.array("a", "b")).alias("node")).join(nodes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
+    side = math.isqrt(total // grams) + 1
+    place = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+    return pairs.select(place.alias("place"), "a", "b")
+
+
+def _wanted(placed: DataFrame) -> DataFrame:
+    """Rows (place, node, second): the nodes of each place that come first and second in its pairs."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(False).alias("second")), F.struct(F.col("b").alias("node"), F.lit(True).alias("second")))
+    return placed.select("place", F.inline(ends)).distinct()
 
 
 def _compared(told: DataFrame, placed: DataFrame, alike: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
-    """The placed pairs (a, b) whose nodes are alike; ``told`` has place, node and longs, once for each place and node at least."""
+    """The placed pairs (a, b) whose nodes are alike; ``told`` has place, node, second and longs.
+
+    A task holds the longs of a place's first nodes; the second ones come one at a time, each followed by its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
+        at, held, now = None, {}, None
         for batch in batches:
             near = []
             lists = batch.column("longs")
-            for i, (place, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("place", "a", "b")], strict=True)):
+            for i, (place, b, a) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("place", "b", "a")], strict=True)):
                 if place != at:
                     at, held = place, {}
                 if b is None:
                     held[a] = lists[i].values.to_numpy()
-                elif alike(held[a], held[b]):
+                elif a is None:
+                    now = lists[i].values.to_numpy()
+                elif alike(held[a], now):
                     near.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in near], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    every = told.withColumnRenamed("node", "a").unionByName(placed, allowMissingColumns=True)
-    dealt = every.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
+    sides = told.select("place", F.when(F.col("second"), F.col("node")).alias("b"), F.when(~F.col("second"), F.col("node")).alias("a"), "longs")
+    every = sides.unionByName(placed, allowMissingColumns=True)
+    dealt = every.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first(), F.col("a").asc_nulls_first())
     return durable(dealt.mapInArrow(run, "a bigint, b bigint"))
 
 
@@ -333,25 +346,23 @@ def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-    placed = _placed(durable(pairs), nodes, PLACE_GRAMS * 32)
-    wanted = placed.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
-    told = nodes.select("node", F.concat(F.array("n"), "fine").alias("longs")).join(wanted, "node")
+    placed = _placed(pairs, nodes, PLACE_GRAMS * 4)
+    told = nodes.select("node", F.concat(F.array("n"), "fine").alias("longs")).join(_wanted(placed), "node")
     placed = _placed(_compared(told, placed, finely), nodes, PLACE_GRAMS)
-    wanted = placed.select("place", F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = durable(nodes.select("node", "th", "rep", "digest").join(wanted, "node"))
+    wanted = durable(nodes.select("node", "th", "rep", "digest").join(_wanted(placed), "node"))
     w = F.broadcast(wanted.alias("w")) if wanted.count() <= BROADCAST_PAIRS else wanted.alias("w")  # else the texts are shuffled
-    told = texts.alias("t").join(w, (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep"))).select("w.place", "w.node", "w.digest", "t.text")
+    told = texts.alias("t").join(w, (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep"))).select("w.place", "w.node", "w.second", "w.digest", "t.text")
     if repeated:
-        told = told.dropDuplicates(["place", "node"])
+        told = told.dropDuplicates(["place", "node", "second"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             same = [xxhash.xxh3_128_digest(x.tobytes()) == d.as_py() for x, d in zip(found, batch.column("digest"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("node"), _lists(found)], ["place", "node", "longs"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("place", "node", "second")], _lists(found)], ["place", "node", "second", "longs"]).filter(pa.array(same, pa.bool_()))
 
-    return _compared(told.mapInArrow(sets, "place bigint, node bigint, longs array<bigint>"), placed, similar)
+    return _compared(told.mapInArrow(sets, "place bigint, node bigint, second boolean, longs array<bigint>"), placed, similar)
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
