@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,11 +22,18 @@ RESERVED_IPV6 = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often it is used; the plan holds it once, too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ipv4_number(text: Column) -> Column:
-    parts = F.split(text, r"\.")
-    number = sum((F.get(parts, F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(1, 4)), F.get(parts, F.lit(0)).try_cast("long") * 256**3)
-    sound = text.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$") & F.forall(parts, lambda p: p.try_cast("int") <= 255)
-    return F.when(sound, number)
+    def count(t: Column) -> Column:
+        parts = F.transform(F.split(t, r"\."), lambda p: p.try_cast("long"))
+        whole = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: F.when((n >= 0) & (p <= 255), n * 256 + p).otherwise(F.lit(-1).cast("long")))
+        return F.when(t.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$"), let(whole, lambda n: F.when(n >= 0, n)))
+
+    return let(text, count)
 
 
 def _public_ipv4(number: Column) -> Column:
@@ -34,74 +42,87 @@ def _public_ipv4(number: Column) -> Column:
 
 
 def public_ipv4(text: Column) -> Column:
-    number = ipv4_number(text)
-    return number.isNotNull() & _public_ipv4(number)
+    return let(ipv4_number(text), lambda n: n.isNotNull() & _public_ipv4(n))
 
 
 def ipv6_groups(text: Column) -> Column:
     """The eight 16-bit groups of an IPv6 address, which may end in a dotted IPv4 one; NULL if it is none."""
-    tail = F.regexp_extract(text, r":([0-9.]*\.[0-9.]*)$", 1)
-    number = ipv4_number(tail)
-    head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
-    hexed = F.concat(head, F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(F.lit(65535)))))
-    plain = F.when(F.contains(text, F.lit(".")), hexed).otherwise(text)
-    halves = F.split(plain, "::")
-    side = lambda t: F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(t, ":"))
-    left, packed = side(halves[0]), F.size(halves) == 2
-    right = F.when(packed, side(F.get(halves, F.lit(1)))).otherwise(F.expr("cast(array() as array<string>)"))
-    missing = 8 - F.size(left) - F.size(right)
-    sound = (
-        text.rlike("^[0-9a-fA-F:.]{1,64}$") & (F.size(halves) <= 2) & F.when(packed, missing >= 1).otherwise(missing == 0)
-        & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-    return F.when(sound, F.transform(F.concat(left, zeros, right), lambda g: F.conv(g, 16, 10).cast("int")))
+    none = F.expr("cast(array() as array<string>)")
+
+    def side(t: Column) -> Column:
+        return F.when(t == "", none).otherwise(F.split(t, ":"))
+
+    def hexed(t: Column) -> Column:
+        def with_tail(tail: Column) -> Column:
+            head = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+            return let(ipv4_number(tail), lambda n: F.concat(head, F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))
+
+        return F.when(F.contains(t, F.lit(".")), let(F.regexp_extract(t, r":([0-9.]*\.[0-9.]*)$", 1), with_tail)).otherwise(t)
+
+    def joined(halves: Column) -> Column:
+        packed = F.size(halves) == 2
+        sides = F.struct(side(F.get(halves, F.lit(0))).alias("left"), F.when(packed, side(F.get(halves, F.lit(1)))).otherwise(none).alias("right"))
+
+        def filled(s: Column) -> Column:
+            missing = 8 - F.size(s["left"]) - F.size(s["right"])
+            sound = (F.size(halves) <= 2) & F.when(packed, missing >= 1).otherwise(missing == 0)
+            return F.when(sound, F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["right"]))
+
+        return let(sides, filled)
+
+    def read(t: Column) -> Column:
+        groups = let(F.split(hexed(t), "::"), joined)
+        numbers = F.transform(groups, lambda g: F.when(g.rlike("^[0-9a-fA-F]{1,4}$"), F.conv(g, 16, 10).cast("int")))
+        return F.when(t.rlike("^[0-9a-fA-F:.]{1,64}$"), let(numbers, lambda x: F.when(F.forall(x, lambda g: g.isNotNull()), x)))
+
+    return let(text, read)
 
 
 def ipv6_text(text: Column) -> Column:
     """Canonical text of an IPv6 address: lower-case groups, the first longest run of zero groups as ``::``."""
 
     def write(groups: Column) -> Column:
-        def zeros_from(i: Column) -> Column:
-            rest = F.slice(groups, i + 1, F.lit(8) - i)
-            other = F.array_position(F.transform(rest, lambda g: g != 0), True).cast("int")
-            return F.when(other == 0, F.size(rest)).otherwise(other - 1)
-
-        runs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(zeros_from(i).alias("n"), (-i).alias("minus")))
-        best = F.array_max(runs)
-        hexed = F.transform(groups, lambda g: F.lower(F.hex(g)))
-        join = lambda part: F.array_join(part, ":")
-        after = -best["minus"] + best["n"]
-        short = F.concat(join(F.slice(hexed, F.lit(1), -best["minus"])), F.lit("::"), join(F.slice(hexed, after + 1, F.lit(8) - after)))
-        return F.when(best["n"] >= 2, short).otherwise(join(hexed))
-
-    # The one-element array binds the groups once.
-    groups = ipv6_groups(text)
-    return F.when(groups.isNotNull(), F.transform(F.array(groups), write)[0])
-
-
-def _in_ipv6_range(groups: Column, first: str, bits: int) -> Column:
-    whole, rest = divmod(bits, 16)
-    packed = int(ipaddress.IPv6Address(first))
-    want = [(packed >> (112 - 16 * i)) & 0xFFFF for i in range(8)]
-    same = [groups[i] == want[i] for i in range(whole)]
-    if rest:
-        same.append(F.shiftright(groups[whole], 16 - rest) == want[whole] >> (16 - rest))
-    return reduce(lambda a, b: a & b, same)
+        # zeros from each place on, last place first
+        runs = F.aggregate(F.reverse(groups), F.expr("cast(array() as array<int>)"), lambda acc, g: F.concat(F.array(F.when(g == 0, F.coalesce(F.get(acc, F.lit(0)), F.lit(0)) + 1).otherwise(0)), acc))
+        best = let(runs, lambda r: F.struct(F.array_max(r).alias("n"), (F.array_position(r, F.array_max(r)) - 1).cast("int").alias("at")))
+
+        def joined(b: Column) -> Column:
+            hexed = F.transform(groups, lambda g: F.lower(F.hex(g)))
+            short = F.concat(F.array_join(F.slice(hexed, F.lit(1), b["at"]), ":"), F.lit("::"), F.array_join(F.slice(hexed, b["at"] + b["n"] + 1, F.lit(8) - b["at"] - b["n"]), ":"))
+            return F.when(b["n"] >= 2, short).otherwise(F.array_join(hexed, ":"))
+
+        return F.when(groups.isNotNull(), let(best, joined))
+
+    return let(ipv6_groups(text), write)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _in_ipv6_range(x: Column, first: str, bits: int) -> Column:
+    """Whether an address (hi, lo: its halves) begins with the first ``bits`` bits of another."""
+    hi, lo = divmod(int(ipaddress.IPv6Address(first)), 1 << 64)
+    if bits <= 64:
+        return F.shiftrightunsigned(x["hi"], 64 - bits) == _signed(hi >> (64 - bits)) if bits < 64 else x["hi"] == _signed(hi)
+    return (x["hi"] == _signed(hi)) & (F.shiftrightunsigned(x["lo"], 128 - bits) == _signed(lo >> (128 - bits)) if bits < 128 else x["lo"] == _signed(lo))
 
 
 def public_ipv6(text: Column) -> Column:
     """Whether an IPv6 address is public; a mapped IPv4 address goes by the IPv4 ranges."""
 
-    def judge(groups: Column) -> Column:
-        mapped = _in_ipv6_range(groups, "::ffff:0:0", 96)
-        low = groups[6].cast("long") * 65536 + groups[7]
-        denied = reduce(lambda a, b: a | b, [_in_ipv6_range(groups, first, bits) for first, bits in RESERVED_IPV6])
-        return F.when(mapped, _public_ipv4(low)).otherwise(~denied)
+    def half(groups: Column, start: int) -> Column:
+        return F.aggregate(F.slice(groups, start, 4), F.lit(0).cast("long"), lambda n, g: F.shiftleft(n, 16).bitwiseOR(g.cast("long")))
+
+    def judge(x: Column) -> Column:
+        denied = reduce(lambda a, b: a | b, [_in_ipv6_range(x, first, bits) for first, bits in RESERVED_IPV6])
+        mapped = _in_ipv6_range(x, "::ffff:0:0", 96)
+        return F.when(mapped, let(x["lo"].bitwiseAND(F.lit(0xFFFFFFFF)), _public_ipv4)).otherwise(~denied)
 
-    groups = ipv6_groups(text)
-    return F.coalesce(F.when(groups.isNotNull(), F.transform(F.array(groups), judge)[0]), F.lit(False))
+    both = let(ipv6_groups(text), lambda g: F.when(g.isNotNull(), F.struct(half(g, 1).alias("hi"), half(g, 5).alias("lo"))))
+    return F.coalesce(let(both, lambda x: F.when(x.isNotNull(), judge(x))), F.lit(False))
 
 
 def public_address(text: Column) -> Column:
     """Whether a text is a public IPv4 or IPv6 address; what is no address is not public."""
-    return F.coalesce(F.when(ipv4_number(text).isNotNull(), public_ipv4(text)).otherwise(public_ipv6(text)), F.lit(False))
+    return F.coalesce(let(text, lambda t: let(ipv4_number(t), lambda n: F.when(n.isNotNull(), _public_ipv4(n)).otherwise(public_ipv6(t)))), F.lit(False))

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.ranks import ranked
+
 BIBLIOGRAPHY = ("source_id", "revision", "title", "authors", "container_title", "published", "identifiers", "canonical_url")
 
 
 def number(bindings: DataFrame, within: list[str], source: list[str], position: str = "position") -> DataFrame:
-    """Rows (within, source, first, number): sources numbered from 1 by their first position."""
+    """Rows (within, source, first, number): sources numbered from 1 by their first position.
+
+    Without ``within``, all rows are one report, numbered by range.
+    """
     first = bindings.groupBy(*within, *source).agg(F.min(position).alias("first"))
+    if not within:
+        return ranked(first, [F.col("first"), *map(F.col, source)], "number").withColumn("number", (F.col("number") + 1).cast("int"))
     return first.withColumn("number", F.row_number().over(W.partitionBy(*within).orderBy("first", *source)))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.identifiers import access_rank, prefixed_key
+from tessera.plans.cut import cut
 
 # What a transport code means in a trace and for a provider; other codes are security policy.
 TRACE_CODES = {
@@ -52,22 +55,38 @@ def quota(drafts: DataFrame, most: int) -> DataFrame:
     return drafts.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most)
 
 
-def shared_quota(drafts: DataFrame, most: int) -> DataFrame:
+def shared_quota(drafts: DataFrame, most: int, most_rounds: int = 1000) -> DataFrame:
     """Quota where a draft may serve several queries: it goes if any of them is full.
 
-    The rule is sequential within a search, so the drafts (search_id, ordinal, draft_ordinal,
-    queries) of one search, which its caps bound, are folded in order inside a row.
+    The rule walks the drafts (search_id, ordinal, draft_ordinal, queries) of a search in order.  Here
+    each round accepts all drafts at once that find room whatever is decided about those before
+    them: in each of their queries, as many places are left as undecided drafts come up to them.
+    Then drafts of full queries go.  The first undecided draft of a search is always decided, and
+    all others that do not depend on it with it.  A query's ranks stop at ``most``, so no task
+    sorts a whole search.  Drafts without queries stay; equal places are taken in no stated order.
     """
-    row = F.struct("ordinal", "draft_ordinal", "queries", F.struct(*drafts.columns).alias("row"))
-    each = drafts.groupBy("search_id").agg(F.array_sort(F.collect_list(row)).alias("drafts"))
-    kind = drafts.select(F.struct(*drafts.columns).alias("row")).schema["row"].dataType.simpleString()
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("used"), F.expr(f"cast(array() as array<{kind}>)").alias("kept"))
-
-    def step(acc: Column, d: Column) -> Column:
-        room = F.forall(d["queries"], lambda q: F.size(F.filter(acc["used"], lambda u: u == q)) < most)
-        return F.when(room, F.struct(F.concat(acc["used"], d["queries"]).alias("used"), F.concat(acc["kept"], F.array(d["row"])).alias("kept"))).otherwise(acc)
-
-    return each.select(F.explode(F.aggregate("drafts", start, step, lambda a: a["kept"])).alias("row")).select("row.*")
+    rows = cut(drafts.withColumn("_d", F.monotonically_increasing_id()))
+    asked = F.array_distinct(F.coalesce("queries", F.expr("cast(array() as array<string>)")))
+    free = rows.filter(F.size(asked) == 0).select("_d")
+    undecided = cut(rows.select("_d", "search_id", "ordinal", "draft_ordinal", F.size(asked).alias("_n"), F.explode(asked).alias("_q")))
+    by = W.partitionBy("search_id", "_q").orderBy("ordinal", "draft_ordinal", "_d")
+    won = []
+    for _ in range(most_rounds):
+        if undecided.isEmpty():
+            break
+        used = reduce(DataFrame.unionByName, won).groupBy("search_id", "_q").agg(F.count("*").alias("_used")) if won else None
+        left = undecided.join(used, ["search_id", "_q"], "left") if used is not None else undecided.withColumn("_used", F.lit(0))
+        left = cut(left.withColumn("_room", most - F.coalesce("_used", F.lit(0))).drop("_used"))
+        dead = left.filter("_room <= 0").select("_d").distinct()
+        left = cut(left.join(dead, "_d", "left_anti"))
+        near = left.withColumn("_place", F.row_number().over(by)).filter(F.col("_place") <= most).filter("_place <= _room")
+        ready = near.groupBy("_d").agg(F.count("*").alias("_k"), F.first("_n").alias("_n")).filter("_k = _n").select("_d")
+        won.append(cut(left.join(ready, "_d", "left_semi").drop("_room")))
+        undecided = cut(left.join(ready, "_d", "left_anti").drop("_room"))
+    else:
+        raise RuntimeError("the quota did not settle")
+    kept = reduce(DataFrame.unionByName, [free, *[w.select("_d").distinct() for w in won]])
+    return rows.join(kept, "_d", "left_semi").drop("_d")
 
 
 def counters(partitions: DataFrame) -> DataFrame:

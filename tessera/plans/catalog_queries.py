@@ -9,6 +9,7 @@ from tessera import schemas
 from tessera.functions import canonical
 from tessera.functions import identifiers as I
 from tessera.operators import catalog, citations, lineage, search
+from tessera.operators.ranks import ranked
 from tessera.plans import adapters as A
 from tessera.plans.adapters import LEDGER_SQL, with_sql
 from tessera.plans.queries import register
@@ -151,11 +152,9 @@ def canonical_texts(spark: SparkSession, sf: str) -> DataFrame:
 @register("code_unit_ranks", """
 SELECT DISTINCT lang, source, dense_rank() OVER (ORDER BY lang || ':' || source) AS place FROM documents""")
 def code_unit_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """Places of the different keys in code-unit order; keys are few, as sources and languages are."""
-    from pyspark.sql import Window as W
-
+    """Places of the different keys in code-unit order."""
     keys = A.table(spark, sf, "documents").select("lang", "source").distinct()
-    return keys.withColumn("place", F.row_number().over(W.orderBy(I.code_unit_order(F.concat_ws(":", "lang", "source")))).cast("long"))
+    return ranked(keys, [I.code_unit_order(F.concat_ws(":", "lang", "source"))], "place").withColumn("place", F.col("place") + 1)
 
 
 @register("profiles_and_ids", """
@@ -174,8 +173,11 @@ def profiles_and_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("evidence_schema_issues", """
-SELECT l_orderkey, l_linenumber, l_partkey, path, code FROM lineitem, (VALUES ('/confidence', 'schema.range'), ('/stance', 'schema.enum'), ('/sourceRef', 'evidence.source-required'), ('/quotes', 'evidence.blank-quote'), ('/evidenceId', 'schema.pattern')) v(path, code)
-WHERE (path = '/confidence' AND l_discount > 0.08) OR (path = '/stance' AND l_returnflag = 'R') OR (path = '/sourceRef' AND l_linenumber = 3) OR (path = '/quotes' AND l_suppkey % 10 = 0) OR (path = '/evidenceId' AND l_linenumber = 5) GROUP BY ALL""")
+SELECT l_orderkey, l_linenumber, l_partkey, path, code
+FROM (SELECT *, l_discount > 0.08 AS c, l_returnflag = 'R' AS s, l_linenumber = 5 AS i FROM lineitem) e,
+  (VALUES ('/confidence', 'schema.maximum'), ('/stance', 'schema.enum'), ('/evidenceId', 'schema.pattern'), ('/sourceRef', 'evidence.retrieved-requirements'), ('/quotes', 'evidence.invalid-prospective-record')) v(path, code)
+WHERE (path = '/confidence' AND c) OR (path = '/stance' AND s) OR (path = '/evidenceId' AND i) OR (path = '/sourceRef' AND l_linenumber = 3 AND NOT (c OR s OR i))
+  OR (path = '/quotes' AND l_suppkey % 10 = 0 AND l_linenumber <> 3 AND NOT (c OR s OR i)) GROUP BY ALL""")
 def evidence_schema_issues(spark: SparkSession, sf: str) -> DataFrame:
     li, n = A.table(spark, sf, "lineitem"), F.col("l_linenumber")
     named = lambda p, c: F.concat(F.lit(p), F.lpad(c.cast("string"), 16, "0"))
@@ -187,7 +189,26 @@ def evidence_schema_issues(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.struct(F.lit("page").alias("type"), F.lit("1").alias("value"))).alias("locators"), F.expr("cast(array() as array<string>)").alias("extractedValues"), F.lit("").alias("method"), F.lit("secondary").alias("quality"),
         F.when(F.col("l_discount") > 0.08, 1.5).otherwise(0.5).alias("confidence"), named("attempt-", F.col("l_suppkey")).alias("recordedByAttemptId"), F.lit("verified").alias("verificationStatus"), F.expr("cast(array() as array<string>)").alias("conflictsWith"))
     lines = li.select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("line"), F.to_json(e, {"ignoreNullFields": "false"}).alias("raw"))
-    return schemas.validate(lines, "evidence").select("line.*", "path", "code")
+    return schemas.validate(lines, "evidence", taken_in=True).select("line.*", "path", "code")
+
+
+@register("claim_schema_walk", """
+WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k FROM orders)
+SELECT o_orderkey, path, code FROM o JOIN (VALUES (0, '/scopeQualifiers/a~1b', 'schema.additionalProperties'), (1, '/evidenceRule/minimumLineages', 'schema.type'), (2, '/evidenceRefs/1/revision', 'schema.minimum'),
+  (3, '/statement', 'schema.required'), (4, '/confidence', 'schema.type'), (5, '/status', 'schema.enum'), (5, '/conflictClaimIds/0', 'schema.pattern'), (6, '/schemaVersion', 'schema.const'), (7, '/evidenceRefs/0', 'schema.type')) v(n, path, code) ON n = k""")
+def claim_schema_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims with faults at several depths; every ninth one is right."""
+    k = F.col("o_orderkey") % 9
+    key = F.lpad(F.col("o_orderkey").cast("string"), 16, "0")
+    pick = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(F.lit(good))
+    raw = F.concat(
+        F.lit('{"claimId":"claim-'), key, F.lit('","confidence":'), pick(4, "null", "0.5"), F.lit(',"conflictClaimIds":["'), pick(5, "c-1", "claim-0123456789abcdef"), F.lit('"],"createdByAttemptId":"attempt-'), key,
+        F.lit('","evidenceRefs":['), pick(7, "7", '{"evidenceId":"ev-0123456789abcdef","revision":1}'), F.lit(',{"evidenceId":"ev-0123456789abcdef","revision":'), pick(2, "0", "2"),
+        F.lit('}],"evidenceRule":{"fullTextRequired":false,"independentVerificationAllowed":true,"minimumLineages":'), pick(1, '"2"', "2"), F.lit(',"primarySourceRequired":false},"kind":"synthesis","materiality":"contextual","revision":1,"schemaVersion":'),
+        pick(6, "2", "1"), F.lit(',"scopeQualifiers":{"comparator":null,"intervention":null,"outcome":null,"population":null,"timeRange":null'), pick(0, ',"a/b":1', ""), F.lit("}"), pick(3, "", ',"statement":"s"'), F.lit(',"status":"'),
+        pick(5, "maybe", "proposed"), F.lit('"}'))
+    lines = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("line"), raw.alias("raw"))
+    return schemas.validate(lines, "claims").select(F.col("line").alias("o_orderkey"), "path", "code")
 
 
 @register("catalog_revisions", """
@@ -314,8 +335,8 @@ SELECT f.source_id, row_number() OVER (ORDER BY first, f.source_id)::INT AS numb
 JOIN (SELECT l_suppkey AS source_id, count(DISTINCT l_orderkey) AS claims, count(DISTINCT l_orderkey * 8 + l_linenumber) AS evidence FROM lineitem GROUP BY 1) c ON c.source_id = f.source_id""")
 def citation_map(spark: SparkSession, sf: str) -> DataFrame:
     b = A.table(spark, sf, "lineitem").select(
-        F.lit("report").alias("r"), F.col("l_suppkey").alias("source_id"), F.col("l_orderkey").alias("claim_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("evidence_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
-    m = citations.citation_map(citations.number(b, ["r"], ["source_id"]), b)
+        F.col("l_suppkey").alias("source_id"), F.col("l_orderkey").alias("claim_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("evidence_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
+    m = citations.citation_map(citations.number(b, [], ["source_id"]), b)
     return m.select("source_id", "number", F.size("claims").cast("long").alias("claims"), F.size("evidence").cast("long").alias("evidence"))
 
 

@@ -323,8 +323,8 @@ def citation_violations(spark: SparkSession, sf: str) -> DataFrame:
 WITH f AS (SELECT l_suppkey AS source_id, min(l_orderkey * 8 + l_linenumber) AS first FROM lineitem GROUP BY ALL)
 SELECT source_id, row_number() OVER (ORDER BY first, source_id)::INT AS number, s_name AS title FROM f JOIN supplier ON s_suppkey = source_id""")
 def bibliography(spark: SparkSession, sf: str) -> DataFrame:
-    b = A.table(spark, sf, "lineitem").select(F.lit("report").alias("r"), F.col("l_suppkey").alias("source_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
-    return citations.bibliography(citations.number(b, ["r"], ["source_id"]), A.sources(spark, sf).withColumnRenamed("name", "title"), ["source_id"]).select("source_id", "number", "title")
+    b = A.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
+    return citations.bibliography(citations.number(b, [], ["source_id"]), A.sources(spark, sf).withColumnRenamed("name", "title"), ["source_id"]).select("source_id", "number", "title")
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -620,13 +620,15 @@ SELECT n.user_id::VARCHAR AS run_id, n.seq, tasks, CASE WHEN bad.seq IS NOT NULL
 def ledger_fold(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    from tessera.streaming.fold import fold
+    from tessera.operators.ledger_fold import fold
 
     e = A.ledger(spark, sf).withColumn("task", F.when(F.col("seq") > 1, F.col("event_id") % 4))
     kind = F.when(F.col("seq") == 1, "run_created").otherwise("task_upserted")
     state = F.when(F.col("type") == "error", "blocked").when(F.col("type") == "click", "running").otherwise("ready")
     revision = F.row_number().over(W.partitionBy("user_id", "task").orderBy("seq"))
-    payload = F.to_json(F.struct(F.concat(F.lit("t"), F.col("task").cast("string")).alias("task"), F.when(F.col("seq") > 1, state).alias("state"), revision.alias("revision")))
+    task = F.struct(F.concat(F.lit("t"), F.col("task").cast("string")).alias("taskId"), state.alias("state"), revision.alias("revision"), F.array().alias("attemptIds"))
+    run = F.struct(F.col("user_id").cast("string").alias("runId"), F.lit(0).alias("executionEpoch"), F.lit("created").alias("state"))
+    payload = F.to_json(F.struct(F.when(F.col("seq") > 1, task).alias("task"), F.when(F.col("seq") == 1, run).alias("run")))
     folded = fold(e.select(F.col("user_id").cast("string").alias("run_id"), "seq", kind.alias("type"), payload.alias("payload")))
     return folded.select("run_id", "seq", "tasks", "error", "error_seq")
 

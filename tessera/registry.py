@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import catalog_queries, rules  # noqa: F401 - they register theirs
+from tessera.plans import catalog_queries, fold_queries, rules  # noqa: F401 - they register theirs
 from tessera.plans.queries import ORACLES, QUERIES
 
 

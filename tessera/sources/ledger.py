@@ -2,46 +2,45 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-from collections.abc import Iterator
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessera.functions.canonical import canonical, canonical_json
+from tessera.functions.canonical import canonical_json
 from tessera.functions.identifiers import is_timestamp
+from tessera.sources.ledger_source import GENESIS, PUSHDOWN, LedgerSource, exists
 
-GENESIS = "0" * 64
-MOST_LINE = 4 << 20
 EVENT = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("eventId", T.StringType()), T.StructField("occurredAt", T.StringType()),
     T.StructField("type", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("prevSha256", T.StringType()), T.StructField("entrySha256", T.StringType())])
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of EVENT and ``raw``; the payload stays JSON text."""
-    raw = spark.read.text(path, lineSep="\n").withColumnRenamed("value", "raw")
-    return raw.withColumn("e", F.from_json("raw", EVENT)).select("raw", "e.*")
+def lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Rows (file, offset, bytes, seq, raw, code) of all lines, read in byte ranges; ``code`` says why a line has no text."""
+    spark.dataSource.register(LedgerSource)
+    push = {"pushFilters": spark.conf.get(PUSHDOWN, "false")}
+    return spark.read.format(LedgerSource.name()).options(**push | options).load(path)
+
+
+def scan(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Rows of EVENT, ``raw``, and the ``code`` of a line that cannot be read; the payload stays JSON text."""
+    told = lines(spark, path, **options).select("raw", "code", F.from_json("raw", EVENT).alias("e"))
+    return told.select("raw", "code", "e.*")
 
 
 def torn(spark: SparkSession, path: str) -> bool:
-    """Whether a file's last byte is not a line feed: its lines, each with one, are longer than the file."""
-    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n"))
-    sums = lines.groupBy("f").agg(F.sum(F.col("n") + 1).alias("told"), F.max("size").alias("size"))
-    return not sums.filter("told > size").isEmpty()
+    """Whether a file's last byte is not a line feed."""
+    return not lines(spark, path).filter("code = 'ledger.torn-tail'").isEmpty()
 
 
 def line_issues(events: DataFrame) -> DataFrame:
-    """Rows (seq, code) of lines that are empty, too long, no JSON, not canonical, or whose hash is not their own."""
+    """Rows (seq, code) of lines that cannot be read, do not fit the schema, are not canonical, or whose hash is not their own."""
     body = canonical_json(F.regexp_replace("raw", r'"entrySha256":"[0-9a-f]{64}",', ""))
     code = (
-        F.when(F.octet_length("raw") > MOST_LINE, "ledger.line-too-long").when(F.try_parse_json("raw").isNull(), "ledger.invalid-json")
+        F.when(F.col("code").isNotNull(), F.col("code"))
         .when(F.col("seq").isNull() | F.col("type").isNull() | F.col("eventId").isNull() | ~F.coalesce(is_timestamp(F.col("occurredAt")), F.lit(False)), "ledger.schema-invalid")
         .when(canonical_json("raw") != F.col("raw"), "ledger.noncanonical-line").when(F.sha2(F.concat(body, F.lit("\n")), 256) != F.col("entrySha256"), "ledger.hash-mismatch"))
     return events.withColumn("code", code).filter("code is not null").select("seq", "code")
@@ -79,65 +78,37 @@ def verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Read-only: a torn tail is an issue (seq null).  A log without issues folds without an error.
     """
-    from tessera.streaming.fold import fold
+    from tessera.operators.ledger_fold import fold
 
     events = scan(spark, path)
-    issues = line_issues(events).unionByName(chain_issues(events, [])).unionByName(identity_issues(events, []))
-    if torn(spark, path):
-        issues = issues.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("seq"), F.lit("ledger.torn-tail").alias("code")))
-    state = fold(events.filter("seq is not null and type is not null and payload is not null").select(F.lit("log").alias("run_id"), "seq", "type", "payload"))
+    whole = events.filter("code is null and seq is not null")
+    issues = line_issues(events).unionByName(chain_issues(whole, [])).unionByName(identity_issues(whole, []))
+    state = fold(whole.filter("type is not null and payload is not null").select(F.lit("log").alias("run_id"), "seq", "type", "payload"))
     bad = state.filter("error is not null").select(F.col("error_seq").alias("seq"), F.col("error").alias("code"))
     return issues.unionByName(bad), state
 
 
-class LedgerWriter:
-    """Single-writer append sink on a local or mounted file: each line is flushed before the next."""
-
-    def __init__(self, path: str) -> None:
-        self.path = Path(path)
-        self.seq, self.prev, self.reserved = 0, GENESIS, set()
-        if self.path.exists():
-            whole = 0
-            with self.path.open("rb") as f:
-                for line in f:
-                    whole += len(line) if line.endswith(b"\n") else 0
-            if whole < self.path.stat().st_size:  # an unterminated last line was never acknowledged
-                with self.path.open("r+b") as f:
-                    f.truncate(whole)
-        for event in self.read_all():
-            self.seq, self.prev = event["seq"], event["entrySha256"]
-            if event["type"] == "identity_reserved":
-                self.reserved.add((event["payload"]["kind"], event["payload"]["id"]))
-
-    def reserve(self, kind: str, name: str, event_id: str, at: str) -> dict:
-        """Reserves an identity once; a second time is an error."""
-        if (kind, name) in self.reserved:
-            raise ValueError("ledger.duplicate-reservation")
-        event = self.append("identity_reserved", {"kind": kind, "id": name}, event_id, at)
-        self.reserved.add((kind, name))
-        return event
-
-    def read_all(self) -> Iterator[dict]:
-        """The acknowledged events, one at a time."""
-        if self.path.exists():
-            with self.path.open("rb") as f:
-                for line in f:
-                    yield json.loads(line)
-
-    def append(self, kind: str, payload: dict, event_id: str, at: str) -> dict:
-        event = {"seq": self.seq + 1, "eventId": event_id, "occurredAt": at, "type": kind, "payload": payload, "prevSha256": self.prev}
-        digest = hashlib.sha256((canonical(event) + "\n").encode()).hexdigest()
-        line = canonical(event | {"entrySha256": digest})
-        if len(line.encode()) > MOST_LINE:
-            raise ValueError("ledger.line-too-long")
-        with self.path.open("ab") as f:
-            f.write((line + "\n").encode())
-            f.flush()
-            os.fsync(f.fileno())
-        self.seq, self.prev = event["seq"], digest
-        return event | {"entrySha256": digest}
-
-    def batch(self, frame: DataFrame, _: int) -> None:
-        """For ``foreachBatch``: appends a micro-batch (type, payload, eventId, occurredAt) in order."""
-        for r in frame.orderBy("occurredAt", "eventId").toLocalIterator():
-            self.append(r["type"], json.loads(r["payload"]), r["eventId"], r["occurredAt"])
+def append(rows: DataFrame, path: str) -> None:
+    """Appends events (type, payload, eventId, occurredAt), in the order of time and id, as one commit.
+
+    An event id or identity that the log has, or that comes twice, is an error before anything is written.
+    """
+    spark = rows.sparkSession
+    spark.dataSource.register(LedgerSource)
+    told = rows.select("type", "payload", "eventId", "occurredAt")
+    names = lambda df: df.select(F.inline(F.filter(F.array(
+        F.struct(F.lit("ledger.duplicate-event-id").alias("code"), F.col("eventId").alias("name")),
+        F.when(F.col("type") == "identity_reserved", F.struct(F.lit("ledger.duplicate-reservation").alias("code"), F.concat_ws(":", F.get_json_object("payload", "$.kind"), F.get_json_object("payload", "$.id")).alias("name")))), lambda x: x.isNotNull())))
+    new = names(told).groupBy("code", "name").count()
+    known = names(scan(spark, path).filter("code is null")).distinct().withColumn("known", F.lit(True)) if exists(path) else None
+    clash = new.filter("count > 1") if known is None else new.join(known, ["code", "name"], "left").filter("count > 1 or known")
+    if (found := clash.select("code").first()) is not None:
+        raise ValueError(found["code"])
+    told.repartition(1).sortWithinPartitions("occurredAt", "eventId").write.format(LedgerSource.name()).option("path", path).mode("append").save()
+
+
+def append_stream(rows: DataFrame, path: str):
+    """A writer that appends each micro-batch of such events; set its trigger and checkpoint, and start it."""
+    rows.sparkSession.dataSource.register(LedgerSource)
+    told = rows.select("type", "payload", "eventId", "occurredAt").repartition(1)
+    return told.writeStream.format(LedgerSource.name()).option("path", path)

@@ -1,17 +1,13 @@
-"""Transaction directories: six canonical JSONL files and a manifest; scan, checks, and a two-step sink."""
+"""Transaction directories: six canonical JSONL files and a manifest; scan, checks, and a two-phase sink."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.canonical import canonical, canonical_json
+from tessera.functions.canonical import canonical_json
 from tessera.operators.records import KINDS
+from tessera.sources.transaction_sink import TransactionSink, deal
 
 
 def scan(spark: SparkSession, root: str, kind: str) -> DataFrame:
@@ -32,19 +28,21 @@ MOST_LINE, MOST_FILE = 4 << 20, 64 << 20
 
 
 def issues(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (transaction_id, kind, code) where a folder differs from its manifest or from the layout.
+    """Rows (transaction_id, kind, code, detail) where a folder differs from its manifest or from the layout.
 
     A folder holds the six kinds' files and the manifest and no more; each file has the counts,
-    bytes and digest that the manifest states, and canonical lines.  Files are bounded by
-    contract, so a digest reads one file as one row.  Spark does not list empty files: one that
-    the manifest gives as empty may as well be missing.
+    bytes and digest that the manifest states, and canonical lines: else it is corrupt, and
+    ``detail`` says how.  Files are bounded by contract, so a digest reads one file as one row.
+    Spark does not list empty files: one that the manifest gives as empty may as well be missing.
     """
     name, folder = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("transaction_id")
     wanted = F.array(*[F.lit(f) for f in sorted([*(f"{k}.jsonl" for k in KINDS), "manifest.json"])])
     listed = spark.read.format("binaryFile").load(f"{root}/*/*").select(folder, name.alias("name"), "length")
     layout = listed.groupBy("transaction_id").agg(F.array_sort(F.collect_set("name")).alias("names"), F.max("length").alias("most"))
-    layout_code = F.when((F.size(F.array_except("names", wanted)) > 0) | ~F.array_contains("names", "manifest.json"), "transaction.unexpected-files").when(F.col("most") > MOST_FILE, "transaction.too-large")
-    found = layout.withColumn("code", layout_code).filter("code is not null").select("transaction_id", F.lit(None).cast("string").alias("kind"), "code")
+    odd = (F.size(F.array_except("names", wanted)) > 0) | ~F.array_contains("names", "manifest.json")
+    layout = layout.withColumn("detail", F.when(odd, "files").when(F.col("most") > MOST_FILE, "size")).filter("detail is not null")
+    code = lambda: F.when(F.col("detail") == "size", "transaction.file-too-large").otherwise("transaction.corrupt").alias("code")
+    found = layout.select("transaction_id", F.lit(None).cast("string").alias("kind"), code(), "detail")
     told_all = manifests(spark, root).select("transaction_id", F.explode("files").alias("f"))
     for kind in KINDS:
         rows = scan(spark, root, kind)
@@ -54,35 +52,22 @@ def issues(spark: SparkSession, root: str) -> DataFrame:
         files = spark.read.format("binaryFile").load(f"{root}/*/{kind}.jsonl").filter(F.col("length") <= MOST_FILE)
         digests = files.select(folder, F.sha2("content", 256).alias("digest"))
         both = told_all.filter(F.col("f.kind") == kind).join(facts, "transaction_id", "left").join(digests, "transaction_id", "left").na.fill(0, ["n", "b", "odd", "longest"])
-        code = (
-            F.when(F.col("longest") > MOST_LINE, "transaction.line-too-long").when(F.col("n") != F.col("f.recordCount"), "transaction.record-count")
-            .when(F.col("b") != F.col("f.decodedBytes"), "transaction.bytes").when(F.col("odd") > 0, "transaction.not-canonical")
-            .when(F.coalesce("digest", F.sha2(F.lit(""), 256)) != F.col("f.sha256"), "transaction.digest"))
-        part = both.withColumn("code", code).filter("code is not null").select("transaction_id", F.lit(kind).alias("kind"), "code")
+        detail = (
+            F.when(F.col("longest") + 1 > MOST_LINE, "line").when(F.col("n") != F.col("f.recordCount"), "count")
+            .when(F.col("b") != F.col("f.decodedBytes"), "bytes").when(F.col("odd") > 0, "canonical")
+            .when(F.coalesce("digest", F.sha2(F.lit(""), 256)) != F.col("f.sha256"), "digest"))
+        part = both.withColumn("detail", detail).filter("detail is not null").select("transaction_id", F.lit(kind).alias("kind"), code(), "detail")
         found = found.unionByName(part)
     return found
 
 
-def write(root: str, transaction_id: str, records: dict[str, list[dict]], attempt_id: str, result_seq: int) -> str:
-    """Stages sorted canonical lines, the manifest last, then renames the folder: that is the commit.
+def write(rows: DataFrame, root: str) -> None:
+    """Commits rows (transaction_id, attempt_id, result_seq, kind, raw) as one folder a transaction, all or, on a conflict, none."""
+    rows.sparkSession.dataSource.register(TransactionSink)
+    deal(rows).write.format(TransactionSink.name()).option("path", root).mode("append").save()
 
-    Writing the same content again does nothing; other content under the id is an error.
-    One transaction is bounded (64 MiB by contract), so it is written by one process.
-    """
-    lines = {k: sorted(canonical(r) for r in records.get(k, [])) for k in KINDS}
-    texts = {k: "".join(x + "\n" for x in v).encode() for k, v in lines.items()}
-    files = [{"kind": k, "relativePath": f"{k}.jsonl", "recordCount": len(lines[k]), "decodedBytes": len(texts[k]), "sha256": hashlib.sha256(texts[k]).hexdigest()} for k in KINDS]
-    manifest = canonical({"schemaVersion": 1, "transactionId": transaction_id, "attemptId": attempt_id, "sourceResultSeq": result_seq, "files": files})
-    digest = hashlib.sha256(manifest.encode()).hexdigest()
-    target, stage = Path(root) / transaction_id, Path(root).parent / f"staging-{transaction_id}"
-    if target.exists():
-        if canonical(json.loads((target / "manifest.json").read_text())) != manifest:
-            raise ValueError("transaction.id-conflict")
-        return digest
-    stage.mkdir(parents=True, exist_ok=True)
-    for k, text in texts.items():
-        (stage / f"{k}.jsonl").write_bytes(text)
-    (stage / "manifest.json").write_text(manifest + "\n")
-    target.parent.mkdir(parents=True, exist_ok=True)
-    os.rename(stage, target)
-    return digest
+
+def write_stream(rows: DataFrame, root: str):
+    """A writer that commits the transactions of each micro-batch; one must not be spread over batches."""
+    rows.sparkSession.dataSource.register(TransactionSink)
+    return deal(rows).writeStream.format(TransactionSink.name()).option("path", root)

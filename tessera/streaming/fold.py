@@ -1,385 +1,48 @@
-"""The ledger fold: ordered events to run, task, attempt, retry and request state, in batch and as a stream.
+"""The ledger fold as a stream: each micro-batch is appended to a log, and the runs that it touches are folded anew.
 
-Spark groups the events by run; within a run the fold is sequential by contract.  It stops at the
-first bad event of a run and reports (code, seq).  Late results, after their epoch's cancel or
-of an attempt whose retry has started, are kept as quarantined: lateness is by sequence, so no
-watermark is involved.  All 26 event types are known; those in ``NOTED`` change no state.
-Rules that need no state of a run (budgets, journals, outcomes) are joins and windows in
-``operators.retry`` and ``operators.requests``.
+The fold itself is set-based (``operators.ledger_fold``), so a touched run is folded by many tasks.
+A micro-batch writes its own events and one row for each run it touches, never a run's history; what is
+written is named by the batch, so one that comes again replaces what it wrote before.  Runs are
+dealt into buckets by hash, and only the touched buckets' events are read.  Late results are told by
+sequence, so no watermark is involved; events may come in any order and batch.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
-from typing import Any
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from tessera.operators.ledger_fold import EVENT, fold
 
-from tessera.operators.retry import CHECKPOINTS, RUN_MOVES, TASK_MOVES
+BUCKETS = 256
 
-EVENT = "run_id string, seq bigint, type string, payload string"
-STATE = """run_id string, seq bigint, state string, epoch bigint, tasks bigint, attempts bigint, committed bigint, quarantined bigint,
-  pending_retries bigint, requests bigint, cache_eligible bigint, revisions bigint, error string, error_seq bigint"""
-NOTED = ("active_time_checkpoint", "budget_amended", "lock_recovered", "revision_prepared", "revision_failed")
-OVER = ("committed", "quarantined")
+__all__ = ["BUCKETS", "EVENT", "fold", "fold_stream", "states"]
 
 
-class Corrupt(ValueError):
-    pass
+def fold_stream(events: DataFrame, folder: str, buckets: int = BUCKETS) -> DataStreamWriter:
+    """A writer of the stream ``events`` (EVENT) into ``folder``: set its trigger and checkpoint, and start it."""
 
-
-@dataclass
-class Run:
-    seq: int = 0
-    state: str | None = None
-    depth: str | None = None
-    blocker: str | None = None
-    checkpoint: str | None = None
-    epoch: int = 0
-    resuming: bool = False
-    tasks: dict[str, dict] = field(default_factory=dict)
-    owners: dict[str, str] = field(default_factory=dict)  # task of each attempt
-    attempts: dict[str, dict] = field(default_factory=dict)
-    transactions: dict[str, dict] = field(default_factory=dict)
-    cancels: dict[str, int] = field(default_factory=dict)  # by epoch
-    reasons: dict[str, str] = field(default_factory=dict)
-    reserved: list[str] = field(default_factory=list)
-    schedules: dict[str, dict] = field(default_factory=dict)  # of attempts and of requests
-    requests: dict[str, dict] = field(default_factory=dict)
-    started: dict[str, str] = field(default_factory=dict)  # schedule of an attempt or request whose retry has started
-    journals: dict[str, list[str]] = field(default_factory=dict)  # hashes by attempt
-    revisions: dict[str, list[str]] = field(default_factory=dict)
-    error: str | None = None
-    error_seq: int | None = None
-
-    def apply(self, seq: int, kind: str, payload: dict) -> None:
-        if self.error:
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        told = batch.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
+        log, now = f"{folder}/events", f"{folder}/events/batch={number}"
+        told.write.mode("overwrite").partitionBy("bucket").parquet(now)
+        mine = spark.read.schema(f"{EVENT}, bucket int").option("basePath", now).parquet(now)
+        touched = mine.select("run_id", "bucket").distinct()
+        parts = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        if not parts:
             return
-        try:
-            self._need(seq == self.seq + 1, "sequence")
-            if kind not in NOTED:
-                rule = getattr(self, f"_{kind}", None)
-                self._need(rule is not None, "unknown-type")
-                rule(seq, payload)
-            self.seq = seq
-        except Corrupt as e:
-            self.error, self.error_seq = str(e), seq
-        except KeyError:
-            self.error, self.error_seq = "reducer.payload", seq
-
-    # --- what rules ask
-
-    def _need(self, held: bool, code: str) -> None:
-        if not held:
-            raise Corrupt(f"reducer.{code}")
-
-    def _attempt(self, p: dict) -> dict:
-        self._need(p["attempt"] in self.attempts, "attempt-not-found")
-        return self.attempts[p["attempt"]]
-
-    def _cancelled(self, epoch: int) -> bool:
-        return str(epoch) in self.cancels
-
-    def _is_reserved(self, kind: str, name: str) -> bool:
-        return f"{kind}:{name}" in self.reserved
-
-    def _retried(self, attempt: str) -> bool:
-        """Whether a retry of the attempt was dispatched."""
-        return any(a["retry_of"] == attempt for a in self.attempts.values())
-
-    def _settled(self) -> None:
-        self._need(not self.resuming, "resume-transition-pending")
-
-    # --- identities, run and tasks
-
-    def _identity_reserved(self, seq: int, p: dict) -> None:
-        self._need(not self._is_reserved(p["kind"], p["id"]), "duplicate-reservation")
-        self.reserved.append(f"{p['kind']}:{p['id']}")
-
-    def _run_created(self, seq: int, p: dict) -> None:
-        self._need(self.state is None, "duplicate-run")
-        self._need(p.get("epoch", 0) == 0, "initial-epoch")
-        self._need(p.get("state", "created") == "created", "initial-run-state")
-        self.state, self.depth = "created", p.get("depth")
-
-    def _state_changed(self, seq: int, p: dict) -> None:
-        to, blocker = p["to"], p.get("blocker")
-        self._need(self.state is not None, "run-not-found")
-        self._need(self.state not in ("completed", "cancelled"), "run-terminal")
-        self._need(p.get("from", self.state) == self.state, "run-state-from")
-        self._need(to != "completed", "completion-event-required")
-        special = {
-            ("researching", "synthesizing"): self.depth == "quick",
-            ("failed", "recovering"): (self.blocker or "").startswith("retryable-"),
-            **{("recovering", s): s == self.checkpoint for s in CHECKPOINTS},
-        }.get((self.state, to), True)
-        named = blocker is not None if to == "failed" else blocker is None or to == "paused"
-        self._need(to in RUN_MOVES[self.state] and special and named, "run-transition")
-        if self._cancelled(self.epoch):
-            if self.reasons[str(self.epoch)] == "user-abandon":
-                self._need(to == "cancelled", "abandon-transition")
-            self._need(to in ("paused", "cancelled") or self.resuming, "cancel-transition")
-        self._need((self.state == "paused" and to == "recovering") == self.resuming, "resume-transition")
-        self.resuming, self.state, self.blocker = False, to, blocker
-        self.checkpoint = to if to in CHECKPOINTS else self.checkpoint
-
-    def _revision_committed(self, seq: int, p: dict) -> None:
-        self._need(self._is_reserved("revision", p["revision"]), "revision-not-reserved")
-        self._need(p["revision"] not in self.revisions, "duplicate-revision-commit")
-        self.revisions[p["revision"]] = [p["manifest"], p["commit"]]
-
-    def _run_completed(self, seq: int, p: dict) -> None:
-        self._need(self.state not in ("completed", "cancelled"), "run-terminal")
-        self._need(self.state == "synthesizing", "run-completion-state")
-        self._need(p["revision"] in self.revisions, "revision-not-committed")
-        self._need(self.revisions[p["revision"]] == [p["manifest"], p["commit"]], "run-completion-link")
-        self.state, self.blocker = "completed", None
-
-    def _task_upserted(self, seq: int, p: dict) -> None:
-        name, attempts = p["task"], p.get("attempts", [])
-        old = self.tasks.get(name, {"revision": 0, "state": None, "attempts": []})
-        self._need(p["revision"] == old["revision"] + 1, "task-revision")
-        if old["state"]:
-            self._need(old["state"] not in ("resolved", "cancelled"), "task-terminal")
-            self._need(p["state"] in TASK_MOVES[old["state"]], "task-transition")
-        self._need(attempts[: len(old["attempts"])] == old["attempts"] and len(set(attempts)) == len(attempts), "task-attempt-history")
-        for a in attempts:
-            self._need(self._is_reserved("attempt", a), "task-attempt-not-reserved")
-            self._need(self.owners.setdefault(a, name) == name, "task-attempt-owner")
-        if p["state"] == "resolved":
-            done = any(a in self.attempts and self.attempts[a]["phase"] == "committed" for a in attempts)
-            self._need(done and p.get("resolution") is not None, "task-resolution")
-        self.tasks[name] = {"revision": p["revision"], "state": p["state"], "attempts": attempts}
-
-    # --- attempts and their transactions
-
-    def _dispatch_intent(self, seq: int, p: dict) -> None:
-        self._settled()
-        name, task = p["attempt"], self.tasks.get(p["task"])
-        self._need(self.state is not None, "run-not-found")
-        self._need(task is not None, "task-not-found")
-        self._need(task["state"] == "running", "dispatch-task-state")
-        self._need(name in task["attempts"], "dispatch-task-owner")
-        self._need(self._is_reserved("attempt", name), "attempt-not-reserved")
-        self._need(name not in self.attempts, "duplicate-attempt")
-        self._need(p.get("epoch", self.epoch) == self.epoch and not self._cancelled(self.epoch), "attempt-epoch")
-        line = [a for a in self.attempts.values() if a["operation"] == p["operation"]]
-        self._need(p["ordinal"] == len(line) + 1, "attempt-ordinal")
-        last = line[-1]["name"] if line else None
-        self._need(p.get("retry_of") == last, "retry-backlink")
-        fixed = {"task": p["task"], "policy": p.get("policy", "safe-read")}
-        if line:
-            self._need(all(line[0][k] == v for k, v in fixed.items()), "retry-immutable")
-            s = self.schedules.get(self.started.get(name, ""))
-            self._need(s is not None and s["epoch"] == self.epoch and s["key"] == p["operation"] and s["ordinal"] == p["ordinal"] and s["failed"] == last, "retry-start-missing")
-        self.attempts[name] = fixed | {
-            "name": name, "operation": p["operation"], "ordinal": p["ordinal"], "retry_of": last, "epoch": self.epoch, "phase": "intent", "failure": None, "result": None}
-
-    def _dispatch_started(self, seq: int, p: dict) -> None:
-        a = self._attempt(p)
-        self._need(a["phase"] == "intent", "attempt-transition")
-        a["phase"] = "started"
-
-    def _attempt_usage_recorded(self, seq: int, p: dict) -> None:
-        self._attempt(p)
-
-    def _result_recorded(self, seq: int, p: dict) -> None:
-        a, t = self._attempt(p), p["transaction"]
-        self._need(self._is_reserved("transaction", t), "transaction-not-reserved")
-        self._need(t not in self.transactions, "duplicate-transaction")
-        self._need(a["result"] is None and a["phase"] not in ("records", "committed"), "duplicate-result")
-        late = a["failure"] == "superseded" or self._retried(a["name"]) or self._cancelled(a["epoch"])
-        self._need(late or a["phase"] == "started", "attempt-transition")
-        a["result"] = t
-        self.transactions[t] = {"attempt": a["name"], "seq": seq, "records": False, "quarantined": late}
-        a["phase"] = "quarantined" if late else "result"
-        a["failure"] = "superseded" if late else a["failure"]
-
-    def _records_committed(self, seq: int, p: dict) -> None:
-        t = self.transactions.get(p["transaction"])
-        self._need(t is not None, "transaction-not-found")
-        self._need(not t["quarantined"], "transaction-quarantined")
-        self._need(t["seq"] == p["result_seq"], "source-result-link")
-        self._need(not t["records"], "duplicate-records-commit")
-        a = self.attempts[t["attempt"]]
-        self._need(a["phase"] == "result", "attempt-transition")
-        t["records"], a["phase"] = True, "records"
-
-    def _attempt_committed(self, seq: int, p: dict) -> None:
-        a, t = self._attempt(p), self.transactions.get(p["transaction"])
-        self._need(a["result"] is not None and t is not None and t["records"], "records-not-committed")
-        self._need(a["result"] == p["transaction"] and t["attempt"] == p["attempt"] and p.get("result_seq", t["seq"]) == t["seq"], "commit-link")
-        self._need(p.get("task", a["task"]) == a["task"], "commit-task")
-        self._need(a["phase"] == "records", "attempt-transition")
-        self._need(all(b["phase"] != "committed" for b in self.attempts.values() if b["operation"] == a["operation"]), "duplicate-operation-commit")
-        a["phase"] = "committed"
-
-    def _attempt_failed(self, seq: int, p: dict) -> None:
-        a, superseded = self._attempt(p), p["state"] == "superseded"
-        self._need(not superseded or self._retried(a["name"]), "superseded-without-replacement")
-        self._need(a["phase"] not in ("records", "committed"), "attempt-transition")
-        again = a["failure"] == "retryable-failed" and superseded
-        self._need(a["failure"] is None or again, "duplicate-failure")
-        self._need(a["phase"] != "result" or superseded, "attempt-transition")
-        a["failure"] = p["state"]
-        a["phase"] = "quarantined" if superseded and a["result"] and not again else "failed"
-
-    # --- retries of attempts
-
-    def _plan(self, seq: int, p: dict, kind: str, key: str, failed: str, ordinal: int) -> None:
-        same = [s for s in self.schedules.values() if s["kind"] == kind and s["failed"] == failed and s["ordinal"] == ordinal and not self._cancelled(s["epoch"])]
-        self._need(not same, "duplicate-retry-edge" if kind == "attempt" else "request-schedule-link")
-        self.schedules[p["schedule"]] = {"kind": kind, "key": key, "failed": failed, "ordinal": ordinal, "seq": seq, "epoch": self.epoch, "by": None}
-
-    def _retry_scheduled(self, seq: int, p: dict) -> None:
-        self._settled()
-        self._need(self._is_reserved("retry-schedule", p["schedule"]), "schedule-not-reserved")
-        self._need(p["schedule"] not in self.schedules, "schedule-namespace")
-        a = self._attempt(p)
-        self._need(a["failure"] == "retryable-failed" and a["policy"] == "safe-read", "retry-predecessor")
-        self._need(a["operation"] == p["operation"] and p["ordinal"] == a["ordinal"] + 1, "retry-edge")
-        self._need(not self._cancelled(self.epoch), "retry-after-cancel")
-        self._need(not self._retried(a["name"]), "duplicate-retry-edge")
-        self._plan(seq, p, "attempt", p["operation"], a["name"], p["ordinal"])
-
-    def _retry_started(self, seq: int, p: dict) -> None:
-        self._settled()
-        s = self.schedules.get(p["schedule"])
-        self._need(s is not None and s["kind"] == "attempt", "schedule-namespace")
-        self._need(s["by"] is None and p["attempt"] not in self.started, "duplicate-retry-start")
-        self._need(p["scheduled_seq"] == s["seq"], "retry-schedule-seq")
-        self._need(p["operation"] == s["key"] and p["ordinal"] == s["ordinal"], "retry-start-link")
-        self._need(self._is_reserved("attempt", p["attempt"]) and p["attempt"] not in self.attempts, "retry-attempt-identity")
-        self._need(s["epoch"] == self.epoch and not self._cancelled(self.epoch), "retry-after-cancel")
-        s["by"], self.started[p["attempt"]] = p["attempt"], p["schedule"]
-
-    # --- epochs
-
-    def _cancel_requested(self, seq: int, p: dict) -> None:
-        self._need(self.state is not None and p["epoch"] == self.epoch, "cancel-epoch")
-        self._need(not self._cancelled(self.epoch), "duplicate-cancel")
-        self.cancels[str(self.epoch)], self.reasons[str(self.epoch)] = seq, p["reason"]
-
-    def _resume_epoch_started(self, seq: int, p: dict) -> None:
-        self._need(self.state not in ("completed", "cancelled"), "run-terminal")
-        self._need(self.state == "paused", "resume-state")
-        self._need(p["epoch"] == self.epoch + 1, "resume-epoch")
-        cancel = self.cancels.get(str(self.epoch))
-        self._need(cancel is not None and p.get("cancel_seq", cancel) == cancel, "resume-cancel-link")
-        self._need(self.reasons[str(self.epoch)] != "user-abandon", "resume-terminal-cancel")
-        self._need(p.get("checkpoint", self.checkpoint) == self.checkpoint, "resume-checkpoint")
-        self.epoch, self.resuming = p["epoch"], True
-
-    # --- requests and their journal
-
-    def _journal(self, p: dict) -> dict:
-        a, told = self._attempt(p), self.journals.setdefault(p["attempt"], [])
-        self._need(p["journal_sha"] not in told, "request-journal-hash")
-        self._need(p["journal_seq"] == len(told) + 1, "request-journal-position" if p["journal_seq"] <= len(told) else "request-journal-sequence")
-        told.append(p["journal_sha"])
-        return a
-
-    def _live(self, p: dict) -> dict:
-        a = self._attempt(p)
-        self._need(a["phase"] == "started" and a["failure"] is None, "request-target-state")
-        task = self.tasks.get(a["task"], {})
-        self._need(task.get("state") == "running" and a["name"] in task["attempts"], "request-target-task")
-        self._need(a["epoch"] == self.epoch and not self._cancelled(self.epoch), "request-target-epoch")
-        return a
-
-    def _request_intent_recorded(self, seq: int, p: dict) -> None:
-        self._settled()
-        a, name = self._journal(p), p["request"]
-        self._need(p.get("epoch", a["epoch"]) == a["epoch"], "request-owner")
-        self._need(self._is_reserved("request", name) and name not in self.requests, "request-identity")
-        if p["ordinal"] == 1:
-            self._need(not self._cancelled(a["epoch"]), "request-cancelled")
-            self._need(p.get("retry_of") is None and name not in self.started, "request-backlink")
-        else:
-            self._live(p)
-            s, old = self.schedules.get(self.started.get(name, "")), self.requests.get(p.get("retry_of"))
-            self._need(s is not None and old is not None and s["ordinal"] == p["ordinal"] and s["failed"] == p["retry_of"] and old["identity"] == [p["series"], *p.get("identity", [])], "request-start-link")
-        self._need(all((r["identity"][0], r["ordinal"]) != (p["series"], p["ordinal"]) for r in self.requests.values()), "request-ordinal")
-        self.requests[name] = {
-            "attempt": a["name"], "epoch": a["epoch"], "ordinal": p["ordinal"], "identity": [p["series"], *p.get("identity", [])], "policy": p.get("policy", "safe-read"), "seq": seq, "status": None, "result_seq": None}
-
-    def _request_result_recorded(self, seq: int, p: dict) -> None:
-        self._journal(p)
-        r = self.requests.get(p["request"])
-        self._need(r is not None and r["seq"] == p["intent_seq"] and r["status"] is None, "request-intent-link")
-        self._need(p.get("ordinal", r["ordinal"]) == r["ordinal"] and [p.get("series", r["identity"][0]), *p.get("identity", r["identity"][1:])] == r["identity"], "request-intent-mismatch")
-        self._need(r["attempt"] == p["attempt"], "request-owner")
-        self._need(p.get("valid", True), "request-outcome")
-        self._need(not self._cancelled(r["epoch"]), "request-cancelled")
-        r["status"], r["result_seq"] = p["status"], seq
-
-    def _request_retry_scheduled(self, seq: int, p: dict) -> None:
-        self._settled()
-        a = self._journal(p)
-        self._need(self._is_reserved("retry-schedule", p["schedule"]), "request-schedule-identity")
-        self._need(p["schedule"] not in self.schedules, "schedule-namespace")
-        r = self.requests.get(p["failed"])
-        self._need(
-            r is not None and r["status"] == "retryable-error" and r["policy"] == "safe-read" and r["identity"][0] == p["series"] and r["ordinal"] + 1 == p["ordinal"], "request-schedule-link")
-        self._need(a["phase"] not in OVER and a["failure"] in (None, "retryable-failed"), "request-schedule-attempt-state")
-        self._need(self.tasks.get(a["task"], {}).get("state") == "running", "request-schedule-task-state")
-        self._need(self.state not in ("completed", "cancelled", "failed"), "request-schedule-run-state")
-        self._need(r["attempt"] == p["attempt"] and r["epoch"] == self.epoch and not self._cancelled(self.epoch), "request-schedule-owner")
-        self._plan(seq, p, "request", p["series"], p["failed"], p["ordinal"])
-
-    def _request_retry_started(self, seq: int, p: dict) -> None:
-        self._settled()
-        self._live(p)
-        self._journal(p)
-        s = self.schedules.get(p["schedule"])
-        self._need(s is not None and s["kind"] == "request", "schedule-namespace")
-        name = p["request"]
-        fits = s["by"] is None and s["seq"] == p["scheduled_seq"] and s["key"] == p["series"] and s["ordinal"] == p["ordinal"] and not self._cancelled(s["epoch"])
-        self._need(fits and self._is_reserved("request", name) and name not in self.requests and name not in self.started, "request-retry-start-link")
-        s["by"], self.started[name] = name, p["schedule"]
-
-    def row(self, run_id: str) -> dict[str, Any]:
-        eligible = [r for r in self.requests.values() if r["status"] == "success" and r["result_seq"] <= self.cancels.get(str(r["epoch"]), r["result_seq"])]
-        pending = [s for s in self.schedules.values() if s["by"] is None and not self._cancelled(s["epoch"])]
-        return {
-            "run_id": run_id, "seq": self.seq, "state": self.state, "epoch": self.epoch, "tasks": len(self.tasks), "attempts": len(self.attempts),
-            "committed": sum(a["phase"] == "committed" for a in self.attempts.values()), "quarantined": sum(t["quarantined"] for t in self.transactions.values()),
-            "pending_retries": len(pending), "requests": len(self.requests), "cache_eligible": len(eligible), "revisions": len(self.revisions),
-            "error": self.error, "error_seq": self.error_seq}
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows).astype({"error_seq": "Int64"})
-
-
-def fold(events: DataFrame) -> DataFrame:
-    """Batch: one row of STATE for each run; a run's events are bounded by its ledger cap."""
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        run = Run()
-        for seq, kind, payload in part.sort_values("seq")[["seq", "type", "payload"]].itertuples(index=False):
-            run.apply(int(seq), kind, json.loads(payload))
-        return _frame([run.row(key[0])])
-
-    return events.groupBy("run_id").applyInPandas(one, STATE)
-
-
-def fold_stream(events: DataFrame) -> DataFrame:
-    """Stream: state is kept by run; each micro-batch updates the runs it touches.
+        before = spark.read.schema(f"{EVENT}, batch long, bucket int").option("basePath", log).parquet(log).filter(F.col("bucket").isin(parts) & (F.col("batch") <= number))
+        same = F.col("e.run_id").eqNullSafe(F.col("t.run_id"))
+        runs = before.alias("e").join(touched.select("run_id").alias("t"), same, "left_semi").select("e.run_id", "e.seq", "e.type", "e.payload")
+        fold(runs).write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
 
-    Events of one run must arrive in the order of their micro-batches; inside one they are sorted.
-    """
+    return events.writeStream.foreachBatch(step)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = Run(**json.loads(state.get[0])) if state.exists else Run()
-        whole = pd.concat(list(parts)).sort_values("seq")
-        for seq, kind, payload in whole[["seq", "type", "payload"]].itertuples(index=False):
-            run.apply(int(seq), kind, json.loads(payload))
-        state.update((json.dumps(asdict(run)),))
-        yield _frame([run.row(key[0])])
 
-    return events.groupBy("run_id").applyInPandasWithState(step, STATE, "run string", "update", GroupStateTimeout.NoTimeout)
+def states(spark: SparkSession, folder: str) -> DataFrame:
+    """The last state of each run that the stream has folded."""
+    every = spark.read.option("basePath", f"{folder}/states").parquet(f"{folder}/states")
+    names = [c for c in every.columns if c != "batch"]
+    return every.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in names if c != "run_id"]), "batch").alias("s")).select("run_id", "s.*")
