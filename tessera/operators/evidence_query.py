@@ -37,9 +37,9 @@ class EvidenceQuery:
 
     def normalised(self) -> dict:
         if not 1 <= self.limit <= HARD_PAGE:
-            raise GraphError("query.invalid-limit", self.limit)
+            raise GraphError("query.limit-invalid", self.limit)
         if self.minimum_confidence is not None and not 0 <= self.minimum_confidence <= 1:
-            raise GraphError("query.invalid-confidence", self.minimum_confidence)
+            raise GraphError("query.invalid-input", self.minimum_confidence)
         return {k: sorted(set(v)) if isinstance(v, tuple) else v for k, v in asdict(self).items()}
 
     def hash(self) -> str:
@@ -136,9 +136,9 @@ def decode_cursor(cursor: str, snapshot: str, q: EvidenceQuery) -> tuple:
         check = body.pop("checksum")
         place = tuple(body["place"])
     except (ValueError, KeyError, TypeError, AttributeError) as e:
-        raise GraphError("query.invalid-cursor") from e
+        raise GraphError("query.cursor-invalid") from e
     if check != hashlib.sha256(canonical(body).encode()).hexdigest():
-        raise GraphError("query.invalid-cursor")
+        raise GraphError("query.cursor-invalid")
     if body.get("query") != q.hash() or body.get("snapshot") != snapshot:
         raise GraphError("query.cursor-mismatch")
     return place

@@ -164,7 +164,7 @@ def stale_refs(claims: DataFrame, latest_evidence: DataFrame) -> DataFrame:
     seen = claims.withColumn("before", F.lag("evidence_refs").over(by)).withColumn("top", F.max("revision").over(W.partitionBy("claim_id")))
     fresh = seen.filter(F.col("revision") == F.col("top")).select("claim_id", "revision", F.explode(F.array_except("evidence_refs", F.coalesce("before", F.expr("filter(evidence_refs, x -> false)")))).alias("ref"))
     top = latest_evidence.select(F.col("evidence_id").alias("e"), F.col("revision").alias("latest"))
-    return fresh.join(top, F.col("ref.id") == F.col("e")).filter("ref.revision < latest").select("claim_id", "revision", "ref", F.lit("stale-latest-ref").alias("code"))
+    return fresh.join(top, F.col("ref.id") == F.col("e")).filter("ref.revision < latest").select("claim_id", "revision", "ref", F.lit("evidence.stale-latest-ref").alias("code"))
 
 
 def conflict_resolved(checks: DataFrame, used: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def dag_depth(edges: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     inner = chain.join(heads, F.col("head") == F.col("h")).select("node", (F.col("base") + F.col("steps")).alias("depth"))
     out = cut(nodes.select("node", "depth").unionByName(inner))
     if (out.agg(F.max("depth")).first()[0] or 0) > most_depth:
-        raise GraphError("lineage.too-deep", most_depth)
+        raise GraphError("lineage.traversal-too-deep", most_depth)
     return out.select("node", F.col("depth").cast("int").alias("depth"))
 
 
