@@ -82,6 +82,11 @@ claims AS (
   FROM orders)"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores: a small file is one task, also where each of its rows becomes a long text."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(attempt_id, task_id, role): attempt to task to role by two equi-joins."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))

@@ -179,7 +179,7 @@ FROM (SELECT *, l_discount > 0.08 AS c, l_returnflag = 'R' AS s, l_linenumber =
 WHERE (path = '/confidence' AND c) OR (path = '/stance' AND s) OR (path = '/evidenceId' AND i) OR (path = '/sourceRef' AND l_linenumber = 3 AND NOT (c OR s OR i))
   OR (path = '/quotes' AND l_suppkey % 10 = 0 AND l_linenumber <> 3 AND NOT (c OR s OR i)) GROUP BY ALL""")
 def evidence_schema_issues(spark: SparkSession, sf: str) -> DataFrame:
-    li, n = A.table(spark, sf, "lineitem"), F.col("l_linenumber")
+    li, n = A.spread(A.table(spark, sf, "lineitem")), F.col("l_linenumber")
     named = lambda p, c: F.concat(F.lit(p), F.lpad(c.cast("string"), 16, "0"))
     ref = lambda name, value: F.struct(value.alias(name), F.lit(1).alias("revision"))
     e = F.struct(
@@ -207,7 +207,7 @@ def claim_schema_walk(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('}],"evidenceRule":{"fullTextRequired":false,"independentVerificationAllowed":true,"minimumLineages":'), pick(1, '"2"', "2"), F.lit(',"primarySourceRequired":false},"kind":"synthesis","materiality":"contextual","revision":1,"schemaVersion":'),
         pick(6, "2", "1"), F.lit(',"scopeQualifiers":{"comparator":null,"intervention":null,"outcome":null,"population":null,"timeRange":null'), pick(0, ',"a/b":1', ""), F.lit("}"), pick(3, "", ',"statement":"s"'), F.lit(',"status":"'),
         pick(5, "maybe", "proposed"), F.lit('"}'))
-    lines = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("line"), raw.alias("raw"))
+    lines = A.spread(A.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("line"), raw.alias("raw"))
     return schemas.validate(lines, "claims").select(F.col("line").alias("o_orderkey"), "path", "code")
 
 

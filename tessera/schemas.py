@@ -228,16 +228,17 @@ def _walked(lines: DataFrame, kind: str) -> DataFrame:
     nodes = lines.select("line", F.lit("").alias("path"), F.lit("").alias("place"), F.parse_json("raw").alias("v"))
     found = []
     for level in range(_depth(SCHEMAS[kind])):
-        shape = F.schema_of_variant("v")
-        number = F.try_variant_get("v", "$", "double")
-        text = F.try_variant_get("v", "$", "string")
+        # one-element array: each is made once
+        made = F.struct(F.schema_of_variant("v").alias("shape"), F.try_variant_get("v", "$", "double").alias("number"), F.try_variant_get("v", "$", "string").alias("text"))
+        made = nodes.join(schema, "place").select("*", F.inline(F.array(made)))
+        shape, number, text = F.coalesce("shape", F.lit("VOID")), F.col("number"), F.col("text")
         t = (
-            F.when(F.coalesce(shape, F.lit("VOID")) == "VOID", "null").when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array")
+            F.when(shape == "VOID", "null").when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array")
             .when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").otherwise("number"))
-        told = nodes.join(schema, "place").withColumn("t", t)
+        told = made.withColumn("t", t)
+        told = told.select("*", F.inline(F.array(F.struct(F.when(F.col("t") == "object", F.json_object_keys(F.to_json("v"))).alias("own")))))
         number = F.when(F.col("t") == "number", number)
         right = F.when(F.col("kind") == "integer", number == F.floor(number)).otherwise(F.col("t") == F.col("kind"))
-        keys = F.when(F.col("t") == "object", F.json_object_keys(F.to_json("v")))
         here = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
         pointer = lambda k: F.concat("path", F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
         one = lambda bad, code: F.when(F.coalesce(bad, F.lit(False)), F.array(_told(here, code))).otherwise(_none())  # noqa: B023, E731
@@ -251,7 +252,7 @@ def _walked(lines: DataFrame, kind: str) -> DataFrame:
         issues = (
             F.when((F.col("t") == "null") & F.col("nullable"), _none()).when(~F.coalesce(right, F.lit(False)), wrong)
             .when(F.col("kind") == "object", object_issues).when(F.col("kind") == "array", _none()).otherwise(value_issues))
-        judged = told.withColumn("own", keys).withColumn("issues", issues)
+        judged = cut(told.withColumn("issues", issues).select("line", "path", "place", "root", "pattern", "rule", "t", "v", "issues"))
         least = F.when((F.col("i.code") == "schema.pattern") & (F.col("pattern") == "(?s)."), "schema.minLength").otherwise(F.col("i.code"))
         found.append(judged.select("line", "root", "pattern", F.explode("issues").alias("i")).select("line", "root", F.col("i.path").alias("path"), least.alias("code")))
         portable = judged.filter((F.col("rule") == "portable") & (F.col("t") == "object") & ~portable_path(F.try_variant_get("v", "$.relativePath", "string")))
@@ -274,25 +275,27 @@ def _walked(lines: DataFrame, kind: str) -> DataFrame:
 def validate(lines: DataFrame, kind: str, most_bytes: int = MOST_BYTES, taken_in: bool = False) -> DataFrame:
     """Rows (line, path, code) for JSON lines (line, raw); ``taken_in`` adds the rules of prospective evidence."""
     place = SCHEMAS[kind]
-    variant, record = F.try_parse_json("raw"), F.from_json("raw", ddl(place))
-    shape = (
-        F.when(F.octet_length("raw") > most_bytes, "schema.too-large").when(variant.isNull(), "schema.malformed")
-        .when(F.to_json(variant) == F.to_json(record, {"ignoreNullFields": "false"}), "same").otherwise("other"))
     # one-element array: the line is parsed once, whatever reads it
-    seen = lines.select("line", "raw", F.inline(F.array(F.struct(record.alias("r"), shape.alias("shape")))))
+    parsed = F.struct(F.from_json("raw", ddl(place)).alias("r"), F.to_json(F.try_parse_json("raw")).alias("sorted"))
+    seen = lines.select("line", "raw", F.octet_length("raw").alias("bytes"), F.inline(F.array(parsed)))
+    shape = (
+        F.when(F.col("bytes") > most_bytes, "schema.too-large").when(F.col("sorted").isNull(), "schema.malformed")
+        .when(F.col("sorted") == F.to_json("r", {"ignoreNullFields": "false"}), "same").otherwise("other"))
 
-    def rules(df: DataFrame, places: Column, loose: bool = False) -> DataFrame:
+    def rules(places: Column) -> Column:
         late = _whole_rules(kind, F.col("r"))
         if taken_in and kind == "evidence":
             late = F.transform(F.array(late), lambda x: F.when(F.size(x) > 0, x).otherwise(prospective(F.col("r"))))[0]
-        both = df.select("line", "r", places.alias("found")).select("line", F.when(F.size("found") > 0, F.col("found")).otherwise(late).alias("found"))
-        return both.select("line", F.inline("found"))
-
-    same = rules(seen.filter("shape = 'same'"), _rules(place, F.col("r"), F.lit("")))
-    broken = seen.filter("shape not in ('same', 'other')").select("line", F.lit("/").alias("path"), F.col("shape").alias("code"))
-    other = cut(seen.filter("shape = 'other'").select("line", "raw"))
+        return F.transform(F.array(places), lambda x: F.when(F.size(x) > 0, x).otherwise(late))[0]
+
+    seen = seen.withColumn("shape", shape)
+    issues = F.when(F.col("shape") == "same", rules(_rules(place, F.col("r"), F.lit("")))).when(F.col("shape") == "other", _none()).otherwise(F.array(F.struct(F.lit("/").alias("path"), F.col("shape").alias("code"))))
+    told = seen.select("line", F.when(F.col("shape") == "other", F.col("raw")).alias("raw"), issues.alias("found")).filter("raw is not null or size(found) > 0")
+    told = cut(told)
+    right_away = told.select("line", F.inline("found"))
+    other = told.filter("raw is not null").select("line", "raw")
     if other.isEmpty():
-        return same.unionByName(broken).distinct()
+        return right_away.distinct()
     walked = cut(_walked(other, kind))
     right = other.join(walked.select("line").distinct(), "line", "left_anti").select("line", F.inline(F.array(F.struct(F.from_json("raw", ddl(place, loose=True)).alias("r")))))
-    return same.unionByName(broken).unionByName(walked).unionByName(rules(right, _none())).distinct()
+    return right_away.unionByName(walked).unionByName(right.select("line", F.inline(rules(_none())))).distinct()
