@@ -14,10 +14,11 @@ from tessera.plans.cut import cut
 
 
 def revision_order(records: DataFrame) -> DataFrame:
-    """Rows (kind, id, revision, seq, code): over transactions in order, each revision is the highest so far plus one."""
+    """Rows (kind, id, revision, seq, code): over transactions in order, no record comes twice and each revision is the highest so far plus one."""
     by = W.partitionBy("kind", "id").orderBy("seq", "revision")
-    seen = records.withColumn("before", F.coalesce(F.max("revision").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    code = F.when(F.col("revision") <= F.col("before"), "catalog.duplicate-revision").when(F.col("revision") != F.col("before") + 1, "catalog.revision-gap")
+    again = F.row_number().over(W.partitionBy("kind", "id", "revision").orderBy("seq")) > 1
+    seen = records.withColumn("before", F.coalesce(F.max("revision").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("again", again)
+    code = F.when(F.col("again"), "transaction.duplicate-record").when(F.col("revision") != F.col("before") + 1, "transaction.invalid-reference")
     return seen.withColumn("code", code).filter("code is not null").select("kind", "id", "revision", "seq", "code")
 
 
@@ -30,7 +31,7 @@ def forward_refs(edges: DataFrame, records: DataFrame) -> DataFrame:
     exact = edges.filter("dst_rev is not null").join(first, (F.col("dst_kind") == F.col("kind")) & (F.col("dst_id") == F.col("id")) & (F.col("dst_rev") == F.col("revision")), "left").select(*edges.columns, "since")
     any_ = first.groupBy("kind", "id").agg(F.min("since").alias("since"))
     stable = edges.filter("dst_rev is null").join(any_, (F.col("dst_kind") == F.col("kind")) & (F.col("dst_id") == F.col("id")), "left").select(*edges.columns, "since")
-    return exact.unionByName(stable).filter("since is null or since > seq").drop("since").withColumn("code", F.lit("catalog.unresolved-ref"))
+    return exact.unionByName(stable).filter("since is null or since > seq").drop("since").withColumn("code", F.lit("transaction.invalid-reference"))
 
 
 def journal_violations(entries: DataFrame) -> DataFrame:

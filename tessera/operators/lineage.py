@@ -177,16 +177,18 @@ VOUCHED = (
 
 
 def source_issues(sources: DataFrame) -> DataFrame:
-    """Semantic issues of sources: parallel relation arrays, repeated list members, steps outside the retrieval list or for unknown fields."""
+    """Semantic issues of sources: relations and steps that do not fit or come twice, and repeated members of lists."""
     from tessera.operators.records import issues
 
     repeated = lambda c: F.size(F.array_distinct(c)) < F.size(c)
-    outside = F.exists("provenance", lambda p: ~F.array_contains("retrieval_request_ids", p["request_id"]))
+    unfit = F.exists("provenance", lambda p: ~F.array_contains("retrieval_request_ids", p["request_id"]) | ~p["field"].isin(*VOUCHED))
+    lineage, provenance = "source.invalid-lineage", "source.invalid-provenance"
     return issues(sources, [
-        ("/lineage/relationTypes", "source.parallel-arrays", F.size("related_source_ids") != F.size("relation_types")),
-        ("/retrievalRequestIds", "source.duplicate-member", repeated("retrieval_request_ids")),
-        ("/lineage/cohortIds", "source.duplicate-member", repeated("cohorts")),
-        ("/lineage/datasetIds", "source.duplicate-member", repeated("datasets")),
-        ("/metadataProvenance", "source.unlisted-request", outside),
-        ("/metadataProvenance", "source.unknown-field", F.exists("provenance", lambda p: ~p["field"].isin(*VOUCHED))),
+        ("/lineage/relationTypes", lineage, F.size("related_source_ids") != F.size("relation_types")),
+        ("/retrievalRequestIds", provenance, repeated("retrieval_request_ids")),
+        ("/metadataProvenance", provenance, repeated(F.transform("provenance", lambda p: F.struct(p["field"], p["provider"], p["request_id"]))) | unfit),
+        ("/authors", provenance, repeated("authors")),
+        ("/lineage/cohortIds", lineage, repeated("cohorts")),
+        ("/lineage/datasetIds", lineage, repeated("datasets")),
+        ("/lineage/relatedSourceIds", lineage, repeated(F.arrays_zip("related_source_ids", "relation_types"))),
     ], ["source_id", "revision"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.identifiers import backoff_ms
+from tessera.plans.cut import cut
 
 #: Task states, and the transitions of runs and tasks.
 TASK_STATES = ("open", "ready", "running", "blocked", "resolved", "cancelled")
@@ -142,17 +143,54 @@ def latest_failure(failures: DataFrame) -> DataFrame:
     return failures.groupBy("attempt_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
-def series_issues(attempts: DataFrame) -> DataFrame:
-    """Retry series (operation, ordinal, attempt_id, predecessor, base_ms, cap_ms): first issue of each row."""
-    by = W.partitionBy("operation").orderBy("ordinal", "attempt_id")
-    seen = attempts.withColumn("n", F.row_number().over(by)).withColumn("prev", F.lag("attempt_id").over(by)).withColumn("first_base", F.first("base_ms").over(by))
-    code = (
-        F.when(F.col("ordinal") != F.col("n"), "retry.ordinal")
-        .when((F.col("n") == 1) & F.col("predecessor").isNotNull(), "retry.unexpected-predecessor")
-        .when(~F.col("predecessor").eqNullSafe(F.col("prev")), "retry.predecessor")
-        .when(F.col("base_ms") != F.col("first_base"), "retry.policy")
-        .when(F.col("cap_ms") < F.col("base_ms"), "retry.cap"))
-    return seen.withColumn("code", code).filter("code is not null").select("operation", "ordinal", "attempt_id", "code")
+def series_issues(attempts: DataFrame, schedules: DataFrame, fixed: list[str]) -> DataFrame:
+    """Issues (path, code) of retry series: attempts of each operation in consecutive ordinals, each from a schedule of the one before.
+
+    ``attempts``: at (place in the input), operation, ordinal, attempt_id, retry_of, envelope, state, replay_policy
+    and the columns ``fixed`` that a series keeps.  ``schedules``: at, schedule_id, operation, failed_id, next_ordinal.
+    """
+    twice = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("at")) > 1
+    group = W.partitionBy("operation")
+    order = F.struct("ordinal", "at")
+    seen = attempts.withColumns({
+        "twice_id": twice("attempt_id"), "twice_envelope": twice("envelope"), "twice_ordinal": twice("operation", "ordinal"), "n": F.count("*").over(group), "least": F.min("ordinal").over(group)})
+    series = seen.groupBy("operation").agg(
+        F.min_by(F.struct(*fixed), order).alias("base"), F.max_by(F.struct("attempt_id", "ordinal", "state"), F.struct("ordinal", -F.col("at"))).alias("last"),
+        F.min_by("replay_policy", order).alias("first_policy"), F.min("ordinal").alias("first_ordinal"))
+    series = cut(series)
+    told = lambda name, field="": F.concat(F.lit(f"/{name}/"), F.col("at").cast("string"), F.lit(field))
+    one = lambda bad, path, code: F.when(F.coalesce(bad, F.lit(False)), F.struct(path.alias("path"), F.lit(f"retry.{code}").alias("code")))
+    found = lambda df, cases: df.select(F.inline(F.array_compact(F.array(*[one(*c) for c in cases]))))
+
+    before = seen.filter("not twice_ordinal").select(F.col("operation").alias("o"), (F.col("ordinal") + 1).alias("next"), F.col("attempt_id").alias("before_id"), F.col("state").alias("before_state"))
+    edges = schedules.groupBy("operation", "failed_id", "next_ordinal").agg(F.count("*").alias("edges"), F.min("at").alias("first_at"))
+    linked = seen.join(series.select("operation", "base"), "operation").join(before, (F.col("operation") == F.col("o")) & (F.col("ordinal") == F.col("next")) & ~F.col("twice_ordinal") & (F.col("ordinal") != 1), "left")
+    e = edges.select(F.col("operation").alias("eo"), F.col("failed_id").alias("ef"), F.col("next_ordinal").alias("en"), "edges")
+    linked = linked.join(e, (F.col("operation") == F.col("eo")) & (F.col("before_id") == F.col("ef")) & (F.col("ordinal") == F.col("en")), "left")
+    linked = cut(linked)
+    follows = F.col("before_id").isNotNull()
+    camel = lambda c: c.split("_")[0] + "".join(x.title() for x in c.split("_")[1:])
+    out = found(linked, [
+        (F.col("twice_id"), told("attempts", "/attemptId"), "duplicate-attempt-id"), (F.col("twice_envelope"), told("attempts", "/attemptEnvelopeSha256"), "duplicate-envelope"),
+        (F.col("twice_ordinal"), told("attempts", "/attemptOrdinal"), "duplicate-ordinal"),
+        (((F.col("ordinal") == F.col("least")) & (F.col("least") != 1)) | (~F.col("twice_ordinal") & (F.col("ordinal") > F.col("n"))), told("attempts", "/attemptOrdinal"), "nonconsecutive-ordinal"),
+        *[(~F.col(c).eqNullSafe(F.col(f"base.{c}")), told("attempts", f"/{camel(c)}"), "immutable-change") for c in fixed],
+        (follows & ~F.col("retry_of").eqNullSafe(F.col("before_id")), told("attempts", "/retryOfAttemptId"), "wrong-backlink"),
+        (follows & (F.col("before_state") != "retryable-failed"), told("attempts"), "invalid-predecessor-state"), (follows & (F.coalesce("edges", F.lit(0)) != 1), told("attempts"), "schedule-edge-count")])
+
+    used = linked.filter(follows).select(F.col("operation").alias("uo"), F.col("before_id").alias("uf"), F.col("ordinal").alias("un")).distinct()
+    plans = schedules.withColumns({"twice_id": twice("schedule_id"), "twice_edge": twice("operation", "failed_id", "next_ordinal")})
+    plans = plans.join(used, (F.col("operation") == F.col("uo")) & (F.col("failed_id") == F.col("uf")) & (F.col("next_ordinal") == F.col("un")), "left").withColumn("used", F.col("uo").isNotNull()).drop("uo", "uf", "un")
+    plans = plans.withColumn("waiting", F.count_if(~F.col("used")).over(group)).join(series, "operation", "left")
+    known = attempts.select(F.col("operation").alias("ko"), F.col("attempt_id").alias("ka")).distinct()
+    plans = plans.join(known, (F.col("operation") == F.col("ko")) & (F.col("failed_id") == F.col("ka")), "left")
+    waits, grouped = ~F.col("used"), F.col("last").isNotNull()
+    near = (F.col("failed_id") == F.col("last.attempt_id")) & (F.col("next_ordinal") == F.col("last.ordinal") + 1) & (F.col("last.state") == "retryable-failed")
+    return out.unionByName(found(plans, [
+        (F.col("twice_id"), told("schedules", "/scheduleId"), "duplicate-schedule-id"), (F.col("used") & F.col("twice_edge"), told("schedules"), "duplicate-schedule-edge"),
+        (grouped & (F.col("first_ordinal") == 1) & (F.col("first_policy") == "never"), told("schedules"), "never-scheduled"), (grouped & waits & (F.col("waiting") > 1), told("schedules"), "multiple-pending"),
+        (grouped & waits & (F.col("waiting") == 1) & ~F.coalesce(near, F.lit(False)), told("schedules"), "non-immediate-pending"),
+        (grouped & F.col("ka").isNull(), told("schedules", "/failedAttemptId"), "orphan-failed-attempt"), (~grouped, told("schedules", "/logicalOperationId"), "orphan-logical-operation")]))
 
 
 def status(tasks: DataFrame, attempts: DataFrame, pending: DataFrame) -> DataFrame:

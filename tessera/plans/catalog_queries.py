@@ -213,8 +213,8 @@ def claim_schema_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("catalog_revisions", """
 WITH r AS (SELECT l_suppkey AS id, l_orderkey * 10 + l_linenumber AS seq, l_linenumber AS revision, l_partkey FROM lineitem),
-w AS (SELECT *, coalesce(max(revision) OVER (PARTITION BY id ORDER BY seq, revision, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
-SELECT id, seq, revision, CASE WHEN revision <= before THEN 'catalog.duplicate-revision' ELSE 'catalog.revision-gap' END AS code, count(*) AS n FROM w WHERE revision <= before OR revision <> before + 1 GROUP BY ALL""")
+w AS (SELECT *, coalesce(max(revision) OVER (PARTITION BY id ORDER BY seq, revision, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY id, revision ORDER BY seq) > 1 AS again FROM r)
+SELECT id, seq, revision, CASE WHEN again THEN 'transaction.duplicate-record' ELSE 'transaction.invalid-reference' END AS code, count(*) AS n FROM w WHERE again OR revision <> before + 1 GROUP BY ALL""")
 def catalog_revisions(spark: SparkSession, sf: str) -> DataFrame:
     r = A.table(spark, sf, "lineitem").select(F.lit("sources").alias("kind"), F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("revision"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return catalog.revision_order(r).groupBy("id", "seq", "revision", "code").agg(F.count("*").alias("n"))
@@ -315,17 +315,22 @@ def url_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("source_semantics", """
 WITH s AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS d, min(l_partkey) AS p, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
-SELECT l_orderkey AS source_id, '/lineage/relationTypes' AS path, 'source.parallel-arrays' AS code FROM s WHERE n > 5
-UNION ALL SELECT l_orderkey, '/retrievalRequestIds', 'source.duplicate-member' FROM s WHERE d < n
-UNION ALL SELECT l_orderkey, '/metadataProvenance', 'source.unlisted-request' FROM s WHERE p % 2 = 0
-UNION ALL SELECT l_orderkey, '/metadataProvenance', 'source.unknown-field' FROM s WHERE r""")
+SELECT l_orderkey AS source_id, '/lineage/relationTypes' AS path, 'source.invalid-lineage' AS code FROM s WHERE n > 5
+UNION ALL SELECT l_orderkey, '/lineage/relatedSourceIds', 'source.invalid-lineage' FROM s WHERE d < n
+UNION ALL SELECT l_orderkey, '/lineage/cohortIds', 'source.invalid-lineage' FROM s WHERE p % 5 = 0
+UNION ALL SELECT l_orderkey, '/authors', 'source.invalid-provenance' FROM s WHERE p % 3 = 0
+UNION ALL SELECT l_orderkey, '/retrievalRequestIds', 'source.invalid-provenance' FROM s WHERE d < n
+UNION ALL SELECT l_orderkey, '/metadataProvenance', 'source.invalid-provenance' FROM s WHERE p % 2 = 0 OR r OR p % 7 = 0""")
 def source_semantics(spark: SparkSession, sf: str) -> DataFrame:
     g = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.collect_list(F.col("l_suppkey").cast("string")).alias("ids"), F.min("l_partkey").alias("p"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
-    empty = F.expr("cast(array() as array<string>)")
-    step = F.struct(F.when(F.col("p") % 2 == 0, "none").otherwise(F.col("ids")[0]).alias("request_id"), F.when(F.col("r"), "colour").otherwise("title").alias("field"))
+    p, none = F.col("p"), F.expr("cast(array() as array<string>)")
+    step = F.struct(F.when(p % 2 == 0, "none").otherwise(F.col("ids")[0]).alias("request_id"), F.when(F.col("r"), "colour").otherwise("title").alias("field"), F.lit("crossref").alias("provider"))
+    author = lambda family, given: F.struct(family.alias("family"), given.alias("given"), F.lit(None).cast("string").alias("literal"), F.lit(None).cast("string").alias("orcid"))
     s = g.select(
-        "source_id", F.lit(1).alias("revision"), F.col("ids").alias("related_source_ids"), F.when(F.size("ids") > 5, F.slice("ids", 1, 2)).otherwise(F.col("ids")).alias("relation_types"),
-        F.col("ids").alias("retrieval_request_ids"), empty.alias("cohorts"), empty.alias("datasets"), F.array(step).alias("provenance"))
+        "source_id", F.lit(1).alias("revision"), F.col("ids").alias("related_source_ids"), F.when(F.size("ids") > 5, none).otherwise(F.transform("ids", lambda x: F.lit("reports"))).alias("relation_types"),
+        F.col("ids").alias("retrieval_request_ids"), F.when(p % 5 == 0, F.array(F.lit("c"), F.lit("c"))).otherwise(none).alias("cohorts"), none.alias("datasets"),
+        F.when(p % 7 == 0, F.array(step, step)).otherwise(F.array(step)).alias("provenance"),
+        F.array(author(F.lit("A"), F.lit(None).cast("string")), author(F.when(p % 3 == 0, "A").otherwise("B"), F.lit(None).cast("string"))).alias("authors"))
     return lineage.source_issues(s).select("source_id", "path", "code")
 
 

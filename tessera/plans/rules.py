@@ -156,18 +156,53 @@ def record_owners(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("retry_series", with_sql(LEDGER_SQL) + """
-, a AS (SELECT user_id AS operation, seq + (type = 'error')::INT AS ordinal, event_id AS attempt_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY seq) AS prev, seq, type FROM ledger),
-o AS (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY ordinal, attempt_id) AS n, lag(attempt_id) OVER (PARTITION BY operation ORDER BY ordinal, attempt_id) AS before FROM a)
-SELECT operation, attempt_id, CASE WHEN ordinal <> n THEN 'retry.ordinal' WHEN prev IS DISTINCT FROM before THEN 'retry.predecessor' WHEN type = 'signup' AND n > 1 THEN 'retry.policy' END AS code
-FROM o WHERE ordinal <> n OR prev IS DISTINCT FROM before OR (type = 'signup' AND n > 1 )""")
+, a AS (
+  SELECT event_id AS pos, 'op' || user_id AS op, seq + (event_id % 41 = 0)::INT AS o, 'a' || (event_id - (event_id % 43 = 0)::INT) AS id, CASE WHEN event_id % 37 <> 0 THEN 'a' || lag(event_id) OVER w END AS back,
+    'e' || (event_id - (event_id % 47 = 0)::INT) AS env, CASE WHEN type = 'purchase' OR lead(seq) OVER w IS NULL THEN 'retryable-failed' WHEN event_id % 5 = 0 THEN 'committed' ELSE 'retryable-failed' END AS state,
+    CASE WHEN user_id % 31 = 0 THEN 'never' ELSE 'safe-read' END AS policy, 'm' || (event_id % 53 = 0)::INT AS model FROM ledger WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+s AS (
+  SELECT event_id AS pos, 's' || (event_id - (event_id % 59 = 0)::INT) AS id, CASE WHEN event_id % 61 = 0 THEN 'none' ELSE 'op' || user_id END AS op, CASE WHEN event_id % 67 = 0 THEN 'zz' ELSE 'a' || event_id END AS failed,
+    seq + 1 + (event_id % 71 = 0)::INT AS nxt FROM ledger WHERE event_id % 7 <> 0),
+a2 AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) > 1 AS ti, row_number() OVER (PARTITION BY env ORDER BY pos) > 1 AS te, row_number() OVER (PARTITION BY op, o ORDER BY pos) > 1 AS tw,
+    count(*) OVER (PARTITION BY op) AS n, min(o) OVER (PARTITION BY op) AS least, first_value(model) OVER (PARTITION BY op ORDER BY o, pos) AS model1, first_value(policy) OVER (PARTITION BY op ORDER BY o, pos) AS policy1 FROM a),
+links AS (SELECT x.*, y.id AS pid, y.state AS pstate FROM a2 x JOIN a2 y ON NOT x.tw AND NOT y.tw AND x.op = y.op AND y.o = x.o - 1 WHERE x.o <> 1),
+edges AS (SELECT l.pos, count(s.pos) AS n FROM links l LEFT JOIN s ON s.op = l.op AND s.failed = l.pid AND s.nxt = l.o GROUP BY l.pos),
+s2 AS (
+  SELECT s.*, EXISTS (SELECT 1 FROM links l WHERE l.op = s.op AND l.pid = s.failed AND l.o = s.nxt) AS used, row_number() OVER (PARTITION BY id ORDER BY pos) > 1 AS ti,
+    row_number() OVER (PARTITION BY op, failed, nxt ORDER BY pos) > 1 AS tw FROM s),
+g AS (SELECT op, min(o) AS o1, arg_min(policy, o * 1000000000 + pos) AS policy1, max(o) AS omax, arg_max(id, o * 1000000000 - pos) AS lid, arg_max(state, o * 1000000000 - pos) AS lstate FROM a GROUP BY op),
+s3 AS (SELECT s2.*, count(*) FILTER (WHERE NOT used) OVER (PARTITION BY s2.op) AS waiting, g.op AS grp, o1, policy1, omax, lid, lstate FROM s2 LEFT JOIN g ON g.op = s2.op)
+SELECT '/attempts/' || pos || '/attemptId' AS path, 'retry.duplicate-attempt-id' AS code FROM a2 WHERE ti
+UNION ALL SELECT '/attempts/' || pos || '/attemptEnvelopeSha256', 'retry.duplicate-envelope' FROM a2 WHERE te
+UNION ALL SELECT '/attempts/' || pos || '/attemptOrdinal', 'retry.duplicate-ordinal' FROM a2 WHERE tw
+UNION ALL SELECT '/attempts/' || pos || '/attemptOrdinal', 'retry.nonconsecutive-ordinal' FROM a2 WHERE (o = least AND least <> 1) OR (NOT tw AND o > n)
+UNION ALL SELECT '/attempts/' || pos || '/providerModel', 'retry.immutable-change' FROM a2 WHERE model <> model1
+UNION ALL SELECT '/attempts/' || pos || '/replayPolicy', 'retry.immutable-change' FROM a2 WHERE policy <> policy1
+UNION ALL SELECT '/attempts/' || pos || '/retryOfAttemptId', 'retry.wrong-backlink' FROM links WHERE back IS DISTINCT FROM pid
+UNION ALL SELECT '/attempts/' || pos, 'retry.invalid-predecessor-state' FROM links WHERE pstate <> 'retryable-failed'
+UNION ALL SELECT '/attempts/' || pos, 'retry.schedule-edge-count' FROM edges WHERE n <> 1
+UNION ALL SELECT '/schedules/' || pos || '/scheduleId', 'retry.duplicate-schedule-id' FROM s3 WHERE ti
+UNION ALL SELECT '/schedules/' || pos, 'retry.duplicate-schedule-edge' FROM s3 WHERE used AND tw
+UNION ALL SELECT '/schedules/' || pos, 'retry.never-scheduled' FROM s3 WHERE grp IS NOT NULL AND o1 = 1 AND policy1 = 'never'
+UNION ALL SELECT '/schedules/' || pos, 'retry.multiple-pending' FROM s3 WHERE grp IS NOT NULL AND NOT used AND waiting > 1
+UNION ALL SELECT '/schedules/' || pos, 'retry.non-immediate-pending' FROM s3 WHERE grp IS NOT NULL AND NOT used AND waiting = 1 AND NOT (failed = lid AND nxt = omax + 1 AND lstate = 'retryable-failed')
+UNION ALL SELECT '/schedules/' || pos || '/failedAttemptId', 'retry.orphan-failed-attempt' FROM s3 WHERE grp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE a.op = s3.op AND a.id = s3.failed)
+UNION ALL SELECT '/schedules/' || pos || '/logicalOperationId', 'retry.orphan-logical-operation' FROM s3 WHERE grp IS NULL""")
 def retry_series(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempts of a user's log; errors claim the ordinal after theirs, sign-ups another policy."""
-    by = W.partitionBy("user_id").orderBy("seq")
-    first = F.first("type").over(by) == "signup"
-    a = A.ledger(spark, sf).select(
-        F.col("user_id").alias("operation"), (F.col("seq") + (F.col("type") == "error").cast("int")).alias("ordinal"), F.col("event_id").alias("attempt_id"), F.lag("event_id").over(by).alias("predecessor"),
-        F.when((F.col("type") == "signup") & (F.col("seq") > 1) & ~first, 2).when((F.col("type") == "signup") & (F.col("seq") > 1), 2).otherwise(1).alias("base_ms"), F.lit(9).alias("cap_ms"))
-    return retry.series_issues(a).select("operation", "attempt_id", "code")
+    """A user's log is a series of attempts, each scheduled by the one before; event numbers plant the faults."""
+    e, k, by = A.ledger(spark, sf), F.col("event_id"), W.partitionBy("user_id").orderBy("seq")
+    off = lambda n: (k % n == 0).cast("int")
+    name = lambda letter, value: F.concat(F.lit(letter), value.cast("string"))
+    operation, before = name("op", F.col("user_id")), F.lag("event_id").over(by)
+    attempts = e.select(
+        k.alias("at"), operation.alias("operation"), (F.col("seq") + off(41)).alias("ordinal"), name("a", k - off(43)).alias("attempt_id"), F.when(k % 37 != 0, name("a", before)).alias("retry_of"), name("e", k - off(47)).alias("envelope"),
+        F.when((F.col("type") == "purchase") | F.lead("seq").over(by).isNull(), "retryable-failed").when(k % 5 == 0, "committed").otherwise("retryable-failed").alias("state"),
+        F.when(F.col("user_id") % 31 == 0, "never").otherwise("safe-read").alias("replay_policy"), name("m", off(53)).alias("provider_model"))
+    schedules = e.filter(k % 7 != 0).select(
+        k.alias("at"), name("s", k - off(59)).alias("schedule_id"), F.when(k % 61 == 0, "none").otherwise(operation).alias("operation"), F.when(k % 67 == 0, "zz").otherwise(name("a", k)).alias("failed_id"),
+        (F.col("seq") + 1 + off(71)).alias("next_ordinal"))
+    return retry.series_issues(attempts, schedules, ["provider_model", "replay_policy"])
 
 
 @register("retry_starts", with_sql(LEDGER_SQL) + """

@@ -47,7 +47,7 @@ def test_depth_against_walk(spark):
 def test_depth_of_a_long_chain(spark):
     got = graph.dag_depth(spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     assert got.filter("node = depth").count() == 10_001
-    with pytest.raises(graph.GraphError, match="too-deep"):
+    with pytest.raises(graph.GraphError, match="lineage.traversal-too-deep"):
         graph.dag_depth(spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), most_depth=19)
 
 

@@ -140,7 +140,7 @@ def test_every_schema_equals_brute_force(spark, kind):
 
 def test_catalog(spark):
     r = spark.createDataFrame([("claims", "a", 1, 1), ("claims", "a", 2, 2), ("claims", "b", 2, 3), ("claims", "a", 2, 4)], "kind string, id string, revision long, seq long")
-    assert [(x["id"], x["seq"], x["code"]) for x in catalog.revision_order(r).orderBy("seq").collect()] == [("b", 3, "catalog.revision-gap"), ("a", 4, "catalog.duplicate-revision")]
+    assert [(x["id"], x["seq"], x["code"]) for x in catalog.revision_order(r).orderBy("seq").collect()] == [("b", 3, "transaction.invalid-reference"), ("a", 4, "transaction.duplicate-record")]
     e = spark.createDataFrame([(1, "claims", "a", 1), (1, "claims", "a", 2), (2, "claims", "b", None), (3, "claims", "b", None)], "seq long, dst_kind string, dst_id string, dst_rev long")
     assert sorted((x["seq"], x["dst_id"]) for x in catalog.forward_refs(e, r).collect()) == [(1, "a"), (2, "b")]
 
