@@ -125,7 +125,7 @@ def test_cursor_is_bound():
     for bad, code in ((("snap", other), "mismatch"), (("else", q), "mismatch")):
         with pytest.raises(graph.GraphError, match=code):
             Q.decode_cursor(c, *bad)
-    with pytest.raises(graph.GraphError, match="invalid-cursor"):
+    with pytest.raises(graph.GraphError, match="query.cursor-invalid"):
         Q.decode_cursor(c[:-4], "snap", q)
     assert Q.EvidenceQuery(stances=("b", "a", "a")).hash() == Q.EvidenceQuery(stances=("a", "b")).hash()
 
