@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import durable
 
@@ -219,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     items = benchmark.select("item_id", "text")
     kinds = {f.name: f.dataType for f in [*docs.schema, *items.schema]}
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, start bigint, end bigint"
-    item_kind = pa.int64() if kinds["item_id"].simpleString() in ("bigint", "int") else pa.string()
+    item_kind = to_arrow_type(kinds["item_id"])
     out = None
     for block in blocks_of(benchmark):
         index = indexed(block, docs, threshold, width)

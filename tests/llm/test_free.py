@@ -460,3 +460,12 @@ def test_one_of_each_of_short_texts(spark):
     want = brute_kept(rows)
     assert len(want) < 320
     assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "bigint", "decimal(10,0)", "string"])
+def test_item_ids_keep_their_type(spark, kind):
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(7, text), (None, text)], "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    got = decontaminate.contaminated(spark.createDataFrame([(1, text), (2, "other words")], "doc_id long, text string"), bench)
+    assert got.schema["item_id"].dataType.simpleString() == kind
+    assert sorted((r["doc_id"], str(r["item_id"])) for r in got.collect()) == [(1, "7"), (1, "None")]
