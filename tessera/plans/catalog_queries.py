@@ -242,12 +242,12 @@ def journal_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("accepted_plans", with_sql(LEDGER_SQL) + """
-, c AS (SELECT user_id, count(*) AS n, min(seq) AS seq, min(event_id) AS attempt_id FROM ledger WHERE type = 'purchase' GROUP BY user_id HAVING count(*) = 1)
+, c AS (SELECT user_id, count(*) AS n, min(seq) AS seq, min(event_id) AS attempt_id FROM ledger WHERE type = 'purchase' AND event_id % 16 = 0 GROUP BY user_id HAVING count(*) = 1)
 SELECT c.user_id AS run_id, attempt_id, c.seq, max_by(10 * l.seq, l.seq) AS max_sources FROM c JOIN ledger l ON l.user_id = c.user_id AND l.seq <= c.seq AND l.type IN ('view', 'signup') GROUP BY ALL""")
 def accepted_plans(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs with one purchase: the limit of the last view or sign-up before it."""
+    """Runs with one planning commit, a purchase of a sixteenth event: the limit of the last view or sign-up before it."""
     e = A.ledger(spark, sf).withColumnRenamed("user_id", "run_id")
-    a = e.select("run_id", F.col("event_id").alias("attempt_id"), F.when(F.col("type") == "purchase", "committed").otherwise("started").alias("phase"), "seq")
+    a = e.select("run_id", F.col("event_id").alias("attempt_id"), F.when((F.col("type") == "purchase") & (F.col("event_id") % 16 == 0), "committed").otherwise("started").alias("phase"), "seq")
     return catalog.accepted_plan(a, e.filter("type in ('view', 'signup')").select("run_id", "seq", (10 * F.col("seq")).alias("max_sources")))
 
 
@@ -364,6 +364,50 @@ def crossref_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("record_id", "url", "title", "venue", day.alias("bad"), "published", "publication_type")
 
 
+@register("openalex_candidates", """
+SELECT 'https://openalex.org/W' || p_partkey AS record_id, '10.1234/part' || p_partkey AS doi, CASE WHEN p_size % 2 = 0 THEN p_partkey::VARCHAR END AS pmid, p_name AS title,
+  CASE WHEN p_size % 3 = 0 THEN 'https://h.org/' || p_partkey ELSE 'https://doi.org/10.1234/part' || p_partkey END AS url, CASE WHEN p_size % 5 = 0 THEN 'journal-article' WHEN p_size % 5 = 1 THEN 'review' ELSE 'other' END AS publication_type,
+  CASE WHEN p_size % 7 = 0 THEN '2019' ELSE '2020-03-04' END AS published, CASE WHEN p_size % 4 = 0 THEN 'abstract-only' ELSE 'metadata-only' END AS access_level FROM part WHERE p_size % 11 <> 0""")
+def openalex_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """One landed payload a part; some records have no work id, some abstracts an inverted index."""
+    n, k = F.col("p_partkey").cast("string"), F.col("p_size")
+    page = F.when(k % 3 == 0, F.concat(F.lit("https://h.org/"), n))
+    work = F.struct(
+        F.when(k % 11 == 0, n).otherwise(F.concat(F.lit("https://openalex.org/W"), n)).alias("id"), F.concat(F.lit("https://doi.org/10.1234/PART"), n).alias("doi"),
+        F.struct(F.when(k % 2 == 0, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), n)).alias("pmid")).alias("ids"), F.col("p_name").alias("display_name"),
+        F.when(k % 5 == 0, "article").when(k % 5 == 1, "review").otherwise("letter").alias("type"), F.when(k % 7 != 0, "2020-03-04").alias("publication_date"), F.lit(2019).alias("publication_year"),
+        F.struct(page.alias("landing_page_url")).alias("primary_location"), F.when(k % 4 == 0, F.create_map(F.lit("said"), F.array(F.lit(0), F.lit(2)), F.lit("was"), F.array(F.lit(1)))).alias("abstract_inverted_index"))
+    payload = F.to_json(F.struct(F.array(work).alias("results")))
+    c = providers.openalex(A.table(spark, sf, "part").select(payload.alias("payload")))
+    return c.select("record_id", "doi", "pmid", "title", "url", "publication_type", "published", "access_level")
+
+
+@register("pubmed_candidates", """
+SELECT (1000 + p_partkey)::VARCHAR AS record_id, (1000 + p_partkey)::VARCHAR AS pmid, CASE WHEN p_size % 2 = 0 THEN 'PMC' || (7 + p_partkey) END AS pmcid, p_name AS title, p_brand AS venue,
+  CASE p_size % 3 WHEN 0 THEN '2021-03-04' WHEN 1 THEN '2020-05' ELSE '1999' END AS published, CASE WHEN p_size % 4 = 0 THEN 'review' ELSE 'journal-article' END AS publication_type FROM part WHERE p_size % 9 <> 0""")
+def pubmed_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """One summary a part; some are errors; dates come from three fields."""
+    uid, k = (F.col("p_partkey") + 1000).cast("string"), F.col("p_size")
+    named = lambda kind, value: F.struct(F.lit(kind).alias("idtype"), value.alias("value"))
+    record = F.struct(
+        uid.alias("uid"), F.when(k % 9 == 0, "gone").alias("error"), F.col("p_name").alias("title"), F.col("p_brand").alias("source"), F.when(k % 3 == 0, "2021/03/04 00:00").alias("sortpubdate"),
+        F.when(k % 3 == 1, "2020/05").alias("epubdate"), F.lit("1999 Jan").alias("pubdate"), F.when(k % 4 == 0, "Systematic Review").otherwise("Journal Article").alias("doctype"),
+        F.when(k % 2 == 0, F.array(named("pmc", F.concat(F.lit("PMC"), (F.col("p_partkey") + 7).cast("string"))))).alias("articleids"))
+    payload = F.concat(F.lit('{"result":{"uids":["'), uid, F.lit('"],"'), uid, F.lit('":'), F.to_json(record), F.lit("}}"))
+    c = providers.pubmed(A.table(spark, sf, "part").select(payload.alias("payload")))
+    return c.select("record_id", "pmid", "pmcid", "title", "venue", "published", "publication_type")
+
+
+@register("linked_full_texts", """
+SELECT DISTINCT 'PMC' || (l_suppkey * 10 + l_linenumber) AS pmcid FROM lineitem WHERE l_linenumber % 3 <> 0""")
+def linked_full_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """One link payload an order line; links to other databases do not count, and equal ones are one."""
+    pmc = F.col("l_linenumber") % 3 != 0
+    db = F.struct(F.when(pmc, "pmc").otherwise("books").alias("dbto"), F.lit("pubmed_pmc").alias("linkname"), F.array((F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("string")).alias("links"))
+    payload = F.to_json(F.struct(F.array(F.struct(F.array(db).alias("linksetdbs"))).alias("linksets")))
+    return providers.linked_pmcids(A.table(spark, sf, "lineitem").select(payload.alias("payload")))
+
+
 @register("pmc_candidates", """
 SELECT 'PMC' || p_partkey AS pmcid, p_name AS title, CASE p_size % 4 WHEN 0 THEN 'metadata-only' WHEN 1 THEN 'full-text' WHEN 2 THEN 'abstract-only' ELSE 'partial-text' END AS access_level FROM part WHERE p_partkey > 0""")
 def pmc_candidates(spark: SparkSession, sf: str) -> DataFrame:

@@ -119,6 +119,15 @@ def conversation_chains_hold(spark: SparkSession, sf: str) -> DataFrame:
     return records.chain_violations(c, ["conv_id"])
 
 
+@register("role_chains", """
+SELECT conv_id, role, CASE WHEN count(*) <> count(DISTINCT turn) THEN 'duplicate-revision' ELSE 'revision-gap' END AS code, count(*) AS revisions
+FROM conversations GROUP BY conv_id, role HAVING count(*) <> count(DISTINCT turn) OR min(turn) <> 0 OR max(turn) + 1 <> count(*)""")
+def role_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of one role alone are no chain, but where it has the first one only."""
+    c = A.table(spark, sf, "conversations").select("conv_id", "role", (F.col("turn") + 1).alias("revision"))
+    return records.chain_violations(c, ["conv_id", "role"])
+
+
 @register("immutable_fields", with_sql(EVIDENCE_SQL) + """
 , firsts AS (SELECT evidence_id, stance AS s1, quality AS q1 FROM evidence WHERE revision = 1)
 SELECT evidence_id, revision, (stance <> s1)::INT AS stance_changed, (quality <> q1)::INT AS quality_changed
