@@ -78,7 +78,6 @@ NEEDS = {
 JOURNALED = ("request_intent_recorded", "request_result_recorded", "request_retry_scheduled", "request_retry_started")
 #: What a fact tells of its event; its sequence number comes with it.
 FACT = ("a", "b", "c", "d", "e", "n", "m")
-NO_FACT = "struct<seq:bigint,a:string,b:string,c:string,d:string,e:string,n:bigint,m:bigint>"
 
 
 def p(field: str) -> Column:
@@ -216,7 +215,7 @@ def _asks(events: DataFrame) -> DataFrame:
 
     requests = [x for kind in JOURNALED for x in (ask(kind, "attempt", "attempt", p("attemptId")), ask(kind, "journal", "journal", _pair(p("attemptId"), p("journalEntrySha256"))))]
     each = [
-        held("identity_reserved", "", F.lit(None)), ask("identity_reserved", "reserved", "reserved", _pair(p("kind"), p("id"))),
+        ask("identity_reserved", "reserved", "reserved", _pair(p("kind"), p("id"))),
         held("dispatch_intent", "attempt", p("attempt.attemptId")), ask("dispatch_intent", "own", "attempt", p("attempt.attemptId")),
         ask("dispatch_intent", "owner", "owner", p("attempt.attemptId")), ask("dispatch_intent", "started", "started", p("attempt.attemptId")),
         ask("dispatch_intent", "operation", "operation", p("attempt.logicalOperationId")),
