@@ -19,6 +19,12 @@ TRACE_CODES = {
 PROVIDER_CODES = {
     "availability": "provider.availability", "http-retryable": "provider.availability", "terminal-provider": "provider.terminal", "http-terminal": "provider.terminal",
     "cancelled": "provider.cancelled", "deadline-exceeded": "provider.deadline-exceeded", "invalid-response": "provider.invalid-response", "security-policy": "provider.security-policy"}
+# All codes with which a transport fails.
+TRANSPORT_CODES = (
+    "network.dns-empty", "network.dns-nxdomain", "network.dns-temporary", "network.dns-unsafe", "transport.cancelled", "transport.deadline-exceeded", "transport.connect-timeout", "transport.connect-failed",
+    "transport.tls-failed", "transport.peer-unavailable", "transport.peer-mismatch", "transport.redirect-invalid", "transport.too-many-redirects", "transport.too-many-headers", "transport.headers-too-large",
+    "transport.framing-invalid", "transport.protocol-invalid", "transport.encoded-too-large", "transport.too-many-encoding-layers", "transport.unsupported-encoding", "transport.decompression-failed",
+    "transport.decompression-ratio", "transport.decoded-too-large", "transport.invalid-utf8", "transport.json-root-invalid", "transport.http-retryable", "transport.http-terminal")
 MOST_PROVIDERS = 64
 
 

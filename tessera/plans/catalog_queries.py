@@ -56,11 +56,12 @@ def shared_query_quota(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("failure_codes", """
-SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'availability' WHEN 2 THEN 'availability' WHEN 3 THEN 'terminal-provider' WHEN 4 THEN 'http-retryable' WHEN 5 THEN 'invalid-response' WHEN 6 THEN 'security-policy' WHEN 7 THEN 'deadline-exceeded' ELSE 'success' END AS trace,
-  CASE event_id % 8 WHEN 1 THEN 'provider.availability' WHEN 2 THEN 'provider.availability' WHEN 3 THEN 'provider.terminal' WHEN 4 THEN 'provider.availability' WHEN 5 THEN 'provider.invalid-response' WHEN 6 THEN 'provider.security-policy' WHEN 7 THEN 'provider.deadline-exceeded' END AS outcome FROM events""")
+WITH t AS (SELECT event_id, CASE WHEN k IN (1, 3, 7, 8) THEN 'availability' WHEN k = 2 THEN 'terminal-provider' WHEN k = 5 THEN 'cancelled' WHEN k = 6 THEN 'deadline-exceeded' WHEN k = 25 THEN 'invalid-response'
+    WHEN k = 26 THEN 'http-retryable' WHEN k = 27 THEN 'http-terminal' WHEN k = 0 THEN 'success' ELSE 'security-policy' END AS trace FROM (SELECT event_id, event_id % 28 AS k FROM events))
+SELECT event_id, trace, CASE trace WHEN 'success' THEN NULL WHEN 'http-retryable' THEN 'provider.availability' WHEN 'terminal-provider' THEN 'provider.terminal' WHEN 'http-terminal' THEN 'provider.terminal' ELSE 'provider.' || trace END AS outcome FROM t""")
 def failure_codes(spark: SparkSession, sf: str) -> DataFrame:
-    codes = (None, "network.dns-empty", "transport.connect-timeout", "network.dns-nxdomain", "transport.http-retryable", "transport.json-root-invalid", "transport.tls-failed", "transport.deadline-exceeded")
-    code = F.element_at(F.array(*[F.lit(c).cast("string") for c in codes]), (F.col("event_id") % 8 + 1).cast("int"))
+    """Each event settles with one of all the codes, or without."""
+    code = F.element_at(F.array(*[F.lit(c).cast("string") for c in (None, *search.TRANSPORT_CODES)]), (F.col("event_id") % 28 + 1).cast("int"))
     return A.table(spark, sf, "events").select("event_id", search.trace_code(code).alias("trace"), search.provider_code(code).alias("outcome"))
 
 
