@@ -366,7 +366,7 @@ def crossref_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("openalex_candidates", """
-SELECT 'https://openalex.org/W' || p_partkey AS record_id, '10.1234/part' || p_partkey AS doi, CASE WHEN p_size % 2 = 0 THEN p_partkey::VARCHAR END AS pmid, p_name AS title,
+SELECT 'https://openalex.org/W' || p_partkey AS record_id, '10.1234/part' || p_partkey AS doi, CASE WHEN p_size % 2 = 0 THEN (100 + p_partkey)::VARCHAR END AS pmid, p_name AS title,
   CASE WHEN p_size % 3 = 0 THEN 'https://h.org/' || p_partkey ELSE 'https://doi.org/10.1234/part' || p_partkey END AS url, CASE WHEN p_size % 5 = 0 THEN 'journal-article' WHEN p_size % 5 = 1 THEN 'review' ELSE 'other' END AS publication_type,
   CASE WHEN p_size % 7 = 0 THEN '2019' ELSE '2020-03-04' END AS published, CASE WHEN p_size % 4 = 0 THEN 'abstract-only' ELSE 'metadata-only' END AS access_level FROM part WHERE p_size % 11 <> 0""")
 def openalex_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,7 +375,7 @@ def openalex_candidates(spark: SparkSession, sf: str) -> DataFrame:
     page = F.when(k % 3 == 0, F.concat(F.lit("https://h.org/"), n))
     work = F.struct(
         F.when(k % 11 == 0, n).otherwise(F.concat(F.lit("https://openalex.org/W"), n)).alias("id"), F.concat(F.lit("https://doi.org/10.1234/PART"), n).alias("doi"),
-        F.struct(F.when(k % 2 == 0, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), n)).alias("pmid")).alias("ids"), F.col("p_name").alias("display_name"),
+        F.struct(F.when(k % 2 == 0, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), (F.col("p_partkey") + 100).cast("string"))).alias("pmid")).alias("ids"), F.col("p_name").alias("display_name"),
         F.when(k % 5 == 0, "article").when(k % 5 == 1, "review").otherwise("letter").alias("type"), F.when(k % 7 != 0, "2020-03-04").alias("publication_date"), F.lit(2019).alias("publication_year"),
         F.struct(page.alias("landing_page_url")).alias("primary_location"), F.when(k % 4 == 0, F.create_map(F.lit("said"), F.array(F.lit(0), F.lit(2)), F.lit("was"), F.array(F.lit(1)))).alias("abstract_inverted_index"))
     payload = F.to_json(F.struct(F.array(work).alias("results")))
