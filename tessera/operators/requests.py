@@ -74,16 +74,22 @@ def journal_issues(intents: DataFrame, results: DataFrame, schedules: DataFrame,
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).filter("code is not null")
 
 
-def provenance_links(sources: DataFrame, requests: DataFrame) -> DataFrame:
+def provenance_links(sources: DataFrame, requests: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Rows (source_id, request_id, linked) of sources (source_id, url, retrieval_request_ids, policy_sha256).
 
     A source and a request (request_id, status, result_source_ids, access_policy_sha256) are linked if
     each names the other and the request succeeded, at least in part; for an http URL both must
-    have been made under one access policy.
+    have been made under one access policy.  Requests that share their results have a ``result_set``
+    instead of result_source_ids, and ``named`` (result_set, source_id) tells each set once.  No
+    list of results goes with a request through a join.
     """
+    if named is None:
+        named = requests.select(F.col("request_id").alias("result_set"), F.explode("result_source_ids").alias("source_id"))
+        requests = requests.drop("result_source_ids").withColumn("result_set", F.col("request_id"))
     each = sources.select("source_id", "url", "policy_sha256", F.explode("retrieval_request_ids").alias("request_id"))
-    both = each.join(requests, "request_id", "left")
-    names = F.array_contains("result_source_ids", F.col("source_id")) & F.col("status").isin("success", "partial")
+    told = named.select("result_set", "source_id").distinct().withColumn("names", F.lit(True))
+    both = each.join(requests, "request_id", "left").join(told, ["result_set", "source_id"], "left")
+    names = F.col("names") & F.col("status").isin("success", "partial")
     http = ~F.col("url").startswith("http:") | (F.col("access_policy_sha256") == F.col("policy_sha256"))
     return both.select("source_id", "request_id", F.coalesce(names & http, F.lit(False)).alias("linked"))
 

@@ -314,11 +314,11 @@ def request_provenance(spark: SparkSession, sf: str) -> DataFrame:
     """Parts are requests that name the suppliers of their last digit; http suppliers need the policy of even sizes."""
     li = A.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("source_id")).agg(F.collect_set("l_partkey").alias("retrieval_request_ids"))
     s = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_nationkey") % 2 == 0, "https://h/").otherwise("http://h/").alias("url"), F.lit("even").alias("policy_sha256"))
-    named = A.table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 10).alias("digit")).agg(F.collect_list("s_suppkey").alias("result_source_ids"))
+    named = A.table(spark, sf, "supplier").select((F.col("s_suppkey") % 10).alias("result_set"), F.col("s_suppkey").alias("source_id"))
     p = A.table(spark, sf, "part").select(
-        F.col("p_partkey").alias("request_id"), (F.col("p_partkey") % 10).alias("digit"), F.when(F.col("p_size") % 3 == 0, "terminal-error").when(F.col("p_size") % 3 == 1, "success").otherwise("partial").alias("status"),
+        F.col("p_partkey").alias("request_id"), (F.col("p_partkey") % 10).alias("result_set"), F.when(F.col("p_size") % 3 == 0, "terminal-error").when(F.col("p_size") % 3 == 1, "success").otherwise("partial").alias("status"),
         F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("access_policy_sha256"))
-    return requests.provenance_links(s.join(li, "source_id"), p.join(named, "digit", "left").drop("digit"))
+    return requests.provenance_links(s.join(li, "source_id"), p, named)
 
 
 @register("request_records", "SELECT event_id AS request_id, 'transaction.invalid-reference' AS code FROM events WHERE event_type = 'error' OR props IS NULL OR value > 40")
