@@ -26,47 +26,58 @@ def _located() -> Column:
     return F.exists("locators", lambda p: (p["type"] != "unknown") & ~blank(p["value"]))
 
 
+def _told() -> dict[str, Column]:
+    """What the rules read of an evidence record's own lists, so that these need not go through joins."""
+    quotes, values = F.coalesce(F.size("quotes"), F.lit(0)), F.coalesce(F.size("extracted_values"), F.lit(0))
+    context = F.exists("extracted_values", lambda v: ~blank(v["value"]) & ~blank(v["context"]))
+    quoted = F.exists("quotes", lambda q: ~blank(q)) & _located()
+    return {
+        "_stated": ((quotes > 0) | (values > 0)) & _numbers_explained(), "_placed": (quotes == 0) | _located(), "_result": (context | quoted) & _numbers_explained(),
+        "_by_method": ~blank(F.col("method")) & (F.col("source_id").isNotNull() | F.exists("extracted_values", lambda v: ~blank(v["context"])))}
+
+
 def qualifies_retrieved() -> Column:
     """Source known; a quote or a value; numbers with context and unit; located quotes unless only metadata was read."""
-    quotes, values = F.coalesce(F.size("quotes"), F.lit(0)), F.coalesce(F.size("extracted_values"), F.lit(0))
-    placed = (quotes == 0) | (F.col("access_level") == "metadata-only") | _located()
-    return F.coalesce(F.col("source_known") & ((quotes > 0) | (values > 0)) & _numbers_explained() & placed, F.lit(False))
+    return F.coalesce(F.col("source_known") & F.col("_stated") & (F.col("_placed") | (F.col("access_level") == "metadata-only")), F.lit(False))
 
 
 def qualifies_derived() -> Column:
     """A result with context, numbers explained, and a method or a valid calculation behind it."""
-    context = F.exists("extracted_values", lambda v: ~blank(v["value"]) & ~blank(v["context"]))
-    quoted = F.exists("quotes", lambda q: ~blank(q)) & _located()
-    method = ~blank(F.col("method")) & (F.col("source_id").isNotNull() | F.exists("extracted_values", lambda v: ~blank(v["context"])))
-    return F.coalesce((context | quoted) & _numbers_explained() & (method | F.col("calculation_valid")), F.lit(False))
+    return F.coalesce(F.col("_result") & (F.col("_by_method") | F.col("calculation_valid")), F.lit(False))
 
 
-def valid_calculation(evidence_attempt: Column) -> Column:
-    """Same attempt, success with exit code 0, something read and written, unique paths, sizes, 64-digit hashes."""
+def sound_calculation() -> Column:
+    """Success with exit code 0, something read and written, unique paths, sizes, 64-digit hashes."""
     files = F.concat("inputs", "source_files", "outputs")
     unique = F.size(F.array_distinct(F.transform(files, lambda f: f["relative_path"]))) == F.size(files)
     sound = F.forall(files, lambda f: f["sha256"].rlike("^[0-9a-f]{64}$") & f["decoded_bytes"].between(0, 2**53 - 1))
     return F.coalesce(
-        (F.col("attempt_id") == evidence_attempt) & (F.col("status") == "success") & (F.col("exit_code") == 0)
+        (F.col("status") == "success") & (F.col("exit_code") == 0)
         & (F.size("inputs") + F.size("source_files") > 0) & (F.size("outputs") > 0) & unique & sound, F.lit(False))
 
 
+#: Parts into which evidence without a calculation is dealt, as null keys would meet in one task.
+NULL_PARTS = 4096
+
+
 def qualify(evidence: DataFrame, sources: DataFrame, calculations: DataFrame) -> DataFrame:
     """Adds qualified, relation, tokens, unknown_lineage, access_level and derived_key to evidence records.
 
     ``evidence``: evidence_id, revision, claim_id, claim_revision, evidence_type, source_id,
     source_revision, calculation_id, stance, verification_status, quality, quotes, locators,
     extracted_values, method, recorded_by.  ``sources``: source_id, revision, access_level, study,
-    cohorts, datasets, relation (its component's smallest source).  ``calculations``: as
-    ``valid_calculation`` reads them.
+    cohorts, datasets, relation (its component's smallest source).  ``calculations``:
+    calculation_id, attempt_id (the evidence's, if valid) and as ``sound_calculation`` reads them.
     """
     some = lambda kind, c: F.transform(F.filter(c, lambda x: x != ""), lambda x: F.concat(F.lit(f"{kind}:"), x))
     s = sources.select(
         F.col("source_id").alias("sid"), F.col("revision").alias("srev"), "access_level", "study", F.col("relation").cast("string").alias("relation"),
         F.concat(F.array(F.concat(F.lit("study:"), "study")), some("cohort", "cohorts"), some("dataset", "datasets")).alias("tokens"))
-    c = calculations.select(F.col("calculation_id").alias("cid"), "attempt_id", "status", "exit_code", "inputs", "source_files", "outputs")
-    out = evidence.join(s, (F.col("source_id") == F.col("sid")) & (F.col("source_revision") == F.col("srev")), "left")
-    out = out.join(c, F.col("calculation_id") == F.col("cid"), "left").withColumn("calculation_valid", valid_calculation(F.col("recorded_by"))).withColumn("source_known", F.col("sid").isNotNull())
+    c = calculations.select(F.col("calculation_id").alias("cid"), "attempt_id", sound_calculation().alias("sound"), F.lit(0).alias("cpart"))
+    out = evidence.withColumns(_told()).withColumn("_part", F.when(F.col("calculation_id").isNull(), F.pmod(F.xxhash64("evidence_id", "revision"), F.lit(NULL_PARTS)).cast("int")).otherwise(0))
+    out = out.join(c, (F.col("calculation_id") == F.col("cid")) & (F.col("_part") == F.col("cpart")), "left")
+    out = out.withColumn("calculation_valid", F.coalesce((F.col("attempt_id") == F.col("recorded_by")) & F.col("sound"), F.lit(False)))
+    out = out.join(s, (F.col("source_id") == F.col("sid")) & (F.col("source_revision") == F.col("srev")), "left").withColumn("source_known", F.col("sid").isNotNull())
     retrieved = F.col("evidence_type") == "retrieved"
     key = F.when(F.col("calculation_valid"), F.concat(F.lit("derived-calculation:"), "calculation_id")).otherwise(F.concat(F.lit("derived-method:"), "evidence_id"))
     return out.select(
@@ -192,55 +203,60 @@ def evaluate(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, c
     """
     refs = claims.select("claim_id", F.col("revision").alias("claim_revision"), F.explode(F.array_distinct("evidence_refs")).alias("ref"))
     refs = refs.select("claim_id", "claim_revision", F.col("ref.id").alias("evidence_id"), F.col("ref.revision").alias("revision"))
+    checked = applicable_verifications(verifications).filter("result = 'accepted'").drop("revision")
+    checked = checked.select("verification_id", "checked_evidence", "method", "attempt_id", "independent_evidence_ids", "corrections", F.col("claim.id").alias("claim_id"), F.col("claim.revision").alias("revision"))
+    offers = checked.filter(F.col("method").isin(*INDEPENDENT)).withColumn("id", F.explode("independent_evidence_ids"))
+    offers = offers.withColumn("same", F.filter("checked_evidence", lambda r: r["id"] == F.col("id"))).filter("size(same) = 1")
+    offers = offers.select("claim_id", F.col("revision").alias("claim_revision"), F.col("id").alias("evidence_id"), F.col("same")[0]["revision"].alias("revision"), F.col("attempt_id").alias("by"))
+
+    # evidence is read once, with what claims cite and verifications offer of it
+    keys = ["claim_id", "claim_revision", "evidence_id", "revision"]
+    marks = refs.withColumn("cited", F.lit(True)).unionByName(offers.withColumn("cited", F.lit(False)), allowMissingColumns=True)
+    marks = marks.groupBy(*keys).agg(F.bool_or("cited").alias("cited"), F.collect_set("by").alias("offered_by"))
     live = (F.col("stance") == "supporting") & F.col("verification_status").isin(*LIVE) & F.col("qualified")
-    good = evidence.filter(live).join(refs, ["claim_id", "claim_revision", "evidence_id", "revision"], "left_semi")
-    retrieved = F.col("evidence_type") == "retrieved"
+    cited, retrieved = F.col("cited"), F.col("evidence_type") == "retrieved"
+    good = evidence.filter(live).join(marks, keys).withColumn("offered", F.exists("offered_by", lambda x: x == F.col("recorded_by"))).filter(cited | F.col("offered"))
     facts = good.groupBy("claim_id", F.col("claim_revision").alias("revision")).agg(
-        F.count("*").alias("qualifying"), F.collect_list(F.when(retrieved & ~F.col("unknown_lineage"), F.struct("relation", "tokens"))).alias("items"),
-        F.collect_set("derived_key").alias("derived_keys"), F.coalesce(F.bool_or(retrieved & F.col("quality").isin(*PRIMARY)), F.lit(False)).alias("has_primary"),
-        F.coalesce(F.bool_or(retrieved & (F.col("access_level") != "full-text")), F.lit(False)).alias("lacks_full_text"),
-        F.bool_or("unknown_lineage").alias("unknown_lineage"), F.collect_set("recorded_by").alias("recorders"),
-        F.collect_list(F.struct(F.col("evidence_id").alias("id"), F.col("revision"))).alias("used"))
+        F.count_if(cited).alias("qualifying"), F.collect_list(F.when(cited & retrieved & ~F.col("unknown_lineage"), F.struct("relation", "tokens"))).alias("items"),
+        F.collect_set(F.when(cited, F.col("derived_key"))).alias("derived_keys"), F.coalesce(F.bool_or(cited & retrieved & F.col("quality").isin(*PRIMARY)), F.lit(False)).alias("has_primary"),
+        F.coalesce(F.bool_or(cited & retrieved & (F.col("access_level") != "full-text")), F.lit(False)).alias("lacks_full_text"),
+        F.bool_or(cited & F.col("unknown_lineage")).alias("unknown_lineage"), F.collect_set(F.when(cited, F.col("recorded_by"))).alias("recorders"),
+        F.collect_list(F.when(cited, F.struct(F.col("evidence_id").alias("id"), F.col("revision")))).alias("used"),
+        F.collect_set(F.when(F.col("offered"), F.struct("recorded_by", "evidence_type", "unknown_lineage", "relation", "tokens", "derived_key"))).alias("offered"))
     against = contradictions.groupBy("claim_id").agg(
         F.collect_set(F.struct(F.col("evidence_id").alias("id"), F.col("revision"))).alias("against"), F.bool_and("rejected").alias("all_rejected"))
     none = lambda c, of: F.coalesce(c, F.expr(f"cast(array() as array<{of}>)"))
     ref_type = evidence.select(F.struct(F.col("evidence_id").alias("id"), "revision").alias("r")).schema["r"].dataType.simpleString()
-    out = claims.join(facts, ["claim_id", "revision"], "left").join(against, "claim_id", "left")
+    given = ["status", "kind", "minimum", "independent_allowed", "primary_required", "full_text_required"]
+    out = claims.select("claim_id", "revision", "created_by", *given).withColumn("row", F.monotonically_increasing_id()).join(facts, ["claim_id", "revision"], "left").join(against, "claim_id", "left")
     out = out.na.fill(0, ["qualifying"]).na.fill(False, ["has_primary", "lacks_full_text", "unknown_lineage"]).withColumns({
         "components": local_components(none(F.col("items"), "struct<relation: string, tokens: array<string>>")), "derived_keys": none(F.col("derived_keys"), "string"),
         "recorders": none(F.col("recorders"), claims.schema["created_by"].dataType.simpleString()), "used": none(F.col("used"), ref_type), "against": none(F.col("against"), ref_type)})
     out = out.withColumns({
         "retrieved": F.size("components"), "derived": F.size("derived_keys"), "contradicting": F.size("against"),
-        "seen": F.flatten(F.transform("components", lambda g: g["tokens"])),
+        "seen": F.flatten(F.transform("components", lambda g: g["tokens"])), "keys": F.transform("components", lambda g: g["key"]),
         "base_attempts": F.array_union("recorders", F.array("created_by"))})
 
-    checked = applicable_verifications(verifications).filter("result = 'accepted'").drop("revision")
-    checked = checked.select("verification_id", "checked_evidence", "method", "attempt_id", "independent_evidence_ids", "corrections", F.col("claim.id").alias("claim_id"), F.col("claim.revision").alias("revision"))
-    base = out.select("claim_id", "revision", "status", "base_attempts", "used", "against", "all_rejected", "seen", "components", "derived_keys")
-    checked = checked.join(base, ["claim_id", "revision"]).filter(~F.array_contains("base_attempts", F.col("attempt_id")))
+    def fresh(o: Column) -> Column:
+        strange = ~o["unknown_lineage"] & ~F.arrays_overlap(F.concat(o["tokens"], F.array(F.concat(F.lit("relation:"), o["relation"]))), F.col("seen")) & ~F.array_contains("keys", o["relation"])
+        own = F.when(o["evidence_type"] == "retrieved", strange).otherwise(~F.array_contains("derived_keys", o["derived_key"]))
+        return ~F.array_contains("base_attempts", o["recorded_by"]) & own
+
+    out = out.withColumn("credit", F.coalesce(F.exists("offered", fresh), F.lit(False)).cast("int"))
 
+    # a claim's row meets its verifications and is one row again
     corrected = F.exists("corrections", lambda c: (c["claim_id"] == F.col("claim_id")) & ~blank(c["description"]))
+    mends = checked.filter(corrected).select("claim_id", "revision", F.col("attempt_id").alias("by"), "checked_evidence")
     whole = F.size(F.array_except(F.array_union("used", "against"), "checked_evidence")) == 0
-    settled = checked.groupBy("claim_id", "revision").agg(F.bool_or((F.col("status") == "supported") & corrected & whole & F.coalesce("all_rejected", F.lit(True))).alias("conflict_resolved"))
-
-    offered = checked.filter(F.col("method").isin(*INDEPENDENT)).withColumn("id", F.explode("independent_evidence_ids"))
-    offered = offered.withColumn("same", F.filter("checked_evidence", lambda r: r["id"] == F.col("id"))).filter("size(same) = 1")
-    offered = offered.select(
-        "claim_id", F.col("revision").alias("claim_revision"), F.col("id").alias("evidence_id"), F.col("same")[0]["revision"].alias("revision"), F.col("attempt_id").alias("recorded_by"), "seen",
-        F.transform("components", lambda g: g["key"]).alias("keys"), F.col("derived_keys").alias("known_keys"))
-    met = evidence.filter(live).join(offered, ["claim_id", "claim_revision", "evidence_id", "revision", "recorded_by"])
-    fresh = (
-        F.when(F.col("evidence_type") == "retrieved", ~F.col("unknown_lineage") & ~F.arrays_overlap(F.concat("tokens", F.array(F.concat(F.lit("relation:"), "relation"))), F.col("seen")) & ~F.array_contains("keys", F.col("relation")))
-        .otherwise(~F.array_contains("known_keys", F.col("derived_key"))))
-    credits = met.filter(fresh).select("claim_id", F.col("claim_revision").alias("revision")).distinct().withColumn("credit", F.lit(1))
-
-    out = out.join(settled, ["claim_id", "revision"], "left").join(credits, ["claim_id", "revision"], "left")
+    settled = (F.col("status") == "supported") & ~F.array_contains("base_attempts", F.col("by")) & whole & F.coalesce("all_rejected", F.lit(True))
+    plain = [*given, "qualifying", "has_primary", "lacks_full_text", "unknown_lineage", "retrieved", "derived", "contradicting", "credit"]
+    out = out.join(mends, ["claim_id", "revision"], "left").select("claim_id", "revision", "row", *plain, F.coalesce(settled, F.lit(False)).alias("conflict_resolved"))
+    out = out.groupBy("claim_id", "revision", "row").agg(*[F.first(c).alias(c) for c in plain], F.bool_or("conflict_resolved").alias("conflict_resolved"))
     rival = conflict_claims.select("claim_id").distinct().withColumn("rival", F.lit(True)) if conflict_claims is not None else None
     out = out.join(rival, "claim_id", "left") if rival is not None else out.withColumn("rival", F.lit(False))
     least = F.when(F.col("kind") == "externally-verifiable-fact", 1).otherwise(0)
     out = out.withColumns({
-        "credit": F.when(F.col("independent_allowed"), F.coalesce("credit", F.lit(0))).otherwise(0), "resolved": F.col("retrieved") + F.col("derived"),
-        "effective_minimum": F.greatest(least, F.col("minimum")), "in_conflict": (F.col("contradicting") > 0) | F.coalesce("rival", F.lit(False)),
-        "conflict_resolved": F.coalesce("conflict_resolved", F.lit(False))})
+        "credit": F.when(F.col("independent_allowed"), F.col("credit")).otherwise(0), "resolved": F.col("retrieved") + F.col("derived"),
+        "effective_minimum": F.greatest(least, F.col("minimum")), "in_conflict": (F.col("contradicting") > 0) | F.coalesce("rival", F.lit(False))})
     out = out.withColumn("blockers", blockers())
     return out.select("claim_id", "revision", "qualifying", "retrieved", "derived", "resolved", "credit", "effective_minimum", "contradicting", "conflict_resolved", "blockers", (F.size("blockers") == 0).alias("passes"))

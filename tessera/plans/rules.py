@@ -49,7 +49,9 @@ d AS (
 
 def _admission(spark: SparkSession, sf: str) -> DataFrame:
     li = A.table(spark, sf, "lineitem")
-    rev = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy(*A.EVIDENCE_ORDER)).cast("long")
+    # numbered first and described then, so that all uses share one shuffle of the plain lines
+    li = li.withColumn("rev", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy(*A.EVIDENCE_ORDER)).cast("long"))
+    rev = F.col("rev")
     n, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     derived = n % 7 == 6
     empty = "cast(array() as array<string>)"
@@ -76,15 +78,16 @@ def _admission(spark: SparkSession, sf: str) -> DataFrame:
     found = gate.qualify(e, s, c)
     ref = F.struct(F.col("evidence_id").alias("id"), "revision")
     # A claim cites all its evidence but the first, which only its verification has found.
-    refs = e.groupBy("claim_id").agg(F.collect_list(F.when(F.col("evidence_id") % 8 > 1, ref)).alias("evidence_refs"), F.collect_list(ref).alias("all_refs"))
+    refs = e.groupBy("claim_id").agg(F.collect_list(ref).alias("all_refs"))
     claims = A.claims(spark, sf).withColumn("revision", F.lit(1).cast("long")).withColumn("created_by", F.lit(-1).cast("long")).join(refs, "claim_id", "left")
+    claims = claims.withColumn("evidence_refs", F.filter("all_refs", lambda r: r["id"] % 8 > 1))
     one = F.lit(1).cast("long")
     all_refs = F.coalesce("all_refs", F.expr("cast(array() as array<struct<id: bigint, revision: bigint>>)"))
     v = claims.select(
         F.concat(F.lit("v"), F.col("claim_id").cast("string")).alias("verification_id"), F.lit(1).alias("revision"), F.array(F.struct(F.col("claim_id").alias("id"), one.alias("revision"))).alias("checked_claims"),
         all_refs.alias("checked_evidence"), F.when(F.col("claim_id") % 4 == 0, "accepted").otherwise("inconclusive").alias("result"), F.lit("mixed").alias("method"), (F.col("claim_id") % 10).alias("attempt_id"),
         F.array(F.col("claim_id") * 8 + 1).alias("independent_evidence_ids"), F.array(F.struct(F.col("claim_id"), F.lit("mended").alias("description"))).alias("corrections"))
-    contra = found.filter("stance = 'contradicting'").select("claim_id", "evidence_id", "revision", (F.col("verification_status") == "rejected").alias("rejected"))
+    contra = e.filter("stance = 'contradicting'").select("claim_id", "evidence_id", "revision", (F.col("verification_status") == "rejected").alias("rejected"))
     return gate.evaluate(claims.drop("all_refs"), found, v, contra)
 
 

@@ -34,3 +34,12 @@ def test_shared_results_are_told_once(spark, small):
     assert {tuple(x) for x in shared.collect()} == {tuple(x) for x in listed.collect()} == want
     # no request carries the list of its results
     assert "result_source_ids" not in plan_of(registry.queries()["request_provenance"](spark, small))
+
+
+def test_lines_are_numbered_once(spark, small):
+    plan = registry.queries()["gate_admission"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    # the windows that number lines read the plain lines only, and calculations meet evidence without their files
+    windows = [x for x in plan.split("\n") if "Window [row_number()" in x and "l_orderkey" in x]
+    assert windows and all("l_shipdate" in x for x in windows)
+    joins = [x for x in plan.split("\n") if "Join LeftOuter" in x and "calculation_id" in x]
+    assert len(joins) == 1
