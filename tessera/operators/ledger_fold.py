@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators.retry import CHECKPOINTS, RUN_MOVES, TASK_MOVES, allowed
-from tessera.plans.cut import cut
+from tessera.plans.cut import cut, stored
 
 EVENT = "run_id string, seq bigint, type string, payload string"
 #: Sequence numbers of a chunk of the prefix scans.
@@ -119,7 +119,7 @@ def _cases(cases: dict[str, Column]) -> Column:
 
 def parsed(events: DataFrame) -> DataFrame:
     """Rows (run_id, seq, type, p) with the payload's fields, parsed once."""
-    return cut(events.select("run_id", F.col("seq").cast("long").alias("seq"), "type", F.from_json(F.col("payload").cast("string"), PAYLOAD).alias("p")))
+    return stored(events.select("run_id", F.col("seq").cast("long").alias("seq"), "type", F.from_json(F.col("payload").cast("string"), PAYLOAD).alias("p")))
 
 
 def with_run(events: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _facts(events: DataFrame) -> DataFrame:
     owners = events.filter(_is("task_upserted")).select("run_id", F.lit("owner").alias("space"), F.explode("p.task.attemptIds").alias("key"), owner.alias("fact"))
     every = told.unionByName(owners)
     # stored, so that a join with many rows of one key can be split
-    return cut(every.groupBy("run_id", "space", "key").agg(F.min_by("fact", "fact.seq").alias("fact")))
+    return stored(every.groupBy("run_id", "space", "key").agg(F.min_by("fact", "fact.seq").alias("fact")))
 
 
 def _asks(events: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def with_facts(events: DataFrame, facts: DataFrame) -> DataFrame:
     # of a task's attempts: the first that is not reserved, the first of another task, and whether one is committed
     task = F.col("p.task.taskId")
     listed = F.collect_list(F.when(F.col("slot").startswith("task_"), F.struct("at", "slot", F.col("fact.seq").alias("seq"), F.col("fact.a").alias("a"))))
-    both = met.groupBy("run_id", "seq").agg(*found, listed.alias("listed"))
+    both = stored(met.groupBy("run_id", "seq").agg(*found, listed.alias("listed")))
     out = events.alias("e").join(both.alias("l"), F.col("e.run_id").eqNullSafe(F.col("l.run_id")) & (F.col("e.seq") == F.col("l.seq")), "left")
     free = F.array_min(F.transform(F.filter("listed", lambda x: (x["slot"] == "task_reserved") & x["seq"].isNull()), lambda x: x["at"]))
     alien = F.array_min(F.transform(F.filter("listed", lambda x: (x["slot"] == "task_owner") & (x["a"] != task)), lambda x: x["at"]))
@@ -268,8 +268,8 @@ def with_facts(events: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _once(df: DataFrame, slots: list[str], out: str) -> DataFrame:
-    """One row (run_id, seq, out) an event from rows of its asked keys."""
-    return df.groupBy("run_id", "seq").agg(F.struct(*[F.any_value(s, True).alias(s) for s in slots]).alias(out))
+    """One row (run_id, seq, out) an event from rows of its asked keys; stored, so that their shuffles go before events are met."""
+    return stored(df.groupBy("run_id", "seq").agg(F.struct(*[F.any_value(s, True).alias(s) for s in slots]).alias(out)))
 
 
 def _meet(events: DataFrame, told: DataFrame, out: str) -> DataFrame:
@@ -464,16 +464,16 @@ def _rules() -> dict[str, list[tuple[Column, str]]]:
 
 def judged(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (run_id, seq, type, p, r, late, start, code) of all events, and the facts; a code says what would be wrong if all before was right."""
-    runs = cut(with_run(parsed(events)))
+    runs = stored(with_run(parsed(events)))
     facts = _facts(runs)
-    known = cut(with_facts(runs, facts))
-    full = with_phases(cut(with_attempts(known)))
+    known = stored(with_facts(runs, facts))
+    full = with_phases(stored(with_attempts(known)))
     codes = {kind: F.coalesce(*[F.when(broken, F.lit(f"reducer.{code}")) for broken, code in rules]) for kind, rules in _rules().items()}
     lacks = {kind: reduce(lambda x, y: x | y, [p(n).isNull() for n in names]) for kind, names in NEEDS.items() if names}
     code = (
         F.when(no(F.col("seq") == F.coalesce(F.col("r.prev"), F.lit(0)) + 1), "reducer.sequence").when(no(_is(*NEEDS)), "reducer.unknown-type")
         .when(F.col("p").isNull() | yes(_cases(lacks)), "reducer.payload").otherwise(_cases(codes)))
-    return cut(full.select("run_id", "seq", "type", "p", "r", "late", code.alias("code"))), facts
+    return stored(full.select("run_id", "seq", "type", "p", "r", "late", code.alias("code"))), facts
 
 
 def fold(events: DataFrame) -> DataFrame:

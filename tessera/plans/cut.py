@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Session setting by which Spark removes an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  A local master without one gets a
-    temporary folder, as in tests; a cluster without one is an error, since a machine-local
-    folder would be lost with its executor.  What has been stored needs its shuffle files no
-    longer, so they go with the execution rather than when the driver collects its garbage.
-    """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
@@ -26,9 +22,39 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def _without_shuffles(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+
+    The folder is the session's ``spark.checkpoint.dir``.  A local master without one gets a
+    temporary folder, as in tests; a cluster without one is an error, since a machine-local
+    folder would be lost with its executor.  What has been stored needs its shuffle files no
+    longer, so they go with the execution rather than when the driver collects its garbage.
+    """
+    _shared_folder(df.sparkSession)
+    with _without_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same cut as Parquet files, for wide rows of which each fills a few fields only.
+
+    A checkpoint holds such rows at their full width; a column of nulls takes no room here.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    with _without_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
-
 from tessera import registry
-from tessera.operators import requests
+from tessera.operators import ledger_fold, requests
+from tessera.plans.cut import stored
 
 
 def plan_of(df):
@@ -43,3 +42,12 @@ def test_lines_are_numbered_once(spark, small):
     assert windows and all("l_shipdate" in x for x in windows)
     joins = [x for x in plan.split("\n") if "Join LeftOuter" in x and "calculation_id" in x]
     assert len(joins) == 1
+
+
+def test_wide_log_rows_are_stored_by_column(spark):
+    lines = [("r", i + 1, "budget_amended", "{}") if i else ("r", 1, "run_created", '{"run": {"runId": "r", "executionEpoch": 0, "state": "created"}}') for i in range(50)]
+    told, _ = ledger_fold.judged(spark.createDataFrame(lines, ledger_fold.EVENT))
+    assert all(x.endswith(".parquet") for x in told.inputFiles()) and told.inputFiles()
+    assert [r["code"] for r in told.collect()] == [None] * 50
+    odd = spark.sql("select * from values (named_struct('a', null, 'b', array('x', null))), (null), (named_struct('a', named_struct('c', cast(null as int)), 'b', null)) t(p)")
+    assert stored(odd).schema == odd.schema and sorted(map(str, stored(odd).collect())) == sorted(map(str, odd.collect()))
