@@ -123,8 +123,9 @@ def groups(prints: DataFrame, radius: int = 4, segments: int | None = None) -> D
 
 
 # Near copies by exact similarity: shared shingles and fingerprints propose, shingle sets decide.
-SAMPLE = 5_000  # texts whose shingles are counted to put the common ones last
-MOST_COMMON = 100_000
+LEVEL_BITS, BLOCK_BITS = 24, 14  # of a shingle's hash: how common it is; places of one block of levels
+COUNTED = 1 << 18  # shingles that are counted at once
+ROWS = 1 << 10  # texts whose sets are held at once
 CELLS = 256
 BROADCAST_PAIRS = 1_000_000
 CROWD, SALTS = 1_000, 16  # texts of one shingle from which their pairs are dealt over tasks
@@ -146,35 +147,51 @@ def _most_apart(m: np.ndarray | Column, n: np.ndarray | Column, similarity: floa
     return (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9
 
 
-def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample share, sorted, and how many; collects at most MOST_COMMON rows."""
+def _crowding(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How common a shingle is, by its first LEVEL_BITS bits: a level of the number of texts, over all texts.
+
+    Every shingle of every text is counted.  Of shingles with the same first bits the most
+    common one counts, so none is taken for rarer than it is; whatever the levels are, they
+    give one order for all texts.  The driver gets one byte a value of the bits, in blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["key"])
-
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.select("text").filter(F.pmod(text_key(), F.lit(share)) == 0)
-    counts = some.mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    known = np.array([r["key"] for r in counts], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], np.array([r["n"] for r in counts], np.int64)[order]
+            held, size = [], 0
+            for i, t in enumerate(batch.column("text")):
+                held.append(np.unique(shingle_hashes(t.as_py(), shingle)))
+                size += len(held[-1])
+                if size >= COUNTED or i == len(batch) - 1:
+                    keys, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+                    held, size = [], 0
+
+    def block(t: pa.Table) -> pa.Table:
+        levels = np.zeros(1 << BLOCK_BITS, np.uint8)
+        levels[t.column("at").to_numpy()] = t.column("level").to_numpy()
+        return pa.table({"block": t.column("block")[:1], "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    counts = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    first = F.shiftrightunsigned("key", 64 - LEVEL_BITS)
+    level = F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("int")
+    each = counts.groupBy(first.alias("first")).agg(F.max(level).alias("level"))
+    each = each.select(F.shiftright("first", BLOCK_BITS).alias("block"), F.col("first").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("at"), "level")
+    out = np.zeros((1 << (LEVEL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    for r in durable(each.groupBy("block").applyInArrow(block, "block bigint, levels binary")).toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
 
 
 def _features(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Rows (doc_id, h, fp, n, sketch, fine, prefix): text hash, fingerprint, different shingles, their sketches, the rarest."""
-    known, times = _common_shingles(docs, shingle)
+    levels = docs.sparkSession.sparkContext.broadcast(_crowding(docs, shingle))
 
     def rarest(x: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(x), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            rank = np.where(known[at] == x, times[at], 0)
+        rank = levels.value[(x >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
         return x[np.lexsort((x, rank))[: prefix_length(len(x), similarity)]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
             hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
             sets = [np.unique(x) for x in hashes]
             longs = pa.list_(pa.int64())

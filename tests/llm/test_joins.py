@@ -194,3 +194,14 @@ def test_fill_in_middle_markers(spark):
     with pytest.raises(ValueError, match="rename"):
         fill_middle.fill_in_middle(df.withColumn("n", F.lit(1)), keep=("n",))
     assert fill_middle.fill_in_middle(docs(spark, [])).count() == 0
+
+
+def test_every_text_is_counted_for_the_order_of_shingles(spark):
+    """One shingle that few texts share among many texts: a sample of the texts may not see it."""
+    from tessera.llm import simhash
+
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i}" + (" one two three four five" if i % 2_000 == 7 else "")) for i in range(12_000)]
+    levels = simhash._crowding(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    shared, own = (simhash.shingle_hashes(t, 5)[0] for t in ("one two three four five", "a1 b1 c1 d1 e1"))
+    at = lambda x: int(levels[int(x) >> (64 - simhash.LEVEL_BITS)])
+    assert at(shared) == 21 and at(own) == 0  # ceil(8 * log2(6)): six texts
