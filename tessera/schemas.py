@@ -288,10 +288,11 @@ def validate(lines: DataFrame, kind: str, most_bytes: int = MOST_BYTES, taken_in
             late = F.transform(F.array(late), lambda x: F.when(F.size(x) > 0, x).otherwise(prospective(F.col("r"))))[0]
         return F.transform(F.array(places), lambda x: F.when(F.size(x) > 0, x).otherwise(late))[0]
 
-    seen = seen.withColumn("shape", shape)
+    # arrays of one element again: a filter on what they give is not made a second time below it
+    seen = seen.select("line", "raw", "r", F.inline(F.array(F.struct(shape.alias("shape")))))
     issues = F.when(F.col("shape") == "same", rules(_rules(place, F.col("r"), F.lit("")))).when(F.col("shape") == "other", _none()).otherwise(F.array(F.struct(F.lit("/").alias("path"), F.col("shape").alias("code"))))
-    told = seen.select("line", F.when(F.col("shape") == "other", F.col("raw")).alias("raw"), issues.alias("found")).filter("raw is not null or size(found) > 0")
-    told = cut(told)
+    told = seen.select("line", "raw", "shape", F.inline(F.array(F.struct(issues.alias("found"))))).filter("shape = 'other' or size(found) > 0")
+    told = cut(told.select("line", F.when(F.col("shape") == "other", F.col("raw")).alias("raw"), "found"))
     right_away = told.select("line", F.inline("found"))
     other = told.filter("raw is not null").select("line", "raw")
     if other.isEmpty():

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
-from tessera import registry
-from tessera.operators import ledger_fold, requests
+from tessera import registry, schemas
+from tessera.functions import identifiers
+from tessera.operators import catalog, evidence_query, graph, ledger_fold, requests
+from tessera.plans import adapters, queries
 from tessera.plans.cut import stored
 
 
@@ -51,3 +53,11 @@ def test_wide_log_rows_are_stored_by_column(spark):
     assert [r["code"] for r in told.collect()] == [None] * 50
     odd = spark.sql("select * from values (named_struct('a', null, 'b', array('x', null))), (null), (named_struct('a', named_struct('c', cast(null as int)), 'b', null)) t(p)")
     assert stored(odd).schema == odd.schema and sorted(map(str, stored(odd).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_a_line_is_judged_once(spark, small, monkeypatch):
+    plans, real = [], schemas.cut
+    monkeypatch.setattr(schemas, "cut", lambda df: plans.append(plan_of(df)) or real(df))
+    registry.queries()["evidence_schema_issues"](spark, small)
+    filters = [x for x in plans[0].split("\n") if x.lstrip(" +-:").startswith("Filter")]
+    assert filters and not any("schema.too-large" in x or "schema.pattern" in x or "octet_length" in x for x in filters)
