@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.cut import cut
+from tessera.plans.cut import cut, stored
 
 MOST_ROUNDS = 64
 MOST_DEPTH = 50_000
+#: Rows of a table that is told to all tasks; rounds' finds that are kept side by side.
+BROADCAST_ROWS, MOST_PARTS = 100_000, 8
 
 
 class GraphError(ValueError):
@@ -115,16 +118,33 @@ def first_reach(seeds: DataFrame, edges: DataFrame, most_rounds: int = MOST_DEPT
 
     Only nodes whose rank improved are expanded again, so cycles end.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    known = cut(seeds.groupBy("node").agg(F.min("rank").alias("rank")))
-    frontier = known
+    return reached(seeds, stored(edges.select("src", "dst")), most_rounds)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, told to all tasks if it has few rows, so that what it meets is not shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def reached(seeds: DataFrame, edges: DataFrame, most_rounds: int = MOST_DEPTH) -> DataFrame:
+    """``first_reach`` over stored edges.
+
+    A round's finds are added to those before, and a node's least rank counts; they are drawn
+    together only now and then.  Few seeds or finds go to the edges, not the edges to them.
+    """
+    least = F.min("rank").alias("rank")
+    frontier = cut(seeds.groupBy("node").agg(least))
+    parts = [frontier]
     for _ in range(most_rounds):
-        step = frontier.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("rank").alias("found"))
-        better = step.join(known, F.col("dst") == F.col("node"), "left").filter("rank is null or found < rank")
+        step = cut(small(frontier).join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("rank").alias("found")))
+        met = reduce(DataFrame.unionByName, parts).join(small(step), F.col("dst") == F.col("node")).groupBy("dst").agg(least)
+        better = step.join(met.withColumnRenamed("dst", "node"), F.col("dst") == F.col("node"), "left").filter("rank is null or found < rank")
         frontier = cut(better.select(F.col("dst").alias("node"), F.col("found").alias("rank")))
         if frontier.isEmpty():
-            return known
-        known = cut(known.unionByName(frontier).groupBy("node").agg(F.min("rank").alias("rank")))
+            return cut(reduce(DataFrame.unionByName, parts).groupBy("node").agg(least))
+        parts.append(frontier)
+        if len(parts) > MOST_PARTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts).groupBy("node").agg(least))]
     raise GraphError("query.closure-too-large")
 
 

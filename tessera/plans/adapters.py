@@ -10,19 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.records import latest
+
 EVIDENCE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
+EVIDENCE_ID = "l_orderkey * 8 + l_linenumber"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(evidence_id, revision, claim_id, source_id, part_id, stance, quality, confidence, verification_status)."""
-    li = table(spark, sf_dir, "lineitem")
-    rev = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy(*EVIDENCE_ORDER))
+    return _evidence(table(spark, sf_dir, "lineitem").withColumn("evidence_id", F.expr(EVIDENCE_ID)))
+
+
+def latest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest revisions of ``evidence``.  Lines are dealt by the id that their keys make, so one shuffle numbers and picks."""
+    li = table(spark, sf_dir, "lineitem").withColumn("evidence_id", F.expr(EVIDENCE_ID)).repartition("evidence_id")
+    return latest(_evidence(li, "evidence_id"), ["evidence_id"])
+
+
+def _evidence(li: DataFrame, *dealt: str) -> DataFrame:
+    rev = F.row_number().over(W.partitionBy(*dealt, "l_orderkey", "l_linenumber").orderBy(*EVIDENCE_ORDER))
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("evidence_id"), rev.cast("long").alias("revision"),
+        "evidence_id", rev.cast("long").alias("revision"),
         F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("part_id"),
         F.when(F.col("l_returnflag") == "A", "supporting").when(F.col("l_returnflag") == "R", "contradicting").otherwise("neutral").alias("stance"),
         F.when(F.col("l_linestatus") == "O", "primary-unreviewed").otherwise("secondary").alias("quality"),

@@ -61,3 +61,12 @@ def test_a_line_is_judged_once(spark, small, monkeypatch):
     registry.queries()["evidence_schema_issues"](spark, small)
     filters = [x for x in plans[0].split("\n") if x.lstrip(" +-:").startswith("Filter")]
     assert filters and not any("schema.too-large" in x or "schema.pattern" in x or "octet_length" in x for x in filters)
+
+
+def test_closure_reads_latest_evidence_once(spark, small):
+    _, edges = queries._closure_input(spark, small)
+    assert plan_of(edges).count("Window [row_number()") == 2
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n20", "n0")], "src string, dst string")
+    seeds = spark.createDataFrame([("n5", 2), ("n9", 1), ("n9", 3)], "node string, rank long")
+    got = {r["node"]: r["rank"] for r in graph.first_reach(seeds, chain).collect()}
+    assert got == {f"n{i}": 1 for i in range(21)}
