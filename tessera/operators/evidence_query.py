@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.canonical import canonical
-from tessera.operators.graph import GraphError, first_reach
+from tessera.operators.graph import GraphError, reached, small
+from tessera.plans.cut import cut, stored
 
 # Kinds in page order, default and hard page size, default closure caps.
 PAGE_KINDS = ("sources", "claims", "evidence", "verifications")
@@ -144,20 +146,23 @@ def decode_cursor(cursor: str, snapshot: str, q: EvidenceQuery) -> tuple:
     return place
 
 
-def greedy_closure(page: DataFrame, edges: DataFrame, nodes: DataFrame, caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def greedy_closure(page: DataFrame, edges: DataFrame, nodes: DataFrame | Callable[[DataFrame], DataFrame], caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Takes primaries in order with all they refer to, until one does not fit; it and the rest are left.
 
     ``page`` has (node, rank), rank from 0; ``edges`` (src, dst), repeats counted; ``nodes``
-    (node, kind, bytes).  A record is charged to the first primary that reaches it, so the
+    (node, kind, bytes), or what makes them of the nodes that are reached.  A record is charged to the first primary that reaches it, so the
     marginal sums of the ranks, added up in order, equal the greedy walk's state, and the cut
     is the first rank whose running sum passes a cap.  Returns (selected records with rank,
     accepted primaries).
     """
     caps = CAPS | (caps or {})
-    reach = first_reach(page, edges)
-    full = reach.join(nodes, "node")
-    fan = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan"))
-    full = full.join(fan, "node", "left").withColumn("fan", F.coalesce("fan", F.lit(0)))
+    edges = stored(edges.select("src", "dst"))
+    reach = reached(page, edges)
+    few = small(reach)
+    # only what is reached has its edges counted and its facts looked up
+    fan = edges.join(few.select("node"), F.col("src") == F.col("node"), "left_semi").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan"))
+    full = few.join(nodes(reach.select("node")) if callable(nodes) else nodes, "node")
+    full = cut(full.join(fan, "node", "left").withColumn("fan", F.coalesce("fan", F.lit(0))))
     marginal = full.groupBy("rank").agg(F.count("*").alias("records"), F.sum("fan").alias("edges"), F.sum("bytes").alias("bytes"))
     # A comma for each record but the first of its kind.
     opens = full.groupBy("kind").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("opens"))

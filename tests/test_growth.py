@@ -70,3 +70,17 @@ def test_closure_reads_latest_evidence_once(spark, small):
     seeds = spark.createDataFrame([("n5", 2), ("n9", 1), ("n9", 3)], "node string, rank long")
     got = {r["node"]: r["rank"] for r in graph.first_reach(seeds, chain).collect()}
     assert got == {f"n{i}": 1 for i in range(21)}
+
+
+def test_closure_looks_up_what_it_reaches(spark):
+    page = spark.createDataFrame([("a", 0), ("b", 1)], "node string, rank long")
+    edges = spark.createDataFrame([("a", "x"), ("a", "x"), ("x", "y"), ("b", "y"), ("far", "z")], "src string, dst string")
+    asked = []
+
+    def nodes(reach):
+        asked.extend(r["node"] for r in reach.collect())
+        return reach.selectExpr("node", "'k' as kind", "1 as bytes")
+
+    told, _ = evidence_query.greedy_closure(page, edges, nodes)
+    assert sorted(asked) == ["a", "b", "x", "y"]
+    assert sorted((r["node"], r["rank"], r["fan"]) for r in told.collect()) == [("a", 0, 2), ("b", 1, 1), ("x", 0, 1), ("y", 0, 0)]
