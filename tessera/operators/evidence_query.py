@@ -105,9 +105,11 @@ def select_page(records: DataFrame, q: EvidenceQuery, after: tuple[int, object,
 def by_refs(records: DataFrame, refs: DataFrame) -> DataFrame:
     """Records named by exact refs (kind, id, revision), each once; GraphError if one does not exist."""
     wanted = refs.select("kind", "id", "revision").distinct()
-    if not wanted.join(records, ["kind", "id", "revision"], "left_anti").isEmpty():
+    place = F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("_record")
+    found = cut(wanted.join(records.select("kind", "id", "revision", place), ["kind", "id", "revision"], "left").select("_record"))
+    if not found.filter("_record is null").isEmpty():
         raise GraphError("query.unresolved-ref")
-    return records.join(wanted, ["kind", "id", "revision"], "left_semi")
+    return found.select("_record.*")
 
 
 def owners(sources: DataFrame, requests: DataFrame, others: list[tuple[str, DataFrame, str]]) -> DataFrame:

@@ -84,3 +84,10 @@ def test_closure_looks_up_what_it_reaches(spark):
     told, _ = evidence_query.greedy_closure(page, edges, nodes)
     assert sorted(asked) == ["a", "b", "x", "y"]
     assert sorted((r["node"], r["rank"], r["fan"]) for r in told.collect()) == [("a", 0, 2), ("b", 1, 1), ("x", 0, 1), ("y", 0, 0)]
+
+
+def test_references_are_met_once(spark, small):
+    plan = registry.queries()["direct_refs"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    physical = adapters.latest_evidence(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1
