@@ -13,8 +13,15 @@ from tessera.operators.lineage import STRONG
 from tessera.plans.cut import cut
 
 
+#: Rows of a task that sorts, on the average.
+TASK_ROWS = 1 << 19
+
+
 def revision_order(records: DataFrame) -> DataFrame:
     """Rows (kind, id, revision, seq, code): over transactions in order, no record comes twice and each revision is the highest so far plus one."""
+    # sorting takes memory by the rows of a task, so tasks follow the rows; all that is asked of an id is asked in its task
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), records.count() // TASK_ROWS + 1)
+    records = records.repartition(tasks, "id")
     by = W.partitionBy("kind", "id").orderBy("seq", "revision")
     again = F.row_number().over(W.partitionBy("kind", "id", "revision").orderBy("seq")) > 1
     seen = records.withColumn("before", F.coalesce(F.max("revision").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("again", again)

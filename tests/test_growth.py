@@ -91,3 +91,11 @@ def test_references_are_met_once(spark, small):
     assert "Window" not in plan and "Join" not in plan
     physical = adapters.latest_evidence(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_tasks_of_revision_order_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "TASK_ROWS", 10)
+    rows = [("sources", i % 20, i // 20 % 3 + 1, i) for i in range(200)]
+    got = catalog.revision_order(spark.createDataFrame(rows, "kind string, id long, revision long, seq long"))
+    assert got.rdd.getNumPartitions() >= 21
+    assert sorted((r["id"], r["seq"], r["code"]) for r in got.collect()) == [(i % 20, i, "transaction.duplicate-record") for i in sorted(range(60, 200), key=lambda i: (i % 20, i))]
