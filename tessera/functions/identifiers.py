@@ -177,10 +177,11 @@ def is_timestamp(raw: Column) -> Column:
 def orcid(raw: Column) -> Column:
     """ORCID URL with a right ISO 7064 check character, from the URL or the bare dashed number."""
     bare = F.regexp_replace(raw, r"^https://orcid\.org/", "")
-    digits = F.replace(bare, F.lit("-"), F.lit(""))
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, i: ((a + F.substring(digits, i, F.lit(1)).try_cast("int")) * 2).cast("int"))
-    check = F.pmod(12 - F.pmod(total, F.lit(11)), F.lit(11))
-    right = F.substring(digits, 16, 1) == F.when(check == 10, "X").otherwise(check.cast("string"))
+    # the places of the digits are fixed, so no array of them is made; ((0 + a) * 2 + b) * 2 ... written out
+    at = [p for p in range(1, 19) if p % 5]
+    total = sum(((F.ascii(F.substring(bare, p, 1)) - 48).cast("long") * (1 << (15 - i)) for i, p in enumerate(at)), F.lit(0))
+    check = F.substring(F.lit("10X98765432"), (F.pmod(total, F.lit(11)) + 1).cast("int"), F.lit(1))
+    right = F.substring(bare, 19, 1) == check
     return F.when(bare.rlike(r"^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$") & right, F.concat(F.lit("https://orcid.org/"), bare))
 
 

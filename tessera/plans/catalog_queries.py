@@ -121,7 +121,7 @@ def orcid_check(spark: SparkSession, sf: str) -> DataFrame:
     right = F.when(F.col("c_custkey") % 3 != 0, "5").when(k == 10, "X").otherwise(k.cast("string"))
     bare = F.concat(F.concat_ws("-", F.substring(n, 1, 4), F.substring(n, 5, 4), F.substring(n, 9, 4), F.substring(n, 13, 3)), right)
     raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("https://orcid.org/"), bare)).otherwise(bare)
-    return A.table(spark, sf, "customer").select("c_custkey", I.orcid(raw).alias("orcid"))
+    return A.spread(A.table(spark, sf, "customer")).select("c_custkey", I.orcid(raw).alias("orcid"))
 
 
 @register("partial_dates", """

@@ -99,3 +99,11 @@ def test_tasks_of_revision_order_follow_the_rows(spark, monkeypatch):
     got = catalog.revision_order(spark.createDataFrame(rows, "kind string, id long, revision long, seq long"))
     assert got.rdd.getNumPartitions() >= 21
     assert sorted((r["id"], r["seq"], r["code"]) for r in got.collect()) == [(i % 20, i, "transaction.duplicate-record") for i in sorted(range(60, 200), key=lambda i: (i % 20, i))]
+
+
+def test_orcid_places_are_plain_expressions(spark, small):
+    plan = plan_of(registry.queries()["orcid_check"](spark, small))
+    assert "lambda" not in plan and "Repartition" in plan
+    odd = spark.sql("select * from values ('0000-0002-1825-0097'), ('https://orcid.org/0000-0002-1694-233X'), ('0000-0002-1825-0098'), ('0000-0002-1825-009é'), ('0000'), (''), (null) t(x)")
+    got = [r[0] for r in odd.select(identifiers.orcid(odd["x"])).collect()]
+    assert got == ["https://orcid.org/0000-0002-1825-0097", "https://orcid.org/0000-0002-1694-233X", None, None, None, None, None]
