@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.functions.addresses import ipv6_text
+from tessera.functions.addresses import ipv6_text, let
 
 # Hosts, labels and limits that results must agree with.
 DOI_BYTES = 512
@@ -42,7 +42,7 @@ def canonical_bytes(text: Column) -> Column:
 
 def decode_component(text: Column) -> Column:
     """Percent-decoding; bytes that are no UTF-8 become U+FFFD, NULL if an escape is malformed."""
-    return F.when(~text.rlike(MALFORMED_PERCENT), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
+    return let(text, lambda t: F.when(~t.rlike(MALFORMED_PERCENT), F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B")))))
 
 
 def normalize_doi(raw: Column) -> Column:
@@ -50,17 +50,24 @@ def normalize_doi(raw: Column) -> Column:
 
     A resolver URL is decoded once for the URL and once more for the DOI in it.
     """
-    text = F.trim(raw)
     resolver = r"^https://(?:doi\.org|dx\.doi\.org)/([^?#]*)$"
-    path = F.regexp_extract(text, resolver, 1)
-    dotted = F.exists(F.split(path, "/"), lambda p: p.rlike(r"(?i)^(?:\.|%2e){1,2}$"))
-    prefix = F.substring_index(path, "/", 1)
-    in_url = F.when(text.rlike(resolver) & ~dotted & F.contains(path, F.lit("/")) & ~prefix.rlike("(?i)%2f"), decode_component(path))
-    bare = F.when(text.rlike(r"(?i)^https?://"), in_url).otherwise(F.regexp_replace(text, r"(?i)^doi:", ""))
-    plain = decode_component(F.when(~bare.rlike(r"[?#]"), bare))
-    out = F.replace(F.lower(plain), F.lit("%"), F.lit("%25"))
-    sound = ~raw.rlike(CONTROL_OR_BIDI) & ~F.contains(raw, F.lit("\\")) & plain.rlike(r"^10\.[0-9]{4,9}/[\x21-\x5B\x5D-\x7E]+$")
-    return F.when(sound & (canonical_bytes(raw) <= SCALAR_BYTES) & (canonical_bytes(out) <= DOI_BYTES), out)
+
+    def decoded(path: Column) -> Column:
+        dotted = F.exists(F.split(path, "/"), lambda p: p.rlike(r"(?i)^(?:\.|%2e){1,2}$"))
+        prefix = F.substring_index(path, "/", 1)
+        return F.when(~dotted & F.contains(path, F.lit("/")) & ~prefix.rlike("(?i)%2f"), decode_component(path))
+
+    def of(raw: Column, text: Column) -> Column:
+        in_url = F.when(text.rlike(resolver), let(F.regexp_extract(text, resolver, 1), decoded))
+        bare = F.when(text.rlike(r"(?i)^https?://"), in_url).otherwise(F.regexp_replace(text, r"(?i)^doi:", ""))
+        sound = ~raw.rlike(CONTROL_OR_BIDI) & ~F.contains(raw, F.lit("\\")) & (canonical_bytes(raw) <= SCALAR_BYTES)
+        return F.when(sound, let(let(bare, lambda b: decode_component(F.when(~b.rlike(r"[?#]"), b))), written))
+
+    def written(plain: Column) -> Column:
+        out = F.replace(F.lower(plain), F.lit("%"), F.lit("%25"))
+        return F.when(plain.rlike(r"^10\.[0-9]{4,9}/[\x21-\x5B\x5D-\x7E]+$"), let(out, lambda o: F.when(canonical_bytes(o) <= DOI_BYTES, o)))
+
+    return let(raw, lambda r: let(F.trim(r), lambda t: of(r, t)))
 
 
 def encode_component(text: Column) -> Column:
@@ -73,8 +80,12 @@ def encode_component(text: Column) -> Column:
 
 def canonical_doi_url(doi: Column) -> Column:
     """Resolver URL of a normalised DOI; its ``%25`` is encoded again, as resolver URLs are decoded twice."""
-    head, rest = F.substring_index(doi, "/", 1), F.substring(doi, F.instr(doi, "/") + 1, F.length(doi))
-    return F.concat(F.lit("https://doi.org/"), encode_component(head), F.lit("/"), encode_component(rest))
+
+    def url(d: Column) -> Column:
+        head, rest = F.substring_index(d, "/", 1), F.substring(d, F.instr(d, "/") + 1, F.length(d))
+        return F.concat(F.lit("https://doi.org/"), encode_component(head), F.lit("/"), encode_component(rest))
+
+    return let(doi, url)
 
 
 def normalize_pmid(raw: Column) -> Column:
@@ -105,15 +116,15 @@ def remove_dot_segments(path: Column) -> Column:
         return F.struct(kept.alias("kept"), (part.rlike(dot) | part.rlike(twice)).alias("open"))
 
     start = F.struct(F.expr("cast(array() as array<string>)").alias("kept"), F.lit(False).alias("open"))
-    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    parts = let(path, lambda p: F.split(F.substring(p, F.lit(2), F.length(p)), "/"))
     return F.aggregate(parts, start, step, lambda a: F.concat(F.lit("/"), F.array_join(a["kept"], "/"), F.when(a["open"] & (F.size(a["kept"]) > 0), "/").otherwise("")))
 
 
 def percent_encode(text: Column, also: str) -> Column:
     """Percent-encodes the characters of the class ``also`` and all that are not ASCII; escapes stay as they are."""
     unsafe = rf"[{also}]|[^\x{{0}}-\x{{7f}}]"
-    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(unsafe), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
-    return F.when(text.rlike(unsafe), F.array_join(each, "")).otherwise(text)
+    each = lambda t: F.transform(F.split(t, ""), lambda c: F.when(c.rlike(unsafe), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return let(text, lambda t: F.when(t.rlike(unsafe), F.array_join(each(t), "")).otherwise(t))
 
 
 def normalize_url(raw: Column, allow_http: bool = False) -> Column:
@@ -122,25 +133,35 @@ def normalize_url(raw: Column, allow_http: bool = False) -> Column:
     Rejects credentials, fragments, control and bidirectional marks, inner spaces, backslashes,
     malformed escapes and hosts that are not plain names, dotted IPv4 or bracketed IPv6 addresses.
     """
-    text = F.trim(raw)
     shape = r"^(?i:(https?))://(\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9!$&'()*+,;=_.~-]+)(?::([0-9]{1,7}))?(/[^?#]*)?(\?[^#]*)?$"
-    scheme, host = F.lower(F.regexp_extract(text, shape, 1)), F.lower(F.regexp_extract(text, shape, 2))
-    port, path, query = F.regexp_extract(text, shape, 3), F.regexp_extract(text, shape, 4), F.regexp_extract(text, shape, 5)
-    number = port.try_cast("int")
-    usual = (port == "") | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
-    inner = F.regexp_extract(host, r"^\[(.*)\]$", 1)
-    ipv6 = host.startswith("[")
-    name = F.when(ipv6, F.concat(F.lit("["), ipv6_text(inner), F.lit("]"))).otherwise(host)
-    # A host whose last label is a number is an IPv4 address, and must be a plain one.
-    numeric = host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    # a host whose last label is a number is an IPv4 address, and must be a plain one
     byte = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    right_host = F.when(ipv6, ipv6_text(inner).isNotNull()).otherwise(~numeric | host.rlike(rf"^{byte}(\.{byte}){{3}}$"))
-    whole = percent_encode(remove_dot_segments(F.when(path == "", "/").otherwise(path)), r"\x22<>`{}^")
-    sound = (
-        text.rlike(shape) & ~raw.rlike(CONTROL_OR_BIDI) & ~text.rlike(SPACE) & ~F.contains(raw, F.lit("\\")) & ~raw.rlike(MALFORMED_PERCENT)
-        & ((scheme == "https") | F.lit(allow_http)) & right_host & ((port == "") | (number <= 65535)) & (canonical_bytes(raw) <= SCALAR_BYTES))
-    shown = F.when(usual, "").otherwise(F.concat(F.lit(":"), number.cast("string")))
-    return F.when(sound, F.concat(scheme, F.lit("://"), name, shown, whole, percent_encode(query, r"\x22<>'")))
+
+    def parts(text: Column) -> Column:
+        scheme, host, port, path, query = (F.regexp_extract(text, shape, i) for i in range(1, 6))
+        return F.struct(F.lower(scheme).alias("scheme"), F.lower(host).alias("host"), port.alias("port"), port.try_cast("int").alias("number"), path.alias("path"), query.alias("query"))
+
+    def named(host: Column) -> Column:
+        """The host as written out, NULL if it is not a right one."""
+        inner = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+        numeric = host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+        return F.when(host.startswith("["), F.concat(F.lit("["), ipv6_text(inner), F.lit("]"))).when(~numeric | host.rlike(rf"^{byte}(\.{byte}){{3}}$"), host)
+
+    def written(p: Column) -> Column:
+        scheme, port, number = p["scheme"], p["port"], p["number"]
+        usual = (port == "") | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
+        shown = F.when(usual, "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+        whole = percent_encode(remove_dot_segments(F.when(p["path"] == "", "/").otherwise(p["path"])), r"\x22<>`{}^")
+        sound = ((scheme == "https") | F.lit(allow_http)) & ((port == "") | (number <= 65535))
+        return F.when(sound, F.concat(scheme, F.lit("://"), named(p["host"]), shown, whole, percent_encode(p["query"], r"\x22<>'")))
+
+    def of(raw: Column, text: Column) -> Column:
+        sound = (
+            text.rlike(shape) & ~raw.rlike(CONTROL_OR_BIDI) & ~text.rlike(SPACE) & ~F.contains(raw, F.lit("\\")) & ~raw.rlike(MALFORMED_PERCENT)
+            & (canonical_bytes(raw) <= SCALAR_BYTES))
+        return F.when(sound, let(parts(text), written))
+
+    return let(raw, lambda r: let(F.trim(r), lambda t: of(r, t)))
 
 
 def redact_url(url: Column) -> Column:
@@ -210,8 +231,12 @@ def first_text(values: Column) -> Column:
 def abstract_text(inverted: Column) -> Column:
     """Text from a word-to-positions map; NULL unless the positions are exactly 0 .. n - 1."""
     spread = F.array_sort(F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word"))))))
-    dense = F.forall(F.transform(spread, lambda s, i: s["at"] == i), lambda b: b)
-    return F.when(dense & (F.size(spread) > 0), F.array_join(F.transform(spread, lambda s: s["word"]), " "))
+
+    def text(words: Column) -> Column:
+        dense = F.forall(F.transform(words, lambda s, i: s["at"] == i), lambda b: b)
+        return F.when(dense & (F.size(words) > 0), F.array_join(F.transform(words, lambda s: s["word"]), " "))
+
+    return let(spread, text)
 
 
 def section_label(label: Column) -> Column:

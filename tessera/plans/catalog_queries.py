@@ -360,7 +360,7 @@ def crossref_candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("10.1234/PART"), n).alias("DOI"), F.concat(F.when(F.col("p_size") % 2 == 0, "http://h.org/").otherwise("https://h.org/"), n).alias("URL"), F.array(F.lit(" "), F.col("p_name")).alias("title"),
         F.lit("journal-article").alias("type"), F.when(F.col("p_size") % 5 == 0, "review").alias("subtype"), F.array("p_brand").alias("container-title"), F.struct(F.array(parts).alias("date-parts")).alias("published-print"))
     payload = F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("message")))
-    c = providers.crossref(A.table(spark, sf, "part").select(payload.alias("payload"), "p_size"))
+    c = providers.crossref(A.spread(A.table(spark, sf, "part")).select(payload.alias("payload"), "p_size"))
     day = F.when(F.col("published").isNull(), "2020-02-30")
     return c.select("record_id", "url", "title", "venue", day.alias("bad"), "published", "publication_type")
 
@@ -379,7 +379,7 @@ def openalex_candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 5 == 0, "article").when(k % 5 == 1, "review").otherwise("letter").alias("type"), F.when(k % 7 != 0, "2020-03-04").alias("publication_date"), F.lit(2019).alias("publication_year"),
         F.struct(page.alias("landing_page_url")).alias("primary_location"), F.when(k % 4 == 0, F.create_map(F.lit("said"), F.array(F.lit(0), F.lit(2)), F.lit("was"), F.array(F.lit(1)))).alias("abstract_inverted_index"))
     payload = F.to_json(F.struct(F.array(work).alias("results")))
-    c = providers.openalex(A.table(spark, sf, "part").select(payload.alias("payload")))
+    c = providers.openalex(A.spread(A.table(spark, sf, "part")).select(payload.alias("payload")))
     return c.select("record_id", "doi", "pmid", "title", "url", "publication_type", "published", "access_level")
 
 
@@ -395,7 +395,7 @@ def pubmed_candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 3 == 1, "2020/05").alias("epubdate"), F.lit("1999 Jan").alias("pubdate"), F.when(k % 4 == 0, "Systematic Review").otherwise("Journal Article").alias("doctype"),
         F.when(k % 2 == 0, F.array(named("pmc", F.concat(F.lit("PMC"), (F.col("p_partkey") + 7).cast("string"))))).alias("articleids"))
     payload = F.concat(F.lit('{"result":{"uids":["'), uid, F.lit('"],"'), uid, F.lit('":'), F.to_json(record), F.lit("}}"))
-    c = providers.pubmed(A.table(spark, sf, "part").select(payload.alias("payload")))
+    c = providers.pubmed(A.spread(A.table(spark, sf, "part")).select(payload.alias("payload")))
     return c.select("record_id", "pmid", "pmcid", "title", "venue", "published", "publication_type")
 
 

@@ -55,7 +55,7 @@ def _or_resolver(url: Column, doi: Column) -> Column:
 def crossref(payloads: DataFrame) -> DataFrame:
     """Rows of CANDIDATE; bad identifiers and URLs are left out, not errors.  Dates: print, online, published."""
     items = payloads.select(F.posexplode(F.from_json("payload", CROSSREF)["message"]["items"]).alias("at", "r"))
-    doi = I.normalize_doi(F.col("r.DOI"))
+    items, doi = items.withColumn("doi", I.normalize_doi(F.col("r.DOI"))), F.col("doi")
     person = lambda a: F.struct(a["family"].alias("family"), a["given"].alias("given"), F.when(a["family"].isNull(), a["name"]).alias("literal"), I.orcid(a["ORCID"]).alias("orcid"))
     date = lambda c: I.date_parts(F.get(F.col(f"r.{c}.date-parts")[0], F.lit(0)), F.get(F.col(f"r.{c}.date-parts")[0], F.lit(1)), F.get(F.col(f"r.{c}.date-parts")[0], F.lit(2)))
     kind = F.when(F.col("r.subtype") == "review", "review").when(F.col("r.type").isin("journal-article", "dataset"), F.col("r.type")).otherwise("other")
@@ -69,7 +69,7 @@ def crossref(payloads: DataFrame) -> DataFrame:
 def openalex(payloads: DataFrame) -> DataFrame:
     """Rows of CANDIDATE; records without a work id go; abstracts are rebuilt from the inverted index."""
     items = payloads.select(F.explode(F.from_json("payload", OPENALEX)["results"]).alias("r")).filter(F.col("r.id").rlike(r"^https://openalex\.org/W[0-9]+$"))
-    doi = I.normalize_doi(F.coalesce("r.doi", "r.ids.doi"))
+    items, doi = items.withColumn("doi", I.normalize_doi(F.coalesce("r.doi", "r.ids.doi"))), F.col("doi")
     kind = F.when(F.col("r.type") == "article", "journal-article").when(F.col("r.type").isin("review", "dataset"), F.col("r.type")).otherwise("other")
     abstract = I.abstract_text(F.col("r.abstract_inverted_index"))
     return items.select(

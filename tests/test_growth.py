@@ -107,3 +107,9 @@ def test_orcid_places_are_plain_expressions(spark, small):
     odd = spark.sql("select * from values ('0000-0002-1825-0097'), ('https://orcid.org/0000-0002-1694-233X'), ('0000-0002-1825-0098'), ('0000-0002-1825-009é'), ('0000'), (''), (null) t(x)")
     got = [r[0] for r in odd.select(identifiers.orcid(odd["x"])).collect()]
     assert got == ["https://orcid.org/0000-0002-1825-0097", "https://orcid.org/0000-0002-1694-233X", None, None, None, None, None]
+
+
+def test_payloads_are_dealt_to_all_cores(spark, small):
+    plan = plan_of(registry.queries()["openalex_candidates"](spark, small))
+    assert "Repartition" in plan
+    assert plan.count("dx\\.doi\\.org") <= 2  # a DOI is normalised once, not for each column that shows it
