@@ -212,7 +212,9 @@ def _walk(cell: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, pa
     most = most_apart(m, k, percent)
     fits = (root[p] != root[r]) & (k * percent <= m * 100) & (m * percent <= k * 100) & (pos[p] + pos[r] + missed <= most)
     p, r, most = p[fits], r[fits], most[fits]
-    turned = np.bitwise_count(bits[p] ^ bits[r]).sum(axis=1)
+    turned = np.zeros(len(p), np.int64)
+    for u in bits.T:
+        turned += np.bitwise_count(u[p] ^ u[r])
     near = turned <= most
     return p[near], r[near], turned[near]
 
@@ -246,7 +248,7 @@ def _candidates(cells: DataFrame, percent: int, tree: bool) -> DataFrame:
         size = np.diff(lists.offsets.to_numpy())
         path = np.full((len(t), PATH), END)
         path[np.arange(PATH) < size[:, None]] = lists.flatten().to_numpy()
-        bits = t["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, 4).view(np.uint64)
+        bits = t["sketch"].combine_chunks().flatten().to_numpy().reshape(len(t), -1).view(np.uint64)
         cut = np.flatnonzero(np.r_[True, (x["token"][1:] != x["token"][:-1]) | (x["x"][1:] != x["x"][:-1]) | (x["y"][1:] != x["y"][:-1])])
         sizes = np.diff(np.r_[cut, len(t)])
         cell = np.repeat(np.arange(len(cut)), sizes)
@@ -333,8 +335,8 @@ def _compared(told: DataFrame, placed: DataFrame, alike: Callable[[np.ndarray, n
     return durable(dealt.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose whole sets are similar: what fine parities leave, by the sets themselves."""
+def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, repeated: bool, shingler: Callable[[int], Callable[[bytes], np.ndarray]] = Shingler) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets, by ``shingler``, are similar: what fine parities leave, by the sets themselves."""
 
     def finely(x: np.ndarray, y: np.ndarray) -> bool:
         (m, u), (n, v) = (x[0], x[1:]), (y[0], y[1:])
@@ -356,7 +358,7 @@ def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
         told = told.dropDuplicates(["place", "node", "second"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles = shingler(width)
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             same = [xxhash.xxh3_128_digest(x.tobytes()) == d.as_py() for x, d in zip(found, batch.column("digest"), strict=True)]
@@ -365,6 +367,14 @@ def _decided(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     return _compared(told.mapInArrow(sets, "place bigint, node bigint, second boolean, longs array<bigint>"), placed, similar)
 
 
+def _homes(shared: DataFrame) -> DataFrame:
+    """Two n-grams of each node, those that fewest and most others share; crowds are dealt at random, twice for the most."""
+    told = F.struct("crowd", "token", "at")
+    homes = shared.groupBy("node").agg(F.min(told).alias("few"), F.max(told).alias("most"))
+    homes = homes.select("node", F.posexplode(F.array("few", "most", "most")).alias("which", "s")).select("node", "which", "s.*").filter((F.col("which") < 2) | (F.col("crowd") > CELL))
+    return homes.withColumns({"part": F.pmod(F.xxhash64("node", "which"), F.ceil(F.col("crowd") / CELL)), "which": F.col("which").cast("long")})
+
+
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links).withColumnRenamed("node", "of").withColumnRenamed("root", "to")
     return nodes.drop("root").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("to", "node")).drop("of", "to")
@@ -384,12 +394,7 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     crowds = each.groupBy("token").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     shared = durable(each.join(crowds, "token"))
 
-    # two n-grams of each node, those that fewest and most others share; crowds are dealt at random, twice for the most
-    told = F.struct("crowd", "token", "at")
-    homes = shared.groupBy("node").agg(F.min(told).alias("few"), F.max(told).alias("most"))
-    homes = homes.select("node", F.posexplode(F.array("few", "most", "most")).alias("which", "s")).select("node", "which", "s.*").filter((F.col("which") < 2) | (F.col("crowd") > CELL))
-    part = F.pmod(F.xxhash64("node", "which"), F.ceil(F.col("crowd") / CELL))
-    near = _candidates(_cells(homes, trie, part, F.col("which").cast("long")), percent, True)
+    near = _candidates(_cells(_homes(shared), trie, F.col("part"), F.col("which")), percent, True)
     first = _decided(texts, nodes, near, width, percent, repeated)
 
     # what is not connected yet: all parts of a crowd meet, two at a time

@@ -19,8 +19,8 @@ null; an empty table gives no rows; other columns are carried only by ``keep``.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from tessera.llm import ngram_join
 from tessera.llm.common import components, durable, fresh
 
 SEED = 42
@@ -37,8 +37,8 @@ CHUNK = 1 << 15  # shingles whose bits are counted at once
 CROWDED = 16
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_hashes(text: str | bytes | None, width: int) -> np.ndarray:
+    words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
@@ -124,177 +124,160 @@ def groups(prints: DataFrame, radius: int = 4, segments: int | None = None) -> D
 
 # Near copies by exact similarity: shared shingles and fingerprints propose, shingle sets decide.
 LEVEL_BITS, BLOCK_BITS = 24, 14  # of a shingle's hash: how common it is; places of one block of levels
-COUNTED = 1 << 18  # shingles that are counted at once
+COUNTED = 1 << 15  # shingles that are counted at once
+BLOCKS = 64  # blocks of counts that leave a task at once
 ROWS = 1 << 10  # texts whose sets are held at once
-CELLS = 256
-BROADCAST_PAIRS = 1_000_000
-CROWD, SALTS = 1_000, 16  # texts of one shingle from which their pairs are dealt over tasks
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    """Shingles, first in one order for all texts, of which similar texts share at least one."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-
-
-def sketch(shingles: np.ndarray, cells: int = CELLS) -> list[int]:
-    """Parities of the numbers of shingles in each of ``cells`` cells, packed into longs."""
-    odd = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
-
-
-def _most_apart(m: np.ndarray | Column, n: np.ndarray | Column, similarity: float) -> np.ndarray | Column:
-    """Shingles, at most, that similar sets of m and n do not share; each turns one parity over."""
-    return (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9
+CELLS = 1024  # parities that reject what meets
 
 
 def _crowding(docs: DataFrame, shingle: int) -> np.ndarray:
     """How common a shingle is, by its first LEVEL_BITS bits: a level of the number of texts, over all texts.
 
-    Every shingle of every text is counted.  Of shingles with the same first bits the most
-    common one counts, so none is taken for rarer than it is; whatever the levels are, they
-    give one order for all texts.  The driver gets one byte a value of the bits, in blocks.
+    Every shingle of every text is counted, and what has the same first bits counts together, so
+    none is taken for rarer than it is; whatever the levels are, they give one order for all
+    texts.  A task's counts leave it in packed blocks; the driver gets one byte a value of the bits.
     """
 
+    def packed(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
+        for at in range(0, len(blocks), BLOCKS):
+            told = [b for b in range(at, min(len(blocks), at + BLOCKS)) if blocks[b].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.int64()), pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in told], pa.binary())], ["block", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, most = np.zeros(1 << LEVEL_BITS, np.uint16), np.iinfo(np.uint16).max
         for batch in batches:
             held, size = [], 0
             for i, t in enumerate(batch.column("text")):
-                held.append(np.unique(shingle_hashes(t.as_py(), shingle)))
+                held.append(np.unique(shingle_hashes(t.as_py(), shingle)) >> np.uint64(64 - LEVEL_BITS))
                 size += len(held[-1])
                 if size >= COUNTED or i == len(batch) - 1:
-                    keys, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+                    keys, n = np.unique(np.concatenate(held).astype(np.int64), return_counts=True)
+                    if len(keys) and (counts[keys] + n).max() > most:
+                        yield from packed(counts)
+                        counts[:] = 0
+                    counts[keys] += n.astype(np.uint16)
                     held, size = [], 0
+        yield from packed(counts)
 
     def block(t: pa.Table) -> pa.Table:
-        levels = np.zeros(1 << BLOCK_BITS, np.uint8)
-        levels[t.column("at").to_numpy()] = t.column("level").to_numpy()
+        n = np.zeros(1 << BLOCK_BITS, np.int64)
+        for part in t.column("counts"):
+            n += np.frombuffer(zlib.decompress(part.as_py()), np.uint16)
+        levels = np.minimum(255, np.ceil(8 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
         return pa.table({"block": t.column("block")[:1], "levels": pa.array([levels.tobytes()], pa.binary())})
 
-    counts = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    first = F.shiftrightunsigned("key", 64 - LEVEL_BITS)
-    level = F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("int")
-    each = counts.groupBy(first.alias("first")).agg(F.max(level).alias("level"))
-    each = each.select(F.shiftright("first", BLOCK_BITS).alias("block"), F.col("first").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("at"), "level")
+    counts = docs.select("text").mapInArrow(run, "block bigint, counts binary")
     out = np.zeros((1 << (LEVEL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
-    for r in durable(each.groupBy("block").applyInArrow(block, "block bigint, levels binary")).toLocalIterator():
+    for r in durable(counts.groupBy("block").applyInArrow(block, "block bigint, levels binary")).toLocalIterator():
         out[r["block"]] = np.frombuffer(r["levels"], np.uint8)
     return out.reshape(-1)
 
 
-def _features(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Rows (doc_id, h, fp, n, sketch, fine, prefix): text hash, fingerprint, different shingles, their sketches, the rarest."""
+def _features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Rows (doc_id, h, fp, digest, n, sketch, fine, prefix): text hash, fingerprint, digest and size of the shingle set, its parities, its rarest shingles."""
     levels = docs.sparkSession.sparkContext.broadcast(_crowding(docs, shingle))
 
     def rarest(x: np.ndarray) -> np.ndarray:
-        rank = levels.value[(x >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
-        return x[np.lexsort((x, rank))[: prefix_length(len(x), similarity)]].view(np.int64)
+        rank = levels.value[(x >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.uint64)
+        return np.sort(rank << np.uint64(55) | x >> np.uint64(9))[: ngram_join.prefix_length(len(x), percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = ngram_join._lists
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
-            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
-            sets = [np.unique(x) for x in hashes]
-            longs = pa.list_(pa.int64())
+            fps, sets = [], []
+            for t in batch.column("text"):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                fps.append(fold(hashes))
+                sets.append(np.unique(hashes))
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array([fold(x) for x in hashes], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], longs),
-                 pa.array([sketch(x, max(CELLS, 1 << len(x).bit_length())) for x in sets], longs), pa.array([rarest(x) for x in sets], longs)],
-                ["doc_id", "h", "fp", "n", "sketch", "fine", "prefix"])
+                [batch.column("doc_id"), batch.column("h"), pa.array(fps, pa.int64()), digests, pa.array([len(x) for x in sets], pa.int64()), lists([ngram_join.sketch(x, CELLS) for x in sets]),
+                 lists([ngram_join.sketch(x, max(256, 1 << len(x).bit_length())) for x in sets]), lists([rarest(x) for x in sets])],
+                ["doc_id", "h", "fp", "digest", "n", "sketch", "fine", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, sketch array<bigint>, fine array<bigint>, prefix array<bigint>")
+    return docs.select("doc_id", text_key().alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, digest binary, n bigint, sketch array<bigint>, fine array<bigint>, prefix array<bigint>")
 
 
 def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
-
-    return texts.select("h", "text").mapInArrow(run, "h bigint, shingles array<bigint>")
+def _close_prints(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are at most ``radius`` bits apart, one for each pair of fingerprints."""
+    alike = durable(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    near = links(alike.select("fp"), radius)
+    near = near.join(alike.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(alike.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
+    return near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
 
-def _finely_alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) without those that the fine sketches show not to be similar."""
+def _open_cells(shared: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, node, at, x, y): cells in which all nodes of a shingle meet that can be similar and are not connected yet.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for m, n, x, y in zip(*[batch.column(c).to_pylist() for c in ("m", "n", "fa", "fb")], strict=True):
-                u, v = np.array(x, np.int64), np.array(y, np.int64)
-                size = min(len(u), len(v))
-                turned = np.bitwise_xor.reduce(u.reshape(-1, size)) ^ np.bitwise_xor.reduce(v.reshape(-1, size))
-                keep.append(int(np.bitwise_count(turned.view(np.uint64)).sum()) <= _most_apart(m, n, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    both = pairs.join(nodes.select(F.col("h").alias("a"), F.col("n").alias("m"), F.col("fine").alias("fa")), "a")
-    both = both.join(nodes.select(F.col("h").alias("b"), "n", F.col("fine").alias("fb")), "b")
-    return both.filter(F.least("m", "n") + 1e-9 >= similarity * F.greatest("m", "n")).mapInArrow(run, "a bigint, b bigint")
-
-
-def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of text hashes whose shingle sets are similar."""
-    pairs = durable(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:  # else the texts are shuffled
-        wanted = F.broadcast(wanted)
-    texts = docs.select(text_key().alias("h"), "text").join(wanted, "h", "left_semi")
-    sets = durable(_shingle_sets(texts, shingle).groupBy("h").agg(F.any_value("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return durable(both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).filter(F.size("sa") > 0).select("a", "b"))
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """Pairs (a, b) of similar text hashes that connect all whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+    Before the first shingle that two similar sets share they have at most ``most_apart`` others, so
+    a node takes part only if its place and the foremost one leave room for that.  The largest
+    connected part of a crowd meets the others, never itself.
+    """
+    room = F.col("n") * (100 - percent) - F.col("at") * (100 + percent)  # two nodes meet if theirs add up to zero or more
+    member = shared.join(rooted, "node").select("token", "node", "at", "root", room.alias("room"))
+    parts = member.groupBy("token", "root").agg(F.count("*").alias("size"), F.max("room").alias("most"))
+    tops = parts.groupBy("token").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("crowd"), F.max("most").alias("most"))
+    tops = durable(tops.filter("top.size < crowd"))
+    cell = ngram_join.CELL
+    member = member.join(tops, "token").filter("room + most >= 0")
+    member = member.withColumns({"large": F.ceil(F.col("top.size") / cell), "small": F.ceil((F.col("crowd") - F.col("top.size")) / cell)})
+    large, of = F.col("root") == F.col("top.root"), lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    other, one = F.col("large") + of("small"), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    meets = F.when(F.col("crowd") <= cell, F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))))
+    meets = meets.when(large, F.transform(one("small"), lambda i: F.struct(of("large").alias("x"), (F.col("large") + i).alias("y"))))
+    meets = meets.otherwise(F.concat(
+        F.transform(one("large"), lambda i: F.struct(i.alias("x"), other.alias("y"))),
+        F.transform(one("small"), lambda i: F.struct(F.least(other, F.col("large") + i).alias("x"), F.greatest(other, F.col("large") + i).alias("y")))))
+    return member.select("token", "node", "at", F.inline(meets))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, repeated: bool, radius: int = 4) -> DataFrame:
+    """Pairs (a, b) of similar nodes that connect all whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Similar texts share one of their rarest shingles (``prefix_length``).  First, texts whose
-    fingerprints are within ``radius`` bits meet by multi-index hashing, and each text meets
-    its neighbour in length among the texts of each of its rarest shingles: few pairs,
-    which connect most of what is similar.  Then all pairs of texts that share one of their
-    rarest shingles and are not connected yet meet, so that none is missed.
+    fingerprints are within ``radius`` bits meet by multi-index hashing, and each text meets its
+    nearest ones in cells of two of its rarest shingles: few pairs, which connect most of what is
+    similar.  Then all texts that share one of their rarest shingles and are not connected yet
+    meet in cells, so that none is missed.  A cell gives only pairs that parities do not reject.
     """
-    each = nodes.select("h", "n", F.explode("prefix").alias("key")).withColumn("crowd", F.count("*").over(W.partitionBy("key"))).filter("crowd > 1")
-    each = durable(each.withColumn("o", F.lag("h").over(W.partitionBy("key").orderBy("n", "h"))).select("key", "h", "o"))
-    met = each.filter("o is not null").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"))
-    near = links(nodes.select("fp").distinct(), radius)
-    alike = nodes.groupBy("fp").agg(F.min("h").alias("h"))
-    near = near.join(alike.select(F.col("fp").alias("a"), F.col("h").alias("ha")), "a").join(alike.select(F.col("fp").alias("b"), F.col("h").alias("hb")), "b")
-    near = near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-    first = _decided(docs, _finely_alike(met.unionByName(near).distinct(), nodes, similarity), shingle, similarity)
-
-    roots = components(first)
-    named = each.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("group"))
-    by = W.partitionBy("key")
-    named = named.withColumn("low", F.min("group").over(by)).withColumn("high", F.max("group").over(by)).withColumn("crowd", F.count("*").over(by)).filter("low < high")
-    told = nodes.select("h", F.struct("h", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(CELLS // 64)]).alias("t"))
-    named = named.select("key", "h", "group", "crowd").join(told, "h")
-    crowded = F.col("crowd") > CROWD
-    left = named.select("key", F.when(crowded, F.pmod("h", F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), F.col("t").alias("l"), F.col("group").alias("lg"))
-    right = named.select("key", F.explode(F.sequence(F.lit(0), F.when(crowded, SALTS - 1).otherwise(0))).alias("salt"), F.col("t").alias("r"), F.col("group").alias("rg"))
-    left, right = left.alias("x"), right.alias("y")
-    m, n = F.col("l.n"), F.col("r.n")
-    turned = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(CELLS // 64)), F.lit(0))
-    apart = (F.col("lg") != F.col("rg")) & (F.col("l.h") < F.col("r.h")) & (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (turned <= _most_apart(m, n, similarity))
-    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & apart)
-    rest = rest.select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
-    return first.unionByName(_decided(docs, _finely_alike(rest, nodes, similarity), shingle, similarity))
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    def sets(width: int) -> Callable[[bytes], np.ndarray]:
+        return lambda text: np.unique(shingle_hashes(text, width))
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        return ngram_join._decided(ngram_join._texts(docs), nodes, pairs, shingle, percent, repeated, sets)
+
+    each = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
+    crowds = durable(each.groupBy("token").agg(F.count("*").alias("crowd")).filter("crowd > 1"))
+    shared = durable(each.join(crowds, "token"))
+    homes = ngram_join._homes(shared)
+    near = ngram_join._candidates(ngram_join._cells(homes, nodes.withColumn("root", F.col("node")), F.col("part"), F.col("which")), percent, True)
+    first = decided(near.unionByName(_close_prints(nodes, radius)).distinct())
+
+    rooted = durable(ngram_join._rooted(nodes.select("node", "n"), first))
+    cells = _open_cells(shared, rooted, percent)
+    rest = ngram_join._candidates(ngram_join._cells(cells, nodes.join(rooted.select("node", "root"), "node"), F.col("x"), F.col("y")), percent, False)
+    return first.unionByName(decided(rest))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of linked texts the smallest doc_id stays."""
-    features = _features(docs, shingle, similarity)
-    nodes = durable(features.groupBy("h").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("fp", "n", "sketch", "fine", "prefix")]))
-    roots = components(similar_links(docs, nodes, shingle, similarity))
-    owner = nodes.select("h", "least").join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+    features = _features(docs, shingle, percent)
+    nodes = durable(features.groupBy("h").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("fp", "digest", "n", "sketch", "fine", "prefix")]))
+    nodes = nodes.withColumns({"node": F.col("h"), "th": F.col("h")})
+    repeated = not docs.groupBy("doc_id", text_key()).count().filter("count > 1").isEmpty()
+    roots = components(similar_links(docs, nodes.filter("n > 0"), shingle, percent, repeated))
+    owner = nodes.select("h", F.col("rep").alias("least")).join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     kept = durable(owner.groupBy("root").agg(F.min(F.struct(F.col("least"), F.col("h"))).alias("k")).select(F.col("k.least").alias("kept_id"), F.col("k.h").alias("kept_h")))
     h = fresh("h", docs.columns)
     out = docs.withColumn(h, text_key())
     same = (F.col(f"d.{h}") == F.col("k.kept_h")) & F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))
     out = out.alias("d").join(kept.alias("k"), same, "left_semi")
-    if not docs.groupBy("doc_id", text_key()).count().filter("count > 1").isEmpty():
+    if repeated:
         out = out.dropDuplicates(["doc_id", h])
     return out.drop(h)

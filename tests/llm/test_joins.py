@@ -205,3 +205,21 @@ def test_every_text_is_counted_for_the_order_of_shingles(spark):
     shared, own = (simhash.shingle_hashes(t, 5)[0] for t in ("one two three four five", "a1 b1 c1 d1 e1"))
     at = lambda x: int(levels[int(x) >> (64 - simhash.LEVEL_BITS)])
     assert at(shared) == 21 and at(own) == 0  # ceil(8 * log2(6)): six texts
+
+
+def test_open_cells_hold_every_open_pair(spark, monkeypatch):
+    """The connected part of a crowd meets the others only, and what comes too late in all sets meets nothing."""
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    roots = {i: 0 if i < 90 else i for i in range(120)}
+    shared = spark.createDataFrame([(t, i, at, 120) for i in roots for t, at in ((1, 5), (2, 70))], "token long, node long, at int, crowd long")
+    rooted = spark.createDataFrame([(i, 390, r) for i, r in roots.items()], "node long, n long, root long")
+    cells = defaultdict(set)
+    got = simhash._open_cells(shared, rooted, 80).collect()
+    for r in got:
+        assert r["token"] == 1
+        cells[r["x"], r["y"]].add(r["node"])
+    met = {(a, b) for c in cells.values() for a in c for b in c if a < b}
+    assert all((a, b) in met for a in roots for b in roots if a < b and roots[a] != roots[b])
+    assert len(got) == 90 * 2 + 30 * (6 + 2)  # all parts with all would be 120 * 8
