@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Session setting by which Spark removes an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session setting by which Spark splits generated methods beyond a size; HotSpot compiles none beyond 8,000 bytes, and runs them step by step.
+METHODS = "spark.sql.codegen.hugeMethodLimit"
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -26,13 +28,16 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _without_shuffles(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def _with(spark: SparkSession, **settings: str) -> Iterator[None]:
+    names = {"cleanup": CLEANUP, "methods": METHODS}
+    before = {names[k]: spark.conf.get(names[k], None) for k in settings}
+    for k, value in settings.items():
+        spark.conf.set(names[k], value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,17 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     longer, so they go with the execution rather than when the driver collects its garbage.
     """
     _shared_folder(df.sparkSession)
-    with _without_shuffles(df.sparkSession):
+    with _with(df.sparkSession, cleanup="true"):
         return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, split: bool = False) -> DataFrame:
     """The same cut as Parquet files, for wide rows of which each fills a few fields only.
 
     A checkpoint holds such rows at their full width; a column of nulls takes no room here.
+    ``split``: plans with large expressions run in methods small enough to be compiled.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    with _without_shuffles(spark):
+    with _with(spark, cleanup="true", **({"methods": "8000"} if split else {})):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

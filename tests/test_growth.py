@@ -55,6 +55,25 @@ def test_wide_log_rows_are_stored_by_column(spark):
     assert stored(odd).schema == odd.schema and sorted(map(str, stored(odd).collect())) == sorted(map(str, odd.collect()))
 
 
+def test_log_rows_stay_narrow(spark, monkeypatch):
+    def leaves(kind):
+        inner = [x.dataType for x in kind.fields] if hasattr(kind, "fields") else [kind.elementType] if hasattr(kind, "elementType") else []
+        return sum(map(leaves, inner)) if inner else 1
+
+    kept, real = [], ledger_fold.stored
+    monkeypatch.setattr(ledger_fold, "stored", lambda df: kept.append(df) or real(df))
+    lines = [("r", 1, "run_created", '{"run": {"runId": "r", "executionEpoch": 0, "state": "created"}}'), ("r", 2, "identity_reserved", '{"kind": "x", "id": "1"}'), ("r", 3, "identity_reserved", '{"kind": "x", "id": "1"}')]
+    got = ledger_fold.fold(spark.createDataFrame([*lines, (None, 1, "lock_recovered", "{}")], ledger_fold.EVENT)).collect()
+    assert sorted((r["run_id"] or "", r["seq"], r["error"], r["error_seq"]) for r in got) == [("", 1, None, None), ("r", 2, "reducer.duplicate-reservation", 3)]
+    assert max(leaves(df.schema) for df in kept) <= 60
+    # events are told their look-ups, attempts and phases in one place: one shuffle of theirs for two joins
+    plan = kept[-1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") - plan.count("Join") <= 1
+    pairs = [(None, None), (None, "-"), ("-", None), ("", ""), ("1:a", "b"), ("a", "b"), ("a", ":b"), ("1", "1:"), (None, "")]
+    kept = spark.createDataFrame(pairs, "a string, b string").select(ledger_fold._pair(adapters.F.col("a"), adapters.F.col("b")))
+    assert len({r[0] for r in kept.collect()} - {None}) == len(pairs)
+
+
 def test_a_line_is_judged_once(spark, small, monkeypatch):
     plans, real = [], schemas.cut
     monkeypatch.setattr(schemas, "cut", lambda df: plans.append(plan_of(df)) or real(df))
