@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators.records import blank
+from tessera.plans.cut import stored
 
 # Fixed values.
 LIVE = ("unverified", "verified")
@@ -56,10 +57,6 @@ def sound_calculation() -> Column:
         & (F.size("inputs") + F.size("source_files") > 0) & (F.size("outputs") > 0) & unique & sound, F.lit(False))
 
 
-#: Parts into which evidence without a calculation is dealt, as null keys would meet in one task.
-NULL_PARTS = 4096
-
-
 def qualify(evidence: DataFrame, sources: DataFrame, calculations: DataFrame) -> DataFrame:
     """Adds qualified, relation, tokens, unknown_lineage, access_level and derived_key to evidence records.
 
@@ -73,9 +70,11 @@ def qualify(evidence: DataFrame, sources: DataFrame, calculations: DataFrame) ->
     s = sources.select(
         F.col("source_id").alias("sid"), F.col("revision").alias("srev"), "access_level", "study", F.col("relation").cast("string").alias("relation"),
         F.concat(F.array(F.concat(F.lit("study:"), "study")), some("cohort", "cohorts"), some("dataset", "datasets")).alias("tokens"))
-    c = calculations.select(F.col("calculation_id").alias("cid"), "attempt_id", sound_calculation().alias("sound"), F.lit(0).alias("cpart"))
-    out = evidence.withColumns(_told()).withColumn("_part", F.when(F.col("calculation_id").isNull(), F.pmod(F.xxhash64("evidence_id", "revision"), F.lit(NULL_PARTS)).cast("int")).otherwise(0))
-    out = out.join(c, (F.col("calculation_id") == F.col("cid")) & (F.col("_part") == F.col("cpart")), "left")
+    c = calculations.select(F.col("calculation_id").alias("cid"), "attempt_id", sound_calculation().alias("sound"))
+    told = evidence.withColumns(_told())
+    # evidence without a calculation stays where it is
+    out = told.filter("calculation_id is not null").join(c, F.col("calculation_id") == F.col("cid"), "left").drop("cid")
+    out = out.unionByName(told.filter("calculation_id is null"), allowMissingColumns=True)
     out = out.withColumn("calculation_valid", F.coalesce((F.col("attempt_id") == F.col("recorded_by")) & F.col("sound"), F.lit(False)))
     out = out.join(s, (F.col("source_id") == F.col("sid")) & (F.col("source_revision") == F.col("srev")), "left").withColumn("source_known", F.col("sid").isNotNull())
     retrieved = F.col("evidence_type") == "retrieved"
@@ -203,8 +202,12 @@ def evaluate(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, c
     """
     refs = claims.select("claim_id", F.col("revision").alias("claim_revision"), F.explode(F.array_distinct("evidence_refs")).alias("ref"))
     refs = refs.select("claim_id", "claim_revision", F.col("ref.id").alias("evidence_id"), F.col("ref.revision").alias("revision"))
-    checked = applicable_verifications(verifications).filter("result = 'accepted'").drop("revision")
+    # of what was not accepted only the revision tells; the rest stays out of the shuffle, and what is left is stored, as it is used twice
+    accepted = F.col("result") == "accepted"
+    told = verifications.withColumns({c: F.when(accepted, F.col(c)) for c in ("checked_evidence", "independent_evidence_ids", "corrections")})
+    checked = applicable_verifications(told).filter(accepted).drop("revision")
     checked = checked.select("verification_id", "checked_evidence", "method", "attempt_id", "independent_evidence_ids", "corrections", F.col("claim.id").alias("claim_id"), F.col("claim.revision").alias("revision"))
+    checked = stored(checked)
     offers = checked.filter(F.col("method").isin(*INDEPENDENT)).withColumn("id", F.explode("independent_evidence_ids"))
     offers = offers.withColumn("same", F.filter("checked_evidence", lambda r: r["id"] == F.col("id"))).filter("size(same) = 1")
     offers = offers.select("claim_id", F.col("revision").alias("claim_revision"), F.col("id").alias("evidence_id"), F.col("same")[0]["revision"].alias("revision"), F.col("attempt_id").alias("by"))
@@ -216,7 +219,8 @@ def evaluate(claims: DataFrame, evidence: DataFrame, verifications: DataFrame, c
     live = (F.col("stance") == "supporting") & F.col("verification_status").isin(*LIVE) & F.col("qualified")
     cited, retrieved = F.col("cited"), F.col("evidence_type") == "retrieved"
     good = evidence.filter(live).join(marks, keys).withColumn("offered", F.exists("offered_by", lambda x: x == F.col("recorded_by"))).filter(cited | F.col("offered"))
-    facts = good.groupBy("claim_id", F.col("claim_revision").alias("revision")).agg(
+    # dealt by claim, as claims and contradictions are, so that facts need no second shuffle
+    facts = good.repartition("claim_id").groupBy("claim_id", F.col("claim_revision").alias("revision")).agg(
         F.count_if(cited).alias("qualifying"), F.collect_list(F.when(cited & retrieved & ~F.col("unknown_lineage"), F.struct("relation", "tokens"))).alias("items"),
         F.collect_set(F.when(cited, F.col("derived_key"))).alias("derived_keys"), F.coalesce(F.bool_or(cited & retrieved & F.col("quality").isin(*PRIMARY)), F.lit(False)).alias("has_primary"),
         F.coalesce(F.bool_or(cited & retrieved & (F.col("access_level") != "full-text")), F.lit(False)).alias("lacks_full_text"),

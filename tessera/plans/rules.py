@@ -10,6 +10,7 @@ from tessera.operators import evidence_query as Q
 from tessera.operators import gate, requests, retry
 from tessera.plans import adapters as A
 from tessera.plans.adapters import CLAIMS_SQL, EVIDENCE_SQL, LEDGER_SQL, OWNERS_SQL, SOURCES_SQL, with_sql
+from tessera.plans.cut import stored
 from tessera.plans.queries import LATEST_SQL, _records, register
 
 # --- the gate, from records
@@ -48,8 +49,8 @@ d AS (
 
 
 def _admission(spark: SparkSession, sf: str) -> DataFrame:
-    li = A.table(spark, sf, "lineitem")
-    # numbered first and described then, so that all uses share one shuffle of the plain lines
+    # dealt by claim, so that one shuffle numbers the lines and gathers those of a claim; numbered first and described then
+    li = A.table(spark, sf, "lineitem").repartition("l_orderkey")
     li = li.withColumn("rev", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy(*A.EVIDENCE_ORDER)).cast("long"))
     rev = F.col("rev")
     n, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
@@ -73,22 +74,25 @@ def _admission(spark: SparkSession, sf: str) -> DataFrame:
         "source_id", F.lit(1).cast("long").alias("revision"), "access_level", F.when(F.col("study") == "study:5", "").otherwise(F.col("study")).alias("study"),
         F.array("cohort").alias("cohorts"), F.expr(empty).alias("datasets"), (100000 + F.col("source_id")).alias("relation"))
     file = lambda name: F.array(F.struct(F.lit(name).alias("relative_path"), F.lit("0" * 64).alias("sha256"), F.lit(1).cast("long").alias("decoded_bytes")))
-    c = li.select(name.alias("calculation_id"), (part % 10).alias("attempt_id"))
+    # calculations are those that evidence names
+    c = li.filter(derived & (supp % 2 == 0)).select(name.alias("calculation_id"), (part % 10).alias("attempt_id"))
     c = c.select("calculation_id", "attempt_id", F.lit("success").alias("status"), F.lit(0).alias("exit_code"), file("in").alias("inputs"), F.expr("cast(array() as array<struct<relative_path: string, sha256: string, decoded_bytes: bigint>>)").alias("source_files"), file("out").alias("outputs"))
     found = gate.qualify(e, s, c)
-    ref = F.struct(F.col("evidence_id").alias("id"), "revision")
+    line = F.struct(F.col("evidence_id").alias("id"), "revision", (F.col("stance") == "contradicting").alias("against"), (F.col("verification_status") == "rejected").alias("rejected"))
+    # stored, so that the shuffle of the lines goes and claims, verifications and contradictions are read from one table
+    lines = e.groupBy("claim_id").agg(F.collect_list(line).alias("lines"))
+    claims = stored(A.claims(spark, sf).withColumn("created_by", F.lit(-1).cast("long")).join(lines, "claim_id", "left"))
+    ref = lambda r: F.struct(r["id"].alias("id"), r["revision"].alias("revision"))
     # A claim cites all its evidence but the first, which only its verification has found.
-    refs = e.groupBy("claim_id").agg(F.collect_list(ref).alias("all_refs"))
-    claims = A.claims(spark, sf).withColumn("revision", F.lit(1).cast("long")).withColumn("created_by", F.lit(-1).cast("long")).join(refs, "claim_id", "left")
-    claims = claims.withColumn("evidence_refs", F.filter("all_refs", lambda r: r["id"] % 8 > 1))
     one = F.lit(1).cast("long")
-    all_refs = F.coalesce("all_refs", F.expr("cast(array() as array<struct<id: bigint, revision: bigint>>)"))
+    claims = claims.withColumn("revision", one).withColumn("evidence_refs", F.transform(F.filter("lines", lambda r: r["id"] % 8 > 1), ref))
+    all_refs = F.coalesce(F.transform("lines", ref), F.expr("cast(array() as array<struct<id: bigint, revision: bigint>>)"))
     v = claims.select(
         F.concat(F.lit("v"), F.col("claim_id").cast("string")).alias("verification_id"), F.lit(1).alias("revision"), F.array(F.struct(F.col("claim_id").alias("id"), one.alias("revision"))).alias("checked_claims"),
         all_refs.alias("checked_evidence"), F.when(F.col("claim_id") % 4 == 0, "accepted").otherwise("inconclusive").alias("result"), F.lit("mixed").alias("method"), (F.col("claim_id") % 10).alias("attempt_id"),
         F.array(F.col("claim_id") * 8 + 1).alias("independent_evidence_ids"), F.array(F.struct(F.col("claim_id"), F.lit("mended").alias("description"))).alias("corrections"))
-    contra = e.filter("stance = 'contradicting'").select("claim_id", "evidence_id", "revision", (F.col("verification_status") == "rejected").alias("rejected"))
-    return gate.evaluate(claims.drop("all_refs"), found, v, contra)
+    contra = claims.select("claim_id", F.explode(F.filter("lines", lambda r: r["against"])).alias("r")).select("claim_id", F.col("r.id").alias("evidence_id"), "r.revision", "r.rejected")
+    return gate.evaluate(claims.drop("lines"), found, v, contra)
 
 
 @register("gate_admission", ADMISSION_SQL + """

@@ -6,7 +6,7 @@ import random
 
 from tessera import registry, schemas
 from tessera.functions import identifiers
-from tessera.operators import catalog, evidence_query, graph, ledger_fold, requests
+from tessera.operators import catalog, evidence_query, gate, graph, ledger_fold, requests
 from tessera.plans import adapters, queries
 from tessera.plans.cut import stored
 
@@ -46,6 +46,43 @@ def test_lines_are_numbered_once(spark, small):
     assert len(joins) == 1
 
 
+def test_admission_shuffles_what_it_needs(spark, small, monkeypatch):
+    kept, real = [], gate.stored
+    monkeypatch.setattr(gate, "stored", lambda df: kept.append(df) or real(df))
+    out = registry.queries()["gate_admission"](spark, small)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # lines are dealt by claim: once for all that is gathered of claims, and for evidence without, with and for calculations
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning(l_orderkey" in x]
+    assert len(dealt) == 3 and not any("l_linenumber" in x for x in dealt)
+    # only accepted verifications carry their lists through the choice of the latest
+    assert "CASE WHEN" in plan_of(kept[0]) and kept[0].filter("verification_id is null").count() == 0
+
+
+def test_latest_verification_hides_earlier_ones(spark):
+    v = spark.createDataFrame(
+        [("v", 1, [(7, 1)], "accepted"), ("v", 2, [(7, 1)], "inconclusive"), ("w", 1, [(7, 1)], "inconclusive"), ("w", 2, [(7, 1)], "accepted")],
+        "verification_id string, revision int, checked_claims array<struct<id: bigint, revision: bigint>>, result string")
+    ref = "array<struct<id: bigint, revision: bigint>>"
+    v = v.selectExpr("*", f"cast(array(struct(1, 1)) as {ref}) as checked_evidence", "'mixed' as method", "3L as attempt_id", "array(1L) as independent_evidence_ids", "array(struct(7L as claim_id, verification_id as description)) as corrections")
+    claims = spark.sql(f"""select 7L claim_id, 1L revision, 'supported' status, 'interpretation' kind, 0L minimum, true independent_allowed, false primary_required, false full_text_required,
+        -1L created_by, cast(array(struct(1, 1)) as {ref}) evidence_refs""")
+    text = "array<string>"
+    evidence = spark.sql(f"""select id evidence_id, 1L revision, 7L claim_id, 1L claim_revision, kind evidence_type, source source_id, 1L source_revision, calc calculation_id, 'supporting' stance, 'verified' verification_status,
+        'secondary' quality, cast(array('said') as {text}) quotes, array(struct('page' as type, '1' as value)) locators, array(struct('v' as value, 'c' as context, 'kg' as unit, 1.0D as numeric_value)) extracted_values,
+        cast(null as string) method, 5L recorded_by from values (1L, 'retrieved', 1L, cast(null as string)), (2L, 'derived', null, 'c1'), (3L, 'derived', null, 'c2'), (4L, 'derived', null, null) t(id, kind, source, calc)""")
+    file = lambda name: f"array(struct('{name}' as relative_path, repeat('0', 64) as sha256, 1L as decoded_bytes))"
+    calcs = spark.sql(f"select 'c1' calculation_id, 5L attempt_id, 'success' status, 0 exit_code, {file('in')} inputs, {file('src')} source_files, {file('out')} outputs")
+    sources = spark.sql(f"select 1L source_id, 1L revision, 'full-text' access_level, 'study:1' study, cast(array() as {text}) cohorts, cast(array() as {text}) datasets, 100 relation")
+    rows = gate.qualify(evidence, sources, calcs)
+    joins = [x for x in plan_of(rows).split("\n") if "Join" in x and "calculation_id" in x]
+    assert len(joins) == 1 and "pmod" not in plan_of(rows)  # evidence without a calculation meets none
+    assert {r["evidence_id"]: (r["qualified"], r["derived_key"]) for r in rows.collect()} == {
+        1: (True, None), 2: (True, "derived-calculation:c1"), 3: (False, "derived-method:3"), 4: (False, "derived-method:4")}
+    none = spark.createDataFrame([], "claim_id long, evidence_id long, revision long, rejected boolean")
+    settled = lambda some: gate.evaluate(claims, rows, some, none).first()["conflict_resolved"]
+    assert settled(v) and not settled(v.filter("verification_id = 'v'"))
+
+
 def test_wide_log_rows_are_stored_by_column(spark):
     lines = [("r", i + 1, "budget_amended", "{}") if i else ("r", 1, "run_created", '{"run": {"runId": "r", "executionEpoch": 0, "state": "created"}}') for i in range(50)]
     told, _ = ledger_fold.judged(spark.createDataFrame(lines, ledger_fold.EVENT))
