@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _shared_folder(df.sparkSession)
     with _with(df.sparkSession, cleanup="true"):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a plan made here, as a plan keeps the setting it was made under
 
 
 def stored(df: DataFrame, split: bool = False) -> DataFrame:

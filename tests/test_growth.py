@@ -8,7 +8,7 @@ from tessera import registry, schemas
 from tessera.functions import identifiers
 from tessera.operators import catalog, evidence_query, gate, graph, ledger_fold, requests
 from tessera.plans import adapters, queries
-from tessera.plans.cut import stored
+from tessera.plans.cut import cut, stored
 
 
 def plan_of(df):
@@ -111,6 +111,14 @@ def test_log_rows_stay_narrow(spark, monkeypatch):
     assert len({r[0] for r in kept.collect()} - {None}) == len(pairs)
 
 
+def test_a_cut_leaves_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+    before = files()
+    made = spark.range(1000).selectExpr("id % 7 as k").repartition(3).groupBy("k").count()
+    got = cut(made)
+    assert files() <= before and sorted(r["count"] for r in got.collect()) == [142] + [143] * 6
+
+
 def test_a_line_is_judged_once(spark, small, monkeypatch):
     plans, real = [], schemas.cut
     monkeypatch.setattr(schemas, "cut", lambda df: plans.append(plan_of(df)) or real(df))
